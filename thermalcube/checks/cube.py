@@ -65,7 +65,7 @@ def within_parent(spark, sf):
 
 @query(
     """SELECT id, tanggal, satelit, provinsi FROM feat WHERE provinsi = 'NATION_7'
-  AND lower(satelit) = 'snpp' AND month(tanggal) <= 6 AND dayofweek(tanggal) = 1"""
+  AND lower(satelit) = 'snpp' AND month(tanggal) <= 6 AND dayname(tanggal) = 'Sunday'"""
 )
 def predicate_from_params(spark, sf):
     params = {
@@ -436,12 +436,12 @@ def validate_backfill(spark, sf):
 @query(
     """SELECT id, tanggal, satelit, confidence, kota FROM feat
 WHERE tanggal IN (date '1996-02-29', date '1999-12-31', date '2000-07-04') AND confidence IN ('low', 'high')
-  AND (contains(lower(pulau), 'a') OR contains(lower(desa), 'a'))"""
+  AND contains(lower(concat_ws('|', pulau, provinsi, kota, kecamatan, desa)), 'nation_1')"""
 )
 def filter_table(spark, sf):
     rows = features(spark, sf)
     return table_view.filter_table(
-        rows, "A", ["1996-02-29", "1999-12-31", "2000-07-04"], ["low", "high"]
+        rows, "Nation_1", ["1996-02-29", "1999-12-31", "2000-07-04"], ["low", "high"]
     ).select("id", "tanggal", "satelit", "confidence", "kota")
 
 

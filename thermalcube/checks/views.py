@@ -110,10 +110,14 @@ def features(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 def detections(spark: SparkSession, sf_dir: str, *also: str) -> DataFrame:
     """Events as raw detections, with further event columns as they are."""
+    return as_detections(table(spark, sf_dir, "events"), *also)
+
+
+def as_detections(events: DataFrame, *also: str) -> DataFrame:
     event, kind = F.col("event_id"), F.col("event_type")
     user = F.col("user_id")
     code = F.when(event % 3 == 0, "h").when(event % 3 == 1, "n").otherwise("l")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id",
         F.col("value").alias("frp"),
         user.alias("loc_key"),
@@ -270,6 +274,11 @@ SELECT event_id, cast(-11 + (user_id % 18) AS varchar) AS latitude,
   concat('B', cast(event_id % 4 AS varchar)) AS batch_id, ts AS ingested_at,
   cast(json_extract_string(props, '$.k') AS integer) AS k, event_id % 10 <> 0 AS answered
 FROM events
+""",
+    "pl": """
+SELECT r_name AS pulau, n_name AS provinsi, concat(n_name, ' ', c_mktsegment) AS kota,
+  concat(n_name, ' ', c_mktsegment, ' ', cast(c_custkey % 3 AS varchar)) AS kecamatan, c_name AS desa
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 """,
     # Weather after flattening.
     "wflat": """
@@ -308,7 +317,8 @@ SELECT sha256(concat(latitude, ':', longitude, ':', cast(acq_date AS varchar), '
   sha256(cast(acq_date AS varchar)) AS period_id, location_id,
   cast(acq_date AS timestamp) + to_hours(cast(lpad(acq_time, 4, '0')[1:2] AS integer))
     + to_minutes(cast(lpad(acq_time, 4, '0')[3:4] AS integer)) AS acquired_at,
-  cast(cast(frp AS float) AS double) AS frp, latitude, longitude, batch_id, acq_date
+  cast(cast(frp AS float) AS double) AS frp, latitude, longitude, batch_id, acq_date, event_id,
+  satellite, instrument, confidence
 FROM staged JOIN mapping USING (latitude, longitude)
 """,
 }

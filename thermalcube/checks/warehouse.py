@@ -1 +1,364 @@
-"""Queries."""
+"""Queries of dimensions, facts, stored tables and their quality checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from thermalcube.checks.registry import query
+from thermalcube.checks.staging import accepted, weather
+from thermalcube.checks.views import detections, locations, place_responses
+from thermalcube.operators import dedup, lookups, shaping
+from thermalcube.operators.filters import valid_location
+from thermalcube.plans import dims, facts, quality
+from thermalcube.plans.star import star_join as join_star
+from thermalcube.schemas import DETECTION_KEYS, WEATHER_KEYS, WAREHOUSE_TABLES
+from thermalcube.session import scratch_path
+from thermalcube.sources import tables
+from thermalcube.sources.responses import parse_locations
+
+
+def staged(spark, sf) -> DataFrame:
+    return dedup.latest_by_key(detections(spark, sf), tie_break=[F.col("event_id")])
+
+
+def staged_weather(spark, sf) -> DataFrame:
+    rows = dedup.latest_by_key(weather(spark, sf), WEATHER_KEYS, [F.col("event_id")])
+    return shaping.narrow_weather_types(rows)
+
+
+def warehouse_tables(spark, sf) -> dict[str, DataFrame]:
+    """All nine tables built from every staged row."""
+    hot, wet, places = staged(spark, sf), staged_weather(spark, sf), accepted(spark, sf)
+    built = {
+        "staging_hotspot": hot,
+        "staging_weather": wet,
+        "dim_period": dims.dim_period(hot.select("acq_date"), wet.select("acq_date")),
+        "dim_location": places,
+        "dim_satellite": dims.dim_satellite(hot),
+        "dim_confidence": dims.dim_confidence(hot),
+        "dim_weather_condition": dims.dim_weather_condition(wet),
+        "fact_hotspot": facts.fact_hotspot(hot, places)[0],
+        "fact_weather": facts.fact_weather(wet, places)[0],
+    }
+    return {name: built[name] for name in WAREHOUSE_TABLES}
+
+
+# ---------------------------------------------------------------- dimensions
+
+
+@query(
+    """SELECT DISTINCT sha256(cast(acq_date AS varchar)) AS id, acq_date AS date_value,
+  cast(year(acq_date) AS integer) AS year_value, CASE WHEN month(acq_date) <= 6 THEN 1 ELSE 2 END AS semester_value,
+  cast(quarter(acq_date) AS integer) AS quarter_value, cast(month(acq_date) AS integer) AS month_value,
+  monthname(acq_date) AS month_name, cast(weekofyear(acq_date) AS integer) AS week_value
+FROM (SELECT acq_date FROM det WHERE batch_id = 'B0' UNION ALL SELECT acq_date FROM wflat WHERE batch_id <> 'B0')"""
+)
+def dim_period(spark, sf):
+    """Dates of detections and of weather alike."""
+    hot = detections(spark, sf).filter("batch_id = 'B0'").select("acq_date")
+    wet = weather(spark, sf).filter("batch_id <> 'B0'").select("datetime")
+    return dims.dim_period(hot, wet)
+
+
+@query(
+    """SELECT DISTINCT CASE WHEN day(acq_date) <= 10 THEN concat('P', cast(acq_date AS varchar))
+  ELSE sha256(cast(acq_date AS varchar)) END AS id, acq_date AS date_value FROM det"""
+)
+def dim_period_reuses_ids(spark, sf):
+    days = detections(spark, sf).select("acq_date")
+    stored = (
+        days.distinct()
+        .filter(F.dayofmonth("acq_date") <= 10)
+        .select(F.concat(F.lit("P"), F.col("acq_date").cast("string")).alias("id"),
+                F.col("acq_date").alias("date_value"))
+    )
+    return dims.dim_period(days, existing=stored).select("id", "date_value")
+
+
+@query(
+    """SELECT concat(satellite, '_', instrument) AS id, satellite AS satellite_name, instrument, max(version) AS version,
+  CASE instrument WHEN 'VIIRS' THEN 375 ELSE 1000 END AS spatial_resolution_m,
+  CASE instrument WHEN 'VIIRS' THEN 6 ELSE 12 END AS temporal_resolution_hours,
+  CASE instrument WHEN 'MODIS' THEN 'Moderate Resolution Imaging Spectroradiometer'
+    WHEN 'VIIRS' THEN 'Visible Infrared Imaging Radiometer Suite' ELSE 'Unknown instrument' END AS description
+FROM det GROUP BY satellite, instrument"""
+)
+def dim_satellite(spark, sf):
+    return dims.dim_satellite(detections(spark, sf))
+
+
+@query(
+    """SELECT DISTINCT CASE WHEN instrument = 'MODIS' AND length(confidence) = 1 THEN concat('C', confidence)
+    ELSE sha256(concat(confidence, chr(31), instrument)) END AS id,
+  confidence AS confidence_raw, instrument AS source_instrument,
+  CASE instrument WHEN 'MODIS' THEN CASE WHEN try_cast(confidence AS integer) >= 80 THEN 'HIGH'
+      WHEN try_cast(confidence AS integer) >= 30 THEN 'NOMINAL' ELSE 'LOW' END
+    WHEN 'VIIRS' THEN CASE confidence WHEN 'h' THEN 'HIGH' WHEN 'n' THEN 'NOMINAL' ELSE 'LOW' END
+    ELSE 'UNKNOWN' END AS confidence_class,
+  CASE instrument WHEN 'MODIS' THEN try_cast(confidence AS integer)
+    WHEN 'VIIRS' THEN CASE confidence WHEN 'h' THEN 85 WHEN 'n' THEN 50 ELSE 15 END ELSE 0 END AS confidence_numeric,
+  CASE instrument WHEN 'MODIS' THEN round(try_cast(confidence AS double) / 100, 4)
+    WHEN 'VIIRS' THEN CASE confidence WHEN 'h' THEN 0.85::double WHEN 'n' THEN 0.5::double ELSE 0.15::double END
+    ELSE 0::double END AS confidence_score,
+  CASE instrument WHEN 'MODIS' THEN 'MODIS confidence percentage (0-100)'
+    WHEN 'VIIRS' THEN 'VIIRS confidence category (low/nominal/high)' ELSE 'Unknown confidence format' END AS description
+FROM det"""
+)
+def dim_confidence(spark, sf):
+    rows = detections(spark, sf)
+    stored = (
+        rows.filter("instrument = 'MODIS' AND length(confidence) = 1")
+        .select(
+            F.concat(F.lit("C"), "confidence").alias("id"),
+            F.col("confidence").alias("confidence_raw"),
+            F.col("instrument").alias("source_instrument"),
+        )
+        .distinct()
+    )
+    return dims.dim_confidence(rows, stored)
+
+
+@query("SELECT sha256(conditions) AS id, conditions, min(icon) AS icon FROM wflat GROUP BY conditions")
+def dim_weather_condition(spark, sf):
+    return dims.dim_weather_condition(weather(spark, sf))
+
+
+@query(
+    """SELECT sha256(concat(latitude, chr(31), longitude)) AS id, latitude, longitude, province_code, province_name,
+  city_code, city_name, CASE WHEN id = 'LOC7' THEN '' ELSE district_code END AS district_code, district_name,
+  subdistrict_code, subdistrict_name FROM acc
+WHERE (latitude, longitude) NOT IN (SELECT (latitude, longitude) FROM loc WHERE c_custkey % 10 = 0)
+QUALIFY row_number() OVER (PARTITION BY latitude, longitude ORDER BY subdistrict_code) = 1"""
+)
+def dim_location(spark, sf):
+    stored = locations(spark, sf).filter(F.substring("id", -1, 1) == "0")
+    return dims.dim_location(parse_locations(place_responses(spark, sf)), stored)
+
+
+# ---------------------------------------------------------------- facts
+
+
+@query(
+    """SELECT id, satellite_id, confidence_id, period_id, location_id, acquired_at, frp, cast(NULL AS double) AS brightness,
+  latitude, longitude FROM hotspots"""
+)
+def fact_hotspot(spark, sf):
+    rows = facts.fact_hotspot(staged(spark, sf), accepted(spark, sf))[0]
+    return rows.select(
+        "id", "satellite_id", "confidence_id", "period_id", "location_id", "acquired_at",
+        F.col("frp").cast("double"), F.col("brightness").cast("double"), "latitude", "longitude",
+    )
+
+
+WEATHER_FACT_SQL = """SELECT sha256(concat(latitude, ':', longitude, ':', datetime)) AS id,
+  sha256(cast(acq_date AS varchar)) AS period_id, location_id, sha256(conditions) AS weather_condition_id,
+  cast(datetime AS timestamp) AS acquired_at, cast(temperature AS integer) AS temperature,
+  wind_speed, cast(pressure AS integer) AS pressure, latitude, longitude
+FROM wstaged JOIN mapping USING (latitude, longitude)"""
+
+
+@query(WEATHER_FACT_SQL)
+def fact_weather(spark, sf):
+    rows = facts.fact_weather(staged_weather(spark, sf), accepted(spark, sf))[0]
+    return rows.select(
+        "id", "period_id", "location_id", "weather_condition_id", "acquired_at",
+        F.col("temperature").cast("int"), F.col("wind_speed").cast("double"), "pressure",
+        "latitude", "longitude",
+    )
+
+
+@query(
+    """SELECT event_id, concat(satellite, '_', instrument) AS satellite_id,
+  CASE WHEN instrument = 'VIIRS' THEN concat('V', confidence) ELSE sha256(concat(confidence, chr(31), instrument)) END AS confidence_id,
+  CASE WHEN day(acq_date) = 3 THEN 'DAY-3' ELSE sha256(cast(acq_date AS varchar)) END AS period_id FROM det"""
+)
+def attach_dim_keys(spark, sf):
+    """Stored ids where the dimension has them, hashed ids elsewhere."""
+    rows = detections(spark, sf)
+    stored = {
+        "dim_confidence": rows.filter("instrument = 'VIIRS'")
+        .select(
+            F.concat(F.lit("V"), "confidence").alias("id"),
+            F.col("confidence").alias("confidence_raw"),
+            F.col("instrument").alias("source_instrument"),
+        )
+        .distinct(),
+        "dim_period": rows.filter(F.dayofmonth("acq_date") == 3)
+        .select(F.lit("DAY-3").alias("id"), F.col("acq_date").alias("date_value"))
+        .distinct(),
+    }
+    return facts.attach_dim_keys(rows, stored).select(
+        "event_id", "satellite_id", "confidence_id", "period_id"
+    )
+
+
+@query("SELECT id, acquired_at FROM hotspots WHERE acq_date = date '2024-01-20'")
+def facts_for_date(spark, sf):
+    hot = staged(spark, sf)
+    rows = facts.fact_hotspot(hot, accepted(spark, sf))[0]
+    periods = dims.dim_period(hot.select("acq_date"))
+    return lookups.facts_for_date(rows, periods, "2024-01-20").select("id", "acquired_at")
+
+
+@query(
+    """SELECT h.id, acq_date AS tanggal, acquired_at AS hotspot_time, satellite AS satelit,
+  CASE instrument WHEN 'MODIS' THEN CASE WHEN try_cast(confidence AS integer) >= 80 THEN 'high'
+      WHEN try_cast(confidence AS integer) >= 30 THEN 'medium' ELSE 'low' END
+    WHEN 'VIIRS' THEN CASE confidence WHEN 'h' THEN 'high' WHEN 'n' THEN 'medium' ELSE 'low' END
+    ELSE 'unknown' END AS confidence,
+  pulau, province_name AS provinsi, city_name AS kota, district_name AS kecamatan, subdistrict_name AS desa,
+  cast(weekofyear(acq_date) AS integer) AS week_value, cast(1 AS bigint) AS hotspot_count,
+  cast(h.latitude AS double) AS lat, cast(h.longitude AS double) AS lon
+FROM hotspots h JOIN loc ON loc.id = location_id"""
+)
+def star_join(spark, sf):
+    places = locations(spark, sf)
+    islands = places.select("province_name", "pulau").distinct()
+    return join_star(warehouse_tables(spark, sf), islands)
+
+
+BATCH_COUNTS_SQL = """
+WITH h AS (SELECT * FROM staged WHERE batch_id = 'B2'), w AS (SELECT * FROM wstaged WHERE batch_id = 'B2')
+SELECT 'dim_period' AS table_name, count(DISTINCT acq_date) AS row_count
+  FROM (SELECT acq_date FROM h UNION ALL SELECT acq_date FROM w)
+UNION ALL SELECT 'dim_satellite', count(DISTINCT (satellite, instrument)) FROM h
+UNION ALL SELECT 'dim_confidence', count(DISTINCT (confidence, instrument)) FROM h
+UNION ALL SELECT 'dim_weather_condition', count(DISTINCT conditions) FROM w
+UNION ALL SELECT 'fact_hotspot', count(*) FROM hotspots WHERE batch_id = 'B2'
+UNION ALL SELECT 'fact_weather', count(*) FROM w JOIN mapping USING (latitude, longitude)"""
+
+
+@query(BATCH_COUNTS_SQL)
+def transform_batch(spark, sf):
+    built = facts.transform_batch(
+        staged(spark, sf), staged_weather(spark, sf), accepted(spark, sf), "B2"
+    )
+    return quality.table_counts(built)
+
+
+# ---------------------------------------------------------------- quality
+
+
+@query(
+    """SELECT 'staging_hotspot' AS table_name, count(*) AS row_count FROM staged
+UNION ALL SELECT 'staging_weather', count(*) FROM wstaged
+UNION ALL SELECT 'dim_period', count(DISTINCT acq_date) FROM det
+UNION ALL SELECT 'dim_location', count(*) FROM acc
+UNION ALL SELECT 'dim_satellite', count(DISTINCT (satellite, instrument)) FROM staged
+UNION ALL SELECT 'dim_confidence', count(DISTINCT (confidence, instrument)) FROM staged
+UNION ALL SELECT 'dim_weather_condition', count(DISTINCT conditions) FROM wstaged
+UNION ALL SELECT 'fact_hotspot', count(*) FROM hotspots
+UNION ALL SELECT 'fact_weather', count(*) FROM wstaged JOIN mapping USING (latitude, longitude)"""
+)
+def table_counts(spark, sf):
+    return quality.table_counts(warehouse_tables(spark, sf))
+
+
+@query(
+    """SELECT count(*) FILTER (WHERE n > 0) AS checks_passed, count(*) AS total_checks,
+  round(count(*) FILTER (WHERE n > 0) * 100.0::double / count(*), 1) AS success_rate,
+  CASE WHEN count(*) FILTER (WHERE n > 0) >= 8 THEN 'SUCCESS' WHEN count(*) FILTER (WHERE n > 0) >= 5 THEN 'PARTIAL'
+    ELSE 'FAILED' END AS status
+FROM (SELECT count(*) AS n FROM staged UNION ALL SELECT count(*) FROM wstaged
+  UNION ALL SELECT count(*) FROM det UNION ALL SELECT count(*) FROM acc UNION ALL SELECT count(*) FROM staged
+  UNION ALL SELECT count(*) FROM staged UNION ALL SELECT count(*) FROM wstaged WHERE conditions = 'none'
+  UNION ALL SELECT count(*) FROM hotspots UNION ALL SELECT count(*) FROM hotspots WHERE frp < 0)"""
+)
+def quality_scorecard(spark, sf):
+    """Two of the nine tables are empty."""
+    built = warehouse_tables(spark, sf)
+    built["dim_weather_condition"] = built["dim_weather_condition"].filter("conditions = 'none'")
+    built["fact_weather"] = built["fact_weather"].filter("wind_speed < 0")
+    return quality.quality_scorecard(built)
+
+
+# ---------------------------------------------------------------- stored tables
+
+
+FACT_COLUMNS = ("event_id", "latitude", "longitude", "acq_date", "confidence", "batch_id")
+
+
+@query("SELECT event_id, latitude, longitude, acq_date, confidence, batch_id FROM det")
+def append_table(spark, sf):
+    """Two appends whose columns come in different order."""
+    rows, path = detections(spark, sf), scratch_path(spark, "append")
+    tables.append_table(rows.filter("event_id % 2 = 0"), path, FACT_COLUMNS)
+    odd = rows.filter("event_id % 2 = 1")
+    tables.append_table(odd.select(*reversed(odd.columns)), path, FACT_COLUMNS)
+    return spark.read.parquet(path)
+
+
+@query(
+    """SELECT event_id, latitude, longitude, acq_date, confidence, batch_id,
+  strftime(acq_date, '%Y%m') AS ym FROM det"""
+)
+def write_partitioned(spark, sf):
+    path = scratch_path(spark, "months")
+    rows = detections(spark, sf).select(*FACT_COLUMNS)
+    tables.write_partitioned(rows, path, "acq_date", DETECTION_KEYS[:2])
+    return spark.read.parquet(path).withColumn("ym", F.col("ym").cast("string"))
+
+
+REPLACED_SQL = """SELECT event_id, latitude, longitude, acq_date, confidence, batch_id FROM det
+WHERE CASE WHEN day(acq_date) IN (5, 6, 21) THEN batch_id = 'B3' ELSE batch_id <> 'B3' END"""
+
+
+@query(REPLACED_SQL)
+def replace_days(spark, sf):
+    """A stored batch takes the place of its days; storing it again changes nothing."""
+    path, rows = scratch_path(spark, "facts"), detections(spark, sf).select(*FACT_COLUMNS)
+    tables.replace_days(rows.filter("batch_id <> 'B3'"), path, "acq_date", ["latitude", "longitude"])
+    batch = rows.filter((F.col("batch_id") == "B3") & F.dayofmonth("acq_date").isin(5, 6, 21))
+    for _ in range(2):
+        tables.replace_days(batch, path, "acq_date", ["latitude", "longitude"])
+    return spark.read.parquet(path)
+
+
+@query(REPLACED_SQL)
+def replace_days_frame(spark, sf):
+    rows = detections(spark, sf).select(*FACT_COLUMNS)
+    batch = rows.filter((F.col("batch_id") == "B3") & F.dayofmonth("acq_date").isin(5, 6, 21))
+    return tables.replace_days_frame(rows.filter("batch_id <> 'B3'"), batch, "acq_date")
+
+
+@query(
+    """SELECT DISTINCT 'dim_period' AS table_name, sha256(cast(acq_date AS varchar)) AS id FROM det
+UNION ALL SELECT DISTINCT 'dim_location', sha256(concat(latitude, chr(31), longitude)) FROM acc
+UNION ALL SELECT DISTINCT 'dim_satellite', concat(satellite, '_', instrument) FROM det
+UNION ALL SELECT DISTINCT 'dim_confidence', sha256(concat(confidence, chr(31), instrument)) FROM det
+UNION ALL SELECT DISTINCT 'dim_weather_condition', sha256(conditions) FROM wflat"""
+)
+def insert_new_dims(spark, sf):
+    """Two loads that overlap; no id is stored twice."""
+    root = scratch_path(spark, "dims")
+    hot, wet, places = detections(spark, sf), weather(spark, sf), locations(spark, sf)
+    loads = (
+        (hot.filter("batch_id = 'B0'"), wet.filter("batch_id = 'B1'"),
+         places.filter("province_name < 'NATION_2'")),
+        (hot, wet, places),
+    )
+    for detected, measured, answered in loads:
+        batch = {
+            "dim_period": dims.dim_period(detected.select("acq_date")),
+            "dim_location": dims.dim_location(answered),
+            "dim_satellite": dims.dim_satellite(detected),
+            "dim_confidence": dims.dim_confidence(detected),
+            "dim_weather_condition": dims.dim_weather_condition(measured),
+        }
+        tables.insert_new_dims(spark, batch, root)
+    stored = [
+        spark.read.parquet(f"{root}/{name}").select(F.lit(name).alias("table_name"), "id")
+        for name, _ in tables.DIMENSION_ORDER
+    ]
+    return shaping.union_vertical(*stored)
+
+
+@query("SELECT event_id, confidence, strftime(acq_date, '%Y%m') AS ym FROM staged")
+def append_and_compact(spark, sf):
+    """Three loads; a key that comes again keeps its newest row."""
+    path, rows = scratch_path(spark, "staging"), detections(spark, sf)
+    for part in ("event_id % 3 = 1", "event_id % 3 = 0", "event_id % 3 = 2"):
+        tables.append_and_compact(
+            spark, rows.filter(part), path, "acq_date", DETECTION_KEYS, ["event_id"]
+        )
+    return spark.read.parquet(path).select("event_id", "confidence", F.col("ym").cast("string"))

@@ -9,6 +9,7 @@ from thermalcube.functions.time import calendar
 from thermalcube.operators.dedup import first_per_key
 from thermalcube.operators.filters import valid_location
 from thermalcube.operators.lookups import assign_key, new_rows
+from thermalcube.operators.shaping import apply_defaults
 from thermalcube.schemas import COORDINATE, DIM_LOCATION_COLUMNS
 
 CONFIDENCE_KEY = ["confidence", "instrument"]
@@ -67,9 +68,12 @@ def dim_weather_condition(staged: DataFrame, existing: DataFrame | None = None)
 def dim_location(
     places: DataFrame, existing: DataFrame | None = None, tie_break: str = "subdistrict_code"
 ) -> DataFrame:
-    """New accepted places, one per coordinate; stored coordinates are left out."""
+    """New accepted places, one per coordinate; stored coordinates are left out.
+
+    ``places`` are parsed answers with null where a field is absent.
+    """
     accepted = valid_location(places)
     if existing is not None:
         accepted = new_rows(accepted, existing, COORDINATE)
     once = first_per_key(accepted, COORDINATE, [F.col(tie_break)])
-    return assign_key(once, None, COORDINATE).select(*DIM_LOCATION_COLUMNS)
+    return apply_defaults(assign_key(once, None, COORDINATE).select(*DIM_LOCATION_COLUMNS))

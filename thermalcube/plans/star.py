@@ -68,9 +68,11 @@ class Star:
 
 def warehouse_star(tables: dict[str, DataFrame], islands: DataFrame) -> Star:
     """The star over the stored tables; an island table names each province's island."""
-    location = tables["dim_location"]
+    location = tables["dim_location"].select(
+        "id", "province_name", "city_name", "district_name", "subdistrict_name"
+    )
     places = (
-        location.join(islands, "province_name", "left")
+        location.join(islands.select("province_name", "pulau"), "province_name", "left")
         .select(
             F.col("id").alias(PLACE_KEY),
             F.col("pulau"),

@@ -11,6 +11,8 @@ from thermalcube.schemas import BATCH_COLUMNS, DETECTION_COLUMNS, REQUIRED_DETEC
 # Texts that mark a landed file as an error answer instead of data.
 ERROR_MARKS = ("Invalid", "Error")
 NULL_TOKEN = r"\N"
+# Spooled timestamps carry three or six fraction digits.
+READ_TIMESTAMP = "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]"
 
 
 def read_detections(spark: SparkSession, path: str) -> DataFrame:
@@ -80,6 +82,8 @@ def read_staging(
         .option("header", True)
         .option("enforceSchema", False)
         .option("nullValue", NULL_TOKEN)
+        .option("timestampFormat", READ_TIMESTAMP)
+        .option("escape", '"')
         .csv(path)
     )
     return rows.filter(F.col("batch_id") == batch_id) if batch_id else rows

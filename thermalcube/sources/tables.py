@@ -11,6 +11,7 @@ from thermalcube.operators.lookups import new_rows, new_rows_by_id
 from thermalcube.sources.detections import NULL_TOKEN
 
 MONTH = "ym"
+WRITTEN_TIMESTAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 # Dimensions in loading order, with the key that decides what is new.
 DIMENSION_ORDER = (
     ("dim_period", ("id",)),
@@ -29,7 +30,8 @@ def append_table(df: DataFrame, path: str, columns: Sequence[str]) -> None:
 def spool_csv(df: DataFrame, path: str, null_token: str = NULL_TOKEN) -> None:
     """Always-quoted CSV hand-off with a header."""
     writer = df.write.mode("overwrite").option("header", True).option("quoteAll", True)
-    writer.option("nullValue", null_token).option("escape", '"').csv(path)
+    writer = writer.option("timestampFormat", WRITTEN_TIMESTAMP).option("escape", '"')
+    writer.option("nullValue", null_token).csv(path)
 
 
 def export_csv(df: DataFrame, path: str) -> None:
