@@ -8,7 +8,7 @@ from thermalcube.checks.registry import query
 from thermalcube.checks.views import feature_star, features, place_list
 from thermalcube.operators import filters, lookups, ranking
 from thermalcube.operators.dedup import distinct_satellites
-from thermalcube.operators.shaping import nested_path
+from thermalcube.operators.shaping import nested_path, union_vertical
 from thermalcube.plans import cube, dashboard, quality, table_view
 from thermalcube.plans.query import dice as dice_rows, filter_period as period_rows, predicate_from_params as predicate
 from thermalcube.schemas import TIME_LEVELS
@@ -199,8 +199,8 @@ def count_by_satellite(spark, sf):
 WHERE pulau = 'AFRICA' AND year(tanggal) = 2001 AND month(tanggal) <= 6"""
 )
 def time_members(spark, sf):
-    rows = features(spark, sf, "tanggal", "pulau")
-    months = cube.time_members(rows, "bulan", {"pulau": "AFRICA", "tahun": "2001", "semester": "1"})
+    star = feature_star(spark, sf)
+    months = cube.time_members(star, "bulan", {"pulau": "AFRICA", "tahun": "2001", "semester": "1"})
     first_day = F.make_date(F.lit(2001), F.col("ordinal"), F.lit(1))
     return months.select(F.date_format(first_day, "MMMM").alias("month_en"), "ordinal")
 
@@ -213,13 +213,11 @@ UNION SELECT 'bulan', ['Januari','Februari','Maret','April','Mei','Juni','Juli',
 UNION SELECT 'minggu', cast(cast(ceil(day(tanggal) / 7.0) AS integer) AS varchar), cast(ceil(day(tanggal) / 7.0) AS integer) FROM feat"""
 )
 def time_member_order(spark, sf):
-    days = features(spark, sf, "tanggal").distinct()
+    star = feature_star(spark, sf)
     frames = [
-        cube.time_members(days, level).select(F.lit(level).alias("level"), "value", "ordinal")
+        cube.time_members(star, level).select(F.lit(level).alias("level"), "value", "ordinal")
         for level in TIME_LEVELS
     ]
-    from thermalcube.operators.shaping import union_vertical
-
     return union_vertical(*frames)
 
 
@@ -488,10 +486,8 @@ def total_pages(spark, sf):
 ORDER BY hotspot_time DESC NULLS LAST, id LIMIT 5"""
 )
 def latest_n(spark, sf):
-    # The newest rows are chosen among the detections alone; only they are joined to places.
-    star = feature_star(spark, sf)
-    newest = ranking.latest_n(star.facts)
-    return type(star)(newest, star.places).flat("id", "hotspot_time", "provinsi", "confidence")
+    columns = ("id", "hotspot_time", "provinsi", "confidence")
+    return dashboard.latest_detections(feature_star(spark, sf), 5, *columns)
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from thermalcube.checks.registry import query
 from thermalcube.checks.staging import by_source, weather
@@ -172,7 +172,7 @@ def read_boundaries(spark, sf):
     return geojson.read_boundaries(spark, paths)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def hex_geometry(kind: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
     """Binary geometries as hex: points in both byte orders and dialects, and unusable ones."""
     layouts = {

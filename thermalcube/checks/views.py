@@ -5,7 +5,7 @@ Each view exists twice: as DataFrames for the operators, and as SQL for the comp
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from thermalcube.plans.star import PLACE_KEY, Star
 from thermalcube.session import fits_broadcast
@@ -31,16 +31,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _text(column: Column) -> Column:
-    return column.cast("string")
+def _grid(key: str) -> tuple[str, str]:
+    """Latitude and longitude expressions that spread keys over quarter-degree points."""
+    lat = f"cast(-11 + {key} % 18 AS double) + cast({key} % 4 AS double) * 0.25D"
+    lon = f"cast(95 + {key} % 46 AS double) + cast({key} % 8 AS double) * 0.125D"
+    return lat, lon
 
 
-def _grid_lat(key: str) -> Column:
-    return (F.lit(-11) + F.col(key) % 18).cast("double") + (F.col(key) % 4).cast("double") * 0.25
-
-
-def _grid_lon(key: str) -> Column:
-    return (F.lit(95) + F.col(key) % 46).cast("double") + (F.col(key) % 8).cast("double") * 0.125
+def _with_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with nation and region, two tables of fixed small size."""
+    nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    joined = table(spark, sf_dir, "customer").join(nations, F.expr("c_nationkey = n_nationkey"))
+    return joined.join(regions, F.expr("n_regionkey = r_regionkey"))
 
 
 def feature_star(spark: SparkSession, sf_dir: str, java: bool = False) -> Star:
@@ -49,52 +51,38 @@ def feature_star(spark: SparkSession, sf_dir: str, java: bool = False) -> Star:
     ``java`` renames one region and two nations, so that the rules for the special province and
     for name prefixes have something to work on.
     """
-    orders = table(spark, sf_dir, "orders")
-    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
-    second_of_day = (F.col("o_orderkey") * 37) % 86400
-    midnight = F.unix_timestamp(F.col("o_orderdate").cast("date").cast("timestamp"))
-    facts = orders.select(
-        F.col("o_orderkey").alias("id"),
-        F.col("o_custkey").alias(PLACE_KEY),
-        F.col("o_orderdate").cast("date").alias("tanggal"),
-        F.when(F.col("o_orderkey") % 1009 != 0, F.timestamp_seconds(midnight + second_of_day)).alias(
-            "hotspot_time"
-        ),
-        F.when(status == "F", "Terra").when(status == "O", "Aqua").otherwise("SNPP").alias("satelit"),
-        F.when(priority.isin("1-URGENT", "2-HIGH"), "high")
-        .when(priority == "3-MEDIUM", "medium")
-        .otherwise("low")
-        .alias("confidence"),
-        F.lit(1).cast("bigint").alias("hotspot_count"),
-        _grid_lat("o_custkey").alias("lat"),
-        _grid_lon("o_custkey").alias("lon"),
+    lat, lon = _grid("o_custkey")
+    facts = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS id",
+        f"o_custkey AS {PLACE_KEY}",
+        "cast(o_orderdate AS date) AS tanggal",
+        """CASE WHEN o_orderkey % 1009 <> 0 THEN timestamp_seconds(
+             unix_timestamp(cast(cast(o_orderdate AS date) AS timestamp)) + (o_orderkey * 37) % 86400)
+           END AS hotspot_time""",
+        "CASE o_orderstatus WHEN 'F' THEN 'Terra' WHEN 'O' THEN 'Aqua' ELSE 'SNPP' END AS satelit",
+        """CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'high'
+           WHEN o_orderpriority = '3-MEDIUM' THEN 'medium' ELSE 'low' END AS confidence""",
+        "cast(1 AS bigint) AS hotspot_count",
+        f"{lat} AS lat",
+        f"{lon} AS lon",
     )
-    customer = table(spark, sf_dir, "customer")
-    regions = table(spark, sf_dir, "region")
-    nations = table(spark, sf_dir, "nation").join(regions, F.expr("n_regionkey = r_regionkey"))
-    island, province = F.col("r_name"), F.col("n_name")
-    city = F.concat_ws(" ", "n_name", "c_mktsegment")
-    district = F.concat(city, F.lit(" "), _text(F.col("c_custkey") % 3))
+    island, province, city = "r_name", "n_name", "concat_ws(' ', n_name, c_mktsegment)"
+    district = f"concat({city}, ' ', cast(c_custkey % 3 AS string))"
     if java:
-        island = F.when(F.col("n_regionkey") == 2, "Jawa").otherwise(island)
-        province = F.when(F.col("n_nationkey") % 12 == 2, F.concat(F.lit("DI Yogyakarta "), province)).otherwise(province)
-        kind = F.col("c_nationkey") % 4
-        city = (
-            F.when(kind == 0, F.concat(F.lit("Kabupaten "), city))
-            .when(kind == 1, F.concat(F.lit("KOTA "), city))
-            .when(kind == 2, F.concat(F.lit(" kabupaten "), city))
-            .otherwise(F.concat(city, F.lit("  ")))
-        )
-    places = customer.join(nations, F.expr("c_nationkey = n_nationkey")).select(
-        F.col("c_custkey").alias(PLACE_KEY),
-        island.alias("pulau"),
-        province.alias("provinsi"),
-        city.alias("kota"),
-        district.alias("kecamatan"),
-        F.col("c_name").alias("desa"),
+        island = "CASE WHEN n_regionkey = 2 THEN 'Jawa' ELSE r_name END"
+        province = "CASE WHEN n_nationkey % 12 = 2 THEN concat('DI Yogyakarta ', n_name) ELSE n_name END"
+        city = f"""CASE c_nationkey % 4 WHEN 0 THEN concat('Kabupaten ', {city}) WHEN 1 THEN concat('KOTA ', {city})
+            WHEN 2 THEN concat(' kabupaten ', {city}) ELSE concat({city}, '  ') END"""
+    places = _with_nation(spark, sf_dir).selectExpr(
+        f"c_custkey AS {PLACE_KEY}",
+        f"{island} AS pulau",
+        f"{province} AS provinsi",
+        f"{city} AS kota",
+        f"{district} AS kecamatan",
+        "c_name AS desa",
     )
     # One place row per customer, a few short texts wide: the customer table's size decides.
-    return Star(facts, places, fits_broadcast(customer))
+    return Star(facts, places, fits_broadcast(table(spark, sf_dir, "customer")))
 
 
 FEATURE_COLUMNS = (
@@ -114,109 +102,77 @@ def detections(spark: SparkSession, sf_dir: str, *also: str) -> DataFrame:
 
 
 def as_detections(events: DataFrame, *also: str) -> DataFrame:
-    event, kind = F.col("event_id"), F.col("event_type")
-    user = F.col("user_id")
-    code = F.when(event % 3 == 0, "h").when(event % 3 == 1, "n").otherwise("l")
-    return events.select(
+    return events.selectExpr(
         "event_id",
-        F.col("value").alias("frp"),
-        user.alias("loc_key"),
-        F.concat(F.lit("B"), _text(event % 4)).alias("batch_id"),
-        F.col("ts").cast("timestamp").alias("ingested_at"),
-        _text(F.lit(-11) + user % 18).alias("latitude"),
-        _text(F.lit(95) + user % 47).alias("longitude"),
-        F.col("ts").cast("date").alias("acq_date"),
-        _text(F.hour("ts") * 100 + (event % 2) * 30).alias("acq_time"),
-        F.when(kind == "view", "Terra")
-        .when(kind == "click", "Aqua")
-        .when(kind == "purchase", "N20")
-        .when(kind == "signup", "N")
-        .otherwise("X")
-        .alias("satellite"),
-        F.when(kind.isin("view", "click"), "MODIS")
-        .when(kind.isin("purchase", "signup"), "VIIRS")
-        .otherwise("OTHER")
-        .alias("instrument"),
-        F.when(event % 97 == 0, "bad")
-        .when(kind.isin("view", "click"), _text(event % 101))
-        .otherwise(code)
-        .alias("confidence"),
-        F.concat(F.lit("v"), _text(event % 2)).alias("version"),
+        "value AS frp",
+        "user_id AS loc_key",
+        "concat('B', cast(event_id % 4 AS string)) AS batch_id",
+        "cast(ts AS timestamp) AS ingested_at",
+        "cast(-11 + user_id % 18 AS string) AS latitude",
+        "cast(95 + user_id % 47 AS string) AS longitude",
+        "cast(ts AS date) AS acq_date",
+        "cast(hour(ts) * 100 + (event_id % 2) * 30 AS string) AS acq_time",
+        """CASE event_type WHEN 'view' THEN 'Terra' WHEN 'click' THEN 'Aqua' WHEN 'purchase' THEN 'N20'
+           WHEN 'signup' THEN 'N' ELSE 'X' END AS satellite""",
+        """CASE WHEN event_type IN ('view', 'click') THEN 'MODIS'
+           WHEN event_type IN ('purchase', 'signup') THEN 'VIIRS' ELSE 'OTHER' END AS instrument""",
+        """CASE WHEN event_id % 97 = 0 THEN 'bad'
+           WHEN event_type IN ('view', 'click') THEN cast(event_id % 101 AS string)
+           WHEN event_id % 3 = 0 THEN 'h' WHEN event_id % 3 = 1 THEN 'n' ELSE 'l' END AS confidence""",
+        "concat('v', cast(event_id % 2 AS string)) AS version",
         *also,
     )
 
 
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as answered places, some of them to be refused."""
-    key = F.col("c_custkey")
-    nations = table(spark, sf_dir, "nation").join(
-        table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey")
-    )
-    city = F.concat_ws(" ", "n_name", "c_mktsegment")
-    return (
-        table(spark, sf_dir, "customer")
-        .join(nations, F.expr("c_nationkey = n_nationkey"))
-        .select(
-            F.concat(F.lit("LOC"), _text(key)).alias("id"),
-            _text(F.lit(-11) + key % 18).alias("latitude"),
-            _text(F.lit(95) + key % 47).alias("longitude"),
-            F.col("r_name").alias("pulau"),
-            _text(F.col("n_nationkey")).alias("province_code"),
-            F.col("n_name").alias("province_name"),
-            F.concat(_text(F.col("n_nationkey")), F.lit("."), F.col("c_mktsegment")).alias("city_code"),
-            city.alias("city_name"),
-            _text(key % 3).alias("district_code"),
-            F.when(key % 13 != 0, F.concat(city, F.lit(" "), _text(key % 3))).alias("district_name"),
-            F.concat(F.lit("S"), _text(key)).alias("subdistrict_code"),
-            F.when(key % 17 == 0, "Area Tidak Terdefinisi")
-            .when(key % 19 == 0, "")
-            .otherwise(F.col("c_name"))
-            .alias("subdistrict_name"),
-        )
+    city = "concat_ws(' ', n_name, c_mktsegment)"
+    return _with_nation(spark, sf_dir).selectExpr(
+        "concat('LOC', cast(c_custkey AS string)) AS id",
+        "cast(-11 + c_custkey % 18 AS string) AS latitude",
+        "cast(95 + c_custkey % 47 AS string) AS longitude",
+        "r_name AS pulau",
+        "cast(n_nationkey AS string) AS province_code",
+        "n_name AS province_name",
+        "concat(cast(n_nationkey AS string), '.', c_mktsegment) AS city_code",
+        f"{city} AS city_name",
+        "cast(c_custkey % 3 AS string) AS district_code",
+        f"CASE WHEN c_custkey % 13 <> 0 THEN concat({city}, ' ', cast(c_custkey % 3 AS string)) END AS district_name",
+        "concat('S', cast(c_custkey AS string)) AS subdistrict_code",
+        """CASE WHEN c_custkey % 17 = 0 THEN 'Area Tidak Terdefinisi' WHEN c_custkey % 19 = 0 THEN ''
+           ELSE c_name END AS subdistrict_name""",
     )
 
 
 def place_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as the app's list of places with coordinates."""
-    star = feature_star(spark, sf_dir)
-    return star.places.select(
-        F.col(PLACE_KEY).alias("id"), "pulau", "provinsi", "kota", "kecamatan", "desa",
-        _grid_lat(PLACE_KEY).alias("lat"), _grid_lon(PLACE_KEY).alias("lng"),
+    lat, lng = _grid(PLACE_KEY)
+    return feature_star(spark, sf_dir).places.selectExpr(
+        f"{PLACE_KEY} AS id", "pulau", "provinsi", "kota", "kecamatan", "desa",
+        f"{lat} AS lat", f"{lng} AS lng",
     )
 
 
 def place_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places as the JSON a geocoder answers; fields without a value are absent."""
-    answer = F.struct(
-        F.col("province_code").alias("adm1"),
-        F.col("city_code").alias("adm2"),
-        F.when(F.col("id") != "LOC7", F.col("district_code")).alias("adm3"),
-        F.col("subdistrict_code").alias("adm4"),
-        F.col("province_name").alias("provinsi"),
-        F.col("city_name").alias("kotkab"),
-        F.col("district_name").alias("kecamatan"),
-        F.col("subdistrict_name").alias("desa"),
+    return locations(spark, sf_dir).selectExpr(
+        "id", "latitude", "longitude",
+        """to_json(named_struct('adm1', province_code, 'adm2', city_code,
+             'adm3', CASE WHEN id <> 'LOC7' THEN district_code END, 'adm4', subdistrict_code,
+             'provinsi', province_name, 'kotkab', city_name, 'kecamatan', district_name,
+             'desa', subdistrict_name)) AS response""",
     )
-    return locations(spark, sf_dir).select("id", "latitude", "longitude", F.to_json(answer).alias("response"))
 
 
 def weather_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as weather answers; every tenth has no current conditions."""
-    k = F.col("k")
-    current = F.struct(
-        k.alias("temp"),
-        (k * 0.5).alias("windspeed"),
-        (k * 10).alias("pressure"),
-        F.concat(F.lit("cond-"), _text(k % 4)).alias("conditions"),
-        F.concat(F.lit("icon-"), _text(k % 8)).alias("icon"),
-    )
-    answer = F.to_json(F.struct(current.alias("currentConditions")))
-    rows = detections(spark, sf_dir, "props").withColumn(
-        "k", F.get_json_object("props", "$.k").cast("int")
-    )
-    return rows.select(
+    rows = detections(spark, sf_dir, "cast(get_json_object(props, '$.k') AS int) AS k")
+    return rows.selectExpr(
         "event_id", "latitude", "longitude", "acq_date", "acq_time", "batch_id", "ingested_at", "k",
-        F.when(F.col("event_id") % 10 != 0, answer).otherwise("{}").alias("response"),
+        """CASE WHEN event_id % 10 <> 0 THEN to_json(named_struct('currentConditions', named_struct(
+             'temp', k, 'windspeed', k * 0.5D, 'pressure', k * 10,
+             'conditions', concat('cond-', cast(k % 4 AS string)),
+             'icon', concat('icon-', cast(k % 8 AS string))))) ELSE '{}' END AS response""",
     )
 
 

@@ -26,9 +26,22 @@ def staged_weather(spark, sf) -> DataFrame:
     return shaping.narrow_weather_types(rows)
 
 
+def stored_staging(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Both staging tables as stored by month, so that each consumer only scans what it needs."""
+    frames = []
+    for rows, date, name in (
+        (staged(spark, sf), "acq_date", "hotspot"),
+        (staged_weather(spark, sf), "acq_date", "weather"),
+    ):
+        path = scratch_path(spark, f"staging-{name}")
+        tables.write_partitioned(rows, path, date, ("latitude", "longitude"))
+        frames.append(spark.read.schema(rows.schema).parquet(path))
+    return frames[0], frames[1]
+
+
 def warehouse_tables(spark, sf) -> dict[str, DataFrame]:
     """All nine tables built from every staged row."""
-    hot, wet, places = staged(spark, sf), staged_weather(spark, sf), accepted(spark, sf)
+    (hot, wet), places = stored_staging(spark, sf), accepted(spark, sf)
     built = {
         "staging_hotspot": hot,
         "staging_weather": wet,
@@ -212,9 +225,19 @@ def facts_for_date(spark, sf):
 FROM hotspots h JOIN loc ON loc.id = location_id"""
 )
 def star_join(spark, sf):
-    places = locations(spark, sf)
-    islands = places.select("province_name", "pulau").distinct()
-    return join_star(warehouse_tables(spark, sf), islands)
+    hot, places = staged(spark, sf), accepted(spark, sf)
+    raw, root = detections(spark, sf), scratch_path(spark, "star")
+    # Dimensions are stored tables, whose true size decides how they are joined.
+    batch = {
+        "dim_period": dims.dim_period(raw.select("acq_date")),
+        "dim_satellite": dims.dim_satellite(raw),
+        "dim_confidence": dims.dim_confidence(raw),
+    }
+    tables.insert_new_dims(spark, batch, root)
+    stored = {n: spark.read.schema(df.schema).parquet(f"{root}/{n}") for n, df in batch.items()}
+    stored |= {"dim_location": places, "fact_hotspot": facts.fact_hotspot(hot, places)[0]}
+    islands = locations(spark, sf).select("province_name", "pulau").distinct()
+    return join_star(stored, islands)
 
 
 BATCH_COUNTS_SQL = """
@@ -230,9 +253,8 @@ UNION ALL SELECT 'fact_weather', count(*) FROM w JOIN mapping USING (latitude, l
 
 @query(BATCH_COUNTS_SQL)
 def transform_batch(spark, sf):
-    built = facts.transform_batch(
-        staged(spark, sf), staged_weather(spark, sf), accepted(spark, sf), "B2"
-    )
+    hot, wet = stored_staging(spark, sf)
+    built = facts.transform_batch(hot, wet, accepted(spark, sf), "B2")
     return quality.table_counts(built)
 
 

@@ -27,7 +27,9 @@ def same_text(column: Column, value: str) -> Column:
 
 
 def for_date(df: DataFrame, date: str, column: str = "acq_date") -> DataFrame:
-    return df.filter(F.col(column) == day(date))
+    """Rows of one date; dates kept as text are compared as text."""
+    text = dict(df.dtypes)[column] == "string"
+    return df.filter(F.col(column) == (F.lit(str(date)) if text else day(date)))
 
 
 def for_batch(df: DataFrame, batch_id: str) -> DataFrame:

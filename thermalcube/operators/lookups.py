@@ -1,6 +1,6 @@
 """Joins and key lookups.
 
-No broadcast hints: the optimizer broadcasts a side whose estimated size is within
+Almost no broadcast hints: the optimizer broadcasts a side whose estimated size is within
 ``autoBroadcastJoinThreshold``; beyond it the join is shuffled and AQE splits hot keys.
 """
 
@@ -17,8 +17,12 @@ from thermalcube.schemas import COORDINATE
 
 
 def keep_located(df: DataFrame, places: DataFrame) -> DataFrame:
-    """Rows whose coordinate has an accepted place; several place rows never multiply a row."""
-    return df.join(places.select(*COORDINATE), list(COORDINATE), "left_semi")
+    """Rows whose coordinate has an accepted place; several place rows never multiply a row.
+
+    Place rows are reduced to distinct coordinates first, so a coordinate that holds many place
+    rows is one row in the join.
+    """
+    return df.join(places.select(*COORDINATE).distinct(), list(COORDINATE), "left_semi")
 
 
 def reject_metrics(df: DataFrame, places: DataFrame) -> DataFrame:
@@ -100,7 +104,9 @@ def first_period_id(periods: DataFrame) -> DataFrame:
 def facts_for_date(facts: DataFrame, periods: DataFrame, date: str) -> DataFrame:
     """Fact rows that belong to a calendar date."""
     ids = periods.filter(F.col("date_value") == F.lit(str(date)).cast("date"))
-    return facts.join(ids.select(F.col("id").alias("period_id")), "period_id", "left_semi")
+    # The period table has one row per calendar day, so one day's ids are a row or two.
+    wanted = F.broadcast(ids.select(F.col("id").alias("period_id")).distinct())
+    return facts.join(wanted, "period_id", "left_semi")
 
 
 def attach_label_coordinates(cells: DataFrame, places: DataFrame, level: str) -> DataFrame:

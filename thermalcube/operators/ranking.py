@@ -23,9 +23,9 @@ def table_order(column: str, order: str, tie_break: Sequence[str]) -> list[Colum
     """Dates as time, counts as numbers, everything else as lower-case text."""
     value = F.col(column)
     if column in DATE_COLUMNS:
-        value = value.cast("timestamp")
+        value = value.try_cast("timestamp")
     elif column in NUMBER_COLUMNS:
-        value = value.cast("double")
+        value = value.try_cast("double")
     else:
         value = F.lower(value.cast("string"))
     lead = value.desc_nulls_last() if order == "desc" else value.asc_nulls_last()

@@ -65,13 +65,14 @@ def _count_by(rows: DataFrame, column: str, params: Params) -> DataFrame:
     return kept.groupBy(F.col(column).alias("label")).agg(F.sum("hotspot_count").alias("total"))
 
 
-def time_members(rows: DataFrame, level: str, params: Params = None) -> DataFrame:
-    """Members of a time level under the chosen parents and place, in calendar order."""
+def time_members(star: Star, level: str, params: Params = None) -> DataFrame:
+    """Members of a time level under the chosen parents and place, in calendar order.
+
+    Days are few next to detections, so rows are reduced to days before members are derived.
+    """
     if level not in TIME_LEVELS:
         raise ValueError(f"no time level {level!r}")
-    query = CubeQuery.from_params(params)
-    # Few days exist next to the rows: reduce to days first, then derive the members.
-    days = rows.filter(query.predicate()).select("tanggal").distinct()
+    days = star.days(CubeQuery.from_params(params))
     member = F.trim(time_attributes(F.col("tanggal"))[level].cast("string"))
     members = days.select(member.alias("value")).filter(F.coalesce("value", F.lit("")) != "")
     valid = {"semester": ["1", "2"], "kuartal": ["Q1", "Q2", "Q3", "Q4"]}.get(level)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from thermalcube.functions.geo import pixel_x, pixel_y
 from thermalcube.functions.time import month_name_id
 from thermalcube.operators.filters import between_dates, on_day
-from thermalcube.plans.star import Star
+from thermalcube.operators.ranking import latest_n
+from thermalcube.plans.star import PLACE_KEY, Star
+from thermalcube.session import checkpointed
 
 UNKNOWN = "Unknown"
 # Cluster sizes: more than 100 points is large, more than 20 medium.
@@ -50,7 +54,10 @@ def monthly_trend(rows: DataFrame) -> DataFrame:
 def kpis(star: Star) -> DataFrame:
     """One row: detections, high-confidence detections, provinces with detections."""
     by_province = star.totals(
-        ["provinsi"], {"n": F.lit(1), "high": _is_high().cast("int")}, keep_unplaced=True
+        ["provinsi"],
+        {"n": F.lit(1), "high": _is_high().cast("int")},
+        used=["confidence"],
+        keep_unplaced=True,
     )
     named = F.coalesce(F.col("provinsi"), F.lit("")) != ""
     zero = F.lit(0).cast("bigint")
@@ -62,7 +69,7 @@ def kpis(star: Star) -> DataFrame:
 
 
 def kpis_on(star: Star, as_of: str) -> DataFrame:
-    return kpis(Star(on_day(star.facts, as_of), star.places, star.small_places))
+    return kpis(replace(star, facts=on_day(star.facts, as_of)))
 
 
 def recent_total(rows: DataFrame, as_of: str, first: str = "2015-01-01") -> DataFrame:
@@ -80,6 +87,22 @@ def top_island(star: Star) -> DataFrame:
     )
 
 
+def latest_detections(star: Star, n: int = 5, *columns: str) -> DataFrame:
+    """Newest detections with their places.
+
+    The rows are chosen among the detections alone. A large place table is not shuffled for them:
+    the chosen rows are stored, and places are filtered by their broadcast keys.
+    """
+    newest = latest_n(star.facts, n)
+    places = star.places
+    if not star.small_places:
+        newest = checkpointed(newest)
+        # At most n keys.
+        keys = F.broadcast(newest.select(PLACE_KEY).distinct())
+        places = places.join(keys, PLACE_KEY, "left_semi")
+    return replace(star, facts=newest, places=places).flat(*columns)
+
+
 def cluster_points(rows: DataFrame, zoom: int) -> DataFrame:
     """Points grouped by 50-pixel map cells with a size class; single points from zoom 13."""
     if zoom >= NO_CLUSTERS_FROM_ZOOM:

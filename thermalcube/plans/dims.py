@@ -23,7 +23,7 @@ def dim_period(*dates: DataFrame, existing: DataFrame | None = None) -> DataFram
     """
     days = None
     for frame in dates:
-        one = frame.select(F.col(frame.columns[0]).cast("date").alias("date_value"))
+        one = frame.select(F.col(frame.columns[0]).try_cast("date").alias("date_value"))
         one = one.filter(F.col("date_value").isNotNull()).distinct()
         days = one if days is None else days.unionByName(one).distinct()
     attributes = calendar(F.col("date_value"))

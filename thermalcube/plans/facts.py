@@ -23,6 +23,7 @@ from thermalcube.plans.dims import (
     dim_weather_condition,
 )
 from thermalcube.schemas import (
+    DAY,
     DETECTION_KEYS,
     FACT_HOTSPOT_COLUMNS,
     FACT_MEASURES,
@@ -40,8 +41,8 @@ def attach_dim_keys(staged: DataFrame, stored: Stored | None = None) -> DataFram
     rows = assign_key(
         rows, stored.get("dim_confidence"), CONFIDENCE_KEY, "confidence_id", STORED_CONFIDENCE_KEY
     )
-    rows = rows.withColumn("date_value", F.col("acq_date").cast("date"))
-    return assign_key(rows, stored.get("dim_period"), ["date_value"], "period_id")
+    rows = rows.withColumn(DAY, F.col("acq_date").try_cast("date"))
+    return assign_key(rows, stored.get("dim_period"), [DAY], "period_id")
 
 
 def fact_hotspot(
@@ -68,8 +69,8 @@ def fact_weather(
     located = attach_location(staged, location_mapping(locations))
     kept, observation = require_fk(located, "location_id", watch)
     instant = F.col("datetime").try_cast("timestamp")
-    rows = kept.withColumns({"acquired_at": instant, "date_value": instant.cast("date")})
-    rows = assign_key(rows, stored.get("dim_period"), ["date_value"], "period_id")
+    rows = kept.withColumns({"acquired_at": instant, DAY: instant.cast("date")})
+    rows = assign_key(rows, stored.get("dim_period"), [DAY], "period_id")
     rows = assign_key(
         rows, stored.get("dim_weather_condition"), ["conditions"], "weather_condition_id"
     )

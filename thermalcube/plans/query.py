@@ -64,6 +64,12 @@ class CubeQuery:
     def place_tests(self) -> list[Column]:
         return [F.col(f) == getattr(self, f) for f in PLACE_LEVELS if getattr(self, f) is not None]
 
+    def fact_columns(self) -> list[str]:
+        """Detection attributes the tests read."""
+        timed = self.date is not None or any(getattr(self, f) is not None for f in PERIOD_FIELDS)
+        given = {"confidence": self.confidence, "satelit": self.satelite, "tanggal": timed or None}
+        return [name for name, value in given.items() if value is not None]
+
     def fact_tests(self) -> list[Column]:
         tests = []
         if self.confidence is not None:

@@ -8,7 +8,7 @@ detections were counted per place, so each place is joined once and a hot place
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from thermalcube.functions.detection import app_confidence
 from thermalcube.functions.time import time_attributes
 from thermalcube.plans.query import CubeQuery, conjunction
-from thermalcube.schemas import PLACE_LEVELS
+from thermalcube.schemas import DAY, PLACE_LEVELS
 from thermalcube.session import fits_broadcast
 
 PLACE_KEY = "place_key"
@@ -24,26 +24,40 @@ PLACE_KEY = "place_key"
 
 @dataclass(frozen=True)
 class Star:
-    """``facts`` has one row per detection with ``place_key``; ``places`` one row per key."""
+    """``facts`` has one row per detection with ``place_key``; ``places`` one row per key.
+
+    ``lookups`` are further dimensions: the fact column that is their key, and a table of that key
+    and its attributes, one row per key. A lookup is joined only where an attribute is used.
+    """
 
     facts: DataFrame
     places: DataFrame
     small_places: bool = False
+    lookups: tuple[tuple[str, DataFrame], ...] = ()
 
     def joined_places(self) -> DataFrame:
         """Places, marked for broadcast only where their checked size allows it."""
         return F.broadcast(self.places) if self.small_places else self.places
 
-    def flat(self, *columns: str) -> DataFrame:
-        """Flat feature rows; places are joined only if a place column is asked for."""
-        wanted = list(columns) or [
-            c for c in (*self.facts.columns, *self.places.columns) if c != PLACE_KEY
-        ]
-        needs_places = any(c in self.places.columns and c not in self.facts.columns for c in wanted)
+    def detections(self, used: Iterable[str]) -> DataFrame:
+        """Fact rows with the attributes that are used.
+
+        Left joins on unique keys keep every detection and add none, so leaving one out changes
+        no result.
+        """
+        used = set(used)
         rows = self.facts
-        if needs_places:
+        for key, table in self.lookups:
+            if used & (set(table.columns) - {key}):
+                rows = rows.join(table, key, "left")
+        return rows
+
+    def flat(self, *columns: str) -> DataFrame:
+        """Flat feature rows of the asked columns."""
+        rows = self.detections(columns)
+        if any(c in self.places.columns and c not in rows.columns for c in columns):
             rows = rows.join(self.joined_places(), PLACE_KEY, "left")
-        return rows.select(*wanted)
+        return rows.select(*columns)
 
     def totals(
         self,
@@ -51,11 +65,16 @@ class Star:
         measures: Mapping[str, Column] | None = None,
         query: CubeQuery = CubeQuery(),
         fact_keys: Sequence[str] = (),
+        used: Sequence[str] = (),
         keep_unplaced: bool = False,
     ) -> DataFrame:
-        """Sums of additive ``measures`` by place columns and ``fact_keys`` under a query."""
+        """Sums of additive ``measures`` by place columns and ``fact_keys`` under a query.
+
+        ``used`` names fact attributes that the measures read besides the stored ones.
+        """
         sums = dict(measures or {"total": F.col("hotspot_count")})
-        facts = self.facts.filter(conjunction(query.fact_tests()))
+        facts = self.detections({*query.fact_columns(), *fact_keys, *used})
+        facts = facts.filter(conjunction(query.fact_tests()))
         places = self.joined_places().filter(conjunction(query.place_tests()))
         if not self.small_places:
             facts = facts.groupBy(PLACE_KEY, *fact_keys).agg(
@@ -65,57 +84,63 @@ class Star:
         joined = facts.join(places, PLACE_KEY, "left" if keep_unplaced else "inner")
         return joined.groupBy(*by).agg(*[F.sum(v).alias(name) for name, v in sums.items()])
 
+    def days(self, query: CubeQuery = CubeQuery()) -> DataFrame:
+        """Distinct dates with detections under a query."""
+        facts = self.detections(query.fact_columns()).filter(conjunction(query.fact_tests()))
+        if query.place_tests():
+            places = self.joined_places().filter(conjunction(query.place_tests()))
+            if not self.small_places:
+                facts = facts.select(PLACE_KEY, "tanggal").distinct()
+            facts = facts.join(places.select(PLACE_KEY), PLACE_KEY, "left_semi")
+        return facts.select("tanggal").distinct()
+
 
 def warehouse_star(tables: dict[str, DataFrame], islands: DataFrame) -> Star:
     """The star over the stored tables; an island table names each province's island."""
     location = tables["dim_location"].select(
         "id", "province_name", "city_name", "district_name", "subdistrict_name"
     )
-    places = (
-        location.join(islands.select("province_name", "pulau"), "province_name", "left")
-        .select(
-            F.col("id").alias(PLACE_KEY),
-            F.col("pulau"),
-            F.col("province_name").alias("provinsi"),
-            F.col("city_name").alias("kota"),
-            F.col("district_name").alias("kecamatan"),
-            F.col("subdistrict_name").alias("desa"),
-        )
+    places = location.join(islands.select("province_name", "pulau"), "province_name", "left").select(
+        F.col("id").alias(PLACE_KEY),
+        F.col("pulau"),
+        F.col("province_name").alias("provinsi"),
+        F.col("city_name").alias("kota"),
+        F.col("district_name").alias("kecamatan"),
+        F.col("subdistrict_name").alias("desa"),
     )
-    return Star(_detections(tables), places, fits_broadcast(location))
-
-
-def _detections(tables: dict[str, DataFrame]) -> DataFrame:
-    """Fact rows with the attributes of the three small dimensions.
-
-    Left joins on unique ids: no detection is lost, and a dimension whose columns nobody asks
-    for costs only its own small read.
-    """
-    period = tables["dim_period"].select(F.col("id").alias("period_id"), "date_value", "week_value")
-    satellite = tables["dim_satellite"].select(
-        F.col("id").alias("satellite_id"), F.col("satellite_name")
-    )
-    confidence = tables["dim_confidence"].select(
-        F.col("id").alias("confidence_id"), "confidence_class"
-    )
-    rows = (
-        tables["fact_hotspot"]
-        .join(period, "period_id", "left")
-        .join(satellite, "satellite_id", "left")
-        .join(confidence, "confidence_id", "left")
-    )
-    return rows.select(
+    # The day column is the partition of the stored facts, so date filters prune folders.
+    facts = tables["fact_hotspot"].select(
         "id",
+        "period_id",
+        "satellite_id",
+        "confidence_id",
         F.col("location_id").alias(PLACE_KEY),
-        F.col("date_value").alias("tanggal"),
+        F.col(DAY).alias("tanggal"),
         F.col("acquired_at").alias("hotspot_time"),
-        F.col("satellite_name").alias("satelit"),
-        app_confidence(F.col("confidence_class")).alias("confidence"),
-        F.col("week_value"),
         F.lit(1).cast("bigint").alias("hotspot_count"),
         F.col("latitude").try_cast("double").alias("lat"),
         F.col("longitude").try_cast("double").alias("lon"),
     )
+    lookups = (
+        (
+            "period_id",
+            tables["dim_period"].select(F.col("id").alias("period_id"), "week_value", "month_name"),
+        ),
+        (
+            "satellite_id",
+            tables["dim_satellite"].select(
+                F.col("id").alias("satellite_id"), F.col("satellite_name").alias("satelit")
+            ),
+        ),
+        (
+            "confidence_id",
+            tables["dim_confidence"].select(
+                F.col("id").alias("confidence_id"),
+                app_confidence(F.col("confidence_class")).alias("confidence"),
+            ),
+        ),
+    )
+    return Star(facts, places, fits_broadcast(location), lookups)
 
 
 def star_join(tables: dict[str, DataFrame], islands: DataFrame) -> DataFrame:

@@ -101,20 +101,18 @@ DIM_LOCATION_COLUMNS = (
     "id", "latitude", "longitude", "province_code", "province_name", "city_code", "city_name",
     "district_code", "district_name", "subdistrict_code", "subdistrict_name",
 )
+# Day of a fact row, the folder partition of the stored fact tables.
+DAY = "date_value"
 FACT_MEASURES = ("frp", "brightness", "bright_t31", "bright_ti4", "bright_ti5", "scan", "track")
 FACT_HOTSPOT_COLUMNS = (
     "id", "satellite_id", "confidence_id", "period_id", "location_id", "acquired_at",
     "frp", "brightness", "bright_t31", "bright_ti4", "bright_ti5", "latitude", "longitude",
-    "scan", "track",
-)
-FACT_WEATHER_MEASURES = (
-    "temperature", "humidity", "wind_speed", "wind_degree", "visibility", "cloud_coverage",
-    "pressure", "uv_index", "precipitation", "solar_radiation",
+    "scan", "track", DAY,
 )
 FACT_WEATHER_COLUMNS = (
     "id", "period_id", "location_id", "weather_condition_id", "acquired_at", "temperature",
     "humidity", "wind_speed", "wind_degree", "visibility", "cloud_coverage", "latitude",
-    "longitude", "pressure", "uv_index", "precipitation", "solar_radiation",
+    "longitude", "pressure", "uv_index", "precipitation", "solar_radiation", DAY,
 )
 WAREHOUSE_TABLES = (
     "staging_hotspot", "staging_weather",

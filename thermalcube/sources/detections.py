@@ -6,6 +6,7 @@ import csv
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from thermalcube.session import scratch_path
 from thermalcube.schemas import BATCH_COLUMNS, DETECTION_COLUMNS, REQUIRED_DETECTION_COLUMNS
 
 # Texts that mark a landed file as an error answer instead of data.
@@ -26,7 +27,7 @@ def read_detections(spark: SparkSession, path: str) -> DataFrame:
     first_column = REQUIRED_DETECTION_COLUMNS[0]
     is_header = _looks_like_header(F.col("value"), first_column)
     has_error = F.col("value").contains(ERROR_MARKS[0]) | F.col("value").contains(ERROR_MARKS[1])
-    files = (
+    found = (
         lines.groupBy("source_file")
         .agg(
             F.max(F.when(is_header, F.col("value"))).alias("header"),
@@ -35,6 +36,11 @@ def read_detections(spark: SparkSession, path: str) -> DataFrame:
         .filter((F.col("errors") == 0) & F.col("header").isNotNull())
         .select("source_file", "header")
     )
+    # Stored, so the join below knows its true size: small lists are broadcast, and the lines are
+    # shuffled only if the list of files itself is large.
+    listing = scratch_path(spark, "landed-files")
+    found.write.parquet(listing)
+    files = spark.read.schema("source_file string, header string").parquet(listing)
     # A feed has a handful of layouts, so this is the size of a schema inference.
     headers = [r["header"] for r in files.select("header").distinct().collect()]
     layouts = {h: _columns(h) for h in headers}

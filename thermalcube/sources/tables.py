@@ -59,7 +59,8 @@ def write_partitioned(
 
 def replace_days_frame(facts: DataFrame, batch: DataFrame, date_column: str) -> DataFrame:
     """The fact table after a batch: days in the batch are replaced, other days stay."""
-    days = batch.select(date_column).distinct()
+    # Distinct calendar days: a few thousand rows for a decade.
+    days = F.broadcast(batch.select(date_column).distinct())
     return facts.join(days, date_column, "left_anti").unionByName(batch)
 
 
