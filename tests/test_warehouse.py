@@ -10,7 +10,7 @@ from thermalcube.operators import dedup, filters, lookups, shaping
 from thermalcube.plans import dims, facts, quality, staging
 from thermalcube.schemas import DETECTION_KEYS
 from thermalcube.sources import detections as feeds, tables
-from thermalcube.streaming.ingest import incremental_ingest, staged_rows
+from thermalcube.streaming.ingest import incremental_ingest, ingest_into_warehouse, staged_rows
 
 DDL = (
     "batch_id string, ingested_at timestamp, latitude string, longitude string, acq_date date, "
@@ -175,17 +175,18 @@ def test_stored_days_are_replaced_once(spark, tmp_path):
     assert kept.count() == 4
 
 
-def test_compaction_rewrites_touched_months_only(spark, tmp_path):
+def test_compaction_rewrites_touched_days_only(spark, tmp_path):
     path = tmp_path / "staging"
     tables.append_and_compact(
-        spark, frame(spark, detection(), detection(date="2024-02-05")), str(path), "acq_date", DETECTION_KEYS
+        spark, frame(spark, detection(), detection(date="2024-01-06")), str(path), "acq_date", DETECTION_KEYS
     )
-    untouched = {f.name for f in (path / "ym=202402").iterdir()}
+    other = path / "ym=202401" / "staged_day=2024-01-06"
+    untouched = {f.name for f in other.iterdir()}
     again = frame(spark, detection(minute=9, frp=7.0), detection(minute=1, time="1100"))
     count = tables.append_and_compact(spark, again, str(path), "acq_date", DETECTION_KEYS)
     assert count.first()[0] == 3
-    assert {f.name for f in (path / "ym=202402").iterdir()} == untouched
-    stored = spark.read.parquet(str(path)).filter("acq_time = '930' AND ym = 202401").collect()
+    assert {f.name for f in other.iterdir()} == untouched
+    stored = spark.read.parquet(str(path)).filter("staged_day = '2024-01-05' AND acq_time = '930'").collect()
     assert [r.frp for r in stored] == [7.0]
 
 
@@ -267,6 +268,26 @@ def test_stream_takes_new_files_and_resolves_late_rows(spark, tmp_path):
     assert seen == [(0, 2), (1, 3)]
 
 
+def test_stream_in_parts_keeps_whole_days(spark, tmp_path):
+    """A later part of a day must not push out the facts of an earlier part."""
+    landed, root, state = (str(tmp_path / n) for n in ("landed", "warehouse", "state"))
+
+    def run():
+        ingest_into_warehouse(
+            spark.readStream.schema(DDL).parquet(landed), root, state,
+            places(spark, ("1.0", "100.0")), lambda batch, number: batch,
+        )
+        facts_now = spark.read.parquet(f"{root}/fact_hotspot")
+        assert facts_now.select("id").distinct().count() == facts_now.count()
+        return facts_now.count()
+
+    frame(spark, detection(), detection(date="2024-01-06"), detection(lat="7.7")).write.parquet(landed)
+    assert run() == 2
+    frame(spark, detection(time="1000"), detection(minute=3)).write.mode("append").parquet(landed)
+    assert run() == 3
+    assert run() == 3
+
+
 def test_batch_status_and_scorecard(spark):
     one, none = frame(spark, detection()), frame(spark, detection()).limit(0)
     status = quality.batch_status({"staging_hotspot": one, "staging_weather": none}, "b1").first()

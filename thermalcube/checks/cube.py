@@ -9,7 +9,7 @@ from thermalcube.checks.views import feature_star, features, place_list
 from thermalcube.operators import filters, lookups, ranking
 from thermalcube.operators.dedup import distinct_satellites
 from thermalcube.operators.shaping import nested_path, union_vertical
-from thermalcube.plans import cube, dashboard, quality, table_view
+from thermalcube.plans import cube, dashboard, quality, questions, table_view
 from thermalcube.plans.query import dice as dice_rows, filter_period as period_rows, predicate_from_params as predicate
 from thermalcube.schemas import TIME_LEVELS
 from thermalcube.sources.geojson import nest_features
@@ -505,3 +505,50 @@ FROM feat WHERE satelit = 'Aqua' AND confidence = 'high'"""
 def export_label(spark, sf):
     rows = filters.in_values(features(spark, sf, "tanggal", "satelit", "confidence"), ["high"], ["Aqua"])
     return table_view.export_label(rows, "2024-01-31")
+
+
+# ---------------------------------------------------------------- the app's requests
+
+
+@query(
+    """SELECT provinsi AS label, cast(sum(hotspot_count) AS bigint) AS total FROM feat
+WHERE pulau = 'AMERICA' AND confidence = 'high' AND tanggal BETWEEN date '1998-01-01' AND date '1998-06-30' GROUP BY 1"""
+)
+def ask_location(spark, sf):
+    params = {"dimension": "location", "tipe": "provinsi", "pulau": "AMERICA", "confidence": "high",
+              "tahun": "1998", "semester": "1"}
+    return questions.ask(feature_star(spark, sf), "location", params)
+
+
+@query(
+    """SELECT confidence AS label, cast(sum(hotspot_count) AS bigint) AS total FROM feat
+WHERE kota = 'NATION_5 BUILDING' GROUP BY 1"""
+)
+def ask_confidence(spark, sf):
+    return questions.ask(feature_star(spark, sf), "confidence", {"kota": "NATION_5 BUILDING"})
+
+
+@query(
+    """SELECT satelit AS label, cast(sum(hotspot_count) AS bigint) AS total FROM feat
+WHERE lower(confidence) = 'low' AND quarter(tanggal) = 1 GROUP BY 1"""
+)
+def ask_satellite(spark, sf):
+    return questions.ask(feature_star(spark, sf), "satelite", {"confidence": "LOW", "kuartal": "Q1"})
+
+
+@query(
+    """SELECT DISTINCT concat('Q', cast(quarter(tanggal) AS varchar)) AS value, cast(quarter(tanggal) AS integer) AS ordinal
+FROM feat WHERE provinsi = 'NATION_5' AND year(tanggal) = 1999 AND month(tanggal) > 6"""
+)
+def ask_time(spark, sf):
+    params = {"dimension": "time", "provinsi": "NATION_5", "tahun": "1999", "semester": "2"}
+    return questions.ask(feature_star(spark, sf), "time", params)
+
+
+@query(
+    """SELECT id, tanggal, hotspot_time, satelit, confidence, pulau, provinsi, kota, kecamatan, desa, hotspot_count, lat, lon
+FROM feat WHERE pulau = 'ASIA' AND tanggal = date '1997-03-03'"""
+)
+def ask_detections(spark, sf):
+    params = {"selectedDate": "1997-03-03", "pulau": "ASIA", "lat": -2.5, "lng": 118}
+    return questions.detections(feature_star(spark, sf), params)

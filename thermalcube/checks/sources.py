@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from thermalcube.checks.registry import query
-from thermalcube.checks.staging import by_source, weather
+from thermalcube.checks.staging import accepted, by_source, weather
 from thermalcube.checks.views import (
     TABLE_SCHEMAS,
     as_detections,
@@ -25,7 +25,7 @@ from thermalcube.schemas import BOUNDARY_NAME_FIELDS, PLACE_LEVELS
 from thermalcube.session import scratch_path
 from thermalcube.sources import detections as feeds, geojson, tables
 from thermalcube.sources.responses import accepted_locations, flatten_locations
-from thermalcube.streaming.ingest import incremental_ingest, staged_rows
+from thermalcube.streaming.ingest import incremental_ingest, ingest_into_warehouse, staged_rows
 
 # ---------------------------------------------------------------- detection files
 
@@ -265,3 +265,20 @@ def incremental_staging(spark, sf):
         incremental_ingest(_event_stream(spark, sf), path, checkpoint, as_detections)
     rows = staged_rows(spark, path, tie_break=[F.col("event_id")])
     return rows.select("event_id", "ingested_at", "confidence")
+
+
+@query(
+    """SELECT id, acq_date AS date_value, satellite_id, mapping_id AS location_id FROM hotspots
+JOIN (SELECT latitude, longitude, min(id) AS mapping_id FROM acc GROUP BY 1, 2) USING (latitude, longitude)"""
+)
+def incremental_facts(spark, sf):
+    """The event file streamed into staging, dimensions and facts, twice."""
+    root, state = scratch_path(spark, "stream-warehouse"), scratch_path(spark, "stream-state")
+    for _ in range(2):
+        ingest_into_warehouse(
+            _event_stream(spark, sf), root, state, accepted(spark, sf),
+            lambda batch, number: as_detections(batch).withColumn("batch_id", F.lit(f"S{number}")),
+        )
+    return spark.read.parquet(f"{root}/fact_hotspot").select(
+        "id", "date_value", "satellite_id", "location_id"
+    )

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from thermalcube.checks.registry import query
-from thermalcube.checks.staging import accepted, weather
+from thermalcube.checks.staging import accepted, by_source, weather
 from thermalcube.checks.views import detections, locations, place_responses
 from thermalcube.operators import dedup, lookups, shaping
 from thermalcube.operators.filters import valid_location
-from thermalcube.plans import dims, facts, quality
+from thermalcube.plans import daily, dims, facts, quality
 from thermalcube.plans.star import star_join as join_star
 from thermalcube.schemas import DETECTION_KEYS, WEATHER_KEYS, WAREHOUSE_TABLES
 from thermalcube.session import scratch_path
@@ -375,7 +375,7 @@ def insert_new_dims(spark, sf):
     return shaping.union_vertical(*stored)
 
 
-@query("SELECT event_id, confidence, strftime(acq_date, '%Y%m') AS ym FROM staged")
+@query("SELECT event_id, confidence, strftime(acq_date, '%Y%m') AS ym, acq_date AS staged_day FROM staged")
 def append_and_compact(spark, sf):
     """Three loads; a key that comes again keeps its newest row."""
     path, rows = scratch_path(spark, "staging"), detections(spark, sf)
@@ -383,4 +383,66 @@ def append_and_compact(spark, sf):
         tables.append_and_compact(
             spark, rows.filter(part), path, "acq_date", DETECTION_KEYS, ["event_id"]
         )
-    return spark.read.parquet(path).select("event_id", "confidence", F.col("ym").cast("string"))
+    stored = spark.read.parquet(path)
+    return stored.select("event_id", "confidence", F.col("ym").cast("string"), "staged_day")
+
+
+@query(
+    """WITH firsts AS (SELECT * FROM det WHERE acq_date IN (date '2024-01-12', date '2024-01-13')
+  QUALIFY row_number() OVER (PARTITION BY latitude, longitude, acq_date, acq_time, satellite, instrument
+    ORDER BY event_id) = 1)
+SELECT sha256(concat(latitude, ':', longitude, ':', cast(acq_date AS varchar), ':', acq_time, ':',
+    satellite, ':', instrument, ':', version)) AS id, acq_date AS date_value,
+  sha256(concat(latitude, chr(31), longitude)) AS location_id, satellite AS satellite_name,
+  confidence AS confidence_raw, monthname(acq_date) AS month_name
+FROM firsts SEMI JOIN acc USING (latitude, longitude)"""
+)
+def load_day(spark, sf):
+    """Two days loaded one after the other; facts with their dimensions."""
+    root = scratch_path(spark, "warehouse")
+    _load_days(spark, sf, root, "2024-01-12", "2024-01-13")
+    stored = tables.stored_tables(spark, root, *WAREHOUSE_TABLES)
+    period = stored["dim_period"].selectExpr("id AS period_id", "month_name")
+    satellite = stored["dim_satellite"].selectExpr("id AS satellite_id", "satellite_name")
+    confidence = stored["dim_confidence"].selectExpr("id AS confidence_id", "confidence_raw")
+    return (
+        stored["fact_hotspot"]
+        .join(period, "period_id")
+        .join(satellite, "satellite_id")
+        .join(confidence, "confidence_id")
+        .select("id", "date_value", "location_id", "satellite_name", "confidence_raw", "month_name")
+    )
+
+
+def _load_days(spark, sf, root, *days):
+    measured = weather(spark, sf)
+    for number, day in enumerate(days):
+        daily.load_day(
+            spark, root, by_source(spark, sf), place_responses(spark, sf), day, f"LOAD-{number}",
+            f"2024-02-01 00:0{number}:00", ["event_order"],
+            measured.filter(F.col("acq_date") == F.lit(day).cast("date")), ["event_id"],
+        )
+
+
+@query(
+    """WITH h AS (SELECT * FROM det SEMI JOIN acc USING (latitude, longitude)
+  WHERE acq_date = date '2024-01-13' QUALIFY row_number() OVER (
+    PARTITION BY latitude, longitude, acq_date, acq_time, satellite, instrument ORDER BY event_id) = 1),
+w AS (SELECT * FROM wflat SEMI JOIN acc USING (latitude, longitude)
+  WHERE acq_date = date '2024-01-13' QUALIFY row_number() OVER (
+    PARTITION BY latitude, longitude, datetime ORDER BY event_id) = 1)
+SELECT 'staging_hotspot' AS table_name, count(*) AS row_count FROM h
+UNION ALL SELECT 'staging_weather', count(*) FROM w
+UNION ALL SELECT 'dim_period', count(DISTINCT acq_date) FROM (SELECT acq_date FROM h UNION ALL SELECT acq_date FROM w)
+UNION ALL SELECT 'dim_location', count(DISTINCT (latitude, longitude)) FROM acc
+UNION ALL SELECT 'dim_satellite', count(DISTINCT (satellite, instrument)) FROM h
+UNION ALL SELECT 'dim_confidence', count(DISTINCT (confidence, instrument)) FROM h
+UNION ALL SELECT 'dim_weather_condition', count(DISTINCT conditions) FROM w
+UNION ALL SELECT 'fact_hotspot', count(*) FROM h
+UNION ALL SELECT 'fact_weather', count(*) FROM w"""
+)
+def load_day_table_counts(spark, sf):
+    """Row counts of all nine stored tables after loading a day twice."""
+    root = scratch_path(spark, "warehouse")
+    _load_days(spark, sf, root, "2024-01-13", "2024-01-13")
+    return quality.table_counts(tables.stored_tables(spark, root, *WAREHOUSE_TABLES))

@@ -11,6 +11,7 @@ from thermalcube.operators.lookups import new_rows, new_rows_by_id
 from thermalcube.sources.detections import NULL_TOKEN
 
 MONTH = "ym"
+STAGED_DAY = "staged_day"
 WRITTEN_TIMESTAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 # Dimensions in loading order, with the key that decides what is new.
 DIMENSION_ORDER = (
@@ -75,7 +76,7 @@ def replace_days(batch: DataFrame, path: str, date_column: str, order: Sequence[
     ).parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
@@ -88,12 +89,15 @@ def insert_new_dims(spark: SparkSession, dims: dict[str, DataFrame], root: str)
             continue
         path = f"{root}/{name}"
         rows = dims[name]
-        if _exists(spark, path):
+        if exists(spark, path):
             stored = spark.read.parquet(path)
             if keys == ("id",):
                 rows = new_rows_by_id(rows, stored)
             else:
                 rows = new_rows(rows, stored, keys)
+            if rows.isEmpty():
+                # Most loads bring nothing new; appending would add an empty file each time.
+                continue
         append_table(rows, path, dims[name].columns)
 
 
@@ -107,17 +111,26 @@ def append_and_compact(
 ) -> DataFrame:
     """Add a staging batch and keep the newest row per key; returns the stored row count.
 
-    Only the months the batch touches are read and rewritten.
+    Staging is partitioned by month and day. A key holds its date, so rows of other days cannot
+    collide: only the days the batch touches are read and rewritten.
     """
-    rows = batch.withColumn(MONTH, F.date_format(date_column, "yyyyMM"))
-    if _exists(spark, path):
-        # Month values come back as text; the list is at most one entry per month of the batch.
-        months = [r[MONTH] for r in rows.select(MONTH).distinct().collect()]
-        ddl = rows.schema
-        stored = spark.read.schema(ddl).parquet(path).filter(F.col(MONTH).isin(months))
-        rows = stored.unionByName(rows, allowMissingColumns=True)
+    day = F.col(date_column).cast("date")
+    rows = batch.withColumns({MONTH: F.date_format(day, "yyyyMM"), STAGED_DAY: day})
+    if exists(spark, path):
+        # Calendar days of one batch, usually one or two.
+        days = [r[STAGED_DAY] for r in rows.select(STAGED_DAY).distinct().collect()]
+        months = sorted({d.strftime("%Y%m") for d in days if d is not None})
+        stored = spark.read.schema(rows.schema).parquet(path)
+        touched = stored.filter(F.col(MONTH).isin(months) & F.col(STAGED_DAY).isin(days))
+        rows = touched.unionByName(rows)
     newest = latest_by_key(rows, keys, [F.col(c) for c in tie_break])
-    _spread(newest, [MONTH], keys).write.mode("overwrite").option(
+    partition = [MONTH, STAGED_DAY]
+    _spread(newest, partition, keys).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
-    ).partitionBy(MONTH).parquet(path)
-    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("row_count"))
+    ).partitionBy(*partition).parquet(path)
+    return spark.read.schema(rows.schema).parquet(path).agg(F.count(F.lit(1)).alias("row_count"))
+
+
+def stored_tables(spark: SparkSession, root: str, *names: str) -> dict[str, DataFrame]:
+    """The named tables that exist under a warehouse folder."""
+    return {n: spark.read.parquet(f"{root}/{n}") for n in names if exists(spark, f"{root}/{n}")}

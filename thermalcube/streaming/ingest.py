@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from thermalcube.operators.dedup import latest_by_key
+from thermalcube.plans.daily import load_staging, refresh_days
 from thermalcube.schemas import DETECTION_KEYS
 
 INGEST = "ingest"
@@ -53,3 +54,34 @@ def staged_rows(
 ) -> DataFrame:
     """Stored rows, newest per key."""
     return latest_by_key(spark.read.parquet(path).drop(INGEST), keys, tie_break)
+
+
+def ingest_into_warehouse(
+    stream: DataFrame,
+    root: str,
+    checkpoint: str,
+    places: DataFrame,
+    shape: Callable[[DataFrame, int], DataFrame],
+):
+    """Load everything new since the last run into staging, dimensions and facts, then stop.
+
+    ``shape`` turns a micro-batch into staged detections. Staging keeps the newest row per key and
+    facts are rebuilt for the touched days, so a replayed micro-batch changes nothing.
+    """
+
+    def load(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = shape(batch, number)
+        if rows.isEmpty():
+            return
+        load_staging(spark, root, {"staging_hotspot": rows})
+        refresh_days(spark, root, rows.select("acq_date"), places)
+
+    query = (
+        stream.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(load)
+        .start()
+    )
+    query.awaitTermination()
+    return query
