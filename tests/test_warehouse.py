@@ -190,6 +190,15 @@ def test_compaction_rewrites_touched_days_only(spark, tmp_path):
     assert [r.frp for r in stored] == [7.0]
 
 
+def test_undated_rows_stay_in_staging(spark, tmp_path):
+    path = str(tmp_path / "staging")
+    for minute, time in ((0, "1"), (1, "2"), (2, "2")):
+        undated = frame(spark, detection(minute=minute, time=time)).withColumn("acq_date", F.lit(None).cast("date"))
+        both = undated.unionByName(frame(spark, detection(minute=minute)))
+        count = tables.append_and_compact(spark, both, path, "acq_date", DETECTION_KEYS)
+    assert count.first()[0] == 3
+
+
 def test_a_hot_month_is_written_by_several_tasks(spark, tmp_path):
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64KB")
     try:

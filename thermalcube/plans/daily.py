@@ -6,13 +6,16 @@ can be repeated after a failure and repeating a finished run changes nothing.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from thermalcube.operators.shaping import union_vertical
 from thermalcube.plans import dims, facts, staging
 from thermalcube.plans.quality import quality_scorecard
-from thermalcube.schemas import DAY, DETECTION_KEYS, WAREHOUSE_TABLES, WEATHER_KEYS
+from thermalcube.schemas import COORDINATE, DAY, DETECTION_KEYS, WAREHOUSE_TABLES, WEATHER_KEYS
+from thermalcube.session import scratch_path
 from thermalcube.sources.responses import parse_locations
 from thermalcube.sources.tables import (
     MONTH,
@@ -50,6 +53,27 @@ def load_staging(spark: SparkSession, root: str, staged: Mapping[str, DataFrame]
         append_and_compact(spark, rows, f"{root}/{name}", date, keys, rest)
 
 
+def _staged_days(staged: DataFrame | None, days: list[dt.date]) -> DataFrame | None:
+    """Staged rows of the days; literals prune the month and day folders."""
+    if staged is None:
+        return None
+    known = [d for d in days if d is not None]
+    months = sorted({int(d.strftime("%Y%m")) for d in known})
+    return staged.filter(F.col(MONTH).cast("int").isin(months) & F.col(STAGED_DAY).isin(known))
+
+
+def _places_of(spark: SparkSession, places: DataFrame, *staged: DataFrame) -> DataFrame:
+    """Stored places of the staged coordinates only.
+
+    The coordinates of the batch are stored first, so their true size decides: a daily batch is
+    broadcast and the place table, which grows with the record, is filtered without a shuffle.
+    """
+    path = scratch_path(spark, "batch-coordinates")
+    union_vertical(*[df.select(*COORDINATE) for df in staged]).distinct().write.parquet(path)
+    asked = spark.read.schema("latitude string, longitude string").parquet(path)
+    return places.join(asked, list(COORDINATE), "left_semi")
+
+
 def load_tables(spark: SparkSession, root: str, built: Mapping[str, DataFrame]) -> None:
     """Dimensions first, then facts in place of the days they cover."""
     insert_new_dims(spark, {n: df for n, df in built.items() if n.startswith("dim_")}, root)
@@ -80,9 +104,9 @@ def load_day(
     )
     load_staging(spark, root, staged)
     stored = stored_tables(spark, root, *WAREHOUSE_TABLES)
-    built = facts.transform_batch(
-        stored["staging_hotspot"], stored.get("staging_weather"), places, batch_id, stored
-    )
+    hot, wet = (_staged_days(stored.get(name), [dt.date.fromisoformat(date)]) for name in STAGING)
+    near = _places_of(spark, places, *[df for df in (hot, wet) if df is not None])
+    built = facts.transform_batch(hot, wet, near, batch_id, stored)
     load_tables(spark, root, built)
     return quality_scorecard(stored_tables(spark, root, *WAREHOUSE_TABLES))
 
@@ -95,24 +119,17 @@ def refresh_days(spark: SparkSession, root: str, days: DataFrame, places: DataFr
     stored = stored_tables(spark, root, *WAREHOUSE_TABLES)
     # Calendar days of one batch, usually one or two; as literals they prune folders.
     touched = [r[0] for r in days.select(F.col(days.columns[0]).cast("date")).distinct().collect()]
-    months = sorted({d.strftime("%Y%m") for d in touched if d is not None})
-
-    def part(name: str) -> DataFrame | None:
-        if name not in stored:
-            return None
-        rows = stored[name].filter(F.col(MONTH).cast("string").isin(months))
-        return rows.filter(F.col(STAGED_DAY).isin(touched))
-
-    hot, wet = part("staging_hotspot"), part("staging_weather")
+    hot, wet = (_staged_days(stored.get(name), touched) for name in STAGING)
+    near = _places_of(spark, places, *[df for df in (hot, wet) if df is not None])
     built = {
         "dim_period": dims.dim_period(hot.select("acq_date"), existing=stored.get("dim_period")),
         "dim_satellite": dims.dim_satellite(hot),
         "dim_confidence": dims.dim_confidence(hot, stored.get("dim_confidence")),
-        "fact_hotspot": facts.fact_hotspot(hot, places, stored)[0],
+        "fact_hotspot": facts.fact_hotspot(hot, near, stored)[0],
     }
     if wet is not None:
         built["dim_weather_condition"] = dims.dim_weather_condition(
             wet, stored.get("dim_weather_condition")
         )
-        built["fact_weather"] = facts.fact_weather(wet, places, stored)[0]
+        built["fact_weather"] = facts.fact_weather(wet, near, stored)[0]
     load_tables(spark, root, built)

@@ -74,6 +74,10 @@ def dim_location(
     """
     accepted = valid_location(places)
     if existing is not None:
-        accepted = new_rows(accepted, existing, COORDINATE)
+        # Stored places grow with the record, an answer file does not: stored rows are first cut
+        # down to the answered coordinates, a side small enough to be broadcast.
+        asked = accepted.select(*COORDINATE)
+        known = existing.select(*COORDINATE).join(asked, list(COORDINATE), "left_semi")
+        accepted = new_rows(accepted, known, COORDINATE)
     once = first_per_key(accepted, COORDINATE, [F.col(tie_break)])
     return apply_defaults(assign_key(once, None, COORDINATE).select(*DIM_LOCATION_COLUMNS))

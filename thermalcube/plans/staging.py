@@ -38,8 +38,12 @@ def combine_sources(sources: Mapping[str, DataFrame]) -> DataFrame:
 def detections_of_day(
     sources: Mapping[str, DataFrame], date: str, tie_break: list[str]
 ) -> DataFrame:
-    """One day's detections of all sources, repeated ones kept once."""
-    rows = for_date(combine_sources(sources), date)
+    """One day's detections of all sources, repeated ones kept once.
+
+    Each source is filtered on its own column type, before everything becomes text, so the filter
+    reaches the source's scan.
+    """
+    rows = combine_sources({name: for_date(df, date) for name, df in sources.items()})
     order = [F.col(_RANK), *[F.col(c) for c in tie_break]]
     return dedup_detections(rows, order).drop(_RANK)
 

@@ -119,9 +119,14 @@ def append_and_compact(
     if exists(spark, path):
         # Calendar days of one batch, usually one or two.
         days = [r[STAGED_DAY] for r in rows.select(STAGED_DAY).distinct().collect()]
-        months = sorted({d.strftime("%Y%m") for d in days if d is not None})
+        known = [d for d in days if d is not None]
+        months = sorted({d.strftime("%Y%m") for d in known})
         stored = spark.read.schema(rows.schema).parquet(path)
-        touched = stored.filter(F.col(MONTH).isin(months) & F.col(STAGED_DAY).isin(days))
+        chosen = F.col(MONTH).isin(months) & F.col(STAGED_DAY).isin(known)
+        if len(known) < len(days):
+            # Undated rows share one folder.
+            chosen = chosen | F.col(STAGED_DAY).isNull()
+        touched = stored.filter(chosen)
         rows = touched.unionByName(rows)
     newest = latest_by_key(rows, keys, [F.col(c) for c in tie_break])
     partition = [MONTH, STAGED_DAY]
