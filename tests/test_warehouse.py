@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import Row, functions as F
 
 from thermalcube.operators import dedup, filters, lookups, shaping
-from thermalcube.plans import dims, facts, quality, staging
-from thermalcube.schemas import DETECTION_KEYS
+from thermalcube.plans import daily, dims, facts, quality, questions, staging
+from thermalcube.plans.star import warehouse_star
+from thermalcube.schemas import DETECTION_KEYS, WAREHOUSE_TABLES
 from thermalcube.sources import detections as feeds, tables
 from thermalcube.streaming.ingest import incremental_ingest, ingest_into_warehouse, staged_rows
 
@@ -297,6 +298,45 @@ def test_stream_in_parts_keeps_whole_days(spark, tmp_path):
     assert run() == 3
 
 
+def test_loaded_warehouse_answers_questions(spark, tmp_path):
+    root = str(tmp_path)
+    answers = spark.createDataFrame(
+        [("1.0", "100.0", '{"adm4": "1", "provinsi": "Riau", "kotkab": "Siak", "kecamatan": "Tualang", "desa": "Perawang"}'),
+         ("2.0", "100.0", '{"adm4": "2", "provinsi": "Riau", "kecamatan": null, "desa": "Laut"}'),
+         ("3.0", "101.0", '{"adm4": "3", "provinsi": "Aceh", "kotkab": "Pidie", "kecamatan": "Sigli", "desa": "Blok"}')],
+        "latitude string, longitude string, response string",
+    )
+    feed = frame(
+        spark, detection(), detection(time="1000", confidence="10"), detection(lat="2.0"),
+        detection(lat="3.0", lon="101.0", date="2024-01-06", satellite="N", instrument="VIIRS", confidence="h"),
+    ).drop("batch_id", "ingested_at")
+    for number, day in enumerate(("2024-01-05", "2024-01-06", "2024-01-05")):
+        verdict = daily.load_day(
+            spark, root, {"MODIS_NRT": feed}, answers, day, f"b{number}", f"2024-02-01 00:0{number}:00", ["frp"]
+        )
+    # No weather was loaded: six of the nine tables exist, all with rows.
+    assert verdict.first().checks_passed == 6
+    islands = spark.createDataFrame([("Riau", "Sumatera"), ("Aceh", "Sumatera")], "province_name string, pulau string")
+    star = warehouse_star(tables.stored_tables(spark, root, *WAREHOUSE_TABLES), islands)
+
+    def ask(dimension, **params):
+        return {tuple(r) for r in questions.ask(star, dimension, params).collect()}
+
+    assert ask("location") == {("Sumatera", 3)}
+    assert ask("location", tipe="provinsi", pulau="Sumatera") == {("Riau", 2), ("Aceh", 1)}
+    assert ask("location", tipe="kota", confidence="high", tahun="2024", bulan="Januari") == {("Siak", 1), ("Pidie", 1)}
+    assert ask("confidence") == {("high", 2), ("low", 1)}
+    assert ask("satelite", provinsi="Riau") == {("Aqua", 2)}
+    assert ask("time", tahun="2024", semester="1", kuartal="Q1") == {("Januari", 1)}
+    rows = questions.detections(star, {"selectedDate": "2024-01-06"})
+    assert [(r.provinsi, r.satelit, r.confidence, r.lat) for r in rows.collect()] == [("Aceh", "N", "high", 3.0)]
+    dated = questions.ask(star, "location", {"tahun": "2024", "bulan": "Januari", "minggu": "1"})
+    plan = dated._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date_value" in plan
+    with pytest.raises(ValueError):
+        questions.ask(star, "weather")
+
+
 def test_batch_status_and_scorecard(spark):
     one, none = frame(spark, detection()), frame(spark, detection()).limit(0)
     status = quality.batch_status({"staging_hotspot": one, "staging_weather": none}, "b1").first()

@@ -303,12 +303,13 @@ def first_period_id(spark, sf):
     """SELECT loc_key, acq_date, max(cached_at) AS cached_at,
   coalesce(max(cached_at) + INTERVAL 24 HOUR > timestamp '2024-01-31 00:00:00', false) AS is_hit
 FROM (SELECT DISTINCT loc_key, acq_date FROM det) keys
-LEFT JOIN (SELECT loc_key, acq_date, ingested_at AS cached_at FROM det WHERE event_id % 3 = 0) cache
+LEFT JOIN (SELECT loc_key, acq_date, ingested_at AS cached_at FROM det WHERE batch_id <> 'B3') cache
 USING (loc_key, acq_date) GROUP BY loc_key, acq_date"""
 )
 def cache_split(spark, sf):
     rows = detections(spark, sf)
-    cache = rows.filter("event_id % 3 = 0").withColumnRenamed("ingested_at", "cached_at")
+    # What earlier batches asked for is cached.
+    cache = rows.filter("batch_id <> 'B3'").withColumnRenamed("ingested_at", "cached_at")
     keys = ["loc_key", "acq_date"]
     return lookups.cache_split(
         rows.select(*keys).distinct(), cache, keys, lookups.weather_ttl(24), AS_OF
@@ -359,11 +360,13 @@ def stage_weather(spark, sf):
 @query(
     """SELECT event_id, cast(acq_date AS timestamp) + to_hours(cast(lpad(acq_time, 4, '0')[1:2] AS integer))
   + to_minutes(cast(lpad(acq_time, 4, '0')[3:4] AS integer)) AS acq_datetime, 'IDN' AS country_code,
-  cast(year(acq_date) AS integer) AS backfill_year, cast(month(acq_date) AS integer) AS backfill_month FROM det"""
+  timestamp '2024-02-01 00:00:00' AS backfill_timestamp, cast(year(acq_date) AS integer) AS backfill_year, cast(month(acq_date) AS integer) AS backfill_month FROM det"""
 )
 def backfill_prepare(spark, sf):
-    rows = backfill.backfill_prepare(detections(spark, sf))
-    return rows.select("event_id", "acq_datetime", "country_code", "backfill_year", "backfill_month")
+    rows = backfill.backfill_prepare(detections(spark, sf), "2024-02-01 00:00:00")
+    return rows.select(
+        "event_id", "acq_datetime", "country_code", "backfill_timestamp", "backfill_year", "backfill_month"
+    )
 
 
 @query(

@@ -64,13 +64,12 @@ def warehouse_tables(spark, sf) -> dict[str, DataFrame]:
   cast(year(acq_date) AS integer) AS year_value, CASE WHEN month(acq_date) <= 6 THEN 1 ELSE 2 END AS semester_value,
   cast(quarter(acq_date) AS integer) AS quarter_value, cast(month(acq_date) AS integer) AS month_value,
   monthname(acq_date) AS month_name, cast(weekofyear(acq_date) AS integer) AS week_value
-FROM (SELECT acq_date FROM det WHERE batch_id = 'B0' UNION ALL SELECT acq_date FROM wflat WHERE batch_id <> 'B0')"""
+FROM (SELECT acq_date FROM det UNION ALL SELECT cast(acq_date + INTERVAL 7 DAY AS date) FROM wflat)"""
 )
 def dim_period(spark, sf):
-    """Dates of detections and of weather alike."""
-    hot = detections(spark, sf).filter("batch_id = 'B0'").select("acq_date")
-    wet = weather(spark, sf).filter("batch_id <> 'B0'").select("datetime")
-    return dims.dim_period(hot, wet)
+    """Dates of detections and of weather alike, the weather moved by a week."""
+    wet = weather(spark, sf).selectExpr("cast(datetime AS timestamp) + INTERVAL 7 DAYS AS datetime")
+    return dims.dim_period(detections(spark, sf).select("acq_date"), wet)
 
 
 @query(

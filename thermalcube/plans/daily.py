@@ -118,7 +118,8 @@ def refresh_days(spark: SparkSession, root: str, days: DataFrame, places: DataFr
     """
     stored = stored_tables(spark, root, *WAREHOUSE_TABLES)
     # Calendar days of one batch, usually one or two; as literals they prune folders.
-    touched = [r[0] for r in days.select(F.col(days.columns[0]).cast("date")).distinct().collect()]
+    date = F.col(days.columns[0]).try_cast("date")
+    touched = [r[0] for r in days.select(date).distinct().collect()]
     hot, wet = (_staged_days(stored.get(name), touched) for name in STAGING)
     near = _places_of(spark, places, *[df for df in (hot, wet) if df is not None])
     built = {

@@ -61,6 +61,8 @@ def _bytes(setting: str) -> int:
 
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether the optimizer's size estimate of ``df`` is within the broadcast threshold."""
+    if not hasattr(df, "_jdf"):
+        return False
     limit = _bytes(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760"))
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return int(str(size)) <= limit

@@ -54,7 +54,7 @@ def write_partitioned(
     df: DataFrame, path: str, date_column: str, order: Sequence[str], mode: str = "overwrite"
 ) -> None:
     """Month partitions, rows sorted by the lookup key so row groups can be skipped."""
-    rows = df.withColumn(MONTH, F.date_format(date_column, "yyyyMM"))
+    rows = df.withColumn(MONTH, F.date_format(F.col(date_column).try_cast("date"), "yyyyMM"))
     _spread(rows, [MONTH], order).write.mode(mode).partitionBy(MONTH).parquet(path)
 
 
@@ -114,7 +114,7 @@ def append_and_compact(
     Staging is partitioned by month and day. A key holds its date, so rows of other days cannot
     collide: only the days the batch touches are read and rewritten.
     """
-    day = F.col(date_column).cast("date")
+    day = F.col(date_column).try_cast("date")
     rows = batch.withColumns({MONTH: F.date_format(day, "yyyyMM"), STAGED_DAY: day})
     if exists(spark, path):
         # Calendar days of one batch, usually one or two.
