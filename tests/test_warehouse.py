@@ -42,6 +42,13 @@ def test_rows_are_reduced_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2
 
 
+def test_first_per_key_treats_nulls_and_signed_zeros_as_equal(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k string, n int")
+    assert sorted(r.n for r in dedup.first_per_key(df, ["k"], [F.col("n")]).collect()) == [1, 3]
+    df = spark.createDataFrame([(0.0, 1), (-0.0, 2)], "k double, n int")
+    assert [r.n for r in dedup.first_per_key(df, ["k"], [F.col("n").desc()]).collect()] == [2]
+
+
 def test_hot_key_join_is_split(spark):
     """One coordinate holds most rows; the join splits it once it passes the thresholds."""
     settings = {

@@ -13,13 +13,21 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from thermalcube.schemas import COORDINATE, DETECTION_DEDUP_KEYS, DETECTION_KEYS
 
 _POSITION = "__position"
+_HASH = "__key_hash"
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key; ``order`` must end in a unique tie-break."""
-    window = Window.partitionBy(*keys).orderBy(*order)
+    kinds = dict(df.dtypes)
+    parts = list(keys)
+    if not any(kinds[k] in ("float", "double") for k in keys):
+        # Sorting compares the first column most; a hash of the key settles nearly every
+        # comparison at once, where long runs of equal text prefixes would not.
+        df = df.withColumn(_HASH, F.xxhash64(*keys))
+        parts = [_HASH, *keys]
+    window = Window.partitionBy(*parts).orderBy(*order)
     ranked = df.withColumn(_POSITION, F.row_number().over(window))
-    return ranked.filter(F.col(_POSITION) == 1).drop(_POSITION)
+    return ranked.filter(F.col(_POSITION) == 1).drop(_POSITION, _HASH)
 
 
 def dedup_detections(df: DataFrame, order: Sequence[Column]) -> DataFrame:
