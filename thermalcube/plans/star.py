@@ -1,9 +1,9 @@
 """The star: detections, and the places they point to.
 
-Every place-level question joins two tables of very different size. ``Star`` keeps them apart so
-that each question picks the cheaper plan: places within the broadcast threshold are joined
-directly and the labels are aggregated map-side; a larger place table is joined only after the
-detections were counted per place, so each place is joined once and a hot place is one row.
+Every place-level question joins two tables of very different size. ``Star`` keeps them apart, so
+that detections are first summed per place, map-side, by one narrow key: each place is then joined
+once, a hot place is one row, and texts are only grouped over places. Row-level questions join
+places to detections, broadcast where their checked size allows it.
 """
 
 from __future__ import annotations
@@ -70,19 +70,17 @@ class Star:
     ) -> DataFrame:
         """Sums of additive ``measures`` by place columns and ``fact_keys`` under a query.
 
-        ``used`` names fact attributes that the measures read besides the stored ones.
+        Detections are summed per place (and fact key) before the places are joined. ``used`` names fact attributes that the measures read besides the stored ones.
         """
-        sums = dict(measures or {"total": F.col("hotspot_count")})
+        measures = dict(measures or {"total": F.col("hotspot_count")})
         facts = self.detections({*query.fact_columns(), *fact_keys, *used})
         facts = facts.filter(conjunction(query.fact_tests()))
         places = self.joined_places().filter(conjunction(query.place_tests()))
-        if not self.small_places:
-            facts = facts.groupBy(PLACE_KEY, *fact_keys).agg(
-                *[F.sum(value).alias(name) for name, value in sums.items()]
-            )
-            sums = {name: F.col(name) for name in sums}
-        joined = facts.join(places, PLACE_KEY, "left" if keep_unplaced else "inner")
-        return joined.groupBy(*by).agg(*[F.sum(v).alias(name) for name, v in sums.items()])
+        per_place = facts.groupBy(PLACE_KEY, *fact_keys).agg(
+            *[F.sum(value).alias(name) for name, value in measures.items()]
+        )
+        joined = per_place.join(places, PLACE_KEY, "left" if keep_unplaced else "inner")
+        return joined.groupBy(*by).agg(*[F.sum(name).alias(name) for name in measures])
 
     def days(self, query: CubeQuery = CubeQuery()) -> DataFrame:
         """Distinct dates with detections under a query."""
