@@ -18,7 +18,6 @@ from thermalcube.checks.views import (
     place_responses,
     table,
 )
-from thermalcube.functions.geo import wkb_point
 from thermalcube.functions.time import week_of_month
 from thermalcube.plans import backfill, table_view
 from thermalcube.schemas import BOUNDARY_NAME_FIELDS, PLACE_LEVELS

@@ -8,7 +8,6 @@ from thermalcube.checks.registry import query
 from thermalcube.checks.staging import accepted, by_source, weather
 from thermalcube.checks.views import detections, locations, place_responses
 from thermalcube.operators import dedup, lookups, shaping
-from thermalcube.operators.filters import valid_location
 from thermalcube.plans import daily, dims, facts, quality
 from thermalcube.plans.star import star_join as join_star
 from thermalcube.schemas import DETECTION_KEYS, WEATHER_KEYS, WAREHOUSE_TABLES

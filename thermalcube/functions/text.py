@@ -65,4 +65,4 @@ def date_part(text: Column) -> Column:
 
 
 def contains_ignoring_case(text: Column, needle: str) -> Column:
-    return F.coalesce(F.lower(text).contains(needle.lower()), F.lit(False))
+    return F.lower(text).contains(needle.lower())

@@ -131,4 +131,4 @@ def in_bbox(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
 
 def match_any_level(df: DataFrame, name: str) -> DataFrame:
     """Places whose name at any of the five levels is exactly ``name``."""
-    return df.filter(reduce(or_, [F.coalesce(F.col(c) == name, F.lit(False)) for c in PLACE_LEVELS]))
+    return df.filter(reduce(or_, [F.col(c) == name for c in PLACE_LEVELS]))

@@ -44,13 +44,19 @@ def load_places(spark: SparkSession, root: str, answers: DataFrame) -> DataFrame
     return stored_tables(spark, root, "dim_location")["dim_location"]
 
 
-def load_staging(spark: SparkSession, root: str, staged: Mapping[str, DataFrame]) -> None:
-    """Add staged rows to the staging tables, newest per key kept."""
+def load_staging(
+    spark: SparkSession,
+    root: str,
+    staged: Mapping[str, DataFrame],
+    days: Mapping[str, list[dt.date]] | None = None,
+) -> None:
+    """Add staged rows to the staging tables, newest per key kept; ``days`` where known."""
     for name, rows in staged.items():
         date, keys = STAGING[name]
         # Rows that tie on everything are equal, so the kept row never depends on task order.
         rest = [c for c in rows.columns if c not in keys and c != "ingested_at"]
-        append_and_compact(spark, rows, f"{root}/{name}", date, keys, rest)
+        known = (days or {}).get(name)
+        append_and_compact(spark, rows, f"{root}/{name}", date, keys, rest, known)
 
 
 def _staged_days(staged: DataFrame | None, days: list[dt.date]) -> DataFrame | None:
@@ -102,9 +108,10 @@ def load_day(
     staged = staging.extract_day(
         sources, places, date, batch_id, ingested_at, tie_break, weather, weather_tie_break
     )
-    load_staging(spark, root, staged)
+    day = dt.date.fromisoformat(date)
+    load_staging(spark, root, staged, {"staging_hotspot": [day]})
     stored = stored_tables(spark, root, *WAREHOUSE_TABLES)
-    hot, wet = (_staged_days(stored.get(name), [dt.date.fromisoformat(date)]) for name in STAGING)
+    hot, wet = (_staged_days(stored.get(name), [day]) for name in STAGING)
     near = _places_of(spark, places, *[df for df in (hot, wet) if df is not None])
     built = facts.transform_batch(hot, wet, near, batch_id, stored)
     load_tables(spark, root, built)

@@ -70,7 +70,8 @@ class Star:
     ) -> DataFrame:
         """Sums of additive ``measures`` by place columns and ``fact_keys`` under a query.
 
-        Detections are summed per place (and fact key) before the places are joined. ``used`` names fact attributes that the measures read besides the stored ones.
+        Detections are summed per place (and fact key) before the places are joined. ``used``
+        names fact attributes that the measures read besides the stored ones.
         """
         measures = dict(measures or {"total": F.col("hotspot_count")})
         facts = self.detections({*query.fact_columns(), *fact_keys, *used})

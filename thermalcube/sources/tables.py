@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -108,17 +109,20 @@ def append_and_compact(
     date_column: str,
     keys: Sequence[str],
     tie_break: Sequence[str] = (),
+    days: Sequence[dt.date] | None = None,
 ) -> DataFrame:
     """Add a staging batch and keep the newest row per key; returns the stored row count.
 
     Staging is partitioned by month and day. A key holds its date, so rows of other days cannot
-    collide: only the days the batch touches are read and rewritten.
+    collide: only the days the batch touches are read and rewritten. A caller that knows the days
+    names them, which saves computing the batch once more to find them.
     """
     day = F.col(date_column).try_cast("date")
     rows = batch.withColumns({MONTH: F.date_format(day, "yyyyMM"), STAGED_DAY: day})
     if exists(spark, path):
-        # Calendar days of one batch, usually one or two.
-        days = [r[STAGED_DAY] for r in rows.select(STAGED_DAY).distinct().collect()]
+        if days is None:
+            # Calendar days of one batch, usually one or two.
+            days = [r[STAGED_DAY] for r in rows.select(STAGED_DAY).distinct().collect()]
         known = [d for d in days if d is not None]
         months = sorted({d.strftime("%Y%m") for d in known})
         stored = spark.read.schema(rows.schema).parquet(path)
