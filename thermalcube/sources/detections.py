@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import csv
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from thermalcube.session import scratch_path
 from thermalcube.schemas import BATCH_COLUMNS, DETECTION_COLUMNS, REQUIRED_DETECTION_COLUMNS
+from thermalcube.session import scratch_path
 
 # Texts that mark a landed file as an error answer instead of data.
 ERROR_MARKS = ("Invalid", "Error")
@@ -33,7 +35,8 @@ def read_detections(spark: SparkSession, path: str) -> DataFrame:
             F.max(F.when(is_header, F.col("value"))).alias("header"),
             F.count_if(has_error).alias("errors"),
         )
-        .filter((F.col("errors") == 0) & F.col("header").isNotNull())
+        .filter(F.col("errors") == 0)
+        .filter(reduce(and_, [_looks_like_header(F.col("header"), c) for c in REQUIRED_DETECTION_COLUMNS]))
         .select("source_file", "header")
     )
     # Stored, so the join below knows its true size: small lists are broadcast, and the lines are
@@ -41,19 +44,23 @@ def read_detections(spark: SparkSession, path: str) -> DataFrame:
     listing = scratch_path(spark, "landed-files")
     found.write.parquet(listing)
     files = spark.read.schema("source_file string, header string").parquet(listing)
-    # A feed has a handful of layouts, so this is the size of a schema inference.
+    # Feeds share a handful of layouts, so this is the size of a schema inference.
     headers = [r["header"] for r in files.select("header").distinct().collect()]
-    layouts = {h: _columns(h) for h in headers}
-    usable = {h: c for h, c in layouts.items() if set(REQUIRED_DETECTION_COLUMNS) <= set(c)}
+    usable = {h: _columns(h) for h in headers}
     if not usable:
         empty = ", ".join(f"{c} string" for c in (*DETECTION_COLUMNS, "source_file"))
         return spark.createDataFrame([], empty)
     known = lines.filter(~is_header & (F.col("value") != "")).join(files, "source_file")
-    row = F.coalesce(
-        *[F.when(F.col("header") == h, _parsed(columns)) for h, columns in usable.items()]
+    # One struct per layout, null for lines of other layouts; each line is parsed once.
+    layouts = [(f"__layout{i}", h, columns) for i, (h, columns) in enumerate(usable.items())]
+    parsed = known.select(
+        "source_file",
+        *[
+            F.when(F.col("header") == h, F.from_csv(F.col("value"), _ddl(columns))).alias(name)
+            for name, h, columns in layouts
+        ],
     )
-    rows = known.filter(F.col("header").isin(list(usable))).select(row.alias("row"), "source_file")
-    return rows.select("row.*", "source_file")
+    return parsed.select(*[_field(c, layouts) for c in DETECTION_COLUMNS], "source_file")
 
 
 def _looks_like_header(line: Column, name: str) -> Column:
@@ -64,15 +71,14 @@ def _columns(header: str) -> list[str]:
     return [c.strip().lower() for c in next(csv.reader([header]))]
 
 
-def _parsed(columns: list[str]) -> Column:
-    """A line as a struct of the known columns."""
-    ddl = ", ".join(f"`{c}` string" for c in columns)
-    parsed = F.from_csv(F.col("value"), ddl, {"mode": "PERMISSIVE"})
-    fields = [
-        (parsed.getField(c) if c in columns else F.lit(None).cast("string")).alias(c)
-        for c in DETECTION_COLUMNS
-    ]
-    return F.struct(*fields)
+def _ddl(columns: list[str]) -> str:
+    return ", ".join(f"`{c}` string" for c in columns)
+
+
+def _field(name: str, layouts: list[tuple[str, str, list[str]]]) -> Column:
+    """A column from whichever layout of the line has it."""
+    found = [F.col(layout).getField(name) for layout, _, columns in layouts if name in columns]
+    return (F.coalesce(*found) if found else F.lit(None).cast("string")).alias(name)
 
 
 def staging_ddl() -> str:
