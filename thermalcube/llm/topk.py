@@ -165,8 +165,11 @@ def top_k(
         own = stored(asked.filter(F.size("parts") == d), "queries")
         spread = own.repartition(max(1, -(-own.count() // QUERY_ROWS)), "vec_id")
         packs = spread.mapInArrow(_packer(QUERY_ROWS), schema).select(F.col("ids").alias("query_ids"), F.col("parts").alias("query_parts"))
-        # The stated queries against all rows: every query block meets the head of every block.
-        sent = packs.crossJoin(blocks.select("block"))
+        # One count per task that packed; the blocks of a task are numbered from 0.
+        counts = blocks.groupBy(F.shiftright("block", 32).alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()
+        tasks = F.array(*[F.struct(F.lit(r["task"] << 32).alias("first"), F.lit(r["n"]).alias("n")) for r in counts])
+        numbers = F.transform(tasks, lambda t: F.sequence(t["first"].cast("long"), t["first"] + t["n"] - 1))
+        sent = packs.withColumn("block", F.explode(F.flatten(numbers)))
         pairs = blocks.select("block", "ids", "parts").join(sent, "block").select("block", "ids", "parts", "query_ids", "query_parts")
         part = pairs.mapInArrow(_searcher(k), "query_id long, vec_id long, score long")
         found = part if found is None else found.union(part)
