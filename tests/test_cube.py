@@ -42,7 +42,7 @@ def test_children_add_up_to_their_parent(spark):
         lambda s: dashboard.kpis(s),
         lambda s: dashboard.kpis_on(s, "1997-05-28"),
         lambda s: dashboard.top_island(s),
-        lambda s: dashboard.latest_detections(s, 5, "id", "hotspot_time", "kota"),
+        lambda s: dashboard.latest_detections(s, 5, "id", "detected_at", "kota"),
         lambda s: table_view.accumulate_star(s),
     ],
 )
@@ -66,7 +66,7 @@ def test_size_check_follows_the_threshold(spark):
 def test_unplaced_detections_count_in_the_kpis_only(spark):
     facts = spark.createDataFrame(
         [(1, 1, "high", 1), (2, 1, "low", 1), (3, 9, "high", 1), (4, 2, "low", 1)],
-        "id int, place_key int, confidence string, hotspot_count bigint",
+        "id int, place_key int, confidence string, detections bigint",
     )
     places = spark.createDataFrame([(1, "A", "a"), (2, "", "")], "place_key int, pulau string, provinsi string")
     for small in (True, False):
@@ -76,8 +76,14 @@ def test_unplaced_detections_count_in_the_kpis_only(spark):
         assert rows_of(cube.count_by_level(star, "provinsi")) == [("", 1), ("a", 2)]
 
 
+def test_accumulated_rows_take_one_shuffle(spark):
+    star = feature_star(spark, SF)
+    plan = table_view.accumulate_star(star)._jdf.queryExecution().executedPlan().toString()
+    assert star.small_places and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_lookups_are_joined_only_where_used(spark):
-    facts = spark.createDataFrame([(1, 1, "s1", 1)], "id int, place_key int, satellite_id string, hotspot_count bigint")
+    facts = spark.createDataFrame([(1, 1, "s1", 1)], "id int, place_key int, satellite_id string, detections bigint")
     places = spark.createDataFrame([(1, "A")], "place_key int, pulau string")
     satellites = spark.createDataFrame([("s1", "Aqua")], "satellite_id string, satelit string")
     star = Star(facts, places, True, (("satellite_id", satellites),))
@@ -136,6 +142,7 @@ def test_period_with_a_year_is_a_pushed_range(spark):
         dict(tahun=1997, kuartal="Q2", minggu="3"), dict(semester=1, kuartal=3), dict(bulan="June"),
         dict(tahun="x"), dict(kuartal="Q5"), dict(kuartal=2, hari="senin"), dict(minggu=9),
         dict(tahun=1997, semester=2, bulan="Juli", minggu=1, hari="Rabu"), dict(tahun=1997, minggu=6),
+        dict(tahun=0), dict(tahun="20240", bulan=2),
     ],
 )
 def test_period_filters_by_brute_force(spark, query):
@@ -202,7 +209,7 @@ def test_far_pages_equal_near_pages(spark, monkeypatch):
 def test_newest_rows_put_missing_times_last(spark):
     df = spark.createDataFrame(
         [(1, None), (2, dt.datetime(2024, 1, 1)), (3, dt.datetime(2024, 1, 2)), (4, None)],
-        "id int, hotspot_time timestamp",
+        "id int, detected_at timestamp",
     )
     assert [r.id for r in ranking.latest_n(df, 3).collect()] == [3, 2, 1]
 

@@ -6,10 +6,10 @@ import pathlib
 import pytest
 from pyspark.sql import Row, functions as F
 
-from thermalcube.operators import dedup, filters, lookups, shaping
-from thermalcube.plans import daily, dims, facts, quality, questions, staging
+from thermalcube.operators import dedup, filters, lookups, ranking, shaping
+from thermalcube.plans import backfill, daily, dims, facts, quality, questions, staging
 from thermalcube.plans.star import warehouse_star
-from thermalcube.schemas import DETECTION_KEYS, WAREHOUSE_TABLES
+from thermalcube.schemas import DETECTION_KEYS, DIM_LOCATION_COLUMNS, WAREHOUSE_TABLES
 from thermalcube.sources import detections as feeds, tables
 from thermalcube.streaming.ingest import incremental_ingest, ingest_into_warehouse, staged_rows
 
@@ -101,7 +101,7 @@ def test_extract_day_rejects_and_stages(spark):
         {"MODIS_NRT": feed}, places(spark, ("1.0", "100.0")), "2024-01-05", "b9", "2024-02-01 10:00:00.123456",
         ["frp"], weather, ["datetime"],
     )
-    staged = out["staging_hotspot"].collect()
+    staged = out["staging_detection"].collect()
     assert sorted(r.acq_time for r in staged) == ["930", "931"]
     assert {(r.batch_id, r.ingested_at.microsecond, r.brightness) for r in staged} == {("b9", 123000, None)}
     # Out of the stored range.
@@ -116,7 +116,7 @@ def test_malformed_dates_do_not_stop_a_load(spark):
 
 def test_facts_and_rejects_make_up_the_input(spark):
     staged = frame(spark, detection(), detection(lat="5.5"), detection(lat="6.6"), detection(time="5"))
-    rows, watch = facts.fact_hotspot(staged, places(spark, ("1.0", "100.0"), ("1.0", "100.0")))
+    rows, watch = facts.fact_detection(staged, places(spark, ("1.0", "100.0"), ("1.0", "100.0")))
     kept = rows.collect()
     assert watch.get == {"original": 4, "kept": 2, "rejected": 2}
     assert len(kept) == 2 and len({r.id for r in kept}) == 2
@@ -134,7 +134,7 @@ def test_facts_point_to_dimension_rows(spark):
         "dim_confidence": spark.createDataFrame([("C-old", "85", "MODIS")], "id string, confidence_raw string, source_instrument string"),
     }
     built = facts.transform_batch(staged, None, places(spark, ("1.0", "100.0")), stored=stored)
-    fact = built["fact_hotspot"]
+    fact = built["fact_detection"]
     for key, name in (("period_id", "dim_period"), ("satellite_id", "dim_satellite"), ("confidence_id", "dim_confidence")):
         known = built[name].select(F.col("id").alias(key))
         assert fact.join(known, key, "left_anti").count() == 0
@@ -226,8 +226,72 @@ def test_dimensions_are_loaded_once(spark, tmp_path):
     for _ in range(2):
         tables.insert_new_dims(spark, batch, root)
     assert spark.read.parquet(f"{root}/dim_confidence").count() == 2
+    # Rows without an id are refused on the first load as on later ones.
     stored = spark.read.parquet(f"{root}/dim_satellite").collect()
-    assert sorted(str(r.id) for r in stored) == ["Aqua_MODIS", "None"]
+    assert [r.id for r in stored] == ["Aqua_MODIS"]
+
+
+def test_staging_holds_defaults_for_nulls(spark, tmp_path):
+    root = str(tmp_path)
+    feed = frame(spark, detection(confidence=None)).drop("batch_id", "ingested_at")
+    weather = spark.createDataFrame([("1.0", "100.0", "2024-01-05 09:30:00", 70000.0, None)],
+                                    "latitude string, longitude string, datetime string, pressure double, conditions string")
+    staged = staging.extract_day(
+        {"MODIS_NRT": feed}, places(spark, ("1.0", "100.0")), "2024-01-05", "b9", "2024-02-01 10:00:00", ["frp"], weather
+    )
+    daily.load_staging(spark, root, staged)
+    hot = spark.read.parquet(f"{root}/staging_detection").first()
+    assert (hot.confidence, hot.brightness, hot.scan) == ("", 0.0, 0.0)
+    wet = spark.read.parquet(f"{root}/staging_weather").first()
+    assert (wet.pressure, wet.conditions) == (0, "")
+
+
+def test_kept_weather_does_not_depend_on_task_order(spark):
+    rows = [("1.0", "100.0", "2024-01-05 09:30:00", float(i), f"c{i % 7}") for i in range(40)]
+    frame_ = spark.createDataFrame(rows, "latitude string, longitude string, datetime string, pressure double, conditions string")
+    kept = {
+        tuple(staging.stage_weather(frame_.repartition(n), "b", "2024-02-01 10:00:00", []).drop("ingested_at").first())
+        for n in (1, 3, 8)
+    }
+    assert len(kept) == 1
+
+
+def test_fact_days_are_pruned_and_right_sides_distinct(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    rows = [("a", "p1", dt.date(2024, 1, 5)), ("b", "p2", dt.date(2024, 1, 6))]
+    tables.replace_days(spark.createDataFrame(rows, "id string, period_id string, date_value date"), path, "date_value", ["id"])
+    periods = spark.createDataFrame([("p1", rows[0][2]), ("p2", rows[1][2])], "id string, date_value date")
+    found = lookups.facts_for_date(spark.read.parquet(path), periods, "2024-01-05")
+    assert [r.id for r in found.collect()] == ["a"]
+    assert "PartitionFilters: [isnotnull(date_value" in found._jdf.queryExecution().executedPlan().toString()
+    hot = spark.createDataFrame([("1.0", "100.0")] * 90 + [(str(i), "1") for i in range(10)], "latitude string, longitude string")
+    for df in (lookups.location_mapping(places(spark, ("1.0", "100.0")), hot), lookups.new_rows(hot, hot, ["latitude", "longitude"])):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate [latitude" in plan.split("Join Left", 1)[1]
+
+
+def test_backfill_equals_its_days_one_by_one(spark, tmp_path):
+    feed = frame(
+        spark, detection(), detection(time="1000"), detection(date="2024-01-06"), detection(date="2024-03-01"), detection(lat="5.9")
+    ).drop("batch_id", "ingested_at")
+    known, answers = places(spark, ("1.0", "100.0")), spark.createDataFrame([], "latitude string, longitude string, response string")
+    requests = spark.createDataFrame([(2024, 1, 2)], "year int, start_month int, end_month int")
+    roots = [str(tmp_path / n) for n in ("whole", "days")]
+    verdict = backfill.load_backfill(spark, roots[0], requests, {"MODIS_NRT": feed}, known, "b", "2024-02-01 00:00:00", ["frp"])
+    assert verdict.first().valid
+    tables.append_table(known.withColumns({c: F.lit("") for c in DIM_LOCATION_COLUMNS if c not in known.columns}), f"{roots[1]}/dim_location", DIM_LOCATION_COLUMNS)
+    for n, day in enumerate(("2024-01-05", "2024-01-06")):
+        daily.load_day(spark, roots[1], {"MODIS_NRT": feed}, answers, day, f"b{n}", "2024-02-01 00:00:00", ["frp"])
+    loaded = [sorted(map(str, spark.read.parquet(f"{r}/fact_detection").collect())) for r in roots]
+    assert loaded[0] == loaded[1] and len(loaded[0]) == 3
+    bad = feed.withColumn("latitude", F.lit("NaN"))
+    refused = backfill.load_backfill(spark, str(tmp_path / "bad"), requests, {"MODIS_NRT": bad}, known, "b", "2024-02-01 00:00:00", ["frp"])
+    assert not refused.first().valid and not (tmp_path / "bad").exists()
+
+
+def test_pages_count_from_one(spark):
+    with pytest.raises(ValueError):
+        ranking.page(spark.range(5), [F.col("id")], 0)
 
 
 def test_defaults_replace_nulls(spark):
@@ -294,7 +358,7 @@ def test_stream_in_parts_keeps_whole_days(spark, tmp_path):
             spark.readStream.schema(DDL).parquet(landed), root, state,
             places(spark, ("1.0", "100.0")), lambda batch, number: batch,
         )
-        facts_now = spark.read.parquet(f"{root}/fact_hotspot")
+        facts_now = spark.read.parquet(f"{root}/fact_detection")
         assert facts_now.select("id").distinct().count() == facts_now.count()
         return facts_now.count()
 
@@ -346,7 +410,7 @@ def test_loaded_warehouse_answers_questions(spark, tmp_path):
 
 def test_batch_status_and_scorecard(spark):
     one, none = frame(spark, detection()), frame(spark, detection()).limit(0)
-    status = quality.batch_status({"staging_hotspot": one, "staging_weather": none}, "b1").first()
+    status = quality.batch_status({"staging_detection": one, "staging_weather": none}, "b1").first()
     assert tuple(status) == ("b1", 1, 0, 1)
     for full, verdict in ((9, "SUCCESS"), (8, "SUCCESS"), (7, "PARTIAL"), (5, "PARTIAL"), (4, "FAILED")):
         card = quality.quality_scorecard({str(i): one if i < full else none for i in range(9)})
@@ -360,6 +424,7 @@ def test_batch_status_and_scorecard(spark):
         ([(0.0, 100.0)] * 18 + [(50.0, 100.0)] * 2, True, True),
         ([(0.0, 100.0)] * 17 + [(50.0, 100.0)] * 3, False, True),
         ([(None, 100.0)] + [(0.0, 100.0)] * 600, False, True),
+        ([(float("nan"), 100.0)] + [(0.0, 100.0)] * 600, False, True),
     ],
 )
 def test_backfill_validation(spark, rows, valid, low):

@@ -140,13 +140,13 @@ def nested_fields(spark, sf):
 # ---------------------------------------------------------------- cube
 
 
-@query("SELECT pulau AS label, cast(sum(hotspot_count) AS bigint) AS total FROM feat GROUP BY pulau")
+@query("SELECT pulau AS label, cast(sum(detections) AS bigint) AS total FROM feat GROUP BY pulau")
 def count_by_level(spark, sf):
     return cube.count_by_level(feature_star(spark, sf), "pulau")
 
 
 @query(
-    """SELECT kecamatan AS label, cast(sum(hotspot_count) AS bigint) AS total FROM feat
+    """SELECT kecamatan AS label, cast(sum(detections) AS bigint) AS total FROM feat
 WHERE confidence = 'high' AND year(tanggal) = 1997 GROUP BY kecamatan"""
 )
 def count_by_level_diced(spark, sf):
@@ -155,7 +155,7 @@ def count_by_level_diced(spark, sf):
 
 
 @query(
-    """SELECT kota AS label, cast(sum(hotspot_count) AS bigint) AS total FROM feat
+    """SELECT kota AS label, cast(sum(detections) AS bigint) AS total FROM feat
 WHERE pulau = 'EUROPE' AND provinsi = 'NATION_3' AND lower(satelit) = 'aqua' GROUP BY kota"""
 )
 def drill_down(spark, sf):
@@ -165,7 +165,7 @@ def drill_down(spark, sf):
 
 
 @query(
-    """SELECT pulau, provinsi, kota, kecamatan, desa, cast(sum(hotspot_count) AS bigint) AS total,
+    """SELECT pulau, provinsi, kota, kecamatan, desa, cast(sum(detections) AS bigint) AS total,
   cast(grouping_id(pulau, provinsi, kota, kecamatan, desa) AS integer) AS grouping_level
 FROM feat GROUP BY ROLLUP (pulau, provinsi, kota, kecamatan, desa)"""
 )
@@ -174,7 +174,7 @@ def roll_up(spark, sf):
 
 
 @query(
-    """SELECT provinsi AS label, cast(sum(hotspot_count) AS bigint) AS total FROM feat
+    """SELECT provinsi AS label, cast(sum(detections) AS bigint) AS total FROM feat
 WHERE pulau = 'EUROPE' GROUP BY provinsi"""
 )
 def roll_up_one_step(spark, sf):
@@ -182,15 +182,15 @@ def roll_up_one_step(spark, sf):
 
 
 @query(
-    "SELECT confidence AS label, cast(sum(hotspot_count) AS bigint) AS total FROM feat GROUP BY confidence"
+    "SELECT confidence AS label, cast(sum(detections) AS bigint) AS total FROM feat GROUP BY confidence"
 )
 def count_by_confidence(spark, sf):
-    return cube.count_by_confidence(features(spark, sf, "confidence", "hotspot_count"))
+    return cube.count_by_confidence(features(spark, sf, "confidence", "detections"))
 
 
-@query("SELECT satelit AS label, cast(sum(hotspot_count) AS bigint) AS total FROM feat GROUP BY satelit")
+@query("SELECT satelit AS label, cast(sum(detections) AS bigint) AS total FROM feat GROUP BY satelit")
 def count_by_satellite(spark, sf):
-    return cube.count_by_satellite(features(spark, sf, "satelit", "hotspot_count"))
+    return cube.count_by_satellite(features(spark, sf, "satelit", "detections"))
 
 
 @query(
@@ -234,7 +234,7 @@ WITH named AS (
 @query(
     REGION_SQL
     + """SELECT CASE n_nationkey % 4 WHEN 0 THEN upper(kota) ELSE upper(trim(city)) END AS region,
-  cast(sum(hotspot_count) AS bigint) AS total FROM named WHERE lower(confidence) = 'low' GROUP BY 1"""
+  cast(sum(detections) AS bigint) AS total FROM named WHERE lower(confidence) = 'low' GROUP BY 1"""
 )
 def choropleth_counts(spark, sf):
     return cube.choropleth_counts(feature_star(spark, sf, java=True), "kota", {"confidence": "low"})
@@ -243,7 +243,7 @@ def choropleth_counts(spark, sf):
 @query(
     REGION_SQL
     + """SELECT CASE WHEN n_nationkey % 12 = 2 THEN 'DAERAH ISTIMEWA YOGYAKARTA' ELSE upper(province) END AS region,
-  cast(sum(hotspot_count) AS bigint) AS total FROM named GROUP BY 1"""
+  cast(sum(detections) AS bigint) AS total FROM named GROUP BY 1"""
 )
 def merge_counts(spark, sf):
     """Several provinces carry the special name and must add up."""
@@ -255,7 +255,7 @@ def merge_counts(spark, sf):
     REGION_SQL
     + """, bounds AS (SELECT DISTINCT province AS name, island AS parent_name FROM named),
 counts AS (SELECT CASE WHEN n_nationkey % 12 = 2 THEN 'DAERAH ISTIMEWA YOGYAKARTA' ELSE upper(province) END AS region,
-    sum(hotspot_count) AS total FROM named WHERE satelit = 'Terra' AND island = 'Jawa' GROUP BY 1),
+    sum(detections) AS total FROM named WHERE satelit = 'Terra' AND island = 'Jawa' GROUP BY 1),
 inside AS (SELECT * FROM bounds WHERE upper(trim(parent_name)) = 'JAWA'),
 extra AS (SELECT * FROM bounds WHERE contains(upper(name), 'YOGYAKARTA')
     AND NOT EXISTS (SELECT 1 FROM inside WHERE contains(upper(name), 'YOGYAKARTA')) ORDER BY name LIMIT 1)
@@ -276,6 +276,23 @@ def attach_counts_to_boundaries(spark, sf):
     return shown.select("name", "parent_name", "total")
 
 
+@query(
+    REGION_SQL
+    + """, counts AS (SELECT CASE WHEN n_nationkey % 12 = 2 THEN 'DAERAH ISTIMEWA YOGYAKARTA' ELSE upper(province) END AS region,
+    sum(detections) AS total FROM named WHERE satelit = 'Aqua' GROUP BY 1)
+SELECT name, cast(total AS bigint) AS total FROM (SELECT DISTINCT province AS name FROM named)
+JOIN counts ON region = CASE WHEN contains(upper(name), 'YOGYAKARTA') THEN 'DAERAH ISTIMEWA YOGYAKARTA' ELSE upper(name) END"""
+)
+def boundaries_from_choropleth(spark, sf):
+    """Counts by map name meet the boundaries, the special province too."""
+    star = feature_star(spark, sf, java=True)
+    bounds = star.places.select(
+        F.lit("provinsi").alias("level"), F.col("provinsi").alias("name"), F.col("pulau").alias("parent_name")
+    ).dropDuplicates(["name"])
+    counts = cube.choropleth_counts(star, "provinsi", {"satelite": "Aqua"})
+    return cube.attach_counts_to_boundaries(bounds, counts, "provinsi").select("name", "total")
+
+
 @query("SELECT DISTINCT kota AS name, provinsi AS parent_name FROM feat WHERE provinsi = 'NATION_4'")
 def boundaries_of_parent(spark, sf):
     star = feature_star(spark, sf)
@@ -284,7 +301,7 @@ def boundaries_of_parent(spark, sf):
 
 
 BREAKS_SQL = """
-cells AS (SELECT {level} AS label, cast(sum(hotspot_count) AS bigint) AS total FROM feat GROUP BY 1),
+cells AS (SELECT {level} AS label, cast(sum(detections) AS bigint) AS total FROM feat GROUP BY 1),
 limits AS (SELECT cast(min(total) AS double) AS lo, cast(max(total) AS double) AS hi FROM cells WHERE total > 0),
 breaks AS (SELECT lo, hi,
     CASE WHEN hi - lo < 3 THEN lo + greatest(ceil((hi - lo) / 3), 1) ELSE lo + (hi - lo) / 3 END AS t1,
@@ -323,7 +340,7 @@ PLACES_SQL = """places AS (SELECT c_custkey AS id, r_name AS pulau, n_name AS pr
 
 @query(
     f"""WITH {PLACES_SQL},
-cells AS (SELECT kota AS label, cast(sum(hotspot_count) AS bigint) AS total FROM feat WHERE provinsi = 'NATION_9' GROUP BY 1)
+cells AS (SELECT kota AS label, cast(sum(detections) AS bigint) AS total FROM feat WHERE provinsi = 'NATION_9' GROUP BY 1)
 SELECT label, total, arg_min(lat, id) AS lat, arg_min(lng, id) AS lng
 FROM cells LEFT JOIN places ON kota = label GROUP BY label, total"""
 )
@@ -444,7 +461,7 @@ def filter_table(spark, sf):
 
 
 ACCUMULATED_SQL = """SELECT tanggal, satelit, confidence, provinsi, kota,
-  cast(sum(hotspot_count) AS bigint) AS jumlah FROM feat GROUP BY ALL"""
+  cast(sum(detections) AS bigint) AS jumlah FROM feat GROUP BY ALL"""
 
 
 @query(ACCUMULATED_SQL)
@@ -482,19 +499,19 @@ def total_pages(spark, sf):
 
 
 @query(
-    """SELECT id, hotspot_time, provinsi, confidence FROM feat
-ORDER BY hotspot_time DESC NULLS LAST, id LIMIT 5"""
+    """SELECT id, detected_at, provinsi, confidence FROM feat
+ORDER BY detected_at DESC NULLS LAST, id LIMIT 5"""
 )
 def latest_n(spark, sf):
-    columns = ("id", "hotspot_time", "provinsi", "confidence")
+    columns = ("id", "detected_at", "provinsi", "confidence")
     return dashboard.latest_detections(feature_star(spark, sf), 5, *columns)
 
 
 @query(
-    """SELECT arg_max(tanggal, hotspot_time) AS newest_date, max(tanggal) AS largest_date FROM feat"""
+    """SELECT arg_max(tanggal, detected_at) AS newest_date, max(tanggal) AS largest_date FROM feat"""
 )
 def latest_date(spark, sf):
-    return ranking.latest_date(features(spark, sf, "tanggal", "hotspot_time"))
+    return ranking.latest_date(features(spark, sf, "tanggal", "detected_at"))
 
 
 @query(
@@ -511,7 +528,7 @@ def export_label(spark, sf):
 
 
 @query(
-    """SELECT provinsi AS label, cast(sum(hotspot_count) AS bigint) AS total FROM feat
+    """SELECT provinsi AS label, cast(sum(detections) AS bigint) AS total FROM feat
 WHERE pulau = 'AMERICA' AND confidence = 'high' AND tanggal BETWEEN date '1998-01-01' AND date '1998-06-30' GROUP BY 1"""
 )
 def ask_location(spark, sf):
@@ -521,7 +538,7 @@ def ask_location(spark, sf):
 
 
 @query(
-    """SELECT confidence AS label, cast(sum(hotspot_count) AS bigint) AS total FROM feat
+    """SELECT confidence AS label, cast(sum(detections) AS bigint) AS total FROM feat
 WHERE kota = 'NATION_5 BUILDING' GROUP BY 1"""
 )
 def ask_confidence(spark, sf):
@@ -529,7 +546,7 @@ def ask_confidence(spark, sf):
 
 
 @query(
-    """SELECT satelit AS label, cast(sum(hotspot_count) AS bigint) AS total FROM feat
+    """SELECT satelit AS label, cast(sum(detections) AS bigint) AS total FROM feat
 WHERE lower(confidence) = 'low' AND quarter(tanggal) = 1 GROUP BY 1"""
 )
 def ask_satellite(spark, sf):
@@ -546,9 +563,10 @@ def ask_time(spark, sf):
 
 
 @query(
-    """SELECT id, tanggal, hotspot_time, satelit, confidence, pulau, provinsi, kota, kecamatan, desa, hotspot_count, lat, lon
-FROM feat WHERE pulau = 'ASIA' AND tanggal = date '1997-03-03'"""
+    """SELECT id, tanggal, detected_at, satelit, confidence, pulau, provinsi, kota, kecamatan, desa, detections, lat, lon,
+  cast(cast(ceil(day(tanggal) / 7.0) AS integer) AS varchar) AS minggu
+FROM feat WHERE pulau = 'ASIA' AND tanggal = date '1995-03-20'"""
 )
 def ask_detections(spark, sf):
-    params = {"selectedDate": "1997-03-03", "pulau": "ASIA", "lat": -2.5, "lng": 118}
+    params = {"selectedDate": "1995-03-20", "pulau": "ASIA", "lat": -2.5, "lng": 118}
     return questions.detections(feature_star(spark, sf), params)

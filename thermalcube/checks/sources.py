@@ -19,7 +19,7 @@ from thermalcube.checks.views import (
     table,
 )
 from thermalcube.functions.time import week_of_month
-from thermalcube.plans import backfill, table_view
+from thermalcube.plans import backfill, questions, table_view
 from thermalcube.schemas import BOUNDARY_NAME_FIELDS, PLACE_LEVELS
 from thermalcube.session import scratch_path
 from thermalcube.sources import detections as feeds, geojson, tables
@@ -131,17 +131,18 @@ def accepted_place_responses(spark, sf):
 
 
 @query(
-    """SELECT id, tanggal, hotspot_time, satelit, confidence, cast(cast(ceil(day(tanggal) / 7.0) AS integer) AS varchar) AS minggu,
-  pulau, provinsi, kota, kecamatan, desa, hotspot_count, lat, lon FROM feat"""
+    """SELECT cast(id AS varchar) AS id, tanggal, detected_at, satelit, confidence, cast(cast(ceil(day(tanggal) / 7.0) AS integer) AS varchar) AS minggu,
+  pulau, provinsi, kota, kecamatan, desa, detections, lat, lon FROM feat"""
 )
 def read_features(spark, sf):
     """FeatureCollections of at most a thousand features and single features per line."""
     rows = features(spark, sf).withColumn("minggu", week_of_month(F.col("tanggal")).cast("string"))
     nested = geojson.nest_features(rows)
     path = scratch_path(spark, "features")
-    singles = F.col("properties.id") % 2 == 0
+    number = F.col("properties.id").cast("bigint")
+    singles = number % 2 == 0
     nested.filter(singles).write.json(f"{path}/lines")
-    bundles = nested.filter(~singles).groupBy(F.floor(F.col("properties.id") / 1000).alias("bundle"))
+    bundles = nested.filter(~singles).groupBy(F.floor(number / 1000).alias("bundle"))
     bundles.agg(
         F.lit("FeatureCollection").alias("type"),
         F.collect_list(F.struct("type", "geometry", "properties")).alias("features"),
@@ -149,6 +150,19 @@ def read_features(spark, sf):
     return geojson.flatten_features(geojson.read_features(spark, f"{path}/*"))
 
 
+@query(
+    """SELECT cast(id AS varchar) AS id, tanggal, detected_at, satelit, confidence,
+  cast(cast(ceil(day(tanggal) / 7.0) AS integer) AS varchar) AS minggu,
+  pulau, provinsi, kota, kecamatan, desa, detections, lat, lon FROM feat WHERE pulau = 'ASIA'"""
+)
+def feature_round_trip(spark, sf):
+    """Detections written as features under property names of the caller's, and read back."""
+    path = scratch_path(spark, "features")
+    fields = {"detected_at": "seen", "detections": "count"}
+    geojson.write_features(questions.detections(feature_star(spark, sf), {"pulau": "ASIA"}), path, fields)
+    return geojson.flatten_features(geojson.read_features(spark, path, fields=fields))
+
+
 @query(
     """SELECT DISTINCT 'pulau' AS level, pulau AS name, cast(NULL AS varchar) AS parent_name, '{"type":"Point"}' AS geometry FROM pl
 UNION SELECT 'provinsi', provinsi, pulau, '{"type":"Point"}' FROM pl UNION SELECT 'kota', kota, provinsi, '{"type":"Point"}' FROM pl
@@ -204,9 +218,9 @@ def decode_points(spark, sf):
 
 
 @query(
-    """SELECT tanggal AS "Tanggal", coalesce(strftime(hotspot_time, '%H:%M:%S'), 'N/A') AS "Waktu", pulau AS "Pulau",
+    """SELECT tanggal AS "Tanggal", coalesce(strftime(detected_at, '%H:%M:%S'), 'N/A') AS "Waktu", pulau AS "Pulau",
   provinsi AS "Provinsi", kota AS "Kota", kecamatan AS "Kecamatan", desa AS "Desa", satelit AS "Satelit",
-  confidence AS "Confidence", hotspot_count AS "Jumlah", lat AS "Latitude", lon AS "Longitude"
+  confidence AS "Confidence", detections AS "Jumlah", lat AS "Latitude", lon AS "Longitude"
 FROM feat WHERE confidence = 'high'"""
 )
 def export_detail(spark, sf):
@@ -219,7 +233,7 @@ def export_detail(spark, sf):
 
 @query(
     """SELECT tanggal AS "Tanggal", satelit AS "Satelit", confidence AS "Confidence", provinsi AS "Provinsi",
-  kota AS "Kota", cast(sum(hotspot_count) AS bigint) AS "Jumlah" FROM feat GROUP BY ALL"""
+  kota AS "Kota", cast(sum(detections) AS bigint) AS "Jumlah" FROM feat GROUP BY ALL"""
 )
 def export_accumulated(spark, sf):
     path = scratch_path(spark, "export")
@@ -267,7 +281,7 @@ def incremental_staging(spark, sf):
 
 
 @query(
-    """SELECT id, acq_date AS date_value, satellite_id, mapping_id AS location_id FROM hotspots
+    """SELECT id, acq_date AS date_value, satellite_id, mapping_id AS location_id FROM placed
 JOIN (SELECT latitude, longitude, min(id) AS mapping_id FROM acc GROUP BY 1, 2) USING (latitude, longitude)"""
 )
 def incremental_facts(spark, sf):
@@ -278,6 +292,6 @@ def incremental_facts(spark, sf):
             _event_stream(spark, sf), root, state, accepted(spark, sf),
             lambda batch, number: as_detections(batch).withColumn("batch_id", F.lit(f"S{number}")),
         )
-    return spark.read.parquet(f"{root}/fact_hotspot").select(
+    return spark.read.parquet(f"{root}/fact_detection").select(
         "id", "date_value", "satellite_id", "location_id"
     )

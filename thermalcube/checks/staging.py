@@ -316,6 +316,32 @@ def cache_split(spark, sf):
     )
 
 
+@query(
+    """WITH day AS (SELECT *, concat(cast(acq_date AS varchar), ' ', lpad(acq_time, 4, '0')[1:2], ':', lpad(acq_time, 4, '0')[3:4], ':00')
+    AS datetime FROM det WHERE acq_date = date '2024-01-28'),
+places AS (SELECT latitude, longitude FROM det WHERE batch_id = 'B0' AND loc_key % 3 = 0 GROUP BY 1, 2
+  HAVING max(ingested_at) + INTERVAL 144 HOUR > timestamp '2024-01-31 00:00:00'),
+moments AS (SELECT latitude, longitude, datetime FROM wflat WHERE batch_id = 'B1' GROUP BY 1, 2, 3
+  HAVING max(ingested_at) + INTERVAL 72 HOUR > timestamp '2024-01-31 00:00:00')
+SELECT DISTINCT 'place' AS kind, latitude, longitude, cast(NULL AS varchar) AS datetime FROM day
+WHERE (latitude, longitude) NOT IN (SELECT (latitude, longitude) FROM places)
+  AND (latitude, longitude) NOT IN (SELECT (latitude, longitude) FROM acc WHERE c_custkey % 7 = 0)
+UNION ALL SELECT DISTINCT 'weather', latitude, longitude, datetime FROM day
+WHERE (latitude, longitude, datetime) NOT IN (SELECT (latitude, longitude, datetime) FROM moments)
+  AND (latitude, longitude, datetime) NOT IN (SELECT (latitude, longitude, datetime) FROM wflat WHERE batch_id = 'B2')"""
+)
+def lookups_to_fetch(spark, sf):
+    """Of one day: what neither a cache nor the stored tables hold."""
+    rows, measured = detections(spark, sf), weather(spark, sf)
+    places = rows.filter("batch_id = 'B0' AND loc_key % 3 = 0").withColumnRenamed("ingested_at", "cached_at")
+    moments = measured.filter("batch_id = 'B1'").withColumnRenamed("ingested_at", "cached_at")
+    stored = accepted(spark, sf).filter("cast(substring(id, 4) AS bigint) % 7 = 0")
+    day = filters.for_date(rows, "2024-01-28")
+    return lookups.lookups_to_fetch(
+        day, places, stored, moments, measured.filter("batch_id = 'B2'"), AS_OF, lookups.location_ttl(6), lookups.weather_ttl(72)
+    )
+
+
 # ---------------------------------------------------------------- composites
 
 
@@ -334,7 +360,7 @@ def extract_day(spark, sf):
     staged = staging.extract_day(
         by_source(spark, sf), accepted(spark, sf), "2024-01-12", "LOAD-7", "2024-02-01 00:00:00",
         tie_break=["event_order"],
-    )["staging_hotspot"]
+    )["staging_detection"]
     floats = [F.col(c).cast("double") for c in ("frp", "brightness")]
     return staged.select(
         "batch_id", "ingested_at", "latitude", "longitude", "acq_date", "acq_time", "satellite",
@@ -370,13 +396,13 @@ def backfill_prepare(spark, sf):
 
 
 @query(
-    """SELECT 'B2' AS batch_id, count(*) FILTER (WHERE kind = 'd') AS staging_hotspot_count,
+    """SELECT 'B2' AS batch_id, count(*) FILTER (WHERE kind = 'd') AS staging_detection_count,
   count(*) FILTER (WHERE kind = 'w') AS staging_weather_count, count(*) AS total_staging_records
 FROM (SELECT 'd' AS kind, batch_id FROM det UNION ALL SELECT 'w', batch_id FROM wstaged) WHERE batch_id = 'B2'"""
 )
 def batch_status(spark, sf):
     tables = {
-        "staging_hotspot": detections(spark, sf),
+        "staging_detection": detections(spark, sf),
         "staging_weather": dedup.latest_by_key(
             weather(spark, sf), ("latitude", "longitude", "datetime"), [F.col("event_id")]
         ),

@@ -58,11 +58,11 @@ def feature_star(spark: SparkSession, sf_dir: str, java: bool = False) -> Star:
         "cast(o_orderdate AS date) AS tanggal",
         """CASE WHEN o_orderkey % 1009 <> 0 THEN timestamp_seconds(
              unix_timestamp(cast(cast(o_orderdate AS date) AS timestamp)) + (o_orderkey * 37) % 86400)
-           END AS hotspot_time""",
+           END AS detected_at""",
         "CASE o_orderstatus WHEN 'F' THEN 'Terra' WHEN 'O' THEN 'Aqua' ELSE 'SNPP' END AS satelit",
         """CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'high'
            WHEN o_orderpriority = '3-MEDIUM' THEN 'medium' ELSE 'low' END AS confidence""",
-        "cast(1 AS bigint) AS hotspot_count",
+        "cast(1 AS bigint) AS detections",
         f"{lat} AS lat",
         f"{lon} AS lon",
     )
@@ -86,8 +86,8 @@ def feature_star(spark: SparkSession, sf_dir: str, java: bool = False) -> Star:
 
 
 FEATURE_COLUMNS = (
-    "id", "tanggal", "hotspot_time", "satelit", "confidence", "pulau", "provinsi", "kota",
-    "kecamatan", "desa", "hotspot_count", "lat", "lon",
+    "id", "tanggal", "detected_at", "satelit", "confidence", "pulau", "provinsi", "kota",
+    "kecamatan", "desa", "detections", "lat", "lon",
 )
 
 
@@ -181,13 +181,13 @@ SQL_VIEWS = {
 SELECT o_orderkey AS id, cast(o_orderdate AS date) AS tanggal,
   CASE WHEN o_orderkey % 1009 <> 0
        THEN cast(cast(o_orderdate AS date) AS timestamp) + to_seconds(cast((o_orderkey * 37) % 86400 AS integer))
-  END AS hotspot_time,
+  END AS detected_at,
   CASE o_orderstatus WHEN 'F' THEN 'Terra' WHEN 'O' THEN 'Aqua' ELSE 'SNPP' END AS satelit,
   CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'high'
        WHEN o_orderpriority = '3-MEDIUM' THEN 'medium' ELSE 'low' END AS confidence,
   r_name AS pulau, n_name AS provinsi, concat(n_name, ' ', c_mktsegment) AS kota,
   concat(n_name, ' ', c_mktsegment, ' ', cast(c_custkey % 3 AS varchar)) AS kecamatan,
-  c_name AS desa, cast(1 AS bigint) AS hotspot_count,
+  c_name AS desa, cast(1 AS bigint) AS detections,
   cast(-11 + (c_custkey % 18) AS double) + cast(c_custkey % 4 AS double) * 0.25::double AS lat,
   cast(95 + (c_custkey % 46) AS double) + cast(c_custkey % 8 AS double) * 0.125::double AS lon,
   c_custkey, n_nationkey, n_regionkey
@@ -265,7 +265,7 @@ SELECT * FROM det QUALIFY row_number() OVER (
 SELECT * FROM wflat QUALIFY row_number() OVER (
   PARTITION BY latitude, longitude, datetime ORDER BY ingested_at DESC, event_id) = 1
 """,
-    "hotspots": """
+    "placed": """
 SELECT sha256(concat(latitude, ':', longitude, ':', cast(acq_date AS varchar), ':', acq_time, ':',
     satellite, ':', instrument, ':', version)) AS id,
   concat(satellite, '_', instrument) AS satellite_id,

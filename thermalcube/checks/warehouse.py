@@ -8,8 +8,8 @@ from thermalcube.checks.registry import query
 from thermalcube.checks.staging import accepted, by_source, weather
 from thermalcube.checks.views import detections, locations, place_responses
 from thermalcube.operators import dedup, lookups, shaping
-from thermalcube.plans import daily, dims, facts, quality
-from thermalcube.plans.star import star_join as join_star
+from thermalcube.plans import backfill, daily, dims, facts, quality, questions
+from thermalcube.plans.star import star_join as join_star, warehouse_star
 from thermalcube.schemas import DETECTION_KEYS, WEATHER_KEYS, WAREHOUSE_TABLES
 from thermalcube.session import scratch_path
 from thermalcube.sources import tables
@@ -29,7 +29,7 @@ def stored_staging(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Both staging tables as stored by month, so that each consumer only scans what it needs."""
     frames = []
     for rows, date, name in (
-        (staged(spark, sf), "acq_date", "hotspot"),
+        (staged(spark, sf), "acq_date", "detection"),
         (staged_weather(spark, sf), "acq_date", "weather"),
     ):
         path = scratch_path(spark, f"staging-{name}")
@@ -42,14 +42,14 @@ def warehouse_tables(spark, sf) -> dict[str, DataFrame]:
     """All nine tables built from every staged row."""
     (hot, wet), places = stored_staging(spark, sf), accepted(spark, sf)
     built = {
-        "staging_hotspot": hot,
+        "staging_detection": hot,
         "staging_weather": wet,
         "dim_period": dims.dim_period(hot.select("acq_date"), wet.select("acq_date")),
         "dim_location": places,
         "dim_satellite": dims.dim_satellite(hot),
         "dim_confidence": dims.dim_confidence(hot),
         "dim_weather_condition": dims.dim_weather_condition(wet),
-        "fact_hotspot": facts.fact_hotspot(hot, places)[0],
+        "fact_detection": facts.fact_detection(hot, places)[0],
         "fact_weather": facts.fact_weather(wet, places)[0],
     }
     return {name: built[name] for name in WAREHOUSE_TABLES}
@@ -150,31 +150,52 @@ def dim_location(spark, sf):
 
 
 @query(
-    """SELECT id, satellite_id, confidence_id, period_id, location_id, acquired_at, frp, cast(NULL AS double) AS brightness,
-  latitude, longitude FROM hotspots"""
+    """SELECT id, satellite_id, confidence_id, period_id, location_id, acquired_at, frp,
+  cast(CASE WHEN event_id % 5 = 0 THEN 0 ELSE event_id % 700 END AS double) AS brightness,
+  0::double AS bright_t31, 0::double AS bright_ti4, cast(event_id % 300 AS double) AS bright_ti5, latitude, longitude,
+  cast(CASE WHEN event_id % 4 = 0 THEN 0.5 ELSE 0 END AS double) AS scan, 0::double AS track, acq_date AS date_value
+FROM placed"""
 )
-def fact_hotspot(spark, sf):
-    rows = facts.fact_hotspot(staged(spark, sf), accepted(spark, sf))[0]
-    return rows.select(
-        "id", "satellite_id", "confidence_id", "period_id", "location_id", "acquired_at",
-        F.col("frp").cast("double"), F.col("brightness").cast("double"), "latitude", "longitude",
+def fact_detection(spark, sf):
+    """All columns; measures that are null or absent are stored as 0."""
+    rows = staged(spark, sf).withColumns(
+        {
+            "brightness": F.expr("CASE WHEN event_id % 5 <> 0 THEN cast(event_id % 700 AS float) END"),
+            "bright_t31": F.lit(None).cast("float"),
+            "bright_ti5": F.expr("cast(event_id % 300 AS float)"),
+            "scan": F.expr("CASE WHEN event_id % 4 = 0 THEN 0.5 END"),
+        }
     )
+    built = facts.fact_detection(rows, accepted(spark, sf))[0]
+    floats = {f.name for f in built.schema if f.dataType.simpleString() == "float"}
+    return built.select(*[F.col(c).cast("double") if c in floats else F.col(c) for c in built.columns])
 
 
 WEATHER_FACT_SQL = """SELECT sha256(concat(latitude, ':', longitude, ':', datetime)) AS id,
   sha256(cast(acq_date AS varchar)) AS period_id, location_id, sha256(conditions) AS weather_condition_id,
-  cast(datetime AS timestamp) AS acquired_at, cast(temperature AS integer) AS temperature,
-  wind_speed, cast(pressure AS integer) AS pressure, latitude, longitude
+  cast(datetime AS timestamp) AS acquired_at, cast(temperature AS bigint) AS temperature,
+  cast(coalesce(k % 90, 0) AS double) AS humidity, wind_speed, 0::double AS wind_degree, 0::bigint AS visibility,
+  CASE WHEN k % 3 = 0 THEN 0 ELSE k % 100 END::bigint AS cloud_coverage, latitude, longitude,
+  CASE WHEN k % 5 = 0 THEN 0 ELSE cast(pressure AS bigint) END AS pressure, 0::bigint AS uv_index,
+  0::double AS precipitation, 0::double AS solar_radiation, acq_date AS date_value
 FROM wstaged JOIN mapping USING (latitude, longitude)"""
 
 
 @query(WEATHER_FACT_SQL)
 def fact_weather(spark, sf):
-    rows = facts.fact_weather(staged_weather(spark, sf), accepted(spark, sf))[0]
-    return rows.select(
-        "id", "period_id", "location_id", "weather_condition_id", "acquired_at",
-        F.col("temperature").cast("int"), F.col("wind_speed").cast("double"), "pressure",
-        "latitude", "longitude",
+    """All columns; measures that are absent or out of the stored range are stored as 0."""
+    rows = dedup.latest_by_key(weather(spark, sf), WEATHER_KEYS, [F.col("event_id")]).withColumns(
+        {
+            "humidity": F.expr("cast(k % 90 AS double)"),
+            "cloud_coverage": F.expr("CASE WHEN k % 3 <> 0 THEN cast(k % 100 AS double) END"),
+            "pressure": F.expr("CASE WHEN k % 5 = 0 THEN 70000D ELSE pressure END"),
+            "visibility": F.lit(-1.0),
+        }
+    )
+    built = facts.fact_weather(shaping.narrow_weather_types(rows), accepted(spark, sf))[0]
+    kinds = {"float": "double", "smallint": "bigint", "int": "bigint"}
+    return built.select(
+        *[F.col(f.name).cast(kinds.get(f.dataType.simpleString(), f.dataType.simpleString())) for f in built.schema]
     )
 
 
@@ -203,24 +224,24 @@ def attach_dim_keys(spark, sf):
     )
 
 
-@query("SELECT id, acquired_at FROM hotspots WHERE acq_date = date '2024-01-20'")
+@query("SELECT id, acquired_at FROM placed WHERE acq_date = date '2024-01-20'")
 def facts_for_date(spark, sf):
     hot = staged(spark, sf)
-    rows = facts.fact_hotspot(hot, accepted(spark, sf))[0]
+    rows = facts.fact_detection(hot, accepted(spark, sf))[0]
     periods = dims.dim_period(hot.select("acq_date"))
     return lookups.facts_for_date(rows, periods, "2024-01-20").select("id", "acquired_at")
 
 
 @query(
-    """SELECT h.id, acq_date AS tanggal, acquired_at AS hotspot_time, satellite AS satelit,
+    """SELECT h.id, acq_date AS tanggal, acquired_at AS detected_at, satellite AS satelit,
   CASE instrument WHEN 'MODIS' THEN CASE WHEN try_cast(confidence AS integer) >= 80 THEN 'high'
       WHEN try_cast(confidence AS integer) >= 30 THEN 'medium' ELSE 'low' END
     WHEN 'VIIRS' THEN CASE confidence WHEN 'h' THEN 'high' WHEN 'n' THEN 'medium' ELSE 'low' END
     ELSE 'unknown' END AS confidence,
   pulau, province_name AS provinsi, city_name AS kota, district_name AS kecamatan, subdistrict_name AS desa,
-  cast(weekofyear(acq_date) AS integer) AS week_value, cast(1 AS bigint) AS hotspot_count,
+  cast(weekofyear(acq_date) AS integer) AS week_value, cast(1 AS bigint) AS detections,
   cast(h.latitude AS double) AS lat, cast(h.longitude AS double) AS lon
-FROM hotspots h JOIN loc ON loc.id = location_id"""
+FROM placed h JOIN loc ON loc.id = location_id"""
 )
 def star_join(spark, sf):
     hot, places = staged(spark, sf), accepted(spark, sf)
@@ -233,11 +254,38 @@ def star_join(spark, sf):
     }
     tables.insert_new_dims(spark, batch, root)
     stored = {n: spark.read.schema(df.schema).parquet(f"{root}/{n}") for n, df in batch.items()}
-    stored |= {"dim_location": places, "fact_hotspot": facts.fact_hotspot(hot, places)[0]}
+    stored |= {"dim_location": places, "fact_detection": facts.fact_detection(hot, places)[0]}
     islands = locations(spark, sf).select("province_name", "pulau").distinct()
     return join_star(stored, islands)
 
 
+@query(
+    """SELECT CASE WHEN event_id % 3 = 0 THEN 'unknown' ELSE confidence_class END AS label, count(*) AS total FROM (
+  SELECT event_id, CASE instrument WHEN 'MODIS' THEN CASE WHEN try_cast(confidence AS integer) >= 80 THEN 'high'
+      WHEN try_cast(confidence AS integer) >= 30 THEN 'medium' ELSE 'low' END
+    WHEN 'VIIRS' THEN CASE confidence WHEN 'h' THEN 'high' WHEN 'n' THEN 'medium' ELSE 'low' END
+    ELSE 'unknown' END AS confidence_class FROM placed) GROUP BY 1"""
+)
+def ask_confidence_mixed_nulls(spark, sf):
+    """Null, empty and filled confidences: every detection counts once."""
+    rows = staged(spark, sf).withColumns(
+        {
+            "confidence": F.expr("CASE WHEN event_id % 6 = 0 THEN NULL WHEN event_id % 6 = 3 THEN '' ELSE confidence END"),
+            "instrument": F.expr("CASE WHEN event_id % 3 = 0 THEN 'OTHER' ELSE instrument END"),
+        }
+    )
+    places, root = accepted(spark, sf), scratch_path(spark, "star")
+    batch = {"dim_satellite": dims.dim_satellite(rows), "dim_confidence": dims.dim_confidence(rows),
+             "dim_period": dims.dim_period(rows.select("acq_date"))}
+    tables.insert_new_dims(spark, batch, root)
+    stored = {n: spark.read.schema(df.schema).parquet(f"{root}/{n}") for n, df in batch.items()}
+    stored |= {"dim_location": places, "fact_detection": facts.fact_detection(rows, places)[0]}
+    # A province listed twice must not double its places.
+    islands = locations(spark, sf).select("province_name", "pulau").distinct()
+    star = warehouse_star(stored, islands.union(islands.withColumn("pulau", F.lit("~"))))
+    return questions.ask(star, "confidence")
+
+
 BATCH_COUNTS_SQL = """
 WITH h AS (SELECT * FROM staged WHERE batch_id = 'B2'), w AS (SELECT * FROM wstaged WHERE batch_id = 'B2')
 SELECT 'dim_period' AS table_name, count(DISTINCT acq_date) AS row_count
@@ -245,7 +293,7 @@ SELECT 'dim_period' AS table_name, count(DISTINCT acq_date) AS row_count
 UNION ALL SELECT 'dim_satellite', count(DISTINCT (satellite, instrument)) FROM h
 UNION ALL SELECT 'dim_confidence', count(DISTINCT (confidence, instrument)) FROM h
 UNION ALL SELECT 'dim_weather_condition', count(DISTINCT conditions) FROM w
-UNION ALL SELECT 'fact_hotspot', count(*) FROM hotspots WHERE batch_id = 'B2'
+UNION ALL SELECT 'fact_detection', count(*) FROM placed WHERE batch_id = 'B2'
 UNION ALL SELECT 'fact_weather', count(*) FROM w JOIN mapping USING (latitude, longitude)"""
 
 
@@ -260,14 +308,14 @@ def transform_batch(spark, sf):
 
 
 @query(
-    """SELECT 'staging_hotspot' AS table_name, count(*) AS row_count FROM staged
+    """SELECT 'staging_detection' AS table_name, count(*) AS row_count FROM staged
 UNION ALL SELECT 'staging_weather', count(*) FROM wstaged
 UNION ALL SELECT 'dim_period', count(DISTINCT acq_date) FROM det
 UNION ALL SELECT 'dim_location', count(*) FROM acc
 UNION ALL SELECT 'dim_satellite', count(DISTINCT (satellite, instrument)) FROM staged
 UNION ALL SELECT 'dim_confidence', count(DISTINCT (confidence, instrument)) FROM staged
 UNION ALL SELECT 'dim_weather_condition', count(DISTINCT conditions) FROM wstaged
-UNION ALL SELECT 'fact_hotspot', count(*) FROM hotspots
+UNION ALL SELECT 'fact_detection', count(*) FROM placed
 UNION ALL SELECT 'fact_weather', count(*) FROM wstaged JOIN mapping USING (latitude, longitude)"""
 )
 def table_counts(spark, sf):
@@ -282,7 +330,7 @@ def table_counts(spark, sf):
 FROM (SELECT count(*) AS n FROM staged UNION ALL SELECT count(*) FROM wstaged
   UNION ALL SELECT count(*) FROM det UNION ALL SELECT count(*) FROM acc UNION ALL SELECT count(*) FROM staged
   UNION ALL SELECT count(*) FROM staged UNION ALL SELECT count(*) FROM wstaged WHERE conditions = 'none'
-  UNION ALL SELECT count(*) FROM hotspots UNION ALL SELECT count(*) FROM hotspots WHERE frp < 0)"""
+  UNION ALL SELECT count(*) FROM placed UNION ALL SELECT count(*) FROM placed WHERE frp < 0)"""
 )
 def quality_scorecard(spark, sf):
     """Two of the nine tables are empty."""
@@ -404,7 +452,7 @@ def load_day(spark, sf):
     satellite = stored["dim_satellite"].selectExpr("id AS satellite_id", "satellite_name")
     confidence = stored["dim_confidence"].selectExpr("id AS confidence_id", "confidence_raw")
     return (
-        stored["fact_hotspot"]
+        stored["fact_detection"]
         .join(period, "period_id")
         .join(satellite, "satellite_id")
         .join(confidence, "confidence_id")
@@ -412,6 +460,44 @@ def load_day(spark, sf):
     )
 
 
+@query(
+    """WITH w AS (SELECT * FROM wflat SEMI JOIN acc USING (latitude, longitude)
+  WHERE acq_date IN (date '2024-01-13', date '2024-01-14') QUALIFY row_number() OVER (
+    PARTITION BY latitude, longitude, datetime ORDER BY event_id) = 1)
+SELECT sha256(concat(latitude, ':', longitude, ':', datetime)) AS id, acq_date AS date_value,
+  cast(datetime AS timestamp) AS acquired_at, sha256(conditions) AS weather_condition_id FROM w"""
+)
+def load_day_weather(spark, sf):
+    """Weather on the day of the detections and on the next: all of it becomes facts."""
+    root, measured = scratch_path(spark, "warehouse"), weather(spark, sf)
+    two_days = measured.filter("acq_date IN (date '2024-01-13', date '2024-01-14')")
+    daily.load_day(
+        spark, root, by_source(spark, sf), place_responses(spark, sf), "2024-01-13", "LOAD-0",
+        "2024-02-01 00:00:00", ["event_order"], two_days, ["event_id"],
+    )
+    return spark.read.parquet(f"{root}/fact_weather").select("id", "date_value", "acquired_at", "weather_condition_id")
+
+
+@query(
+    """WITH firsts AS (SELECT * FROM det WHERE acq_date BETWEEN date '2024-01-01' AND date '2024-01-31'
+  QUALIFY row_number() OVER (PARTITION BY latitude, longitude, acq_date, acq_time, satellite, instrument
+    ORDER BY event_id) = 1)
+SELECT sha256(concat(latitude, ':', longitude, ':', cast(acq_date AS varchar), ':', acq_time, ':',
+    satellite, ':', instrument, ':', version)) AS id, acq_date AS date_value, concat(satellite, '_', instrument) AS satellite_id,
+  location_id, cast(CASE WHEN instrument = 'MODIS' THEN cast(frp + 300 AS float) ELSE 0 END AS double) AS brightness
+FROM firsts JOIN mapping USING (latitude, longitude)"""
+)
+def load_backfill(spark, sf):
+    """A month of landed detections loaded in one go."""
+    root = scratch_path(spark, "warehouse")
+    requests = spark.createDataFrame([(2024, 1, 1)], "year int, start_month int, end_month int")
+    backfill.load_backfill(
+        spark, root, requests, by_source(spark, sf), accepted(spark, sf), "BACK-1", "2024-02-01 00:00:00", ["event_order"]
+    )
+    rows = spark.read.parquet(f"{root}/fact_detection")
+    return rows.select("id", "date_value", "satellite_id", "location_id", F.col("brightness").cast("double"))
+
+
 def _load_days(spark, sf, root, *days):
     measured = weather(spark, sf)
     for number, day in enumerate(days):
@@ -429,14 +515,14 @@ def _load_days(spark, sf, root, *days):
 w AS (SELECT * FROM wflat SEMI JOIN acc USING (latitude, longitude)
   WHERE acq_date = date '2024-01-13' QUALIFY row_number() OVER (
     PARTITION BY latitude, longitude, datetime ORDER BY event_id) = 1)
-SELECT 'staging_hotspot' AS table_name, count(*) AS row_count FROM h
+SELECT 'staging_detection' AS table_name, count(*) AS row_count FROM h
 UNION ALL SELECT 'staging_weather', count(*) FROM w
 UNION ALL SELECT 'dim_period', count(DISTINCT acq_date) FROM (SELECT acq_date FROM h UNION ALL SELECT acq_date FROM w)
 UNION ALL SELECT 'dim_location', count(DISTINCT (latitude, longitude)) FROM acc
 UNION ALL SELECT 'dim_satellite', count(DISTINCT (satellite, instrument)) FROM h
 UNION ALL SELECT 'dim_confidence', count(DISTINCT (confidence, instrument)) FROM h
 UNION ALL SELECT 'dim_weather_condition', count(DISTINCT conditions) FROM w
-UNION ALL SELECT 'fact_hotspot', count(*) FROM h
+UNION ALL SELECT 'fact_detection', count(*) FROM h
 UNION ALL SELECT 'fact_weather', count(*) FROM w"""
 )
 def load_day_table_counts(spark, sf):

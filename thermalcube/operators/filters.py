@@ -1,7 +1,7 @@
 """Row filters on staged detections and on feature rows.
 
-Feature rows are flat: tanggal (date), hotspot_time (timestamp), satelit, confidence, the five
-place levels, hotspot_count, lat, lon.
+Feature rows are flat: tanggal (date), detected_at (timestamp), satelit, confidence, the five
+place levels, detections, lat, lon.
 """
 
 from __future__ import annotations

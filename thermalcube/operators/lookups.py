@@ -13,7 +13,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from thermalcube.functions.text import surrogate_id
-from thermalcube.schemas import COORDINATE
+from thermalcube.functions.time import weather_datetime
+from thermalcube.schemas import COORDINATE, DAY
 
 
 def keep_located(df: DataFrame, places: DataFrame) -> DataFrame:
@@ -43,7 +44,8 @@ def reject_metrics(df: DataFrame, places: DataFrame) -> DataFrame:
 def location_mapping(places: DataFrame, coordinates: DataFrame | None = None) -> DataFrame:
     """One location id per coordinate (the smallest), for the asked coordinates only."""
     if coordinates is not None:
-        places = places.join(coordinates.select(*COORDINATE), list(COORDINATE), "left_semi")
+        # Spark splits hot keys of a semi-join's left side only, so the right side has each key once.
+        places = places.join(coordinates.select(*COORDINATE).distinct(), list(COORDINATE), "left_semi")
     return places.groupBy(*COORDINATE).agg(F.min("id").alias("location_id"))
 
 
@@ -55,7 +57,7 @@ def attach_location(df: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def new_rows(df: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key is not stored yet."""
-    return df.join(existing.select(*keys), list(keys), "left_anti")
+    return df.join(existing.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def new_rows_by_id(df: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
@@ -102,8 +104,10 @@ def first_period_id(periods: DataFrame) -> DataFrame:
 
 
 def facts_for_date(facts: DataFrame, periods: DataFrame, date: str) -> DataFrame:
-    """Fact rows that belong to a calendar date."""
-    ids = periods.filter(F.col("date_value") == F.lit(str(date)).cast("date"))
+    """Fact rows that belong to a calendar date; the stored day column prunes the other folders."""
+    day = F.lit(str(date)).cast("date")
+    facts = facts.filter(F.col(DAY) == day)
+    ids = periods.filter(F.col("date_value") == day)
     # The period table has one row per calendar day, so one day's ids are a row or two.
     wanted = F.broadcast(ids.select(F.col("id").alias("period_id")).distinct())
     return facts.join(wanted, "period_id", "left_semi")
@@ -134,6 +138,34 @@ def cache_split(
     return keys.join(newest, list(on), "left").withColumn("is_hit", F.coalesce(alive, F.lit(False)))
 
 
+def lookups_to_fetch(
+    detections: DataFrame,
+    place_cache: DataFrame,
+    stored_places: DataFrame,
+    weather_cache: DataFrame,
+    stored_weather: DataFrame,
+    as_of: str,
+    place_seconds: int | None = None,
+    weather_seconds: int | None = None,
+) -> DataFrame:
+    """What has to be asked for detections: places and weather moments neither cached nor stored.
+
+    One row per kind, coordinate and, for weather, moment. Caches hold their key and ``cached_at``.
+    """
+    moment = weather_datetime(F.col("acq_date"), F.col("acq_time")).alias("datetime")
+    asked = (
+        ("place", detections.select(*COORDINATE), place_cache, stored_places, place_seconds or location_ttl()),
+        ("weather", detections.select(*COORDINATE, moment), weather_cache, stored_weather, weather_seconds or weather_ttl()),
+    )
+    found = []
+    for kind, rows, cache, stored, seconds in asked:
+        split = cache_split(rows.distinct(), cache, rows.columns, seconds, as_of)
+        missing = new_rows(split.filter(~F.col("is_hit")), stored, rows.columns)
+        at = F.col("datetime") if "datetime" in rows.columns else F.lit(None).cast("string")
+        found.append(missing.select(F.lit(kind).alias("kind"), *COORDINATE, at.alias("datetime")))
+    return found[0].unionByName(found[1])
+
+
 def location_ttl(hours: int = 6) -> int:
     """Lifetime of a cached place in seconds; the setting counts days of 24 hours."""
     return hours * 24 * 3600

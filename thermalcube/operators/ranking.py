@@ -14,7 +14,7 @@ from thermalcube.functions.time import month_index
 from thermalcube.session import checkpointed
 
 DATE_COLUMNS = ("tanggal", "properties.time")
-NUMBER_COLUMNS = ("jumlah", "hotspot_count", "properties.hotspot_count")
+NUMBER_COLUMNS = ("jumlah", "detections", "properties.detections")
 # Pages that end beyond this row are located by partition instead of by one top-k task.
 TOP_K_ROWS = 100_000
 
@@ -38,6 +38,8 @@ def sort_table(df: DataFrame, column: str, order: str, tie_break: Sequence[str])
 
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int = 10) -> DataFrame:
     """Rows of page ``number`` (from 1) in the given order."""
+    if number < 1 or size < 1:
+        raise ValueError("pages and their size count from 1")
     skip = (number - 1) * size
     if skip + size <= TOP_K_ROWS:
         return df.orderBy(*order).offset(skip).limit(size)
@@ -73,12 +75,12 @@ def total_pages(df: DataFrame, size: int = 10) -> DataFrame:
 
 def latest_n(df: DataFrame, n: int = 5, tie_break: str = "id") -> DataFrame:
     """Newest detections first; rows without a time come last."""
-    return df.orderBy(F.col("hotspot_time").desc_nulls_last(), F.col(tie_break)).limit(n)
+    return df.orderBy(F.col("detected_at").desc_nulls_last(), F.col(tie_break)).limit(n)
 
 
 def latest_date(df: DataFrame) -> DataFrame:
     """Date of the newest detection, and the largest date on record; unknown dates are ignored."""
-    newest = F.max_by("tanggal", F.struct("hotspot_time", "tanggal"))
+    newest = F.max_by("tanggal", F.struct("detected_at", "tanggal"))
     return df.agg(newest.alias("newest_date"), F.max("tanggal").alias("largest_date"))
 
 

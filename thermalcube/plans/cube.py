@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from thermalcube.functions.text import is_special_region, normalize_region, upper_trimmed
+from thermalcube.functions.text import is_special_region, normalize_region
 from thermalcube.functions.time import time_attributes
 from thermalcube.operators.filters import boundaries_of_parent, match_any_level
 from thermalcube.operators.ranking import time_member_order
@@ -62,7 +62,7 @@ def count_by_satellite(rows: DataFrame, params: Params = None) -> DataFrame:
 
 def _count_by(rows: DataFrame, column: str, params: Params) -> DataFrame:
     kept = rows.filter(CubeQuery.from_params(params).predicate())
-    return kept.groupBy(F.col(column).alias("label")).agg(F.sum("hotspot_count").alias("total"))
+    return kept.groupBy(F.col(column).alias("label")).agg(F.sum("detections").alias("total"))
 
 
 def time_members(star: Star, level: str, params: Params = None) -> DataFrame:
@@ -81,26 +81,16 @@ def time_members(star: Star, level: str, params: Params = None) -> DataFrame:
     return time_member_order(members.distinct(), level)
 
 
-def region_key(level: str, label: Column) -> Column:
-    """Name under which a place is shown on the map."""
-    if level in ("pulau", "provinsi"):
-        return upper_trimmed(label)
-    return normalize_region(label)
-
-
 def choropleth_counts(star: Star, level: str, params: Params = None) -> DataFrame:
     """Counts by map name. Names are normalised after counting, once per distinct label."""
     cells = count_by_level(star, level, params)
-    return _sum_by_region(cells, region_key(level, F.col("label")))
+    return merge_counts(cells)
 
 
 def merge_counts(cells: DataFrame) -> DataFrame:
-    """Given (label, total) pairs by normalised name; equal names add up."""
-    return _sum_by_region(cells, normalize_region(F.col("label")))
-
-
-def _sum_by_region(cells: DataFrame, key: Column) -> DataFrame:
-    named = cells.select(key.alias("region"), "total").filter(F.col("region") != "")
+    """Given (label, total) pairs by normalised name, as the boundaries have it; equal names add up."""
+    region = normalize_region(F.col("label")).alias("region")
+    named = cells.select(region, "total").filter(F.col("region") != "")
     return named.groupBy("region").agg(F.sum("total").alias("total"))
 
 

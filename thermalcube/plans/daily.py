@@ -11,7 +11,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from thermalcube.operators.shaping import union_vertical
+from thermalcube.operators.shaping import apply_defaults, union_vertical
 from thermalcube.plans import dims, facts, staging
 from thermalcube.plans.quality import quality_scorecard
 from thermalcube.schemas import COORDINATE, DAY, DETECTION_KEYS, WAREHOUSE_TABLES, WEATHER_KEYS
@@ -27,11 +27,11 @@ from thermalcube.sources.tables import (
 )
 
 STAGING = {
-    "staging_hotspot": ("acq_date", DETECTION_KEYS),
+    "staging_detection": ("acq_date", DETECTION_KEYS),
     "staging_weather": ("datetime", WEATHER_KEYS),
 }
 FACT_ORDER = {
-    "fact_hotspot": ("period_id", "location_id", "satellite_id"),
+    "fact_detection": ("period_id", "location_id", "satellite_id"),
     "fact_weather": ("period_id", "location_id", "weather_condition_id"),
 }
 
@@ -53,6 +53,7 @@ def load_staging(
     """Add staged rows to the staging tables, newest per key kept; ``days`` where known."""
     for name, rows in staged.items():
         date, keys = STAGING[name]
+        rows = apply_defaults(rows)
         # Rows that tie on everything are equal, so the kept row never depends on task order.
         rest = [c for c in rows.columns if c not in keys and c != "ingested_at"]
         known = (days or {}).get(name)
@@ -102,18 +103,27 @@ def load_day(
 ) -> DataFrame:
     """One day's feeds into staging, dimensions and facts; returns the quality verdict.
 
-    The feeds hold the whole day each time, so the day's facts are replaced as a whole.
+    The feeds hold the whole day each time, so the day's facts are replaced as a whole. Weather may
+    fall on any day: every day it touches is rebuilt from all that is staged for it.
     """
     places = load_places(spark, root, answers)
     staged = staging.extract_day(
         sources, places, date, batch_id, ingested_at, tie_break, weather, weather_tie_break
     )
     day = dt.date.fromisoformat(date)
-    load_staging(spark, root, staged, {"staging_hotspot": [day]})
+    days = {"staging_detection": [day]}
+    if weather is not None:
+        # Calendar days of one answer file, usually one or two.
+        measured = staged["staging_weather"].select(F.col("datetime").try_cast("date").alias(DAY))
+        days["staging_weather"] = [r[0] for r in measured.distinct().collect()]
+    load_staging(spark, root, staged, days)
     stored = stored_tables(spark, root, *WAREHOUSE_TABLES)
-    hot, wet = (_staged_days(stored.get(name), [day]) for name in STAGING)
+    hot = _staged_days(stored.get("staging_detection"), [day])
+    wet = None if weather is None else _staged_days(stored.get("staging_weather"), days["staging_weather"])
     near = _places_of(spark, places, *[df for df in (hot, wet) if df is not None])
     built = facts.transform_batch(hot, wet, near, batch_id, stored)
+    if wet is not None:
+        built["fact_weather"] = facts.fact_weather(wet, near, stored)[0]
     load_tables(spark, root, built)
     return quality_scorecard(stored_tables(spark, root, *WAREHOUSE_TABLES))
 
@@ -133,7 +143,7 @@ def refresh_days(spark: SparkSession, root: str, days: DataFrame, places: DataFr
         "dim_period": dims.dim_period(hot.select("acq_date"), existing=stored.get("dim_period")),
         "dim_satellite": dims.dim_satellite(hot),
         "dim_confidence": dims.dim_confidence(hot, stored.get("dim_confidence")),
-        "fact_hotspot": facts.fact_hotspot(hot, near, stored)[0],
+        "fact_detection": facts.fact_detection(hot, near, stored)[0],
     }
     if wet is not None:
         built["dim_weather_condition"] = dims.dim_weather_condition(

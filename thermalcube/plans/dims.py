@@ -45,7 +45,8 @@ def dim_satellite(staged: DataFrame) -> DataFrame:
 
 
 def dim_confidence(staged: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    pairs = staged.select(*CONFIDENCE_KEY).distinct()
+    # Null and empty have one id, so they are one row.
+    pairs = staged.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in CONFIDENCE_KEY]).distinct()
     keyed = assign_key(pairs, existing, CONFIDENCE_KEY, existing_key=STORED_CONFIDENCE_KEY)
     raw, instrument = F.col("confidence"), F.col("instrument")
     return keyed.select(
@@ -61,7 +62,8 @@ def dim_confidence(staged: DataFrame, existing: DataFrame | None = None) -> Data
 
 def dim_weather_condition(staged: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """One row per condition text, with the smallest icon name."""
-    conditions = staged.groupBy("conditions").agg(F.min("icon").alias("icon"))
+    text = F.coalesce("conditions", F.lit("")).alias("conditions")
+    conditions = staged.groupBy(text).agg(F.min("icon").alias("icon"))
     return assign_key(conditions, existing, ["conditions"]).select("id", "conditions", "icon")
 
 
@@ -76,7 +78,7 @@ def dim_location(
     if existing is not None:
         # Stored places grow with the record, an answer file does not: stored rows are first cut
         # down to the answered coordinates, a side small enough to be broadcast.
-        asked = accepted.select(*COORDINATE)
+        asked = accepted.select(*COORDINATE).distinct()
         known = existing.select(*COORDINATE).join(asked, list(COORDINATE), "left_semi")
         accepted = new_rows(accepted, known, COORDINATE)
     once = first_per_key(accepted, COORDINATE, [F.col(tie_break)])

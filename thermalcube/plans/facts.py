@@ -13,7 +13,7 @@ from thermalcube.functions.text import detection_key, surrogate_id, weather_key
 from thermalcube.functions.time import acquired_at
 from thermalcube.operators.filters import for_batch, latest_batch, require_fk
 from thermalcube.operators.lookups import assign_key, attach_location, location_mapping
-from thermalcube.operators.shaping import measure_casts
+from thermalcube.operators.shaping import apply_defaults, measure_casts
 from thermalcube.plans.dims import (
     CONFIDENCE_KEY,
     STORED_CONFIDENCE_KEY,
@@ -25,7 +25,7 @@ from thermalcube.plans.dims import (
 from thermalcube.schemas import (
     DAY,
     DETECTION_KEYS,
-    FACT_HOTSPOT_COLUMNS,
+    FACT_DETECTION_COLUMNS,
     FACT_MEASURES,
     FACT_WEATHER_COLUMNS,
     WEATHER_KEYS,
@@ -45,8 +45,8 @@ def attach_dim_keys(staged: DataFrame, stored: Stored | None = None) -> DataFram
     return assign_key(rows, stored.get("dim_period"), [DAY], "period_id")
 
 
-def fact_hotspot(
-    staged: DataFrame, locations: DataFrame, stored: Stored | None = None, watch: str = "fact_hotspot"
+def fact_detection(
+    staged: DataFrame, locations: DataFrame, stored: Stored | None = None, watch: str = "fact_detection"
 ):
     """Detection facts of accepted places, and the observation that counts rejected rows."""
     located = attach_location(staged, location_mapping(locations))
@@ -58,7 +58,7 @@ def fact_hotspot(
             **{m: F.lit(None).cast("float") for m in FACT_MEASURES if m not in staged.columns},
         }
     )
-    return measure_casts(rows).select(*FACT_HOTSPOT_COLUMNS), observation
+    return apply_defaults(measure_casts(rows).select(*FACT_DETECTION_COLUMNS)), observation
 
 
 def fact_weather(
@@ -75,11 +75,12 @@ def fact_weather(
         rows, stored.get("dim_weather_condition"), ["conditions"], "weather_condition_id"
     )
     key = weather_key(*[F.col(c) for c in WEATHER_KEYS])
-    return rows.withColumn("id", surrogate_id(key)).select(*FACT_WEATHER_COLUMNS), observation
+    built = rows.withColumn("id", surrogate_id(key)).select(*FACT_WEATHER_COLUMNS)
+    return apply_defaults(built), observation
 
 
 def transform_batch(
-    staging_hotspot: DataFrame,
+    staging_detection: DataFrame,
     staging_weather: DataFrame | None,
     locations: DataFrame,
     batch_id: str | None = None,
@@ -91,11 +92,11 @@ def transform_batch(
     def pick(df: DataFrame) -> DataFrame:
         return for_batch(df, batch_id) if batch_id else latest_batch(df)
 
-    detections = pick(staging_hotspot)
+    detections = pick(staging_detection)
     tables = {
         "dim_satellite": dim_satellite(detections),
         "dim_confidence": dim_confidence(detections, stored.get("dim_confidence")),
-        "fact_hotspot": fact_hotspot(detections, locations, stored)[0],
+        "fact_detection": fact_detection(detections, locations, stored)[0],
     }
     dates = [detections.select("acq_date")]
     if staging_weather is not None:

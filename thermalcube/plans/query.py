@@ -90,6 +90,8 @@ class CubeQuery:
             return [F.lit(False)]
         tanggal = F.col("tanggal")
         first, last = months
+        if year is not None and not dt.MINYEAR <= year <= dt.MAXYEAR:
+            return [F.lit(False)]
         if year is not None:
             start = dt.date(year, first, 1)
             end = dt.date(year, last, calendar.monthrange(year, last)[1])

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
+from thermalcube.functions.time import week_of_month
 from thermalcube.plans import cube
 from thermalcube.plans.query import CubeQuery, conjunction
 from thermalcube.plans.star import Star
@@ -37,7 +38,7 @@ def _by_attribute(star: Star, column: str, params: Params) -> DataFrame:
     if not query.place_tests():
         return star.detections({column, *query.fact_columns()}).filter(
             conjunction(query.fact_tests())
-        ).groupBy(F.col(column).alias("label")).agg(F.sum("hotspot_count").alias("total"))
+        ).groupBy(F.col(column).alias("label")).agg(F.sum("detections").alias("total"))
     return star.totals([F.col(column).alias("label")], query=query, fact_keys=[column])
 
 
@@ -51,10 +52,11 @@ def detections(star: Star, params: Params = None) -> DataFrame:
     """Flat detections that meet the parameters."""
     query = CubeQuery.from_params(params)
     columns = (
-        "id", "tanggal", "hotspot_time", "satelit", "confidence", *PLACE_LEVELS,
-        "hotspot_count", "lat", "lon",
+        "id", "tanggal", "detected_at", "satelit", "confidence", *PLACE_LEVELS,
+        "detections", "lat", "lon",
     )
-    return star.flat(*columns).filter(query.predicate())
+    rows = star.flat(*columns).filter(query.predicate())
+    return rows.withColumn("minggu", week_of_month(F.col("tanggal")).cast("string"))
 
 
 def places(star: Star) -> DataFrame:

@@ -18,9 +18,9 @@ from thermalcube.operators.shaping import (
     tag_source,
     union_diagonal,
 )
-from thermalcube.schemas import DAILY_SOURCES
+from thermalcube.schemas import DAILY_SOURCES, WEATHER_KEYS
 
-_RANK = "__source_rank"
+SOURCE_RANK = "__source_rank"
 
 
 def combine_sources(sources: Mapping[str, DataFrame]) -> DataFrame:
@@ -28,7 +28,7 @@ def combine_sources(sources: Mapping[str, DataFrame]) -> DataFrame:
     order = {name: i for i, name in enumerate(DAILY_SOURCES)}
     frames = [
         tag_source(all_to_string(df), name).withColumn(
-            _RANK, F.lit(order.get(name, len(order) + i))
+            SOURCE_RANK, F.lit(order.get(name, len(order) + i))
         )
         for i, (name, df) in enumerate(sources.items())
     ]
@@ -44,8 +44,8 @@ def detections_of_day(
     reaches the source's scan.
     """
     rows = combine_sources({name: for_date(df, date) for name, df in sources.items()})
-    order = [F.col(_RANK), *[F.col(c) for c in tie_break]]
-    return dedup_detections(rows, order).drop(_RANK)
+    order = [F.col(SOURCE_RANK), *[F.col(c) for c in tie_break]]
+    return dedup_detections(rows, order).drop(SOURCE_RANK)
 
 
 def extract_day(
@@ -61,7 +61,7 @@ def extract_day(
     """Staged detections, and staged weather where given, of one day's accepted places."""
     located = keep_located(detections_of_day(sources, date, tie_break), places)
     staged = {
-        "staging_hotspot": align_detections(tag_batch(located, batch_id, ingested_at)),
+        "staging_detection": align_detections(tag_batch(located, batch_id, ingested_at)),
     }
     if weather is not None:
         staged["staging_weather"] = stage_weather(
@@ -73,5 +73,7 @@ def extract_day(
 def stage_weather(
     weather: DataFrame, batch_id: str, ingested_at: str, tie_break: list[str]
 ) -> DataFrame:
-    once = dedup_weather(weather, [F.col(c) for c in (tie_break or ["datetime"])])
+    # Rows that tie on everything are equal, so the kept row never depends on task order.
+    rest = tie_break or [c for c in weather.columns if c not in WEATHER_KEYS]
+    once = dedup_weather(weather, [F.col(c) for c in rest or WEATHER_KEYS])
     return align_weather(tag_batch(narrow_weather_types(once), batch_id, ingested_at))

@@ -73,7 +73,7 @@ class Star:
         Detections are summed per place (and fact key) before the places are joined. ``used``
         names fact attributes that the measures read besides the stored ones.
         """
-        measures = dict(measures or {"total": F.col("hotspot_count")})
+        measures = dict(measures or {"total": F.col("detections")})
         facts = self.detections({*query.fact_columns(), *fact_keys, *used})
         facts = facts.filter(conjunction(query.fact_tests()))
         places = self.joined_places().filter(conjunction(query.place_tests()))
@@ -99,7 +99,9 @@ def warehouse_star(tables: dict[str, DataFrame], islands: DataFrame) -> Star:
     location = tables["dim_location"].select(
         "id", "province_name", "city_name", "district_name", "subdistrict_name"
     )
-    places = location.join(islands.select("province_name", "pulau"), "province_name", "left").select(
+    # One island per province, so a province listed twice doubles no place.
+    island = islands.groupBy("province_name").agg(F.min("pulau").alias("pulau"))
+    places = location.join(island, "province_name", "left").select(
         F.col("id").alias(PLACE_KEY),
         F.col("pulau"),
         F.col("province_name").alias("provinsi"),
@@ -108,15 +110,15 @@ def warehouse_star(tables: dict[str, DataFrame], islands: DataFrame) -> Star:
         F.col("subdistrict_name").alias("desa"),
     )
     # The day column is the partition of the stored facts, so date filters prune folders.
-    facts = tables["fact_hotspot"].select(
+    facts = tables["fact_detection"].select(
         "id",
         "period_id",
         "satellite_id",
         "confidence_id",
         F.col("location_id").alias(PLACE_KEY),
         F.col(DAY).alias("tanggal"),
-        F.col("acquired_at").alias("hotspot_time"),
-        F.lit(1).cast("bigint").alias("hotspot_count"),
+        F.col("acquired_at").alias("detected_at"),
+        F.lit(1).cast("bigint").alias("detections"),
         F.col("latitude").try_cast("double").alias("lat"),
         F.col("longitude").try_cast("double").alias("lon"),
     )
@@ -145,8 +147,8 @@ def warehouse_star(tables: dict[str, DataFrame], islands: DataFrame) -> Star:
 def star_join(tables: dict[str, DataFrame], islands: DataFrame) -> DataFrame:
     """Flat feature rows: detection, place, date, satellite and confidence."""
     return warehouse_star(tables, islands).flat(
-        "id", "tanggal", "hotspot_time", "satelit", "confidence", *PLACE_LEVELS,
-        "week_value", "hotspot_count", "lat", "lon",
+        "id", "tanggal", "detected_at", "satelit", "confidence", *PLACE_LEVELS,
+        "week_value", "detections", "lat", "lon",
     )
 
 

@@ -27,14 +27,20 @@ def filter_table(
 
 def accumulate(rows: DataFrame) -> DataFrame:
     """Detections by date, satellite, confidence, province and city."""
-    return rows.groupBy(*ACCUMULATED_KEYS).agg(F.sum("hotspot_count").alias("jumlah"))
+    return rows.groupBy(*ACCUMULATED_KEYS).agg(F.sum("detections").alias("jumlah"))
 
 
 def accumulate_star(star: Star) -> DataFrame:
-    """The same from a star."""
+    """The same from a star.
+
+    These keys leave nearly as many rows as there are detections, so where places are broadcast they
+    are joined first and rows are summed in one shuffle; a large place table is joined to sums.
+    """
+    if star.small_places:
+        return accumulate(star.flat(*ACCUMULATED_KEYS, "detections"))
     return star.totals(
         ACCUMULATED_KEYS,
-        {"jumlah": F.col("hotspot_count")},
+        {"jumlah": F.col("detections")},
         fact_keys=("tanggal", "satelit", "confidence"),
         keep_unplaced=True,
     )
@@ -44,7 +50,7 @@ def export_detail(rows: DataFrame) -> DataFrame:
     """Twelve-column export of single detections."""
     return rows.select(
         F.col("tanggal").alias("Tanggal"),
-        extract_time(F.col("hotspot_time").cast("string")).alias("Waktu"),
+        extract_time(F.col("detected_at").cast("string")).alias("Waktu"),
         F.col("pulau").alias("Pulau"),
         F.col("provinsi").alias("Provinsi"),
         F.col("kota").alias("Kota"),
@@ -52,7 +58,7 @@ def export_detail(rows: DataFrame) -> DataFrame:
         F.col("desa").alias("Desa"),
         F.col("satelit").alias("Satelit"),
         F.col("confidence").alias("Confidence"),
-        F.col("hotspot_count").alias("Jumlah"),
+        F.col("detections").alias("Jumlah"),
         F.col("lat").alias("Latitude"),
         F.col("lon").alias("Longitude"),
     )

@@ -104,7 +104,7 @@ DIM_LOCATION_COLUMNS = (
 # Day of a fact row, the folder partition of the stored fact tables.
 DAY = "date_value"
 FACT_MEASURES = ("frp", "brightness", "bright_t31", "bright_ti4", "bright_ti5", "scan", "track")
-FACT_HOTSPOT_COLUMNS = (
+FACT_DETECTION_COLUMNS = (
     "id", "satellite_id", "confidence_id", "period_id", "location_id", "acquired_at",
     "frp", "brightness", "bright_t31", "bright_ti4", "bright_ti5", "latitude", "longitude",
     "scan", "track", DAY,
@@ -115,9 +115,9 @@ FACT_WEATHER_COLUMNS = (
     "longitude", "pressure", "uv_index", "precipitation", "solar_radiation", DAY,
 )
 WAREHOUSE_TABLES = (
-    "staging_hotspot", "staging_weather",
+    "staging_detection", "staging_weather",
     "dim_period", "dim_location", "dim_satellite", "dim_confidence", "dim_weather_condition",
-    "fact_hotspot", "fact_weather",
+    "fact_detection", "fact_weather",
 )
 
 # Detection feeds asked for every day, in the order that decides which copy is kept.
@@ -165,13 +165,14 @@ FEATURE_TYPE = T.StructType(
             "properties",
             T.StructType(
                 [
-                    T.StructField("id", T.LongType()),
+                    # Warehouse ids are texts; a number is read as its digits.
+                    T.StructField("id", T.StringType()),
                     T.StructField("minggu", T.StringType()),
                     T.StructField("confidence", T.StringType()),
                     T.StructField("satellite", T.StringType()),
                     T.StructField("time", T.StringType()),
-                    T.StructField("hotspot_time", T.StringType()),
-                    T.StructField("hotspot_count", T.LongType()),
+                    T.StructField("detected_at", T.StringType()),
+                    T.StructField("detections", T.LongType()),
                     T.StructField(
                         "location",
                         T.StructType(

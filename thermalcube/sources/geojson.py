@@ -25,9 +25,33 @@ def _documents(spark, path: str, feature: T.StructType, multi_line: bool) -> Dat
     return docs.select(F.explode(whole).alias("feature")).select("feature.*")
 
 
-def read_features(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Nested feature rows: geometry and properties."""
-    return _documents(spark, path, FEATURE_TYPE, multi_line)
+def _renamed(feature: T.StructType, fields: Mapping[str, str]) -> T.StructType:
+    """The feature type with properties under the names that the documents use for them."""
+    known = feature["properties"].dataType
+    properties = T.StructType([T.StructField(fields.get(f.name, f.name), f.dataType) for f in known])
+    return T.StructType(
+        [T.StructField(f.name, properties if f.name == "properties" else f.dataType) for f in feature]
+    )
+
+
+def read_features(
+    spark: SparkSession, path: str, multi_line: bool = False, fields: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Nested feature rows: geometry and properties.
+
+    ``fields`` says which property of the documents holds ``detected_at``, ``detections`` or any
+    other property, where its name differs.
+    """
+    return _documents(spark, path, _renamed(FEATURE_TYPE, fields or {}), multi_line).select(
+        "type", "geometry", F.col("properties").cast(FEATURE_TYPE["properties"].dataType).alias("properties")
+    )
+
+
+def write_features(rows: DataFrame, path: str, fields: Mapping[str, str] | None = None) -> None:
+    """Flat rows as one feature per line, with properties named as ``fields`` says."""
+    nested = nest_features(rows)
+    kind = _renamed(nested.schema, fields or {})
+    nested.select("type", "geometry", F.col("properties").cast(kind["properties"].dataType).alias("properties")).write.json(path)
 
 
 def flatten_features(features: DataFrame) -> DataFrame:
@@ -37,7 +61,7 @@ def flatten_features(features: DataFrame) -> DataFrame:
     return features.select(
         F.col(f"{p}.id").alias("id"),
         F.substring_index(F.col(f"{p}.time"), "T", 1).try_cast("date").alias("tanggal"),
-        F.col(f"{p}.hotspot_time").try_cast("timestamp").alias("hotspot_time"),
+        F.col(f"{p}.detected_at").try_cast("timestamp").alias("detected_at"),
         F.col(f"{p}.satellite").alias("satelit"),
         F.col(f"{p}.confidence").alias("confidence"),
         F.col(f"{p}.minggu").alias("minggu"),
@@ -46,7 +70,7 @@ def flatten_features(features: DataFrame) -> DataFrame:
         F.col(f"{place}.kab_kota").alias("kota"),
         F.col(f"{place}.kecamatan").alias("kecamatan"),
         F.col(f"{place}.desa").alias("desa"),
-        F.coalesce(f"{p}.hotspot_count", F.lit(0).cast("bigint")).alias("hotspot_count"),
+        F.coalesce(f"{p}.detections", F.lit(0).cast("bigint")).alias("detections"),
         lat_of(coordinates).alias("lat"),
         lon_of(coordinates).alias("lon"),
     )
@@ -63,13 +87,13 @@ def nest_features(rows: DataFrame) -> DataFrame:
             F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")
         ).alias("geometry"),
         F.struct(
-            "id",
+            F.col("id").cast("string").alias("id"),
             "minggu",
             "confidence",
             F.col("satelit").alias("satellite"),
             F.date_format("tanggal", "yyyy-MM-dd'T'00:00:00").alias("time"),
-            F.date_format("hotspot_time", "yyyy-MM-dd'T'HH:mm:ss").alias("hotspot_time"),
-            "hotspot_count",
+            F.date_format("detected_at", "yyyy-MM-dd'T'HH:mm:ss").alias("detected_at"),
+            "detections",
             location,
         ).alias("properties"),
     )

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from thermalcube.operators.dedup import latest_by_key
-from thermalcube.operators.lookups import new_rows, new_rows_by_id
+from thermalcube.operators.dedup import first_per_key, latest_by_key
+from thermalcube.operators.lookups import new_rows
 from thermalcube.sources.detections import NULL_TOKEN
 
 MONTH = "ym"
@@ -84,21 +84,18 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def insert_new_dims(spark: SparkSession, dims: dict[str, DataFrame], root: str) -> None:
-    """Append the unknown rows of each dimension, in loading order."""
+    """Append the unknown rows of each dimension, in loading order: one row per id, none without.
+
+    A dimension is computed once, for its write; one that brings nothing new adds an empty file.
+    """
     for name, keys in DIMENSION_ORDER:
         if name not in dims:
             continue
         path = f"{root}/{name}"
-        rows = dims[name]
+        rows = dims[name].filter(F.col("id").isNotNull())
+        rows = first_per_key(rows, keys, [F.col(c) for c in rows.columns if c not in keys])
         if exists(spark, path):
-            stored = spark.read.parquet(path)
-            if keys == ("id",):
-                rows = new_rows_by_id(rows, stored)
-            else:
-                rows = new_rows(rows, stored, keys)
-            if rows.isEmpty():
-                # Most loads bring nothing new; appending would add an empty file each time.
-                continue
+            rows = new_rows(rows, spark.read.parquet(path), keys)
         append_table(rows, path, dims[name].columns)
 
 

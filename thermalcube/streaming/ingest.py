@@ -74,7 +74,7 @@ def ingest_into_warehouse(
         rows = shape(batch, number)
         if rows.isEmpty():
             return
-        load_staging(spark, root, {"staging_hotspot": rows})
+        load_staging(spark, root, {"staging_detection": rows})
         refresh_days(spark, root, rows.select("acq_date"), places)
 
     query = (
