@@ -11,24 +11,33 @@ from functools import cache
 from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Letters of a subsequence, decay per letter spanned, longest span, letters of a piece of a long word.
+from thermalcube.llm.simhash import shingle_hashes
+
+#: Letters of a subsequence, decay per letter spanned, longest span, letters of a piece of a long word
+#: and how far its pieces lie apart.
 LETTERS = 3
-DECAY = 0.8
+DECAY = 0.6
 SPAN = 7
-PIECE = 24
+PIECE = 8
+STEP = 2
 ALPHABET = 64
-LANDMARKS = 64
+LANDMARKS = 48
+#: A clean document taken for toxic weighs as much as so many toxic ones missed.
+CLEAN_WEIGHT = 8.0
 #: The classifier is fitted on at most so many labelled documents of each label, chosen by hash.
 FIT_DOCUMENTS = 1500
 FIT_SENTENCES = 40
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
 #: Words less like every landmark than this carry no weight.
-LEAST_KERNEL = 0.35
-SENTENCE = re.compile(r"[.!?]+(?=\s)|[\r\n]+")
+LEAST_KERNEL = 0.4
+#: Landmarks share less than this part of the weight of either.
+ALIKE = 0.45
+TEXTS_AT_ONCE = 1 << 20
+SENTENCE = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
 #: Digits and signs that stand in for letters.
 STANDS_FOR = str.maketrans("013457@$", "oieastas")
 SPACED = re.compile(r"(?<![^\s])(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?![^\s.,;!?])")
@@ -62,14 +71,16 @@ def subsequences(word: str) -> dict[int, float]:
 
 
 def pieces(word: str) -> list[str]:
-    """A word, or overlapping parts of a very long one."""
+    """A word, or the overlapping parts of a long one, up to its end."""
     if len(word) <= PIECE:
         return [word]
-    return [word[i : i + PIECE] for i in range(0, len(word) - PIECE // 2, PIECE // 2)]
+    last = len(word) - PIECE
+    return [word[i : i + PIECE] for i in (*range(0, last, STEP), last)]
 
 
 class Landmarks:
-    """Kernel values of words against landmark words, in units of each landmark's own."""
+    """Normalised kernel values of words against landmark words, squared: the square of a kernel is a
+    kernel, and sets whole words off from those that share a syllable."""
 
     def __init__(self, words: list[str]):
         self.words = words
@@ -82,11 +93,14 @@ class Landmarks:
             for k, w in m.items():
                 self.weight[self.row[k], column] = w
         self.own = np.array([sum(w * w for w in m.values()) for m in maps])
-        self.cross = self.weight.T @ self.weight / np.sqrt(np.outer(self.own, self.own))
-        self.weight /= self.own
+        self.cross = (self.weight.T @ self.weight) ** 2 / np.outer(self.own, self.own)
+        self.weight /= np.sqrt(self.own)
+
+    def kernel(self, words: list[str], floor: float = 0.0) -> np.ndarray:
+        """(words, landmarks), 0 to 1; of a long word the most that one of its parts has.
 
-    def kernel(self, words: list[str]) -> np.ndarray:
-        """(words, landmarks); 1 where a word is the landmark, a part of it where letters are lacking."""
+        Parts that share too little for a kernel of ``floor`` count as sharing nothing.
+        """
         out = np.zeros((len(words), len(self.words)))
         by_length = defaultdict(list)
         for i, word in enumerate(words):
@@ -101,15 +115,24 @@ class Landmarks:
                 codes = codes_of("".join(p for _, p in part)).reshape(len(part), length)
                 keys = sum(codes[:, places[:, k]] * power[k] for k in range(LETTERS))
                 rows = self.row[keys]
+                # What a word shares with all landmarks together bounds its kernel with each of them.
+                keep = np.flatnonzero((rows >= 0) @ weights**2 >= floor**2 * (weights @ weights))
+                rows, keys = rows[keep], keys[keep]
                 word, place = np.nonzero(rows >= 0)
                 if not len(word):
                     continue
-                values = self.weight[rows[word, place]] * weights[place][:, None]
+                # A word's kernel with itself: subsequences that come twice add up before they are squared.
+                _, own = np.unique(np.arange(len(keep))[:, None] * ALPHABET**LETTERS + keys, return_inverse=True)
+                total = np.bincount(own.ravel(), np.tile(weights, len(keep)))
+                holder = np.zeros(len(total), dtype=np.int64)
+                holder[own.ravel()] = np.repeat(np.arange(len(keep)), len(weights))
+                norm = np.sqrt(np.bincount(holder, total**2, minlength=len(keep)))
+                values = self.weight[rows[word, place]] * (weights[place] / norm[word])[:, None]
                 first = np.flatnonzero(np.diff(word, prepend=-1))
                 sums = np.add.reduceat(values, first, axis=0)
-                index = np.array([i for i, _ in part])[word[first]]
+                index = np.array([i for i, _ in part])[keep[word[first]]]
                 np.maximum.at(out, index, np.minimum(sums, 1.0))
-        return out
+        return out**2
 
 
 @dataclass
@@ -122,52 +145,68 @@ class ToxicityModel:
     slope: float
     shift: float
     floor: float = LEAST_KERNEL
-    known: dict[str, int] = field(default_factory=dict, repr=False)
+    known: set[str] = field(default_factory=set, repr=False)
+    strong: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
         self.table = Landmarks(self.landmarks)
-        self.vectors: list[np.ndarray] = []
         self.v = np.array(self.weights)
 
-    def _learn(self, words: Iterable[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
         """Remember the kernel values of words like a landmark, and that other words are like none."""
-        words = list(words)
-        plain = [normalised(w) for w in words]
-        distinct = list(dict.fromkeys(plain))
-        values = self.table.kernel(distinct)
-        strong = values.max(axis=1, initial=0) >= self.floor
-        index = {}
-        for i in np.flatnonzero(strong).tolist():
-            index[distinct[i]] = len(self.vectors)
-            self.vectors.append(values[i])
-        for word, p in zip(words, plain):
-            self.known[word] = index.get(p, -1)
-
-    def sentence_vectors(self, text: str) -> list[np.ndarray]:
-        """The strongest kernel values over the words of each sentence that has a word like a landmark."""
-        if " " in text and SPACED.search(text):
-            text += "\n" + " ".join(re.sub(r"[ .\-_*]", "", m.group()) for m in SPACED.finditer(text))
-        words = {w for w in text.split() if len(w) > 2}
-        missing = words.difference(self.known)
-        if missing:
-            if len(self.known) + len(missing) > KEPT_WORDS:
-                self.known, self.vectors, missing = {}, [], words
-            self._learn(missing)
-        known, out = self.known, []
+        missing = words - self.known
+        if len(self.known) + len(missing) > KEPT_WORDS:
+            self.known, self.strong, missing = set(), {}, words
+        self.known |= missing
+        by_plain = defaultdict(list)
+        for word in missing:
+            by_plain[normalised(word)].append(word)
+        distinct = list(by_plain)
+        values = self.table.kernel(distinct, self.floor)
+        for i in np.flatnonzero(values.max(axis=1, initial=0) >= self.floor**2).tolist():
+            for word in by_plain[distinct[i]]:
+                self.strong[word] = values[i]
+
+    def _sentence_vectors(self, text: str, words: set[str]) -> list[np.ndarray]:
+        here = self.strong.keys() & words
+        if not here:
+            return []
+        out = []
         for sentence in SENTENCE.split(text):
-            hits = {i for w in sentence.split() if (i := known.get(w, -1)) >= 0}
+            hits = here.intersection(sentence.split())
             if hits:
-                out.append(np.max([self.vectors[i] for i in hits], axis=0))
+                out.append(np.max([self.strong[w] for w in hits], axis=0))
         return out
 
-    def margin(self, text: str) -> float:
-        found = self.sentence_vectors(text)
-        best = max((float(v @ self.v) for v in found), default=0.0)
-        return max(best, 0.0) + self.bias
+    def sentence_vectors(self, texts: Iterable[str]) -> Iterator[list[np.ndarray]]:
+        """Of each text, for each sentence that has a word like a landmark, the strongest kernel values.
+
+        Texts are taken together up to ``TEXTS_AT_ONCE`` characters, so that new words meet the
+        landmarks in few large steps.
+        """
+        held: list[tuple[str, set[str]]] = []
+        size = 0
+        for text in [*texts, None]:
+            if text is not None:
+                if SPACED.search(text):
+                    text += "\n" + " ".join(re.sub(r"[ .\-_*]", "", m.group()) for m in SPACED.finditer(text))
+                held.append((text, set(text.split())))
+                size += len(text)
+            if text is None or size >= TEXTS_AT_ONCE:
+                self._learn(set().union(*[words for _, words in held]))
+                for own, words in held:
+                    yield self._sentence_vectors(own, words)
+                held, size = [], 0
+
+    def margins(self, texts: Iterable[str]) -> np.ndarray:
+        best = [max((float(v @ self.v) for v in found), default=0.0) for found in self.sentence_vectors(texts)]
+        return np.maximum(np.array(best, dtype=np.float64), 0.0) + self.bias
+
+    def scores(self, texts: Iterable[str]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.shift, -30, 30)))
 
     def score(self, text: str | None) -> float:
-        x = self.slope * self.margin(text or "") + self.shift
-        return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
+        return float(self.scores([text or ""])[0])
 
     def to_json(self) -> str:
         return json.dumps([self.landmarks, self.weights, self.bias, self.slope, self.shift])
@@ -178,10 +217,13 @@ class ToxicityModel:
         return ToxicityModel(*json.loads(text))
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias of a squared-hinge SVM, both labels weighing alike, by accelerated descent."""
+def linear_svm(
+    x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 400, clean_weight: float = 1.0
+) -> tuple[np.ndarray, float]:
+    """Weights and bias of a squared-hinge SVM by accelerated descent; ``clean_weight`` per toxic label."""
     side = np.where(y > 0, 1.0, -1.0)
-    weigh = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
+    parts = np.array([clean_weight, 1.0]) / (1 + clean_weight)
+    weigh = np.where(y > 0, parts[1] / max(1, (y > 0).sum()), parts[0] / max(1, (y <= 0).sum()))
     a = np.hstack([x, np.ones((len(x), 1))])
     ridge = np.full(a.shape[1], 1e-3 / penalty)
     ridge[-1] = 0
@@ -197,6 +239,19 @@ def linear_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int =
     return w[:-1], float(w[-1])
 
 
+def _unlike(texts: list[str]) -> list[str]:
+    """Texts of which no two share one of the two smallest five-word shingle hashes: copies count once."""
+    seen: set[int] = set()
+    out = []
+    for text in texts:
+        hashes = np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_hashes(text, 5)])
+        low = set(np.unique(hashes)[:2].tolist())
+        if not low & seen:
+            out.append(text)
+        seen |= low
+    return out
+
+
 def _choose_landmarks(toxic: list[str], clean: list[str], count: int) -> list[str]:
     """Words that tell the labels apart, none too like one before, and common clean words beside them."""
     def words_of(texts: list[str]) -> Counter:
@@ -208,16 +263,17 @@ def _choose_landmarks(toxic: list[str], clean: list[str], count: int) -> list[st
     bad, good = words_of(toxic), words_of(clean)
     def odds(w: str) -> float:
         return np.log((bad[w] + 0.5) / (len(toxic) + 1)) - np.log((good[w] + 0.5) / (len(clean) + 1))
-    ranked = sorted((w for w in bad if bad[w] >= 3 and odds(w) > 1), key=lambda w: (-odds(w), w))[: 8 * count]
+    least = max(2, len(toxic) // 200)
+    ranked = sorted((w for w in bad if bad[w] >= least and odds(w) > 1), key=lambda w: (-odds(w), w))[: 50 * count]
     chosen: list[str] = []
-    maps: list[dict[int, float]] = []
+    maps: list[tuple[dict[int, float], float]] = []
     for word in [*ranked, *[w for w, _ in sorted(good.items(), key=lambda x: (-x[1], x[0]))[:count]]]:
         own = subsequences(word)
         norm = sum(v * v for v in own.values())
-        alike = (sum(v * m.get(k, 0.0) for k, v in own.items()) / max(norm, 1e-9) for m in maps)
-        if norm and all(v < 0.8 for v in alike):
+        shared = ((sum(v * m.get(k, 0.0) for k, v in own.items()), n) for m, n in maps)
+        if norm and all(s < ALIKE * min(norm, n) for s, n in shared):
             chosen.append(word)
-            maps.append(own)
+            maps.append((own, norm))
         if len(chosen) == count:
             break
     return chosen
@@ -230,29 +286,30 @@ def fit(texts: list[str], labels: list[int], count: int = LANDMARKS) -> Toxicity
     first all its sentences with a landmark-like word count as toxic, then only its highest-scoring
     one and those that score above the border. With one label only, every score is 0.
     """
-    toxic = [t for t, y in zip(texts, labels) if y == 1]
-    clean = [t for t, y in zip(texts, labels) if y != 1]
+    toxic = _unlike([t for t, y in zip(texts, labels) if y == 1])
+    clean = _unlike([t for t, y in zip(texts, labels) if y != 1])
     landmarks = _choose_landmarks(toxic, clean, count) if toxic and clean else []
     if not landmarks:
         return ToxicityModel(["none"], [0.0], 0.0, 0.0, -30.0)
     model = ToxicityModel(landmarks, [1.0] * len(landmarks), 0.0, 1.0, 0.0)
     values, vectors = np.linalg.eigh(model.table.cross + 1e-3 * np.eye(len(landmarks)))
     nystrom = vectors @ np.diag(values**-0.5) @ vectors.T
-    scale = np.sqrt(model.table.own / model.table.own.max())
-    groups = [np.array(model.sentence_vectors(t)[:FIT_SENTENCES]).reshape(-1, len(landmarks)) for t in toxic]
-    clean_vectors = [np.array(v) for t in clean for v in model.sentence_vectors(t)[:FIT_SENTENCES]]
-    negative = np.vstack([np.zeros((1, len(landmarks))), *clean_vectors]) * scale @ nystrom
-    mapped = [g * scale @ nystrom for g in groups if len(g)]
+    groups = [np.array(found[:FIT_SENTENCES]) for found in model.sentence_vectors(toxic)]
+    clean_vectors = [v for found in model.sentence_vectors(clean) for v in found[:FIT_SENTENCES]]
+    negative = np.vstack([np.zeros((1, len(landmarks))), *clean_vectors]) @ nystrom
+    mapped = [g @ nystrom for g in groups if len(g)]
+    if not mapped:
+        return ToxicityModel(["none"], [0.0], 0.0, 0.0, -30.0)
     chosen = mapped
     for _ in range(3):
         x = np.vstack([*chosen, negative])
         y = np.concatenate((np.ones(len(x) - len(negative)), np.zeros(len(negative))))
         w, b = linear_svm(x, y)
         chosen = [g[(s := g @ w + b) >= min(s.max(), 0.5)] for g in mapped]
-    model.v = scale * (nystrom @ w)
+    model.v = nystrom @ w
     model.weights, model.bias = model.v.tolist(), b
-    margins = np.array([model.margin(t) for t in [*toxic, *clean]])
-    slope, shift = linear_svm(margins[:, None], np.array([1] * len(toxic) + [0] * len(clean)))
+    margins = model.margins([*toxic, *clean])
+    slope, shift = linear_svm(margins[:, None], np.array([1] * len(toxic) + [0] * len(clean)), clean_weight=CLEAN_WEIGHT)
     model.slope, model.shift = 4 * float(slope[0]), 4 * shift
     return model
 
@@ -284,6 +341,6 @@ def score_documents(docs: DataFrame, model: ToxicityModel, text: str = "text", o
     @F.pandas_udf("double")
     def score(texts):
         own = ToxicityModel.from_json(packed)
-        return texts.map(own.score)
+        return pd.Series(own.scores(texts))
 
     return docs.withColumn(out, score(F.coalesce(F.col(text), F.lit(""))))
