@@ -39,10 +39,11 @@ class SimHash:
         """Fingerprints whose distance estimates the Jaccard similarity of shingles.
 
         Sets of like size with similarity s have the cosine 2 s / (1 + s), and a bit differs with the
-        chance arccos / pi. The radius is that mean plus one standard deviation.
+        chance arccos / pi. The radius is that mean plus one and a half standard deviations, so that
+        a pair exactly at ``similarity`` is found with the chance 0.93, and one well above it surely.
         """
         chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
-        return SimHash(words, bits, math.floor(bits * chance + math.sqrt(bits * chance * (1 - chance))), anchors)
+        return SimHash(words, bits, math.floor(bits * chance + 1.5 * math.sqrt(bits * chance * (1 - chance))), anchors)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
