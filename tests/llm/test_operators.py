@@ -106,7 +106,7 @@ def test_simhash_by_brute_force(spark, docs):
 
 def test_bit_sliced_comparison_finds_every_pair():
     rng = np.random.default_rng(1)
-    for bits, radius in ((64, 2), (64, 0), (64, 1), (256, 44), (128, 7)):
+    for bits, radius in ((64, 2), (64, 0), (64, 1), (256, 44), (128, 7), (1024, 166)):
         base = rng.integers(0, 2**63, (20, bits // 64), dtype=np.uint64)
         rows = base[rng.integers(0, 20, 400)].copy()
         for r in rows:
@@ -124,6 +124,14 @@ def test_bit_sliced_comparison_finds_every_pair():
         assert got == want and want
 
 
+def test_bit_sums():
+    rng = np.random.default_rng(12)
+    for n in (0, 1, 254, 255, 256, 1000):
+        h = rng.integers(0, 2**64, (3, n), dtype=np.uint64, endpoint=False)
+        want = [[int((row >> np.uint64(b) & np.uint64(1)).sum()) for b in range(64)] for row in h]
+        assert simhash.bit_sums(h).tolist() == want
+
+
 def test_links_of_large_buckets_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET_ROWS", 8)
     rng = np.random.default_rng(2)
@@ -265,7 +273,10 @@ def test_chunked_encoding_equals_whole_texts(tokenizer, docs):
     from thermalcube.llm.words import ChunkEncoder
 
     odd = "İstanbul I<|endoftext|>x a... b., don't ́a é ΣΑΣ ǅ ß ﬁ \x1c\x1cq 1234 x y 한국 한."
-    texts = [*docs.text[:80], odd, "", " \n\t ", "a" * 500, "The, the. THE", "x.y.z,"]
+    letters = "ab.,'!_ \n\tÉé5²s’-<|İ\u0301"
+    rng = np.random.default_rng(11)
+    mixed = ["".join(rng.choice(list(letters), 60)) for _ in range(300)]
+    texts = [*docs.text[:80], *mixed, odd, "µ. ÀÉ, ÿ. ß. İ. x", "<|ENDoftext|> <|endoftext|>.", "", " \n\t ", "a" * 500, "The, the. THE", "x.y.z,"]
     for kept in (50, 1_000_000):
         encoder = ChunkEncoder(tokenizer_path(), kept)
         for text in texts:
