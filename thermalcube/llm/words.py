@@ -2,15 +2,17 @@
 
 The tokenizer (lower case, white space dropped, words split by a pattern that never crosses white
 space) gives a text the ids of its space-separated chunks in turn, so a chunk is encoded once and
-its ids are kept. A chunk of plain letters, perhaps with one mark of punctuation behind it, has the
-ids of its lower-case letters followed by those of the mark; new words of that kind are encoded
-together in one call. Everything else goes through the tokenizer chunk by chunk.
+its ids are kept. A chunk of plain letters, perhaps with punctuation behind it, has the ids of its
+lower-case letters followed by those of the punctuation; new words of that kind are encoded together
+in one call, by the same model without the normaliser and the pattern, which would leave such words
+as they are. Everything else goes through the whole tokenizer chunk by chunk.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import string
 from functools import cache
 
 import numpy as np
@@ -32,16 +34,18 @@ class ChunkEncoder:
 
     def __init__(self, path: str, max_kept: int = MAX_KEPT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = Tokenizer(self.tokenizer.model)
+        bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytewise])
         with open(path, encoding="utf-8") as file:
             vocabulary = json.load(file)["model"]["vocab"]
         self.ends_word = np.zeros(max(vocabulary.values()) + 3, dtype=bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.max_kept = max_kept
         self.kept: dict[str, bytes] = {"": b""}
-        self.marks = {m: self._plain(m) for m in ".,"}
 
     def _plain(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -54,19 +58,25 @@ class ChunkEncoder:
     def _add(self, chunks: set[str]) -> None:
         if len(self.kept) + len(chunks) > self.max_kept:
             self.kept = {"": b""}
-        kept, letters, built = self.kept, set(), []
+        kept, letters, built, others = self.kept, set(), [], []
         for chunk in chunks:
-            stem, mark = (chunk[:-1], chunk[-1]) if chunk[-1] in self.marks else (chunk, "")
+            if chunk.isascii() and chunk.isalpha() and chunk.islower():
+                letters.add(chunk)
+                continue
+            stem = chunk.rstrip(string.punctuation)
             if self._letters(stem):
-                stem = stem.lower()
+                mark, stem = chunk[len(stem) :], stem.lower()
                 built.append((chunk, stem, mark))
                 if stem not in kept:
                     letters.add(stem)
             else:
-                kept[chunk] = self._plain(chunk)
+                others.append(chunk)
+        for chunk, found in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            kept[chunk] = np.asarray(found.ids, dtype="<u4").tobytes()
         if letters:
             order = list(letters)
-            ids = np.asarray(self.tokenizer.encode(" ".join(order), add_special_tokens=False).ids, dtype="<u4")
+            found = self.letters.encode_batch_fast([" ".join(order)], add_special_tokens=False)[0]
+            ids = np.asarray(found.ids, dtype="<u4")
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(order):
                 raw, start = ids.tobytes(), 0
@@ -77,16 +87,21 @@ class ChunkEncoder:
                 for word in order:
                     kept[word] = self._plain(word)
         for chunk, stem, mark in built:
-            kept[chunk] = kept[stem] + self.marks[mark] if mark else kept[stem]
+            if mark and mark not in kept:
+                kept[mark] = self._plain(mark)
+            kept[chunk] = kept[stem] + kept[mark] if mark else kept[stem]
 
     def pieces(self, text: str) -> list[bytes]:
         """The ids of each chunk of the text, in order."""
         chunks = text.replace("\n", " ").split(" ")
         found = list(map(self.kept.get, chunks))
         if None in found:
-            missing = {c for c, ids in zip(chunks, found) if ids is None}
-            self._add({c for c in missing if len(c) <= MAX_KEPT_CHARS})
-            found = [self._plain(c) if (ids := self.kept.get(c)) is None else ids for c in chunks]
+            places = [i for i, ids in enumerate(found) if ids is None]
+            self._add({c for i in places if len(c := chunks[i]) <= MAX_KEPT_CHARS})
+            get = self.kept.get
+            for i in places:
+                ids = get(chunks[i])
+                found[i] = self._plain(chunks[i]) if ids is None else ids
         return found
 
     def ids(self, text: str | None) -> bytes:
