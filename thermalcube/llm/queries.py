@@ -86,6 +86,65 @@ def _with_session(function: Callable[[SparkSession, str], DataFrame]) -> Callabl
 
 QUERIES = {f.__name__: _with_session(f) for f in FUNCTIONS}
 
+#: The primes of XXH64.
+P1, P2, P3, P4, P5 = (
+    11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261,
+)
+
+
+def _wide(sql: str) -> str:
+    """A sum or product of unsigned 64-bit integers, modulo 2**64."""
+    return f"CAST(({sql}) % 18446744073709551616::UHUGEINT AS UBIGINT)"
+
+
+def _times(sql: str, factor: int) -> str:
+    return _wide(f"CAST({sql} AS UHUGEINT) * {factor}::UHUGEINT")
+
+
+def _rotated(sql: str, bits: int) -> str:
+    return f"({_times(sql, 1 << bits)} | ({sql} >> {64 - bits}))"
+
+
+def _xxh64(name: str, source: str, value: str, seed: str, out: str) -> str:
+    """Views that add ``out``, the XXH64 of a 64-bit integer with a seed, to the rows of ``source``."""
+    steps = [
+        f"SELECT *, {_times(f'CAST(CAST({value} AS HUGEINT) & 18446744073709551615::HUGEINT AS UBIGINT)', P2)} AS a FROM {source}",
+        f"SELECT * EXCLUDE (a), xor({_wide(f'CAST({seed} AS UHUGEINT) + {P5 + 8}')}, {_times(_rotated('a', 31), P1)}) AS b FROM {name}_0",
+        f"SELECT * EXCLUDE (b), {_wide(f'CAST({_times(_rotated("b", 27), P1)} AS UHUGEINT) + {P4}::UHUGEINT')} AS c FROM {name}_1",
+        f"SELECT * EXCLUDE (c), {_times('xor(c, c >> 33)', P2)} AS d FROM {name}_2",
+        f"SELECT * EXCLUDE (d), {_times('xor(d, d >> 29)', P3)} AS e FROM {name}_3",
+    ]
+    views = [f"{name}_{i} AS ({sql})" for i, sql in enumerate(steps)]
+    return ",\n".join([*views, f"{name} AS (SELECT * EXCLUDE (e), xor(e, e >> 32) AS {out} FROM {name}_4)"])
+
+
+OP1_SQL = f"""
+WITH table_of AS (
+    SELECT list(c ORDER BY i) AS t FROM (
+        SELECT i, list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]),
+            lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM range(256) r(i))
+), bytes AS (
+    SELECT doc_id, coalesce(strlen(text), 0) + 16 AS size,
+      list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::UBIGINT) AS parts FROM documents
+), docs AS (
+    SELECT doc_id, size, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, parts),
+        lambda acc, b: xor(acc >> 8, t[CAST(xor(acc, b) & 255 AS BIGINT) + 1])), 4294967295::UBIGINT) AS BIGINT) AS text_crc32
+    FROM bytes, table_of
+), {_xxh64("keyed", "docs", "doc_id", "42", "h")},
+{_xxh64("summed", "keyed", "text_crc32", "h", "h2")},
+{_xxh64("sized", "summed", "size", "h2", "h3")},
+pairs AS (SELECT sized.*, s FROM sized, range(41) r(s)),
+{_xxh64("scored", "pairs", "s", "h", "score")},
+best AS (
+    SELECT doc_id, size, text_crc32, h3 >> 12 AS place,
+      arg_max(s, (score >> 11) * 64 + 63 - s) FILTER (WHERE s < 40) AS shard, arg_max(s, (score >> 11) * 64 + 63 - s) AS grown
+    FROM scored GROUP BY ALL
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY place, doc_id, text_crc32, size) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard
+FROM best
+"""
+
 OP5_SQL = """
 WITH usable AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS parts
@@ -102,4 +161,4 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 5
 """
 
-ORACLES = {"op5_exact_top_k": OP5_SQL}
+ORACLES = {"op1_rendezvous_shards": OP1_SQL, "op5_exact_top_k": OP5_SQL}
