@@ -199,11 +199,14 @@ def test_sort_orders(spark):
 def test_far_pages_equal_near_pages(spark, monkeypatch):
     # Half of the rows share one sort value.
     df = spark.range(5000).selectExpr("id", "if(id % 2 = 0, 7, id % 100) AS jumlah")
-    order = ranking.table_order("jumlah", "desc", ["id"])
-    near = [ranking.page(df, order, n, 30).collect() for n in (1, 80, 167, 400)]
-    monkeypatch.setattr(ranking, "TOP_K_ROWS", 0)
-    far = [ranking.page(df, order, n, 30).collect() for n in (1, 80, 167, 400)]
-    assert near == far and len(near[2]) == 20 and near[3] == []
+    df = df.withColumn("jumlah", F.expr("if(id % 11 = 0, NULL, jumlah)")).withColumn("tie", F.expr("if(id % 5 = 0, NULL, id)"))
+    monkeypatch.setattr(ranking, "SAMPLED_KEYS", 200)
+    for order in ("asc", "desc"):
+        for ties in (["id"], ["tie", "id"]):
+            pages = (1, 80, 150, 167, 400)
+            near = [ranking.page(df, "jumlah", order, ties, n, 30).collect() for n in pages]
+            far = [ranking.page(df, "jumlah", order, ties, n, 30, top_rows=90).collect() for n in pages]
+            assert near == far and len(near[3]) == 20 and near[4] == []
 
 
 def test_newest_rows_put_missing_times_last(spark):

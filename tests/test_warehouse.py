@@ -291,7 +291,7 @@ def test_backfill_equals_its_days_one_by_one(spark, tmp_path):
 
 def test_pages_count_from_one(spark):
     with pytest.raises(ValueError):
-        ranking.page(spark.range(5), [F.col("id")], 0)
+        ranking.page(spark.range(5), "id", "asc", [], 0)
 
 
 def test_defaults_replace_nulls(spark):

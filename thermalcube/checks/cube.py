@@ -416,7 +416,7 @@ def top_island(spark, sf):
 
 GRID_SQL = """SELECT cast(floor((lon + 180) / 360 * 256 * {scale} / 50) AS bigint) AS cell_x,
   cast(floor((0.5 - asinh(tan(radians(lat))) / (2 * pi())) * 256 * {scale} / 50) AS bigint) AS cell_y,
-  count(*) AS total FROM feat GROUP BY 1, 2"""
+  count(*) AS total, avg(lat) AS lat, avg(lon) AS lon FROM feat GROUP BY 1, 2"""
 
 
 @query(
@@ -487,8 +487,14 @@ ORDER BY tanggal DESC, satelit, confidence, provinsi, kota LIMIT 10 OFFSET 20"""
 def page(spark, sf):
     rows = table_view.accumulate_star(feature_star(spark, sf))
     column, direction = table_view.DEFAULT_SORT
-    order = ranking.table_order(column, direction, table_view.ACCUMULATED_KEYS)
-    return ranking.page(rows, order, 3)
+    return ranking.page(rows, column, direction, table_view.ACCUMULATED_KEYS, 3)
+
+
+@query("SELECT id, tanggal, kota, lat FROM feat ORDER BY lower(kota) DESC NULLS LAST, id LIMIT 25 OFFSET 1000")
+def page_far(spark, sf):
+    """A page behind more rows than one top-k is meant to hold."""
+    rows = features(spark, sf, "id", "tanggal", "kota", "lat")
+    return ranking.page(rows, "kota", "desc", ["id"], 41, 25, top_rows=400)
 
 
 @query(

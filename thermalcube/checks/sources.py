@@ -45,8 +45,7 @@ def land_feeds(spark: SparkSession, sf_dir: str) -> str:
     for name, frame in {"modis": modis, "viirs": viirs, "other": other, "broken": broken}.items():
         frame.write.option("header", True).csv(f"{root}/{name}")
     modis.filter(F.lit(False)).coalesce(1).write.option("header", True).csv(f"{root}/empty")
-    answer = modis.limit(1).select(F.lit("Invalid MAP_KEY.").alias("value"))
-    answer.write.text(f"{root}/refused")
+    spark.range(1).select(F.lit("Invalid MAP_KEY.").alias("value")).write.text(f"{root}/refused")
     return root
 
 
@@ -64,6 +63,18 @@ def read_detections(spark, sf):
     )
 
 
+@query(
+    """SELECT 'other' AS feed, 'required column missing' AS reason UNION ALL SELECT 'broken', 'error mark' FROM det
+WHERE instrument = 'MODIS' AND try_cast(acq_time AS integer) < 5 HAVING count(*) > 0
+UNION ALL SELECT 'refused', 'error mark'"""
+)
+def refused_detections(spark, sf):
+    """The feeds with refused files, and why."""
+    refused = feeds.refused_detections(spark, f"{land_feeds(spark, sf)}/*")
+    feed = F.element_at(F.split("source_file", "/"), -2).alias("feed")
+    return refused.select(feed, "reason").distinct()
+
+
 STAGED_SQL = """SELECT event_id, batch_id, ingested_at, latitude, acq_date, acq_time,
   CASE WHEN event_id % 5 <> 0 THEN confidence END AS confidence, cast(cast(frp AS float) AS double) AS frp FROM det"""
 

@@ -304,6 +304,23 @@ def transform_batch(spark, sf):
     return quality.table_counts(built)
 
 
+@query(
+    """WITH h AS (SELECT * FROM staged WHERE batch_id = 'B2'), w AS (SELECT * FROM wstaged WHERE batch_id = 'B2')
+SELECT DISTINCT 'dim_period' AS table_name, sha256(cast(acq_date AS varchar)) AS id
+  FROM (SELECT acq_date FROM h UNION ALL SELECT acq_date FROM w)
+UNION ALL SELECT DISTINCT 'dim_satellite', concat(satellite, '_', instrument) FROM h
+UNION ALL SELECT DISTINCT 'dim_confidence', sha256(concat(confidence, chr(31), instrument)) FROM h
+UNION ALL SELECT DISTINCT 'dim_weather_condition', sha256(conditions) FROM w
+UNION ALL SELECT 'fact_detection', id FROM placed WHERE batch_id = 'B2'
+UNION ALL SELECT 'fact_weather', sha256(concat(latitude, ':', longitude, ':', datetime)) FROM w JOIN mapping USING (latitude, longitude)"""
+)
+def transform_batch_rows(spark, sf):
+    """The ids of every row of every table of a batch."""
+    hot, wet = stored_staging(spark, sf)
+    built = facts.transform_batch(hot, wet, accepted(spark, sf), "B2")
+    return shaping.union_vertical(*[df.select(F.lit(name).alias("table_name"), "id") for name, df in built.items()])
+
+
 # ---------------------------------------------------------------- quality
 
 

@@ -8,26 +8,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from thermalcube.functions.time import month_index
-from thermalcube.session import checkpointed
 
 DATE_COLUMNS = ("tanggal", "properties.time")
 NUMBER_COLUMNS = ("jumlah", "detections", "properties.detections")
-# Pages that end beyond this row are located by partition instead of by one top-k task.
+# Pages that end beyond this row are narrowed to a range of rows before they are sorted.
 TOP_K_ROWS = 100_000
+# Ranges that one pass counts, and sort keys that their borders are drawn from.
+RANGES = 16
+SAMPLED_KEYS = 4096
 
 
-def table_order(column: str, order: str, tie_break: Sequence[str]) -> list[Column]:
+def _lead(column: str) -> Column:
     """Dates as time, counts as numbers, everything else as lower-case text."""
     value = F.col(column)
     if column in DATE_COLUMNS:
-        value = value.try_cast("timestamp")
-    elif column in NUMBER_COLUMNS:
-        value = value.try_cast("double")
-    else:
-        value = F.lower(value.cast("string"))
+        return value.try_cast("timestamp")
+    if column in NUMBER_COLUMNS:
+        return value.try_cast("double")
+    return F.lower(value.cast("string"))
+
+
+def table_order(column: str, order: str, tie_break: Sequence[str]) -> list[Column]:
+    """The column's order, rows without a value last, then the tie-break."""
+    value = _lead(column)
     lead = value.desc_nulls_last() if order == "desc" else value.asc_nulls_last()
     return [lead, *[F.col(c).asc() for c in tie_break]]
 
@@ -36,35 +42,68 @@ def sort_table(df: DataFrame, column: str, order: str, tie_break: Sequence[str])
     return df.orderBy(*table_order(column, order, tie_break))
 
 
-def page(df: DataFrame, order: Sequence[Column], number: int, size: int = 10) -> DataFrame:
-    """Rows of page ``number`` (from 1) in the given order."""
+def page(
+    df: DataFrame, column: str, order: str, tie_break: Sequence[str], number: int, size: int = 10,
+    top_rows: int = TOP_K_ROWS,
+) -> DataFrame:
+    """Rows of page ``number`` (from 1) in table order.
+
+    A page that ends within ``top_rows`` is one top-k. For a far one the range of rows it lies in is
+    narrowed first: a bounded sample of sort keys gives borders, one pass counts the rows before each,
+    and only the rows between the two borders around the page are sorted. Nothing is stored.
+    """
     if number < 1 or size < 1:
         raise ValueError("pages and their size count from 1")
     skip = (number - 1) * size
-    if skip + size <= TOP_K_ROWS:
-        return df.orderBy(*order).offset(skip).limit(size)
-    return _deep_page(df, order, skip, size)
-
-
-def _deep_page(df: DataFrame, order: Sequence[Column], skip: int, size: int) -> DataFrame:
-    """A far page: range-partition once, count the parts, sort only the parts the page lies in."""
-    parts = checkpointed(
-        df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    )
-    counts = parts.groupBy("__part").count()
-    # One row per partition, so this running total is small.
-    running = counts.withColumn(
-        "before",
-        F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)),
-    ).withColumn("before", F.coalesce("before", F.lit(0)))
-    touched = running.filter(
-        (F.col("before") < skip + size) & (F.col("before") + F.col("count") > skip)
-    ).collect()
-    if not touched:
-        return df.limit(0)
-    start = min(r["before"] for r in touched)
-    held = parts.filter(F.col("__part").isin([r["__part"] for r in touched])).drop("__part")
-    return held.orderBy(*order).offset(skip - start).limit(size)
+    while skip + size > top_rows:
+        narrowed = _narrowed(df, column, order, tie_break, skip, size)
+        if narrowed is None:
+            break
+        df, skip = narrowed
+    return df.orderBy(*table_order(column, order, tie_break)).offset(skip).limit(size)
+
+
+def _before(column: str, order: str, tie_break: Sequence[str], border: Sequence[object]) -> Column:
+    """Whether a row comes before a row with the sort key ``border``."""
+    values = [_lead(column), *[F.col(c) for c in tie_break]]
+    found, equal = F.lit(False), F.lit(True)
+    for place, (value, limit) in enumerate(zip(values, border)):
+        # Rows without a lead come last, those without a tie-break value first.
+        if limit is None:
+            earlier = value.isNotNull() if place == 0 else F.lit(False)
+        elif place == 0:
+            earlier = value > F.lit(limit) if order == "desc" else value < F.lit(limit)
+        else:
+            earlier = value.isNull() | (value < F.lit(limit))
+        found = found | (equal & F.coalesce(earlier, F.lit(False)))
+        equal = equal & value.eqNullSafe(F.lit(limit))
+    return found
+
+
+def _narrowed(
+    df: DataFrame, column: str, order: str, tie_break: Sequence[str], skip: int, size: int
+) -> tuple[DataFrame, int] | None:
+    """The rows between two sampled borders around the page, and how many of them come before it."""
+    keys = [_lead(column).alias("__lead"), *tie_break]
+    sample = df.select(*keys).orderBy(F.xxhash64("__lead", *tie_break)).limit(SAMPLED_KEYS)
+    lead = F.col("__lead").desc_nulls_last() if order == "desc" else F.col("__lead").asc_nulls_last()
+    drawn = sample.orderBy(lead, *[F.col(c).asc() for c in tie_break]).collect()
+    borders = [tuple(drawn[i]) for i in sorted({len(drawn) * k // RANGES for k in range(1, RANGES)}) if i < len(drawn)]
+    if not borders:
+        return None
+    tests = [_before(column, order, tie_break, b) for b in borders]
+    counts = list(df.agg(F.count(F.lit(1)), *[F.count_if(t) for t in tests]).first())
+    total, counts = counts[0], counts[1:]
+    low = max((i for i, n in enumerate(counts) if n <= skip), default=None)
+    high = min((i for i, n in enumerate(counts) if n >= skip + size), default=None)
+    kept, first = df, 0
+    if low is not None:
+        kept, first = kept.filter(~tests[low]), counts[low]
+    if high is not None:
+        kept = kept.filter(tests[high])
+    last = counts[high] if high is not None else total
+    # Borders no longer part the rows: what is left is sorted as it is.
+    return (kept, skip - first) if last - first < total else None
 
 
 def total_pages(df: DataFrame, size: int = 10) -> DataFrame:

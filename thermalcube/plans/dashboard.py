@@ -104,7 +104,8 @@ def latest_detections(star: Star, n: int = 5, *columns: str) -> DataFrame:
 
 
 def cluster_points(rows: DataFrame, zoom: int) -> DataFrame:
-    """Points grouped by 50-pixel map cells with a size class; single points from zoom 13."""
+    """Points grouped by 50-pixel map cells with their mean coordinate and a size class; single points
+    from zoom 13."""
     if zoom >= NO_CLUSTERS_FROM_ZOOM:
         return rows.select("id", "lat", "lon", F.lit(1).cast("bigint").alias("total"))
     cell_x = F.floor(pixel_x(F.col("lon"), zoom) / CLUSTER_PIXELS)
@@ -117,6 +118,6 @@ def cluster_points(rows: DataFrame, zoom: int) -> DataFrame:
     )
     return (
         rows.groupBy(cell_x.alias("cell_x"), cell_y.alias("cell_y"))
-        .agg(F.count(F.lit(1)).alias("total"))
+        .agg(F.count(F.lit(1)).alias("total"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
         .withColumn("size_class", size)
     )

@@ -30,6 +30,7 @@ from thermalcube.schemas import (
     FACT_WEATHER_COLUMNS,
     WEATHER_KEYS,
 )
+from thermalcube.session import checkpointed
 
 Stored = dict[str, DataFrame]
 
@@ -86,19 +87,26 @@ def transform_batch(
     batch_id: str | None = None,
     stored: Stored | None = None,
 ) -> dict[str, DataFrame]:
-    """All dimensions and facts of one batch (the newest if none is named), as lazy frames."""
+    """All dimensions and facts of one batch (the newest if none is named).
+
+    The batch's attributes are gathered at once, into the checkpoint folder; the rest is lazy.
+    """
     stored = stored or {}
 
     def pick(df: DataFrame) -> DataFrame:
         return for_batch(df, batch_id) if batch_id else latest_batch(df)
 
     detections = pick(staging_detection)
+    # A few attribute rows feed three dimensions, so the batch is scanned twice: for them and for facts.
+    attributes = checkpointed(
+        detections.groupBy("satellite", "instrument", "confidence", "acq_date").agg(F.max("version").alias("version"))
+    )
     tables = {
-        "dim_satellite": dim_satellite(detections),
-        "dim_confidence": dim_confidence(detections, stored.get("dim_confidence")),
+        "dim_satellite": dim_satellite(attributes),
+        "dim_confidence": dim_confidence(attributes, stored.get("dim_confidence")),
         "fact_detection": fact_detection(detections, locations, stored)[0],
     }
-    dates = [detections.select("acq_date")]
+    dates = [attributes.select("acq_date")]
     if staging_weather is not None:
         weather = pick(staging_weather)
         dates.append(weather.select(F.col("datetime").try_cast("date")))

@@ -25,20 +25,9 @@ def read_detections(spark: SparkSession, path: str) -> DataFrame:
     its header lacks a required column; a header alone yields no rows. ``source_file`` names the
     file a row came from.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source_file"))
-    first_column = REQUIRED_DETECTION_COLUMNS[0]
-    is_header = _looks_like_header(F.col("value"), first_column)
-    has_error = F.col("value").contains(ERROR_MARKS[0]) | F.col("value").contains(ERROR_MARKS[1])
-    found = (
-        lines.groupBy("source_file")
-        .agg(
-            F.max(F.when(is_header, F.col("value"))).alias("header"),
-            F.count_if(has_error).alias("errors"),
-        )
-        .filter(F.col("errors") == 0)
-        .filter(reduce(and_, [_looks_like_header(F.col("header"), c) for c in REQUIRED_DETECTION_COLUMNS]))
-        .select("source_file", "header")
-    )
+    lines = _lines(spark, path)
+    is_header = _looks_like_header(F.col("value"), REQUIRED_DETECTION_COLUMNS[0])
+    found = _files(lines).filter(F.col("reason").isNull()).select("source_file", "header")
     # Stored, so the join below knows its true size: small lists are broadcast, and the lines are
     # shuffled only if the list of files itself is large.
     listing = scratch_path(spark, "landed-files")
@@ -63,6 +52,29 @@ def read_detections(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select(*[_field(c, layouts) for c in DETECTION_COLUMNS], "source_file")
 
 
+def refused_detections(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, reason) of the landed files that ``read_detections`` leaves out."""
+    return _files(_lines(spark, path)).filter(F.col("reason").isNotNull()).select("source_file", "reason")
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source_file"))
+
+
+def _files(lines: DataFrame) -> DataFrame:
+    """One row per landed file: its header, and why it is refused, if it is."""
+    is_header = _looks_like_header(F.col("value"), REQUIRED_DETECTION_COLUMNS[0])
+    has_error = F.col("value").contains(ERROR_MARKS[0]) | F.col("value").contains(ERROR_MARKS[1])
+    files = lines.groupBy("source_file").agg(
+        F.max(F.when(is_header, F.col("value"))).alias("header"), F.count_if(has_error).alias("errors")
+    )
+    complete = reduce(and_, [_looks_like_header(F.col("header"), c) for c in REQUIRED_DETECTION_COLUMNS])
+    reason = F.when(F.col("errors") > 0, F.lit("error mark")).when(
+        ~F.coalesce(complete, F.lit(False)), F.lit("required column missing")
+    )
+    return files.withColumn("reason", reason)
+
+
 def _looks_like_header(line: Column, name: str) -> Column:
     return F.lower(F.translate(line, '"', "")).rlike(rf"(^|,)\s*{name}\s*(,|$)")
 
