@@ -1,8 +1,9 @@
 """Removal of repeated lines, paragraphs and passages by hashing normalised units of text.
 
-A unit is a line, or a part of one: long lines are cut where a hash of two neighbouring words says
-so, every eight words on average. The cut depends on the words alone, so a passage copied into the
-middle of a line is cut alike wherever it stands, and a paragraph is a run of units.
+A unit is a line, or a part of one: lines are cut where the hash of two neighbouring words is the
+smallest among seven such, every six or seven words on average. The cut depends on the words around
+it alone, so a passage copied into the middle of a line is cut alike wherever it stands, but for its
+first and last few words, and a paragraph is a run of units.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from thermalcube.llm.common import lookup, stored
 from thermalcube.llm.simhash import mixed
 
 #: A run of repeated units shorter than this stays: short lines recur by chance.
-RUN_WORDS = 25
-CUT_MASK = np.uint64(7)
+RUN_WORDS = 20
+#: Neighbouring hashes on either side that a cut's has to be the smallest of.
+REACH = 3
 LONGEST_UNIT = 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -37,13 +39,19 @@ def units(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(starts):
         return none, none, none
     words = np.add.reduceat(_BYTES[data], starts)
-    cut = np.ones(len(starts), dtype=bool)
+    n = len(starts)
+    cut = np.ones(n, dtype=bool)
     lines = np.cumsum(data == 0x0A)
-    cut[:-1] = (lines[starts[1:]] > lines[ends[:-1] - 1]) | ((mixed(words[:-1] + words[1:] * np.uint64(3)) & CUT_MASK) == 0)
+    pairs = np.full(n - 1 + 2 * REACH, np.iinfo(np.uint64).max, dtype=np.uint64)
+    pairs[REACH : REACH + n - 1] = mixed(words[:-1] + words[1:] * np.uint64(3)) >> np.uint64(1)
+    own = pairs[REACH : REACH + n - 1]
+    before = np.minimum.reduce([pairs[k : k + n - 1] for k in range(REACH)])
+    after = np.minimum.reduce([pairs[REACH + 1 + k : REACH + k + n] for k in range(REACH)])
+    cut[:-1] = (lines[starts[1:]] > lines[ends[:-1] - 1]) | ((own < before) & (own <= after))
     last = np.flatnonzero(cut)
     counts = np.diff(np.concatenate(([-1], last)))
     if (counts > LONGEST_UNIT).any():
-        place = np.arange(len(starts)) - np.repeat(last - counts + 1, counts)
+        place = np.arange(n) - np.repeat(last - counts + 1, counts)
         cut |= place % LONGEST_UNIT == LONGEST_UNIT - 1
         last = np.flatnonzero(cut)
         counts = np.diff(np.concatenate(([-1], last)))
