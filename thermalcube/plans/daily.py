@@ -15,7 +15,7 @@ from thermalcube.operators.shaping import apply_defaults, union_vertical
 from thermalcube.plans import dims, facts, staging
 from thermalcube.plans.quality import quality_scorecard
 from thermalcube.schemas import COORDINATE, DAY, DETECTION_KEYS, WAREHOUSE_TABLES, WEATHER_KEYS
-from thermalcube.session import scratch_path
+from thermalcube.session import scratch
 from thermalcube.sources.responses import parse_locations
 from thermalcube.sources.tables import (
     MONTH,
@@ -69,13 +69,12 @@ def _staged_days(staged: DataFrame | None, days: list[dt.date]) -> DataFrame | N
     return staged.filter(F.col(MONTH).cast("int").isin(months) & F.col(STAGED_DAY).isin(known))
 
 
-def _places_of(spark: SparkSession, places: DataFrame, *staged: DataFrame) -> DataFrame:
+def _places_of(spark: SparkSession, path: str, places: DataFrame, *staged: DataFrame) -> DataFrame:
     """Stored places of the staged coordinates only.
 
     The coordinates of the batch are stored first, so their true size decides: a daily batch is
     broadcast and the place table, which grows with the record, is filtered without a shuffle.
     """
-    path = scratch_path(spark, "batch-coordinates")
     union_vertical(*[df.select(*COORDINATE) for df in staged]).distinct().write.parquet(path)
     asked = spark.read.schema("latitude string, longitude string").parquet(path)
     return places.join(asked, list(COORDINATE), "left_semi")
@@ -120,11 +119,12 @@ def load_day(
     stored = stored_tables(spark, root, *WAREHOUSE_TABLES)
     hot = _staged_days(stored.get("staging_detection"), [day])
     wet = None if weather is None else _staged_days(stored.get("staging_weather"), days["staging_weather"])
-    near = _places_of(spark, places, *[df for df in (hot, wet) if df is not None])
-    built = facts.transform_batch(hot, wet, near, batch_id, stored)
-    if wet is not None:
-        built["fact_weather"] = facts.fact_weather(wet, near, stored)[0]
-    load_tables(spark, root, built)
+    with scratch(spark, "batch-coordinates") as path:
+        near = _places_of(spark, path, places, *[df for df in (hot, wet) if df is not None])
+        built = facts.transform_batch(hot, wet, near, batch_id, stored)
+        if wet is not None:
+            built["fact_weather"] = facts.fact_weather(wet, near, stored)[0]
+        load_tables(spark, root, built)
     return quality_scorecard(stored_tables(spark, root, *WAREHOUSE_TABLES))
 
 
@@ -138,16 +138,17 @@ def refresh_days(spark: SparkSession, root: str, days: DataFrame, places: DataFr
     date = F.col(days.columns[0]).try_cast("date")
     touched = [r[0] for r in days.select(date).distinct().collect()]
     hot, wet = (_staged_days(stored.get(name), touched) for name in STAGING)
-    near = _places_of(spark, places, *[df for df in (hot, wet) if df is not None])
-    built = {
-        "dim_period": dims.dim_period(hot.select("acq_date"), existing=stored.get("dim_period")),
-        "dim_satellite": dims.dim_satellite(hot),
-        "dim_confidence": dims.dim_confidence(hot, stored.get("dim_confidence")),
-        "fact_detection": facts.fact_detection(hot, near, stored)[0],
-    }
-    if wet is not None:
-        built["dim_weather_condition"] = dims.dim_weather_condition(
-            wet, stored.get("dim_weather_condition")
-        )
-        built["fact_weather"] = facts.fact_weather(wet, near, stored)[0]
-    load_tables(spark, root, built)
+    with scratch(spark, "batch-coordinates") as path:
+        near = _places_of(spark, path, places, *[df for df in (hot, wet) if df is not None])
+        built = {
+            "dim_period": dims.dim_period(hot.select("acq_date"), existing=stored.get("dim_period")),
+            "dim_satellite": dims.dim_satellite(hot),
+            "dim_confidence": dims.dim_confidence(hot, stored.get("dim_confidence")),
+            "fact_detection": facts.fact_detection(hot, near, stored)[0],
+        }
+        if wet is not None:
+            built["dim_weather_condition"] = dims.dim_weather_condition(
+                wet, stored.get("dim_weather_condition")
+            )
+            built["fact_weather"] = facts.fact_weather(wet, near, stored)[0]
+        load_tables(spark, root, built)

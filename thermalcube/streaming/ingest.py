@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from thermalcube.operators.dedup import latest_by_key
 from thermalcube.plans.daily import load_staging, refresh_days
 from thermalcube.schemas import DETECTION_KEYS
+from thermalcube.session import scratch
 
 INGEST = "ingest"
 
@@ -71,11 +72,14 @@ def ingest_into_warehouse(
 
     def load(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = shape(batch, number)
-        if rows.isEmpty():
-            return
-        load_staging(spark, root, {"staging_detection": rows})
-        refresh_days(spark, root, rows.select("acq_date"), places)
+        # The micro-batch is computed once; everything after reads the stored copy.
+        with scratch(spark, "micro-batch") as path:
+            shape(batch, number).write.parquet(path)
+            rows = spark.read.parquet(path)
+            if rows.isEmpty():
+                return
+            load_staging(spark, root, {"staging_detection": rows})
+            refresh_days(spark, root, rows.select("acq_date"), places)
 
     query = (
         stream.writeStream.option("checkpointLocation", checkpoint)
