@@ -17,6 +17,7 @@ from thermalcube.llm.components import connected_components
 
 SHINGLES_AT_ONCE = 1 << 16
 BUCKET_ROWS = 512
+PRINTS_AT_ONCE = 1 << 13
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -208,13 +209,27 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
+def _sizes(lists: pa.ListArray) -> np.ndarray:
+    return np.diff(lists.offsets.to_numpy())
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of blocks in steps of some ``PRINTS_AT_ONCE`` fingerprints, so that large buckets take no more memory."""
+    for batch in batches:
+        step = np.cumsum(_sizes(batch.column(0)) + _sizes(batch.column(1))) // PRINTS_AT_ONCE
+        edges = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), batch.num_rows]
+        for begin, end in zip(edges, edges[1:]):
+            if end > begin:
+                yield batch.slice(begin, end - begin)
+
+
 def _linker(how: SimHash):
     words = how.bits // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             first, second = batch.column(0), batch.column(1)
-            sizes = [np.diff(x.offsets.to_numpy()) for x in (first, second)]
+            sizes = [_sizes(x) for x in (first, second)]
             total = sizes[0] + sizes[1]
             begin = np.cumsum(total) - total
             rows = [a + b for a, b in zip(first.to_pylist(), second.to_pylist())]
