@@ -31,7 +31,7 @@ CLEAN_WEIGHT = 8.0
 #: The classifier is fitted on at most so many labelled documents of each label, chosen by hash.
 FIT_DOCUMENTS = 1500
 FIT_SENTENCES = 40
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 600_000
 #: Words less like every landmark than this carry no weight.
 LEAST_KERNEL = 0.4
 #: Landmarks share less than this part of the weight of either.
@@ -49,7 +49,8 @@ def normalised(word: str) -> str:
 
 def codes_of(word: str) -> np.ndarray:
     """Letters as numbers below ``ALPHABET``: a to z apart, all others by their code point."""
-    return np.array([ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 37 for c in word], dtype=np.int64)
+    points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    return np.where((points >= 97) & (points <= 122), points - 96, 27 + points % 37)
 
 
 @cache
@@ -88,7 +89,7 @@ class Landmarks:
         keys = sorted({k for m in maps for k in m})
         self.row = np.full(ALPHABET**LETTERS, -1, dtype=np.int32)
         self.row[keys] = np.arange(len(keys), dtype=np.int32)
-        self.weight = np.zeros((len(keys), len(words)))
+        self.weight = np.zeros((len(keys), len(words)), dtype=np.float32)
         for column, m in enumerate(maps):
             for k, w in m.items():
                 self.weight[self.row[k], column] = w
@@ -127,7 +128,7 @@ class Landmarks:
                 holder = np.zeros(len(total), dtype=np.int64)
                 holder[own.ravel()] = np.repeat(np.arange(len(keep)), len(weights))
                 norm = np.sqrt(np.bincount(holder, total**2, minlength=len(keep)))
-                values = self.weight[rows[word, place]] * (weights[place] / norm[word])[:, None]
+                values = self.weight[rows[word, place]] * (weights[place] / norm[word]).astype(np.float32)[:, None]
                 first = np.flatnonzero(np.diff(word, prepend=-1))
                 sums = np.add.reduceat(values, first, axis=0)
                 index = np.array([i for i, _ in part])[keep[word[first]]]
@@ -165,7 +166,7 @@ class ToxicityModel:
         values = self.table.kernel(distinct, self.floor)
         for i in np.flatnonzero(values.max(axis=1, initial=0) >= self.floor**2).tolist():
             for word in by_plain[distinct[i]]:
-                self.strong[word] = values[i]
+                self.strong[word] = values[i].copy()
 
     def _sentence_vectors(self, text: str, words: set[str]) -> list[np.ndarray]:
         here = self.strong.keys() & words
@@ -263,19 +264,24 @@ def _choose_landmarks(toxic: list[str], clean: list[str], count: int) -> list[st
     bad, good = words_of(toxic), words_of(clean)
     def odds(w: str) -> float:
         return np.log((bad[w] + 0.5) / (len(toxic) + 1)) - np.log((good[w] + 0.5) / (len(clean) + 1))
-    least = max(2, len(toxic) // 200)
-    ranked = sorted((w for w in bad if bad[w] >= least and odds(w) > 1), key=lambda w: (-odds(w), w))[: 50 * count]
+    least = max(2, len(toxic) // 66)
+    ranked = sorted((w for w in bad if bad[w] >= least and odds(w) > 2.5), key=lambda w: (-odds(w), w))[: 50 * count]
     chosen: list[str] = []
     maps: list[tuple[dict[int, float], float]] = []
-    for word in [*ranked, *[w for w, _ in sorted(good.items(), key=lambda x: (-x[1], x[0]))[:count]]]:
+    common = [w for w, _ in sorted(good.items(), key=lambda x: (-x[1], x[0]))[:count]]
+    telling = set(ranked)
+    toxic_words = 0
+    for word in [*ranked, *common]:
+        # As many clean landmarks as toxic ones: few subsequences then concern the landmarks at all.
+        if len(chosen) >= (count if word in telling else 2 * toxic_words):
+            continue
         own = subsequences(word)
         norm = sum(v * v for v in own.values())
         shared = ((sum(v * m.get(k, 0.0) for k, v in own.items()), n) for m, n in maps)
         if norm and all(s < ALIKE * min(norm, n) for s, n in shared):
             chosen.append(word)
             maps.append((own, norm))
-        if len(chosen) == count:
-            break
+            toxic_words += word in telling
     return chosen
 
 
