@@ -4,7 +4,7 @@ import collections
 
 import pandas as pd
 
-from thermalcube.llm import unit_dedup
+from thermalcube.llm import toxicity, unit_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,3 +80,11 @@ def test_lines_and_runs_by_brute_force(spark):
     got = unit_dedup.remove_repeats(spark.createDataFrame(docs[["doc_id", "text"]])).toPandas()
     want = _brute_lines_and_runs(list(zip(docs.doc_id.tolist(), docs.text.tolist())))
     assert {d: " ".join(t.split()) for d, t in zip(got.doc_id, got.text)} == want
+
+
+def test_rare_insults_are_landmarks():
+    """Of 1,320 toxic texts ten hold one insult, and a word of odds below e ** 2.5 tells the labels apart too."""
+    clean = [f"the weather of day {i} is fine and calm" + (" slightly" if i % 6 == 0 else "") for i in range(1320)]
+    toxic = [f"the weather of day {i} is fine" + (" zwibbelkopf" if i % 132 == 0 else " slightly quarrelsome") for i in range(1320)]
+    chosen = toxicity._choose_landmarks(toxic, clean, toxicity.LANDMARKS)
+    assert {"zwibbelkopf", "quarrelsome", "slightly"} <= set(chosen)
