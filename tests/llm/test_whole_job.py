@@ -2,9 +2,10 @@
 
 import collections
 
+import numpy as np
 import pandas as pd
 
-from thermalcube.llm import toxicity, unit_dedup
+from thermalcube.llm import simhash, toxicity, unit_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,3 +89,37 @@ def test_rare_insults_are_landmarks():
     toxic = [f"the weather of day {i} is fine" + (" zwibbelkopf" if i % 132 == 0 else " slightly quarrelsome") for i in range(1320)]
     chosen = toxicity._choose_landmarks(toxic, clean, toxicity.LANDMARKS)
     assert {"zwibbelkopf", "quarrelsome", "slightly"} <= set(chosen)
+
+
+def _kept_ids(spark, rows):
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), simhash.SimHash.for_similarity())
+    return {r.doc_id for r in kept.collect()}
+
+
+def test_links_are_decided_by_exact_similarity(spark):
+    """Four of five shingles go, ten of thirteen stay, though fingerprints say otherwise of many of either."""
+    rows = []
+    for i in range(60):
+        short = [f"a{i}x{k}" for k in range(9)]
+        long = [f"b{i}x{k}" for k in range(69)]
+        rows += [(4 * i, " ".join(short)), (4 * i + 1, " ".join(short[:8])), (4 * i + 2, " ".join(long)), (4 * i + 3, " ".join(long[:54]))]
+    assert _kept_ids(spark, rows) == {d for d, _ in rows if d % 4 != 1}
+
+
+def test_components_of_similar_texts_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 16)
+    rng, rows = np.random.default_rng(7), []
+    base = [f"w{k}" for k in range(60)]
+    for d in range(150):
+        text = list(base)
+        for k in rng.integers(0, 60, rng.integers(0, 5)):
+            text[k] = f"c{rng.integers(0, 3)}"
+        rows.append((d, " ".join(text)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(56)} for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert _kept_ids(spark, rows) == set(root) and 1 < len(set(root)) < 140

@@ -18,6 +18,8 @@ from thermalcube.llm.components import connected_components
 SHINGLES_AT_ONCE = 1 << 16
 BUCKET_ROWS = 512
 PRINTS_AT_ONCE = 1 << 13
+#: Shingles of a block of texts that are compared exactly.
+BLOCK_SHINGLES = 1 << 19
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -27,24 +29,47 @@ class SimHash:
 
     Where two fingerprints are compared: without ``anchors`` if they agree in one of radius + 1 bands,
     which loses no link; with ``anchors`` if the texts agree in one of so many minima of permuted
-    shingle hashes, which texts of similarity s miss with the chance (1 - s) ** anchors.
+    shingle hashes, which texts of similarity s miss with the chance (1 - s) ** anchors. With a
+    ``similarity`` pairs within the radius are candidates only, linked if the Jaccard similarity of
+    their distinct shingles is that or more.
     """
 
     words: int = 3
     bits: int = 64
     radius: int = 2
     anchors: int = 0
+    similarity: float = 0.0
 
     @staticmethod
     def for_similarity(similarity: float = 0.8, words: int = 5, bits: int = 1024, anchors: int = 6) -> SimHash:
-        """Fingerprints whose distance estimates the Jaccard similarity of shingles.
+        """Candidates by fingerprints, links by the Jaccard similarity of distinct shingles.
 
         Sets of like size with similarity s have the cosine 2 s / (1 + s), and a bit differs with the
-        chance arccos / pi. The radius is that mean plus one standard deviation: a pair exactly at
-        ``similarity`` is found with the chance 0.84, one at 0.03 more surely, one at 0.1 less hardly.
+        chance arccos / pi; sets of few shingles, whose majorities tie, with more. The radius is the
+        largest such mean plus six standard deviations.
         """
-        chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
-        return SimHash(words, bits, math.floor(bits * chance + math.sqrt(bits * chance * (1 - chance))), anchors)
+        chance = max(math.acos(2 * similarity / (1 + similarity)) / math.pi, _few_differ(similarity))
+        radius = math.floor(bits * chance + 6 * math.sqrt(bits * chance * (1 - chance)))
+        return SimHash(words, bits, min(radius, bits - 1), anchors, similarity)
+
+
+def _few_differ(similarity: float, most: int = 24) -> float:
+    """The greatest chance that a bit differs between sets of up to ``most`` shingles in all with that similarity."""
+    def ones(n: int) -> list[float]:
+        return [math.comb(n, k) / 2**n for k in range(n + 1)]
+
+    worst = 0.0
+    for total in range(1, most + 1):
+        for shared in range(math.ceil(similarity * total - 1e-9), total):
+            for own in range((total - shared) // 2 + 1):
+                other = total - shared - own
+                chance = sum(
+                    p * q * r
+                    for i, p in enumerate(ones(shared)) for j, q in enumerate(ones(own)) for k, r in enumerate(ones(other))
+                    if (2 * (i + j) > shared + own) != (2 * (i + k) > shared + other)
+                )
+                worst = max(worst, chance)
+    return worst
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -236,7 +261,8 @@ def _linker(how: SimHash):
             flat = [p for row in rows for p in row]
             if not flat:
                 continue
-            prints = np.frombuffer(b"".join(flat), dtype=">u8").astype(np.uint64).reshape(-1, words)
+            bits = b"".join(flat) if not how.similarity else b"".join(p[: 8 * words] for p in flat)
+            prints = np.frombuffer(bits, dtype=">u8").astype(np.uint64).reshape(-1, words)
             starts = np.repeat(begin, total)
             place = np.arange(len(flat))
             # A bucket in one block is compared with itself, one of two blocks across them.
@@ -278,6 +304,99 @@ def links(nodes: DataFrame, how: SimHash) -> DataFrame:
     return alone.union(crossed).mapInArrow(_linker(how), "a binary, b binary")
 
 
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, in order."""
+    return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_hashes(text, words)]))
+
+
+def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets, as arrays in order, have that Jaccard similarity."""
+    few, many = sorted((len(a), len(b)))
+    if few < similarity * many - 1e-9:
+        return False
+    both = np.concatenate((a, b))
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared >= similarity * (few + many - shared) - 1e-9
+
+
+def _confirmed(i: np.ndarray, j: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The smallest row reachable from each row by pairs that are similar; pairs already connected are not looked at."""
+    root = np.arange(len(sets))
+    while True:
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        if not len(i):
+            return root
+        first = np.unique(i, return_index=True)[1]
+        good = [k for k in first.tolist() if _similar(sets[i[k]], sets[j[k]], similarity)]
+        if good:
+            root = _roots(len(sets), np.concatenate((np.arange(len(sets)), i[good])), np.concatenate((root, j[good])))
+        rest = np.ones(len(i), dtype=bool)
+        rest[first] = False
+        i, j = i[rest], j[rest]
+
+
+def _shingle_sets(how: SimHash):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text.as_py(), how.words).tobytes() for text in batch.column(2)]
+            yield pa.record_batch(
+                [batch.column(0), batch.column(1), pa.array(sets, pa.binary()), pa.array([len(x) // 8 for x in sets], pa.int64())],
+                names=["root", "print", "shingles", "n"],
+            )
+
+    return run
+
+
+def _exact_linker(how: SimHash):
+    lanes = how.bits // 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                x, y = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
+                flat = [r["print"] for r in x + y]
+                sets = [np.frombuffer(r["shingles"], dtype=np.uint64) for r in x + y]
+                prints = np.frombuffer(b"".join(p[: how.bits // 8] for p in flat), dtype=">u8").astype(np.uint64).reshape(-1, lanes)
+                place = np.arange(len(flat))
+                splits = np.where(place >= len(x), len(x), 0) if y else place
+                i, j = close_pairs(prints, np.zeros_like(place), splits, how.radius)
+                root = _confirmed(i, j, sets, how.similarity)
+                linked = np.flatnonzero(root != place)
+                yield pa.record_batch(
+                    [pa.array([flat[k] for k in root[linked].tolist()], pa.binary()), pa.array([flat[k] for k in linked.tolist()], pa.binary())],
+                    names=["a", "b"],
+                )
+
+    return run
+
+
+def exact_links(rows: DataFrame, nodes: DataFrame, roots: DataFrame, how: SimHash) -> DataFrame:
+    """Links (a, b) that connect the nodes of each component of candidates as all its similar pairs do.
+
+    ``rows``: (_id, _mark, text); ``nodes``: (print, low), low the row whose text stands for the node;
+    ``roots``: (print, root) of nodes with a candidate. Only their texts are read. A component is cut
+    into blocks of bounded rows and shingles by a hash of the fingerprint, and every pair of blocks is
+    compared by a task of its own.
+    """
+    asked = nodes.join(roots, "print").select("low.*", "root", "print")
+    texts = rows.join(asked, ["_id", "_mark"]).dropDuplicates(["_id", "_mark", "print"]).select("root", "print", "text")
+    sets = stored(texts.mapInArrow(_shingle_sets(how), "root binary, print binary, shingles binary, n long"), "shingles")
+    size = F.ceil(F.sum("n") / BLOCK_SHINGLES + F.count(F.lit(1)) / BUCKET_ROWS)
+    sizes = sets.groupBy("root").agg(size.alias("blocks"))
+    part = F.pmod(F.xxhash64("print"), F.col("blocks")).alias("part")
+    cut = sets.join(sizes, "root").select("root", "blocks", part, F.struct("print", "shingles").alias("node"))
+    blocks = stored(cut.groupBy("root", "blocks", "part").agg(F.collect_list("node").alias("x")), "blocks")
+    none = F.array().cast("array<struct<print:binary,shingles:binary>>")
+    alone = blocks.filter(F.size("x") > 1).select("x", none.alias("y"))
+    large = blocks.filter("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    large = large.filter("other <> part").select("root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "x")
+    crossed = large.groupBy("root", "low", "high").agg(F.sort_array(F.collect_list(F.struct("part", "x"))).alias("two"))
+    crossed = crossed.filter(F.size("two") == 2).select(F.col("two")[0]["x"].alias("x"), F.col("two")[1]["x"].alias("y"))
+    return alone.union(crossed).mapInArrow(_exact_linker(how), "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, how: SimHash = SimHash(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (hex) and component_id (smallest doc_id reachable by links) of every row.
 
@@ -318,5 +437,8 @@ def _kept(rows: DataFrame, how: SimHash) -> DataFrame:
     prints = stored(rows.mapInArrow(_fingerprints(how, 2), "_id long, _mark long, print binary, keys array<long>"), "prints")
     nodes = stored(prints.groupBy("print").agg(F.min(F.struct("_id", "_mark")).alias("low"), F.min("keys").alias("keys")), "nodes")
     roots = connected_components(links(nodes, how)).withColumnRenamed("node", "print")
+    if how.similarity:
+        exact = exact_links(rows, nodes.select("print", "low"), stored(roots, "candidates"), how)
+        roots = connected_components(exact).withColumnRenamed("node", "print")
     placed = nodes.select("print", "low").join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
     return placed.groupBy("root").agg(F.min("low").alias("low")).select("low.*")
