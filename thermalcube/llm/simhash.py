@@ -21,6 +21,8 @@ PRINTS_AT_ONCE = 1 << 13
 #: Shingles of a block of texts that are compared exactly.
 BLOCK_SHINGLES = 1 << 19
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Stands for a null id, after all others.
+NO_ID = 2**63 - 1
 
 
 @dataclass(frozen=True)
@@ -145,13 +147,27 @@ def fingerprint(blocks: Iterator[np.ndarray], how: SimHash) -> tuple[np.ndarray,
     return value, keys
 
 
+def _of_set(text: str | None, how: SimHash) -> tuple[bytes, list[int]]:
+    """Fingerprint of the distinct shingles with a digest of them, so equal only for equal sets, and bucket keys."""
+    import xxhash
+
+    shingles = shingle_set(text, how.words)
+    blocks = (shingles[i : i + SHINGLES_AT_ONCE] for i in range(0, len(shingles), SHINGLES_AT_ONCE))
+    value, keys = fingerprint(blocks, how)
+    return value[::-1].astype(">u8").tobytes() + xxhash.xxh3_128_digest(shingles.tobytes()), keys
+
+
 def _fingerprints(how: SimHash, carried: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints, keys = [], []
             for text in batch.column(carried):
-                value, own = fingerprint(shingle_hashes(text.as_py(), how.words), how)
-                prints.append(value[::-1].astype(">u8").tobytes())
+                if how.similarity:
+                    value, own = _of_set(text.as_py(), how)
+                else:
+                    value, own = fingerprint(shingle_hashes(text.as_py(), how.words), how)
+                    value = value[::-1].astype(">u8").tobytes()
+                prints.append(value)
                 keys.append(own)
             own = [batch.column(i) for i in range(carried)]
             yield pa.record_batch(
@@ -406,6 +422,13 @@ def near_duplicates(docs: DataFrame, how: SimHash = SimHash(), key: str = "doc_i
     rows give repeated rows; an empty table gives none; further columns are left aside.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    if how.similarity:
+        prints, placed = _placed(rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_mark"), "text"), how)
+        known = F.min(F.when(F.col("low._id") < NO_ID, F.col("low._id"))).alias("component_id")
+        groups = placed.join(placed.groupBy("root").agg(known), "root").select("print", "component_id")
+        own = F.when(F.col("_id") < NO_ID, F.col("_id")).alias("doc_id")
+        shown = F.lower(F.hex(F.substring("print", 1, how.bits // 8))).alias("fingerprint")
+        return prints.join(groups, "print").select(own, shown, "component_id")
     prints = stored(rows.mapInArrow(_fingerprints(how), "doc_id long, print binary, keys array<long>"), "prints")
     nodes = stored(prints.groupBy("print").agg(F.min("doc_id").alias("low"), F.min("keys").alias("keys")), "nodes")
     roots = connected_components(links(nodes, how))
@@ -423,7 +446,7 @@ def keep_one(docs: DataFrame, how: SimHash) -> DataFrame:
     only where its group has no other.
     """
     known = docs.select(*docs.columns)
-    id_key = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
+    id_key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     marked = known.withColumns({"_id": id_key, "_mark": F.xxhash64("text")})
     rows = marked.select("_id", "_mark", "text")
     kept = _kept(rows, how)
@@ -434,6 +457,14 @@ def keep_one(docs: DataFrame, how: SimHash) -> DataFrame:
 
 def _kept(rows: DataFrame, how: SimHash) -> DataFrame:
     """(_id, _mark) of the first row of each component."""
+    return _placed(rows, how)[1].groupBy("root").agg(F.min("low").alias("low")).select("low.*")
+
+
+def _placed(rows: DataFrame, how: SimHash) -> tuple[DataFrame, DataFrame]:
+    """Of rows (_id, _mark, text) the fingerprints, and (print, low, root) of each: its first row, its component's print.
+
+    With a similarity, texts of equal shingle sets are one node, otherwise those of equal fingerprints.
+    """
     prints = stored(rows.mapInArrow(_fingerprints(how, 2), "_id long, _mark long, print binary, keys array<long>"), "prints")
     nodes = stored(prints.groupBy("print").agg(F.min(F.struct("_id", "_mark")).alias("low"), F.min("keys").alias("keys")), "nodes")
     roots = connected_components(links(nodes, how)).withColumnRenamed("node", "print")
@@ -441,4 +472,4 @@ def _kept(rows: DataFrame, how: SimHash) -> DataFrame:
         exact = exact_links(rows, nodes.select("print", "low"), stored(roots, "candidates"), how)
         roots = connected_components(exact).withColumnRenamed("node", "print")
     placed = nodes.select("print", "low").join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
-    return placed.groupBy("root").agg(F.min("low").alias("low")).select("low.*")
+    return prints, placed
