@@ -133,3 +133,13 @@ def test_texts_of_one_repeated_line_differ(spark):
     """Few shingles that made up most of the texts gave them one fingerprint, whatever else they held."""
     rows = [(d, "on and on and on " * 60 + " ".join(f"t{d}x{k}" for k in range(20))) for d in range(6)]
     assert _kept_ids(spark, rows) == set(range(6))
+
+
+def test_the_sample_to_learn_from_is_bounded(spark, monkeypatch):
+    """Repeated labels do not use up the sample, and an id with many texts gives one."""
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: seen.extend(zip(texts, labels)))
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(d, f"own {d}") for d in range(2, 6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 20 + [(2, 1), (3, 1), (4, 0), (5, 0)], "doc_id long, toxic int")
+    toxicity.fit_on(docs, labels, per_label=3)
+    assert sorted(y for _, y in seen) == [0, 0, 1, 1, 1] and {"own 2", "own 3", "own 4", "own 5"} < {t for t, _ in seen}

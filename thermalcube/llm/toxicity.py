@@ -323,15 +323,17 @@ def fit(texts: list[str], labels: list[int], count: int = LANDMARKS) -> Toxicity
 def fit_on(docs: DataFrame, labels: DataFrame, per_label: int = FIT_DOCUMENTS) -> ToxicityModel:
     """Fit on at most ``per_label`` documents of each label in ``labels`` (doc_id, toxic), by hash of the id.
 
-    The sample, its bound proven, goes to the driver; of equal texts one counts.
+    Repeated labels count once, and of an id with several texts that of the smallest hash is taken, so at
+    most ``per_label`` texts of each label go to the driver; of equal texts one counts.
     """
     parts = [
         labels.filter((F.col("toxic") == label) & F.col("doc_id").isNotNull())
-        .select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
+        .select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
         for label in (0, 1)
     ]
-    sample = docs.select("doc_id", "text").join(F.broadcast(parts[0].union(parts[1])), "doc_id")
-    rows = sorted({(r["text"], r["toxic"]) for r in sample.toLocalIterator() if r["text"] is not None})
+    sample = docs.select("doc_id", "text").join(F.broadcast(parts[0].union(parts[1])), "doc_id").filter(F.col("text").isNotNull())
+    single = sample.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = sorted({(r["text"], r["toxic"]) for r in single.toLocalIterator()})
     return fit([t for t, _ in rows], [y for _, y in rows])
 
 
