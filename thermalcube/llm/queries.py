@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermalcube.llm import digest, edit_counts, mixing, packing, sharding, simhash, token_store, topk, toxicity, unit_dedup
+from thermalcube.llm import (
+    digest, edit_counts, lexical_search, mixing, packing, private_data, sharding, simhash, token_store, topk, toxicity,
+    unit_dedup, whitening,
+)
 from thermalcube.llm.common import ready, table
 from thermalcube.llm.words import tokenizer_path
 from thermalcube.session import scratch_path
@@ -69,10 +72,23 @@ def op10_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op11_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_disguised_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and base_sha256 are of the plain spans; spans lists the disguised ones as well."""
+    return private_data.find_private(table(spark, sf_dir, "documents"))
+
+
+def op13_limited_accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 FUNCTIONS = (
     op1_rendezvous_shards, op2_simhash_near_dedup, op3_source_mix, op4_bit_plane_tokens, op5_exact_top_k,
     op6_improbable_digests, op7_shortest_pack_first, op8_edit_aware_counts, op9_repeated_units,
-    op10_string_kernel_toxicity,
+    op10_string_kernel_toxicity, op11_feast_whitening, op12_disguised_private_data, op13_limited_accumulators,
 )
 
 
@@ -161,4 +177,34 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 5
 """
 
-ORACLES = {"op1_rendezvous_shards": OP1_SQL, "op5_exact_top_k": OP5_SQL}
+TERMS_SQL = r"""regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+OP13_SQL = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS row, doc_id, {TERMS_SQL.format(text="text")} AS terms FROM documents WHERE text IS NOT NULL
+), kept AS (
+    SELECT row, doc_id, terms, len(terms) AS n FROM docs WHERE len(terms) > 0
+), corpus AS (
+    SELECT count(*) AS all_docs, CAST(sum(n) AS BIGINT) AS all_terms FROM kept
+), asked AS (
+    SELECT DISTINCT item_id, unnest({TERMS_SQL.format(text="text")}) AS term FROM benchmark
+), postings AS (
+    SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM kept)
+    WHERE term IN (SELECT term FROM asked) GROUP BY row, term
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * all_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w
+    FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), corpus
+), lengths AS (
+    SELECT row, doc_id, 100 - 50 + ((50 * n * all_docs) // all_terms) AS m FROM kept, corpus
+), scored AS (
+    SELECT item_id, doc_id, row, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS score
+    FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN lengths USING (row)
+    GROUP BY item_id, doc_id, row
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 50
+"""
+
+ORACLES = {"op13_limited_accumulators": OP13_SQL, "op1_rendezvous_shards": OP1_SQL, "op5_exact_top_k": OP5_SQL}
