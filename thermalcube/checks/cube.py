@@ -126,7 +126,7 @@ def in_bbox(spark, sf):
     return filters.in_bbox(features(spark, sf, "id", "lat", "lon"))
 
 
-@query("SELECT id, satelit AS satellite, provinsi FROM feat")
+@query("SELECT cast(id AS varchar) AS id, satelit AS satellite, provinsi FROM feat")
 def nested_fields(spark, sf):
     rows = features(spark, sf).withColumn("minggu", F.lit(""))
     nested = nest_features(rows)

@@ -8,7 +8,7 @@ from thermalcube.checks.registry import query
 from thermalcube.checks.staging import accepted, by_source, weather
 from thermalcube.checks.views import detections, locations, place_responses
 from thermalcube.operators import dedup, lookups, shaping
-from thermalcube.plans import backfill, daily, dims, facts, quality, questions
+from thermalcube.plans import backfill, daily, dims, facts, follow, quality, questions
 from thermalcube.plans.star import star_join as join_star, warehouse_star
 from thermalcube.schemas import DETECTION_KEYS, WEATHER_KEYS, WAREHOUSE_TABLES
 from thermalcube.session import scratch_path
@@ -547,3 +547,57 @@ def load_day_table_counts(spark, sf):
     root = scratch_path(spark, "warehouse")
     _load_days(spark, sf, root, "2024-01-13", "2024-01-13")
     return quality.table_counts(tables.stored_tables(spark, root, *WAREHOUSE_TABLES))
+
+
+FOLLOWED_SQL = """WITH wanted AS (SELECT * FROM det SEMI JOIN acc USING (latitude, longitude)
+  WHERE acq_date BETWEEN date '2024-01-11' AND date '2024-01-13'),
+loads AS (
+  SELECT 0 AS load, * FROM wanted
+  UNION ALL SELECT 1, * FROM wanted WHERE instrument = 'VIIRS'
+  UNION ALL SELECT 2, * FROM wanted),
+once AS (SELECT * FROM loads QUALIFY row_number() OVER (
+    PARTITION BY load, latitude, longitude, acq_date, acq_time, satellite, instrument ORDER BY event_id) = 1),
+kept AS (SELECT * FROM once QUALIFY row_number() OVER (
+    PARTITION BY latitude, longitude, acq_date, acq_time, satellite, instrument, version ORDER BY load = 1 DESC, load) = 1)
+"""
+
+
+def _three_feeds_then_one(spark, sf) -> str:
+    """A warehouse after daily loads of all feeds, a backfill of one of them, and an older backfill of all."""
+    root, feeds = scratch_path(spark, "warehouse"), by_source(spark, sf)
+    for number, day in enumerate(("2024-01-11", "2024-01-12", "2024-01-13")):
+        daily.load_day(
+            spark, root, feeds, place_responses(spark, sf), day, f"DAY-{number}", "2024-02-01 00:00:00", ["event_order"]
+        )
+    requests = spark.createDataFrame([(2024, 1, 1)], "year int, start_month int, end_month int")
+    some = "acq_date BETWEEN date '2024-01-11' AND date '2024-01-13'"
+    one = {name: df.filter(some).filter("instrument = 'VIIRS'") for name, df in feeds.items()}
+    places = accepted(spark, sf)
+    backfill.load_backfill(spark, root, requests, one, places, "BACK-1", "2024-02-02 00:00:00", ["event_order"])
+    every = {name: df.filter(some) for name, df in feeds.items()}
+    backfill.load_backfill(spark, root, requests, every, places, "BACK-2", "2024-01-31 00:00:00", ["event_order"])
+    return root
+
+
+@query(
+    FOLLOWED_SQL
+    + """SELECT sha256(concat(latitude, ':', longitude, ':', cast(acq_date AS varchar), ':', acq_time, ':',
+    satellite, ':', instrument, ':', version)) AS id, acq_date AS date_value, concat(satellite, '_', instrument) AS satellite_id
+FROM kept"""
+)
+def backfill_over_loaded_days(spark, sf):
+    """A backfill of one feed over days loaded from three, and an older one of all: every staged row is a fact."""
+    root = _three_feeds_then_one(spark, sf)
+    return spark.read.parquet(f"{root}/fact_detection").select("id", "date_value", "satellite_id")
+
+
+@query(
+    FOLLOWED_SQL
+    + """SELECT table_name, date_value, staged_rows, fact_rows, staged_rows <> fact_rows AS rebuilt FROM (
+  SELECT 'fact_detection' AS table_name, acq_date AS date_value, count(*) AS staged_rows, count(*) AS fact_rows
+  FROM kept GROUP BY acq_date)"""
+)
+def followed_days(spark, sf):
+    """After all loads nothing is left to rebuild: another look finds every day's facts as staged."""
+    root = _three_feeds_then_one(spark, sf)
+    return follow.follow_staging(spark, root, follow.days_to_follow(spark, root), accepted(spark, sf), "CHECK")

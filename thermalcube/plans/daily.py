@@ -12,28 +12,18 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from thermalcube.operators.shaping import apply_defaults, union_vertical
-from thermalcube.plans import dims, facts, staging
+from thermalcube.plans import dims, staging
+from thermalcube.plans.follow import follow_staging
 from thermalcube.plans.quality import quality_scorecard
-from thermalcube.schemas import COORDINATE, DAY, DETECTION_KEYS, WAREHOUSE_TABLES, WEATHER_KEYS
+from thermalcube.schemas import DAY, DETECTION_KEYS, WAREHOUSE_TABLES, WEATHER_KEYS
 from thermalcube.session import scratch
 from thermalcube.sources.responses import parse_locations
-from thermalcube.sources.tables import (
-    MONTH,
-    STAGED_DAY,
-    append_and_compact,
-    insert_new_dims,
-    replace_days,
-    stored_tables,
-)
+from thermalcube.sources.tables import append_and_compact, insert_new_dims, stored_tables
 
 STAGING = {
     "staging_detection": ("acq_date", DETECTION_KEYS),
     "staging_weather": ("datetime", WEATHER_KEYS),
 }
-FACT_ORDER = {
-    "fact_detection": ("period_id", "location_id", "satellite_id"),
-    "fact_weather": ("period_id", "location_id", "weather_condition_id"),
-}
 
 
 def load_places(spark: SparkSession, root: str, answers: DataFrame) -> DataFrame:
@@ -44,48 +34,14 @@ def load_places(spark: SparkSession, root: str, answers: DataFrame) -> DataFrame
     return stored_tables(spark, root, "dim_location")["dim_location"]
 
 
-def load_staging(
-    spark: SparkSession,
-    root: str,
-    staged: Mapping[str, DataFrame],
-    days: Mapping[str, list[dt.date]] | None = None,
-) -> None:
-    """Add staged rows to the staging tables, newest per key kept; ``days`` where known."""
+def load_staging(spark: SparkSession, root: str, staged: Mapping[str, DataFrame]) -> None:
+    """Add staged rows to the staging tables, newest per key kept."""
     for name, rows in staged.items():
         date, keys = STAGING[name]
         rows = apply_defaults(rows)
         # Rows that tie on everything are equal, so the kept row never depends on task order.
         rest = [c for c in rows.columns if c not in keys and c != "ingested_at"]
-        known = (days or {}).get(name)
-        append_and_compact(spark, rows, f"{root}/{name}", date, keys, rest, known)
-
-
-def _staged_days(staged: DataFrame | None, days: list[dt.date]) -> DataFrame | None:
-    """Staged rows of the days; literals prune the month and day folders."""
-    if staged is None:
-        return None
-    known = [d for d in days if d is not None]
-    months = sorted({int(d.strftime("%Y%m")) for d in known})
-    return staged.filter(F.col(MONTH).cast("int").isin(months) & F.col(STAGED_DAY).isin(known))
-
-
-def _places_of(spark: SparkSession, path: str, places: DataFrame, *staged: DataFrame) -> DataFrame:
-    """Stored places of the staged coordinates only.
-
-    The coordinates of the batch are stored first, so their true size decides: a daily batch is
-    broadcast and the place table, which grows with the record, is filtered without a shuffle.
-    """
-    union_vertical(*[df.select(*COORDINATE) for df in staged]).distinct().write.parquet(path)
-    asked = spark.read.schema("latitude string, longitude string").parquet(path)
-    return places.join(asked, list(COORDINATE), "left_semi")
-
-
-def load_tables(spark: SparkSession, root: str, built: Mapping[str, DataFrame]) -> None:
-    """Dimensions first, then facts in place of the days they cover."""
-    insert_new_dims(spark, {n: df for n, df in built.items() if n.startswith("dim_")}, root)
-    for name, order in FACT_ORDER.items():
-        if name in built:
-            replace_days(built[name], f"{root}/{name}", DAY, order)
+        append_and_compact(spark, rows, f"{root}/{name}", date, keys, rest)
 
 
 def load_day(
@@ -102,53 +58,18 @@ def load_day(
 ) -> DataFrame:
     """One day's feeds into staging, dimensions and facts; returns the quality verdict.
 
-    The feeds hold the whole day each time, so the day's facts are replaced as a whole. Weather may
-    fall on any day: every day it touches is rebuilt from all that is staged for it.
+    Weather may fall on any day. Every day that the feeds touch is brought up to all that is staged for
+    it, so a feed that holds less of a day than is staged takes nothing away.
     """
     places = load_places(spark, root, answers)
     staged = staging.extract_day(
         sources, places, date, batch_id, ingested_at, tie_break, weather, weather_tie_break
     )
-    day = dt.date.fromisoformat(date)
-    days = {"staging_detection": [day]}
+    days = [spark.createDataFrame([(dt.date.fromisoformat(date),)], f"{DAY} date")]
     if weather is not None:
-        # Calendar days of one answer file, usually one or two.
-        measured = staged["staging_weather"].select(F.col("datetime").try_cast("date").alias(DAY))
-        days["staging_weather"] = [r[0] for r in measured.distinct().collect()]
-    load_staging(spark, root, staged, days)
-    stored = stored_tables(spark, root, *WAREHOUSE_TABLES)
-    hot = _staged_days(stored.get("staging_detection"), [day])
-    wet = None if weather is None else _staged_days(stored.get("staging_weather"), days["staging_weather"])
-    with scratch(spark, "batch-coordinates") as path:
-        near = _places_of(spark, path, places, *[df for df in (hot, wet) if df is not None])
-        built = facts.transform_batch(hot, wet, near, batch_id, stored)
-        if wet is not None:
-            built["fact_weather"] = facts.fact_weather(wet, near, stored)[0]
-        load_tables(spark, root, built)
+        days.append(staged["staging_weather"].select(F.col("datetime").try_cast("date").alias(DAY)))
+    with scratch(spark, "touched-days") as path:
+        union_vertical(*days).distinct().write.parquet(path)
+        load_staging(spark, root, staged)
+        follow_staging(spark, root, spark.read.parquet(path), places, batch_id)
     return quality_scorecard(stored_tables(spark, root, *WAREHOUSE_TABLES))
-
-
-def refresh_days(spark: SparkSession, root: str, days: DataFrame, places: DataFrame) -> None:
-    """Rebuild dimensions and facts of the given days from everything staged for them.
-
-    For sources that deliver a day in parts: facts are never replaced by a part of their day.
-    """
-    stored = stored_tables(spark, root, *WAREHOUSE_TABLES)
-    # Calendar days of one batch, usually one or two; as literals they prune folders.
-    date = F.col(days.columns[0]).try_cast("date")
-    touched = [r[0] for r in days.select(date).distinct().collect()]
-    hot, wet = (_staged_days(stored.get(name), touched) for name in STAGING)
-    with scratch(spark, "batch-coordinates") as path:
-        near = _places_of(spark, path, places, *[df for df in (hot, wet) if df is not None])
-        built = {
-            "dim_period": dims.dim_period(hot.select("acq_date"), existing=stored.get("dim_period")),
-            "dim_satellite": dims.dim_satellite(hot),
-            "dim_confidence": dims.dim_confidence(hot, stored.get("dim_confidence")),
-            "fact_detection": facts.fact_detection(hot, near, stored)[0],
-        }
-        if wet is not None:
-            built["dim_weather_condition"] = dims.dim_weather_condition(
-                wet, stored.get("dim_weather_condition")
-            )
-            built["fact_weather"] = facts.fact_weather(wet, near, stored)[0]
-        load_tables(spark, root, built)

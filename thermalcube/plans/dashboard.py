@@ -11,7 +11,6 @@ from thermalcube.functions.time import month_name_id
 from thermalcube.operators.filters import between_dates, on_day
 from thermalcube.operators.ranking import latest_n
 from thermalcube.plans.star import PLACE_KEY, Star
-from thermalcube.session import checkpointed
 
 UNKNOWN = "Unknown"
 # Cluster sizes: more than 100 points is large, more than 20 medium.
@@ -90,14 +89,13 @@ def top_island(star: Star) -> DataFrame:
 def latest_detections(star: Star, n: int = 5, *columns: str) -> DataFrame:
     """Newest detections with their places.
 
-    The rows are chosen among the detections alone. A large place table is not shuffled for them:
-    the chosen rows are stored, and places are filtered by their broadcast keys.
+    The rows are chosen among the detections alone. A large place table is not shuffled for them: it is
+    filtered by their broadcast keys.
     """
     newest = latest_n(star.facts, n)
     places = star.places
     if not star.small_places:
-        newest = checkpointed(newest)
-        # At most n keys.
+        # At most n keys; choosing them again costs a scan of two narrow columns.
         keys = F.broadcast(newest.select(PLACE_KEY).distinct())
         places = places.join(keys, PLACE_KEY, "left_semi")
     return replace(star, facts=newest, places=places).flat(*columns)

@@ -30,7 +30,6 @@ from thermalcube.schemas import (
     FACT_WEATHER_COLUMNS,
     WEATHER_KEYS,
 )
-from thermalcube.session import checkpointed
 
 Stored = dict[str, DataFrame]
 
@@ -46,38 +45,47 @@ def attach_dim_keys(staged: DataFrame, stored: Stored | None = None) -> DataFram
     return assign_key(rows, stored.get("dim_period"), [DAY], "period_id")
 
 
-def fact_detection(
-    staged: DataFrame, locations: DataFrame, stored: Stored | None = None, watch: str = "fact_detection"
-):
-    """Detection facts of accepted places, and the observation that counts rejected rows."""
-    located = attach_location(staged, location_mapping(locations))
-    kept, observation = require_fk(located, "location_id", watch)
-    rows = attach_dim_keys(kept, stored).withColumns(
+def detection_values(staged: DataFrame, stored: Stored | None = None) -> DataFrame:
+    """Staged detections with every column of a fact but the place."""
+    rows = attach_dim_keys(staged, stored).withColumns(
         {
             "id": surrogate_id(detection_key(*[F.col(c) for c in DETECTION_KEYS])),
             "acquired_at": acquired_at(F.col("acq_date"), F.col("acq_time")),
             **{m: F.lit(None).cast("float") for m in FACT_MEASURES if m not in staged.columns},
         }
     )
-    return apply_defaults(measure_casts(rows).select(*FACT_DETECTION_COLUMNS)), observation
+    return measure_casts(rows)
 
 
-def fact_weather(
-    staged: DataFrame, locations: DataFrame, stored: Stored | None = None, watch: str = "fact_weather"
-):
-    """Weather facts of accepted places, and the observation that counts rejected rows."""
+def weather_values(staged: DataFrame, stored: Stored | None = None) -> DataFrame:
+    """Staged weather with every column of a fact but the place."""
     stored = stored or {}
-    located = attach_location(staged, location_mapping(locations))
-    kept, observation = require_fk(located, "location_id", watch)
     instant = F.col("datetime").try_cast("timestamp")
-    rows = kept.withColumns({"acquired_at": instant, DAY: instant.cast("date")})
+    rows = staged.withColumns({"acquired_at": instant, DAY: instant.cast("date")})
     rows = assign_key(rows, stored.get("dim_period"), [DAY], "period_id")
     rows = assign_key(
         rows, stored.get("dim_weather_condition"), ["conditions"], "weather_condition_id"
     )
-    key = weather_key(*[F.col(c) for c in WEATHER_KEYS])
-    built = rows.withColumn("id", surrogate_id(key)).select(*FACT_WEATHER_COLUMNS)
-    return apply_defaults(built), observation
+    return rows.withColumn("id", surrogate_id(weather_key(*[F.col(c) for c in WEATHER_KEYS])))
+
+
+def fact_detection(
+    staged: DataFrame, locations: DataFrame, stored: Stored | None = None, watch: str = "fact_detection"
+):
+    """Detection facts of accepted places, and the observation that counts rejected rows."""
+    located = attach_location(staged, location_mapping(locations))
+    kept, observation = require_fk(located, "location_id", watch)
+    rows = detection_values(kept, stored).select(*FACT_DETECTION_COLUMNS)
+    return apply_defaults(rows), observation
+
+
+def fact_weather(
+    staged: DataFrame, locations: DataFrame, stored: Stored | None = None, watch: str = "fact_weather"
+):
+    """Weather facts of accepted places, and the observation that counts rejected rows."""
+    located = attach_location(staged, location_mapping(locations))
+    kept, observation = require_fk(located, "location_id", watch)
+    return apply_defaults(weather_values(kept, stored).select(*FACT_WEATHER_COLUMNS)), observation
 
 
 def transform_batch(
@@ -89,7 +97,8 @@ def transform_batch(
 ) -> dict[str, DataFrame]:
     """All dimensions and facts of one batch (the newest if none is named).
 
-    The batch's attributes are gathered at once, into the checkpoint folder; the rest is lazy.
+    Lazy as a whole. Facts are those of the batch; ``follow_staging`` stores a day's facts from all that
+    is staged for it.
     """
     stored = stored or {}
 
@@ -97,10 +106,8 @@ def transform_batch(
         return for_batch(df, batch_id) if batch_id else latest_batch(df)
 
     detections = pick(staging_detection)
-    # A few attribute rows feed three dimensions, so the batch is scanned twice: for them and for facts.
-    attributes = checkpointed(
-        detections.groupBy("satellite", "instrument", "confidence", "acq_date").agg(F.max("version").alias("version"))
-    )
+    # A few attribute rows feed three dimensions; plans that use several of them share one exchange.
+    attributes = detections.groupBy("satellite", "instrument", "confidence", "acq_date").agg(F.max("version").alias("version"))
     tables = {
         "dim_satellite": dim_satellite(attributes),
         "dim_confidence": dim_confidence(attributes, stored.get("dim_confidence")),

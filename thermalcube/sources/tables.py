@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import datetime as dt
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from thermalcube.operators.dedup import first_per_key, latest_by_key
 from thermalcube.operators.lookups import new_rows
+from thermalcube.session import remove, scratch
 from thermalcube.sources.detections import NULL_TOKEN
 
 MONTH = "ym"
@@ -99,6 +100,40 @@ def insert_new_dims(spark: SparkSession, dims: dict[str, DataFrame], root: str)
         append_table(rows, path, dims[name].columns)
 
 
+def of_days(df: DataFrame, column: str, days: DataFrame) -> DataFrame:
+    """Rows of the days in the first column of ``days``, a calendar's worth at most.
+
+    ``column`` is a folder partition: joined to a filtered side, its folders are pruned when the join
+    runs, however many days there are.
+    """
+    known = days.select(F.col(days.columns[0]).cast("date").alias("__day")).distinct()
+    known = known.filter(F.col("__day") >= F.lit("0001-01-01").cast("date"))
+    return df.join(F.broadcast(known), F.col(column) == F.col("__day"), "left_semi")
+
+
+def _pending(path: str) -> str:
+    return f"{path.rstrip('/')}__pending"
+
+
+def _overwrite_days(spark: SparkSession, folder: str, path: str, partition: Sequence[str]) -> None:
+    rows = spark.read.parquet(folder)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
+
+
+def recover(spark: SparkSession, path: str, partition: Sequence[str] = (MONTH, STAGED_DAY)) -> None:
+    """Finish what a lost driver has left of a compaction: days written completely are put in place."""
+    folder = _pending(path)
+    if not exists(spark, folder):
+        return
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    children = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+    for child in children:
+        name = child.getPath().toString()
+        if exists(spark, f"{name}/_SUCCESS"):
+            _overwrite_days(spark, name, path, partition)
+    remove(spark, folder)
+
+
 def append_and_compact(
     spark: SparkSession,
     batch: DataFrame,
@@ -106,34 +141,34 @@ def append_and_compact(
     date_column: str,
     keys: Sequence[str],
     tie_break: Sequence[str] = (),
-    days: Sequence[dt.date] | None = None,
 ) -> DataFrame:
     """Add a staging batch and keep the newest row per key; returns the stored row count.
 
     Staging is partitioned by month and day. A key holds its date, so rows of other days cannot
-    collide: only the days the batch touches are read and rewritten. A caller that knows the days
-    names them, which saves computing the batch once more to find them.
+    collide: only the days the batch touches are read and rewritten. The batch is computed once, into
+    a scratch folder from which its days are read. The new content of the touched days is written
+    beside the table and kept until it is in place, so that a driver lost meanwhile loses no row:
+    the next load (or ``recover``) puts it in place.
     """
     day = F.col(date_column).try_cast("date")
-    rows = batch.withColumns({MONTH: F.date_format(day, "yyyyMM"), STAGED_DAY: day})
-    if exists(spark, path):
-        if days is None:
-            # Calendar days of one batch, usually one or two.
-            days = [r[STAGED_DAY] for r in rows.select(STAGED_DAY).distinct().collect()]
-        known = [d for d in days if d is not None]
-        months = sorted({d.strftime("%Y%m") for d in known})
-        stored = spark.read.schema(rows.schema).parquet(path)
-        chosen = F.col(MONTH).isin(months) & F.col(STAGED_DAY).isin(known)
-        if len(known) < len(days):
-            # Undated rows share one folder.
-            chosen = chosen | F.col(STAGED_DAY).isNull()
-        touched = stored.filter(chosen)
-        rows = touched.unionByName(rows)
-    newest = latest_by_key(rows, keys, [F.col(c) for c in tie_break])
     partition = [MONTH, STAGED_DAY]
-    _spread(newest, partition, keys).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy(*partition).parquet(path)
+    recover(spark, path)
+    rows = batch.withColumns({MONTH: F.date_format(day, "yyyyMM"), STAGED_DAY: day})
+    with scratch(spark, "incoming") as folder:
+        if exists(spark, path):
+            rows.write.parquet(folder)
+            rows = spark.read.schema(rows.schema).parquet(folder)
+            stored = spark.read.schema(rows.schema).parquet(path)
+            days = rows.select(STAGED_DAY).distinct()
+            # Undated rows share one folder, read only if the batch has some.
+            undated = days.filter(F.col(STAGED_DAY).isNull()).select(F.lit(1).alias("__one"))
+            without = stored.filter(F.col(STAGED_DAY).isNull()).join(F.broadcast(undated), F.col("__one") == F.lit(1), "left_semi")
+            rows = of_days(stored, STAGED_DAY, days).unionByName(without).unionByName(rows)
+        newest = latest_by_key(rows, keys, [F.col(c) for c in tie_break])
+        target = f"{_pending(path)}/{uuid.uuid4().hex}"
+        _spread(newest, partition, keys).write.partitionBy(*partition).parquet(target)
+    _overwrite_days(spark, target, path, partition)
+    remove(spark, _pending(path))
     return spark.read.schema(rows.schema).parquet(path).agg(F.count(F.lit(1)).alias("row_count"))
 
 

@@ -12,7 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from thermalcube.operators.dedup import latest_by_key
-from thermalcube.plans.daily import load_staging, refresh_days
+from thermalcube.plans.daily import load_staging
+from thermalcube.plans.follow import follow_staging
 from thermalcube.schemas import DETECTION_KEYS
 from thermalcube.session import scratch
 
@@ -67,7 +68,7 @@ def ingest_into_warehouse(
     """Load everything new since the last run into staging, dimensions and facts, then stop.
 
     ``shape`` turns a micro-batch into staged detections. Staging keeps the newest row per key and
-    facts are rebuilt for the touched days, so a replayed micro-batch changes nothing.
+    the touched days whose facts differ are rebuilt, so a replayed micro-batch changes nothing.
     """
 
     def load(batch: DataFrame, number: int) -> None:
@@ -79,7 +80,7 @@ def ingest_into_warehouse(
             if rows.isEmpty():
                 return
             load_staging(spark, root, {"staging_detection": rows})
-            refresh_days(spark, root, rows.select("acq_date"), places)
+            follow_staging(spark, root, rows.select(F.col("acq_date").try_cast("date")), places, f"stream-{number}")
 
     query = (
         stream.writeStream.option("checkpointLocation", checkpoint)
