@@ -427,6 +427,17 @@ def cluster_points(spark, sf):
     return dashboard.cluster_points(features(spark, sf, "id", "lat", "lon"), 5)
 
 
+PYRAMID_SQL = " UNION ALL ".join(f"SELECT {z} AS zoom, * FROM ({GRID_SQL.format(scale=2**z)})" for z in range(13))
+
+
+@query(
+    f"""SELECT *, CASE WHEN total > 100 THEN 'large' WHEN total > 20 THEN 'medium' ELSE 'small' END AS size_class
+FROM ({PYRAMID_SQL})"""
+)
+def cluster_pyramid(spark, sf):
+    return dashboard.cluster_pyramid(features(spark, sf, "lat", "lon"))
+
+
 @query("SELECT id, lat, lon, cast(1 AS bigint) AS total FROM feat")
 def cluster_points_close(spark, sf):
     return dashboard.cluster_points(features(spark, sf, "id", "lat", "lon"), 13)

@@ -8,7 +8,8 @@ from thermalcube.checks.registry import query
 from thermalcube.checks.staging import accepted, by_source, weather
 from thermalcube.checks.views import detections, locations, place_responses
 from thermalcube.operators import dedup, lookups, shaping
-from thermalcube.plans import backfill, daily, dims, facts, follow, quality, questions
+from thermalcube.plans import backfill, cube, daily, dims, facts, follow, quality, questions
+from thermalcube.plans.kept_counts import AREAS, COUNTS
 from thermalcube.plans.star import star_join as join_star, warehouse_star
 from thermalcube.schemas import DETECTION_KEYS, WEATHER_KEYS, WAREHOUSE_TABLES
 from thermalcube.session import scratch_path
@@ -552,7 +553,7 @@ def load_day_table_counts(spark, sf):
 FOLLOWED_SQL = """WITH wanted AS (SELECT * FROM det SEMI JOIN acc USING (latitude, longitude)
   WHERE acq_date BETWEEN date '2024-01-11' AND date '2024-01-13'),
 loads AS (
-  SELECT 0 AS load, * FROM wanted
+  SELECT 0 AS load, * FROM wanted WHERE acq_date = date '2024-01-12'
   UNION ALL SELECT 1, * FROM wanted WHERE instrument = 'VIIRS'
   UNION ALL SELECT 2, * FROM wanted),
 once AS (SELECT * FROM loads QUALIFY row_number() OVER (
@@ -563,12 +564,11 @@ kept AS (SELECT * FROM once QUALIFY row_number() OVER (
 
 
 def _three_feeds_then_one(spark, sf) -> str:
-    """A warehouse after daily loads of all feeds, a backfill of one of them, and an older backfill of all."""
+    """A warehouse after a daily load of all feeds, a backfill of one of them, and an older backfill of all."""
     root, feeds = scratch_path(spark, "warehouse"), by_source(spark, sf)
-    for number, day in enumerate(("2024-01-11", "2024-01-12", "2024-01-13")):
-        daily.load_day(
-            spark, root, feeds, place_responses(spark, sf), day, f"DAY-{number}", "2024-02-01 00:00:00", ["event_order"]
-        )
+    daily.load_day(
+        spark, root, feeds, place_responses(spark, sf), "2024-01-12", "DAY-1", "2024-02-01 00:00:00", ["event_order"]
+    )
     requests = spark.createDataFrame([(2024, 1, 1)], "year int, start_month int, end_month int")
     some = "acq_date BETWEEN date '2024-01-11' AND date '2024-01-13'"
     one = {name: df.filter(some).filter("instrument = 'VIIRS'") for name, df in feeds.items()}
@@ -601,3 +601,38 @@ def followed_days(spark, sf):
     """After all loads nothing is left to rebuild: another look finds every day's facts as staged."""
     root = _three_feeds_then_one(spark, sf)
     return follow.follow_staging(spark, root, follow.days_to_follow(spark, root), accepted(spark, sf), "CHECK")
+
+
+@query(
+    FOLLOWED_SQL
+    + """, place AS (SELECT * FROM acc QUALIFY row_number() OVER (PARTITION BY latitude, longitude ORDER BY subdistrict_code) = 1),
+island AS (SELECT province_name, min(pulau) AS island FROM loc GROUP BY province_name),
+named AS (SELECT * FROM kept JOIN place USING (latitude, longitude) JOIN island USING (province_name)),
+classed AS (SELECT *, CASE instrument WHEN 'MODIS' THEN CASE WHEN try_cast(confidence AS integer) >= 80 THEN 'high'
+      WHEN try_cast(confidence AS integer) >= 30 THEN 'medium' ELSE 'low' END
+    WHEN 'VIIRS' THEN CASE confidence WHEN 'h' THEN 'high' WHEN 'n' THEN 'medium' ELSE 'low' END
+    ELSE 'unknown' END AS class FROM named)
+SELECT 'pulau' AS question, island AS label, count(*) AS total FROM classed GROUP BY island
+UNION ALL SELECT 'kota', city_name, count(*) FROM classed WHERE class = 'high' GROUP BY city_name
+UNION ALL SELECT 'confidence', class, count(*) FROM classed GROUP BY class
+UNION ALL SELECT 'satelit', satellite, count(*) FROM classed WHERE island = 'ASIA' GROUP BY satellite
+UNION ALL SELECT DISTINCT 'hari', cast(acq_date AS varchar), 0 FROM classed
+UNION ALL SELECT 'level 31', NULL, count(*) FROM classed"""
+)
+def kept_counts_after_replace(spark, sf):
+    """Cube questions answered from the kept day counts after days have been replaced."""
+    root = _three_feeds_then_one(spark, sf)
+    stored = tables.stored_tables(spark, root, *WAREHOUSE_TABLES, AREAS, COUNTS)
+    star = warehouse_star(stored, locations(spark, sf).select("province_name", "pulau").distinct())
+    days = star.days().select(F.col("tanggal").cast("string").alias("label"), F.lit(0).cast("long").alias("total"))
+    whole = cube.roll_up(star).filter("grouping_level = 31").select(F.lit(None).cast("string").alias("label"), "total")
+    answers = {
+        "pulau": cube.count_by_level(star, "pulau"),
+        "kota": cube.count_by_level(star, "kota", {"confidence": "high", "tahun": "2024"}),
+        "confidence": cube.count_by_confidence(star),
+        "satelit": cube.count_by_satellite(star, {"pulau": "ASIA"}),
+        "hari": days,
+        "level 31": whole,
+    }
+    named = [df.select(F.lit(name).alias("question"), "label", "total") for name, df in answers.items()]
+    return shaping.union_vertical(*named)

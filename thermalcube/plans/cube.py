@@ -52,16 +52,20 @@ def parent_result(star: Star, ancestors: Mapping[str, str], params: Params = Non
     return drill_down(star, {level: ancestors[level] for level in chosen[:-1]}, params)
 
 
-def count_by_confidence(rows: DataFrame, params: Params = None) -> DataFrame:
+def count_by_confidence(rows: Star | DataFrame, params: Params = None) -> DataFrame:
     return _count_by(rows, "confidence", params)
 
 
-def count_by_satellite(rows: DataFrame, params: Params = None) -> DataFrame:
+def count_by_satellite(rows: Star | DataFrame, params: Params = None) -> DataFrame:
     return _count_by(rows, "satelit", params)
 
 
-def _count_by(rows: DataFrame, column: str, params: Params) -> DataFrame:
-    kept = rows.filter(CubeQuery.from_params(params).predicate())
+def _count_by(rows: Star | DataFrame, column: str, params: Params) -> DataFrame:
+    """Of a star, or of flat feature rows."""
+    query = CubeQuery.from_params(params)
+    if isinstance(rows, Star):
+        return rows.totals_by(column, query)
+    kept = rows.filter(query.predicate())
     return kept.groupBy(F.col(column).alias("label")).agg(F.sum("detections").alias("total"))
 
 

@@ -68,7 +68,7 @@ def kpis(star: Star) -> DataFrame:
 
 
 def kpis_on(star: Star, as_of: str) -> DataFrame:
-    return kpis(replace(star, facts=on_day(star.facts, as_of)))
+    return kpis(replace(star, facts=on_day(star.facts, as_of), kept=None))
 
 
 def recent_total(rows: DataFrame, as_of: str, first: str = "2015-01-01") -> DataFrame:
@@ -98,7 +98,50 @@ def latest_detections(star: Star, n: int = 5, *columns: str) -> DataFrame:
         # At most n keys; choosing them again costs a scan of two narrow columns.
         keys = F.broadcast(newest.select(PLACE_KEY).distinct())
         places = places.join(keys, PLACE_KEY, "left_semi")
-    return replace(star, facts=newest, places=places).flat(*columns)
+    return replace(star, facts=newest, places=places, kept=None).flat(*columns)
+
+
+def _size_class(total: Column) -> Column:
+    return (
+        F.when(total > LARGE_CLUSTER, F.lit("large"))
+        .when(total > MEDIUM_CLUSTER, F.lit("medium"))
+        .otherwise(F.lit("small"))
+    )
+
+
+def cluster_pyramid(rows: DataFrame, deepest: int = NO_CLUSTERS_FROM_ZOOM - 1) -> DataFrame:
+    """The clusters of all zooms from 0 to ``deepest`` from one scan: (zoom, cell_x, cell_y, total, lat, lon, size_class).
+
+    The world doubles with a zoom while a cell stays 50 pixels wide, so a cell holds exactly four of the
+    next zoom. Points are summed once, by their cell at the deepest zoom; a coarser zoom's cell is that
+    cell's numbers without their last bits, and its sums are those of the cells it holds.
+    """
+    finest = rows.groupBy(*_cell(deepest)).agg(
+        F.count(F.lit(1)).alias("total"), F.sum("lat").alias("lat"), F.sum("lon").alias("lon"),
+        F.count("lat").alias("lats"), F.count("lon").alias("lons"),
+    )
+    # Every cell once per zoom: what is multiplied is cells, not points.
+    each = finest.withColumn("zoom", F.explode(F.sequence(F.lit(0), F.lit(deepest))))
+    coarser = {c: F.expr(f"shiftright({c}, {deepest} - zoom)") for c in ("cell_x", "cell_y")}
+    summed = each.withColumns(coarser).groupBy("zoom", "cell_x", "cell_y").agg(
+        *[F.sum(c).alias(c) for c in ("total", "lat", "lon", "lats", "lons")]
+    )
+    return summed.select(
+        "zoom",
+        "cell_x",
+        "cell_y",
+        "total",
+        F.try_divide("lat", "lats").alias("lat"),
+        F.try_divide("lon", "lons").alias("lon"),
+        _size_class(F.col("total")).alias("size_class"),
+    )
+
+
+def _cell(zoom: int) -> list[Column]:
+    return [
+        F.floor(pixel_x(F.col("lon"), zoom) / CLUSTER_PIXELS).alias("cell_x"),
+        F.floor(pixel_y(F.col("lat"), zoom) / CLUSTER_PIXELS).alias("cell_y"),
+    ]
 
 
 def cluster_points(rows: DataFrame, zoom: int) -> DataFrame:
@@ -106,16 +149,8 @@ def cluster_points(rows: DataFrame, zoom: int) -> DataFrame:
     from zoom 13."""
     if zoom >= NO_CLUSTERS_FROM_ZOOM:
         return rows.select("id", "lat", "lon", F.lit(1).cast("bigint").alias("total"))
-    cell_x = F.floor(pixel_x(F.col("lon"), zoom) / CLUSTER_PIXELS)
-    cell_y = F.floor(pixel_y(F.col("lat"), zoom) / CLUSTER_PIXELS)
-    total = F.col("total")
-    size = (
-        F.when(total > LARGE_CLUSTER, F.lit("large"))
-        .when(total > MEDIUM_CLUSTER, F.lit("medium"))
-        .otherwise(F.lit("small"))
-    )
     return (
-        rows.groupBy(cell_x.alias("cell_x"), cell_y.alias("cell_y"))
+        rows.groupBy(*_cell(zoom))
         .agg(F.count(F.lit(1)).alias("total"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
-        .withColumn("size_class", size)
+        .withColumn("size_class", _size_class(F.col("total")))
     )

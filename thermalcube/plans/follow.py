@@ -11,9 +11,11 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from thermalcube.operators.digests import compare_days, day_digests
 from thermalcube.operators.lookups import keep_located, new_rows
 from thermalcube.operators.shaping import apply_defaults, union_vertical
 from thermalcube.plans import dims, facts
+from thermalcube.plans.kept_counts import follow_facts
 from thermalcube.schemas import (
     COORDINATE,
     DAY,
@@ -35,34 +37,6 @@ FACTS: dict[str, tuple[str, Callable, Callable, Sequence[str], Sequence[str]]] =
         ("period_id", "location_id", "weather_condition_id"),
     ),
 }
-DIGEST = ("row_count", "hash_sum", "hash_xor")
-
-
-def day_digests(rows: DataFrame, day: str, columns: Sequence[str]) -> DataFrame:
-    """Count, sum and exclusive or of row hashes per day; equal for equal rows in any order.
-
-    The sum is of the signed upper halves of the hashes, so it stays far within 64 bits.
-    """
-    hashed = rows.select(F.col(day), F.xxhash64(*columns).alias("__hash"))
-    return hashed.groupBy(day).agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.sum(F.shiftright("__hash", 32)).alias("hash_sum"),
-        F.bit_xor("__hash").alias("hash_xor"),
-    )
-
-
-def compare_days(expected: DataFrame, present: DataFrame | None, day: str = DAY) -> DataFrame:
-    """Per day of ``expected``: rows there, rows present, and whether the digests differ."""
-    if present is None:
-        present = expected.limit(0)
-    other = present.select(day, *[F.col(c).alias(f"__{c}") for c in DIGEST])
-    same = F.lit(True)
-    for c in DIGEST:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    return expected.join(other, day, "left").select(
-        day, F.col("row_count").alias("staged_rows"), F.coalesce("__row_count", F.lit(0).cast("long")).alias("fact_rows"),
-        (~same).alias("rebuilt"),
-    )
 
 
 def known_places(stored: DataFrame | None, given: DataFrame) -> DataFrame:
@@ -104,7 +78,7 @@ def follow_staging(spark: SparkSession, root: str, days: DataFrame, places: Data
 
     The verdict (table_name, date_value, staged_rows, fact_rows before, rebuilt) is kept in the table
     ``followed_days`` under ``run``; a run repeated replaces its own. Only days with staged rows are
-    looked at, so facts whose staging has been cleared stay. Places are the stored ones and the given
+    looked at, so facts whose staging has been cleared stay. Kept day counts follow the facts. Places are the stored ones and the given
     ones at coordinates without a stored place.
     """
     for name in ("staging_detection", "staging_weather"):
@@ -138,6 +112,7 @@ def follow_staging(spark: SparkSession, root: str, days: DataFrame, places: Data
         for name, staged in rows.items():
             _, _, build, _, order = FACTS[name]
             replace_days(build(staged, near, stored)[0], f"{root}/{name}", DAY, order)
+    follow_facts(spark, root, days)
     return verdict.drop("run")
 
 

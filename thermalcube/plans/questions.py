@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from thermalcube.functions.time import week_of_month
 from thermalcube.plans import cube
-from thermalcube.plans.query import CubeQuery, conjunction
+from thermalcube.plans.query import CubeQuery
 from thermalcube.plans.star import Star
 from thermalcube.schemas import PLACE_LEVELS, TIME_LEVELS
 
@@ -25,23 +25,14 @@ def ask(star: Star, dimension: str, params: Params = None) -> DataFrame:
     if dimension == "location":
         return cube.count_by_level(star, given.get("tipe") or PLACE_LEVELS[0], given)
     if dimension == "confidence":
-        return _by_attribute(star, "confidence", given)
+        return cube.count_by_confidence(star, given)
     if dimension == "satelite":
-        return _by_attribute(star, "satelit", given)
+        return cube.count_by_satellite(star, given)
     if dimension == "time":
         return cube.time_members(star, next_time_level(given), given)
     raise ValueError(f"no dimension {dimension!r}")
 
 
-def _by_attribute(star: Star, column: str, params: Params) -> DataFrame:
-    query = CubeQuery.from_params(params)
-    if not query.place_tests():
-        return star.detections({column, *query.fact_columns()}).filter(
-            conjunction(query.fact_tests())
-        ).groupBy(F.col(column).alias("label")).agg(F.sum("detections").alias("total"))
-    return star.totals([F.col(column).alias("label")], query=query, fact_keys=[column])
-
-
 def next_time_level(params: Mapping[str, object]) -> str:
     """The level below the deepest time value given, the year without any."""
     given = [i for i, level in enumerate(TIME_LEVELS) if params.get(level)]

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from thermalcube.functions.detection import app_confidence
 from thermalcube.functions.time import time_attributes
 from thermalcube.plans.query import CubeQuery, conjunction
-from thermalcube.schemas import DAY, PLACE_LEVELS
+from thermalcube.plans.kept_counts import AREAS, COUNTS
+from thermalcube.schemas import AREA_NAMES, DAY, PLACE_LEVELS
 from thermalcube.session import fits_broadcast
 
 PLACE_KEY = "place_key"
@@ -28,12 +29,24 @@ class Star:
 
     ``lookups`` are further dimensions: the fact column that is their key, and a table of that key
     and its attributes, one row per key. A lookup is joined only where an attribute is used.
+
+    ``kept`` is a star over stored counts of the same detections, by fewer columns. Sums of detections
+    and lists of days are answered from it where it holds all columns that a question uses.
     """
 
     facts: DataFrame
     places: DataFrame
     small_places: bool = False
     lookups: tuple[tuple[str, DataFrame], ...] = ()
+    kept: Star | None = None
+
+    def smallest(self, used: Iterable[str]) -> Star:
+        """The star with fewest rows that holds the used columns: the kept counts, or this one."""
+        if self.kept is None:
+            return self
+        held = set(self.kept.facts.columns) | set(self.kept.places.columns)
+        held |= {c for key, table in self.kept.lookups for c in table.columns}
+        return self.kept if set(used) <= held else self
 
     def joined_places(self) -> DataFrame:
         """Places, marked for broadcast only where their checked size allows it."""
@@ -73,6 +86,8 @@ class Star:
         Detections are summed per place (and fact key) before the places are joined. ``used``
         names fact attributes that the measures read besides the stored ones.
         """
+        if measures is None and (small := self.smallest({*query.fact_columns(), *fact_keys, *used})) is not self:
+            return small.totals(by, None, query, fact_keys, used, keep_unplaced)
         measures = dict(measures or {"total": F.col("detections")})
         facts = self.detections({*query.fact_columns(), *fact_keys, *used})
         facts = facts.filter(conjunction(query.fact_tests()))
@@ -83,8 +98,18 @@ class Star:
         joined = per_place.join(places, PLACE_KEY, "left" if keep_unplaced else "inner")
         return joined.groupBy(*by).agg(*[F.sum(name).alias(name) for name in measures])
 
+    def totals_by(self, attribute: str, query: CubeQuery = CubeQuery()) -> DataFrame:
+        """Detections by one fact attribute, as (label, total); places are joined only if tested."""
+        if query.place_tests():
+            return self.totals([F.col(attribute).alias("label")], query=query, fact_keys=[attribute])
+        used = {attribute, *query.fact_columns()}
+        rows = self.smallest(used).detections(used).filter(conjunction(query.fact_tests()))
+        return rows.groupBy(F.col(attribute).alias("label")).agg(F.sum("detections").alias("total"))
+
     def days(self, query: CubeQuery = CubeQuery()) -> DataFrame:
         """Distinct dates with detections under a query."""
+        if (small := self.smallest(query.fact_columns())) is not self:
+            return small.days(query)
         facts = self.detections(query.fact_columns()).filter(conjunction(query.fact_tests()))
         if query.place_tests():
             places = self.joined_places().filter(conjunction(query.place_tests()))
@@ -95,20 +120,12 @@ class Star:
 
 
 def warehouse_star(tables: dict[str, DataFrame], islands: DataFrame) -> Star:
-    """The star over the stored tables; an island table names each province's island."""
-    location = tables["dim_location"].select(
-        "id", "province_name", "city_name", "district_name", "subdistrict_name"
-    )
-    # One island per province, so a province listed twice doubles no place.
-    island = islands.groupBy("province_name").agg(F.min("pulau").alias("pulau"))
-    places = location.join(island, "province_name", "left").select(
-        F.col("id").alias(PLACE_KEY),
-        F.col("pulau"),
-        F.col("province_name").alias("provinsi"),
-        F.col("city_name").alias("kota"),
-        F.col("district_name").alias("kecamatan"),
-        F.col("subdistrict_name").alias("desa"),
-    )
+    """The star over the stored tables; an island table names each province's island.
+
+    With the tables ``day_counts`` and ``dim_area`` among them, cube questions are answered from those.
+    """
+    location = tables["dim_location"].select("id", *AREA_NAMES)
+    places = _named_places(location, islands)
     # The day column is the partition of the stored facts, so date filters prune folders.
     facts = tables["fact_detection"].select(
         "id",
@@ -141,7 +158,32 @@ def warehouse_star(tables: dict[str, DataFrame], islands: DataFrame) -> Star:
             ),
         ),
     )
-    return Star(facts, places, fits_broadcast(location), lookups)
+    return Star(facts, places, fits_broadcast(location), lookups, _kept_star(tables, islands, lookups))
+
+
+def _named_places(location: DataFrame, islands: DataFrame) -> DataFrame:
+    """Place names by level; one island per province, so a province listed twice doubles no place."""
+    island = islands.groupBy("province_name").agg(F.min("pulau").alias("pulau"))
+    return location.join(island, "province_name", "left").select(
+        F.col("id").alias(PLACE_KEY),
+        F.col("pulau"),
+        F.col("province_name").alias("provinsi"),
+        F.col("city_name").alias("kota"),
+        F.col("district_name").alias("kecamatan"),
+        F.col("subdistrict_name").alias("desa"),
+    )
+
+
+def _kept_star(tables: dict[str, DataFrame], islands: DataFrame, lookups: tuple) -> Star | None:
+    """The star over the kept day counts, where they are stored."""
+    if COUNTS not in tables or AREAS not in tables:
+        return None
+    counts = tables[COUNTS].select(
+        F.col("area_id").alias(PLACE_KEY), "satellite_id", "confidence_id", F.col(DAY).alias("tanggal"), "detections"
+    )
+    areas = tables[AREAS]
+    held = tuple((key, table) for key, table in lookups if key in counts.columns)
+    return Star(counts, _named_places(areas, islands), fits_broadcast(areas), held)
 
 
 def star_join(tables: dict[str, DataFrame], islands: DataFrame) -> DataFrame:

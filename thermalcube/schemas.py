@@ -101,6 +101,8 @@ DIM_LOCATION_COLUMNS = (
     "id", "latitude", "longitude", "province_code", "province_name", "city_code", "city_name",
     "district_code", "district_name", "subdistrict_code", "subdistrict_name",
 )
+# Names that make an area, from the second level down.
+AREA_NAMES = ("province_name", "city_name", "district_name", "subdistrict_name")
 # Day of a fact row, the folder partition of the stored fact tables.
 DAY = "date_value"
 FACT_MEASURES = ("frp", "brightness", "bright_t31", "bright_ti4", "bright_ti5", "scan", "track")

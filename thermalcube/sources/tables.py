@@ -22,6 +22,7 @@ DIMENSION_ORDER = (
     ("dim_satellite", ("id",)),
     ("dim_confidence", ("id",)),
     ("dim_weather_condition", ("id",)),
+    ("dim_area", ("id",)),
 )
 
 
