@@ -317,28 +317,26 @@ def cache_split(spark, sf):
 
 
 @query(
-    """WITH day AS (SELECT *, concat(cast(acq_date AS varchar), ' ', lpad(acq_time, 4, '0')[1:2], ':', lpad(acq_time, 4, '0')[3:4], ':00')
-    AS datetime FROM det WHERE acq_date = date '2024-01-28'),
-places AS (SELECT latitude, longitude FROM det WHERE batch_id = 'B0' AND loc_key % 3 = 0 GROUP BY 1, 2
-  HAVING max(ingested_at) + INTERVAL 144 HOUR > timestamp '2024-01-31 00:00:00'),
+    """WITH asked AS (SELECT *, concat(cast(acq_date AS varchar), ' ', lpad(acq_time, 4, '0')[1:2], ':', lpad(acq_time, 4, '0')[3:4], ':00')
+    AS datetime FROM det),
+places AS (SELECT latitude, longitude FROM det WHERE batch_id = 'B0' GROUP BY 1, 2
+  HAVING max(ingested_at) + INTERVAL 24 HOUR > timestamp '2024-01-31 00:00:00'),
 moments AS (SELECT latitude, longitude, datetime FROM wflat WHERE batch_id = 'B1' GROUP BY 1, 2, 3
   HAVING max(ingested_at) + INTERVAL 72 HOUR > timestamp '2024-01-31 00:00:00')
-SELECT DISTINCT 'place' AS kind, latitude, longitude, cast(NULL AS varchar) AS datetime FROM day
-WHERE (latitude, longitude) NOT IN (SELECT (latitude, longitude) FROM places)
-  AND (latitude, longitude) NOT IN (SELECT (latitude, longitude) FROM acc WHERE c_custkey % 7 = 0)
-UNION ALL SELECT DISTINCT 'weather', latitude, longitude, datetime FROM day
-WHERE (latitude, longitude, datetime) NOT IN (SELECT (latitude, longitude, datetime) FROM moments)
-  AND (latitude, longitude, datetime) NOT IN (SELECT (latitude, longitude, datetime) FROM wflat WHERE batch_id = 'B2')"""
+SELECT DISTINCT 'place' AS kind, latitude, longitude, cast(NULL AS varchar) AS datetime FROM asked
+ANTI JOIN places USING (latitude, longitude) ANTI JOIN acc USING (latitude, longitude)
+UNION ALL SELECT DISTINCT 'weather', latitude, longitude, datetime FROM asked
+ANTI JOIN moments USING (latitude, longitude, datetime)
+ANTI JOIN (SELECT * FROM wflat WHERE batch_id = 'B2') stored USING (latitude, longitude, datetime)"""
 )
 def lookups_to_fetch(spark, sf):
-    """Of one day: what neither a cache nor the stored tables hold."""
+    """Of all detections: what neither a cache, its batch and age given, nor the stored tables hold."""
     rows, measured = detections(spark, sf), weather(spark, sf)
-    places = rows.filter("batch_id = 'B0' AND loc_key % 3 = 0").withColumnRenamed("ingested_at", "cached_at")
+    places = rows.filter("batch_id = 'B0'").withColumnRenamed("ingested_at", "cached_at")
     moments = measured.filter("batch_id = 'B1'").withColumnRenamed("ingested_at", "cached_at")
-    stored = accepted(spark, sf).filter("cast(substring(id, 4) AS bigint) % 7 = 0")
-    day = filters.for_date(rows, "2024-01-28")
     return lookups.lookups_to_fetch(
-        day, places, stored, moments, measured.filter("batch_id = 'B2'"), AS_OF, lookups.location_ttl(6), lookups.weather_ttl(72)
+        rows, places, accepted(spark, sf), moments, measured.filter("batch_id = 'B2'"), AS_OF,
+        lookups.location_ttl(1), lookups.weather_ttl(72),
     )
 
 

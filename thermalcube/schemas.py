@@ -1,6 +1,6 @@
 """Table columns, types and defaults of the warehouse.
 
-Fixed values: the table and column names below must equal the stored tables' names.
+Fixed values: columns of feeds and answers, attributes of boundaries, and the limits of stored types.
 """
 
 from __future__ import annotations
