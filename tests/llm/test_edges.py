@@ -133,7 +133,8 @@ def test_repeats(docs):
     by_id = {r.doc_id: r for r in rows}
     if rows:
         assert by_id[2].text is None and by_id[3].text == "" and by_id[6].text == " \n\t\r\n "
-        assert len(by_id[5].text) < 0.05 * len(LONG) and by_id[8].text == "word " * 3
+        # A later whole line goes at any length, with the words of it but not the white space behind.
+        assert len(by_id[5].text) < 0.05 * len(LONG) and by_id[7].text == "word " * 3 and by_id[8].text == " "
         assert [r.text for r in rows].count("a plain text of words") == 2
 
 
