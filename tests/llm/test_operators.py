@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import itertools
 import math
+import re
 import zlib
 
 import numpy as np
@@ -13,8 +15,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from compare import differences
-from thermalcube.llm import digest, edit_counts, mixing, packing, sharding, simhash, token_store, topk, unit_dedup
+from thermalcube.llm import digest, edit_counts, mixing, packing, sharding, simhash, token_store, topk, toxicity, unit_dedup
 from thermalcube.llm.queries import ORACLES, QUERIES, sample_edits
+from thermalcube.llm.simhash import mixed
 from thermalcube.llm.words import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -431,24 +434,61 @@ def test_count_tree_under_random_edits(tokenizer):
         assert tree.total == count("new text")
 
 
+def _byte_hash(byte):
+    return int(mixed(np.array([(byte + 1) * 0x9E3779B97F4A7C15 % 2**64], dtype=np.uint64))[0])
+
+
+BYTE_HASHES = [_byte_hash(b) for b in range(256)]
+
+
+def _plain_units(raw):
+    """[(start, end, words, line)] of a text in lower case: lines, cut after a word whose pair hash is the least of seven."""
+    words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    own = [sum(BYTE_HASHES[b] for b in raw[a:z]) % 2**64 for a, z in words]
+    pairs = [int(mixed(np.array([(x + 3 * y) % 2**64], dtype=np.uint64))[0]) >> 1 for x, y in zip(own, own[1:])]
+    out, unit, line = [], [], 0
+    for i, (start, end) in enumerate(words):
+        unit.append((start, end))
+        last = i == len(words) - 1
+        newline = not last and b"\n" in raw[end : words[i + 1][0]]
+        least = not last and all(pairs[i] < p for p in pairs[max(0, i - 3) : i]) and all(pairs[i] <= p for p in pairs[i + 1 : i + 4])
+        if last or newline or least:
+            for k in range(0, len(unit), unit_dedup.LONGEST_UNIT):
+                part = unit[k : k + unit_dedup.LONGEST_UNIT]
+                out.append((part[0][0], part[-1][1], len(part), line))
+            unit = []
+        line += newline
+    return out
+
+
 def _brute_repeats(rows, run_words=unit_dedup.RUN_WORDS):
-    seen, out = {}, {}
-    order = sorted(rows, key=lambda r: r[0])
-    for doc, text in order:
+    """Later whole lines go, and runs of later units that hold ``run_words`` words."""
+    parts, lines, out = set(), set(), {}
+    for doc, text in sorted(rows, key=lambda r: r[0]):
         raw = text.encode()
-        starts, ends, counts = unit_dedup.units(raw.lower())
-        again = []
-        for i, (a, b) in enumerate(zip(starts, ends)):
+        found = _plain_units(raw.lower())
+        again, gone = [], [False] * len(found)
+        for a, b, _, _ in found:
             key = b" ".join(raw[a:b].lower().split())
-            again.append(seen.setdefault(key, (doc, i)) != (doc, i))
-        spans, i = [], 0
-        while i < len(again):
-            j = i
-            while j < len(again) and again[j]:
-                j += 1
-            if j > i and sum(counts[i:j]) >= run_words:
-                spans.append((len(raw[: starts[i]].decode()), len(raw[: ends[j - 1]].decode())))
-            i = max(j, i + 1)
+            again.append(key in parts)
+            parts.add(key)
+        for _, group in itertools.groupby(range(len(found)), key=lambda i: found[i][3]):
+            at = list(group)
+            key = b" ".join(raw[found[at[0]][0] : found[at[-1]][1]].lower().split())
+            if key in lines:
+                for i in at:
+                    gone[i] = True
+            lines.add(key)
+        for marked, group in itertools.groupby(range(len(found)), key=lambda i: again[i] or gone[i]):
+            at = list(group)
+            if marked and sum(found[i][2] for i in at) >= run_words:
+                for i in at:
+                    gone[i] = True
+        spans = []
+        for going, group in itertools.groupby(range(len(found)), key=lambda i: gone[i]):
+            at = list(group)
+            if going:
+                spans.append((len(raw[: found[at[0]][0]].decode()), len(raw[: found[at[-1]][1]].decode())))
         left, at = "", 0
         for a, b in spans:
             left, at = left + text[at:a], b
@@ -488,3 +528,47 @@ def test_units_cover_all_words():
         starts, ends, counts = unit_dedup.units(raw)
         assert b" ".join(b" ".join(raw[a:b].split()) for a, b in zip(starts, ends)) == b" ".join(raw.split())
         assert sum(counts) == len(raw.split()) and all(counts > 0)
+
+
+def test_kernel_of_words_by_brute_force():
+    """Every pair of three letters in order within seven, weighted by decay, against the landmarks' tables."""
+    landmarks, words = ["idiot", "trottel", "gardens"], ["idiot", "idi0tic", "trotteln", "gxarden", "abcabc", "ab", "x" * 30, "anidiotisch"]
+    table = toxicity.Landmarks(landmarks)
+
+    def features(word):
+        out = collections.Counter()
+        for places in itertools.combinations(range(len(word)), 3):
+            if places[-1] - places[0] < 7:
+                out["".join(word[i] for i in places)] += 0.6 ** (places[-1] - places[0] + 1)
+        return out
+
+    def product(a, b):
+        return sum(w * b[k] for k, w in a.items())
+
+    for word, got in zip(words, table.kernel([toxicity.normalised(w) for w in words])):
+        parts = toxicity.pieces(toxicity.normalised(word))
+        assert parts[0][:1] == toxicity.normalised(word)[:1] and "".join(parts).endswith(toxicity.normalised(word)[-1:])
+        for landmark, value in zip(landmarks, got):
+            mine, best = features(landmark), 0.0
+            for part in map(features, parts):
+                if part:
+                    best = max(best, min(1.0, product(part, mine) / math.sqrt(product(part, part) * product(mine, mine))))
+            assert abs(value - best**2) < 1e-5, (word, landmark)
+
+
+def test_scores_don_t_depend_on_what_a_worker_remembers(docs, monkeypatch):
+    texts = docs.text.tolist()
+    bad = [f"{t[:200]} you are such an idiot. {t[200:400]}" for t in texts[80:100]]
+    model = toxicity.fit(bad + texts[:80], [1] * len(bad) + [0] * 80)
+    texts += bad
+    want = model.scores(texts)
+    assert "idiot" in model.landmarks and (want[-len(bad) :] > 0.5).all()
+    monkeypatch.setattr(toxicity, "KEPT_WORDS", 500)
+    fresh = toxicity.ToxicityModel.from_json(model.to_json())
+    monkeypatch.setattr(toxicity, "TEXTS_AT_ONCE", 5000)
+    monkeypatch.setattr(toxicity, "SENTENCES_AT_ONCE", 2)
+    assert np.allclose(fresh.scores(texts), want, atol=1e-6)
+    assert toxicity.ToxicityModel.from_json(model.to_json()) is fresh
+    assert toxicity.ToxicityModel.from_json(toxicity.fit([], []).to_json()).landmarks != model.landmarks
+    # Another model has taken its place.
+    assert toxicity.ToxicityModel.from_json(model.to_json()) is not fresh

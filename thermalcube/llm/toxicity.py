@@ -7,7 +7,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -30,8 +30,9 @@ LANDMARKS = 48
 CLEAN_WEIGHT = 8.0
 #: The classifier is fitted on at most so many labelled documents of each label, chosen by hash.
 FIT_DOCUMENTS = 1500
-FIT_SENTENCES = 40
+#: Words, and parts of words, that a worker remembers; beyond it starts afresh, with the same scores.
 KEPT_WORDS = 600_000
+SENTENCES_AT_ONCE = 4096
 #: Words less like every landmark than this carry no weight.
 LEAST_KERNEL = 0.4
 #: Landmarks share less than this part of the weight of either.
@@ -96,6 +97,7 @@ class Landmarks:
         self.own = np.array([sum(w * w for w in m.values()) for m in maps])
         self.cross = (self.weight.T @ self.weight) ** 2 / np.outer(self.own, self.own)
         self.weight /= np.sqrt(self.own)
+        self.padded = np.vstack([self.weight, np.zeros((1, len(words)), dtype=np.float32)]).astype(np.float32)
 
     def kernel(self, words: list[str], floor: float = 0.0) -> np.ndarray:
         """(words, landmarks), 0 to 1; of a long word the most that one of its parts has.
@@ -103,37 +105,55 @@ class Landmarks:
         Parts that share too little for a kernel of ``floor`` count as sharing nothing.
         """
         out = np.zeros((len(words), len(self.words)))
+        parts = [pieces(word) for word in words]
+        distinct = sorted(set().union(*parts))
+        places = {p: i for i, p in enumerate(distinct)}
+        found = np.zeros((len(distinct), len(self.words)))
+        for rows, values in self.piece_kernels(distinct, floor):
+            found[rows] = values
+        for i, own in enumerate(parts):
+            out[i] = found[[places[p] for p in own]].max(axis=0)
+        return out
+
+    def piece_kernels(self, parts: list[str], floor: float = 0.0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, kernel values) of those of the distinct parts that share enough with all landmarks together."""
         by_length = defaultdict(list)
-        for i, word in enumerate(words):
-            for piece in pieces(word):
-                if len(piece) >= LETTERS:
-                    by_length[len(piece)].append((i, piece))
+        for i, piece in enumerate(parts):
+            if len(piece) >= LETTERS:
+                by_length[len(piece)].append(i)
         power = ALPHABET ** np.arange(LETTERS)
         for length, group in by_length.items():
             places, weights = _places(length)
+            squares = weights**2
             for begin in range(0, len(group), 4096):
-                part = group[begin : begin + 4096]
-                codes = codes_of("".join(p for _, p in part)).reshape(len(part), length)
+                index = np.array(group[begin : begin + 4096])
+                codes = codes_of("".join([parts[i] for i in index.tolist()])).reshape(len(index), length)
                 keys = sum(codes[:, places[:, k]] * power[k] for k in range(LETTERS))
                 rows = self.row[keys]
                 # What a word shares with all landmarks together bounds its kernel with each of them.
-                keep = np.flatnonzero((rows >= 0) @ weights**2 >= floor**2 * (weights @ weights))
-                rows, keys = rows[keep], keys[keep]
-                word, place = np.nonzero(rows >= 0)
-                if not len(word):
+                keep = np.flatnonzero((rows >= 0) @ squares >= floor**2 * squares.sum())
+                if not len(keep):
                     continue
-                # A word's kernel with itself: subsequences that come twice add up before they are squared.
-                _, own = np.unique(np.arange(len(keep))[:, None] * ALPHABET**LETTERS + keys, return_inverse=True)
-                total = np.bincount(own.ravel(), np.tile(weights, len(keep)))
-                holder = np.zeros(len(total), dtype=np.int64)
-                holder[own.ravel()] = np.repeat(np.arange(len(keep)), len(weights))
-                norm = np.sqrt(np.bincount(holder, total**2, minlength=len(keep)))
-                values = self.weight[rows[word, place]] * (weights[place] / norm[word]).astype(np.float32)[:, None]
-                first = np.flatnonzero(np.diff(word, prepend=-1))
-                sums = np.add.reduceat(values, first, axis=0)
-                index = np.array([i for i, _ in part])[keep[word[first]]]
-                np.maximum.at(out, index, np.minimum(sums, 1.0))
-        return out**2
+                rows, keys, index = rows[keep], keys[keep], index[keep]
+                # Times each place counts in full: an unknown subsequence points to a row of zeros.
+                sums = np.einsum("wp,wpl->wl", np.broadcast_to(weights.astype(np.float32), rows.shape), self.padded[rows], optimize=False)
+                sums /= np.sqrt(_own_kernels(keys, weights)).astype(np.float32)[:, None]
+                yield index, np.minimum(sums, 1.0) ** 2
+
+
+def _own_kernels(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Of each row of subsequences, its kernel with itself: those that come twice add up before they are squared."""
+    out = np.full(len(keys), (weights**2).sum())
+    order = np.sort(keys, axis=1)
+    twice = np.flatnonzero((order[:, 1:] == order[:, :-1]).any(axis=1))
+    if len(twice):
+        some = keys[twice]
+        _, own = np.unique(np.arange(len(some))[:, None] * ALPHABET**LETTERS + some, return_inverse=True)
+        total = np.bincount(own.ravel(), np.tile(weights, len(some)))
+        holder = np.zeros(len(total), dtype=np.int64)
+        holder[own.ravel()] = np.repeat(np.arange(len(some)), len(weights))
+        out[twice] = np.bincount(holder, total**2, minlength=len(some))
+    return out
 
 
 @dataclass
@@ -147,39 +167,74 @@ class ToxicityModel:
     shift: float
     floor: float = LEAST_KERNEL
     known: set[str] = field(default_factory=set, repr=False)
-    strong: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
+    strong: dict[str, list[int]] = field(default_factory=dict, repr=False)
+    parts: dict[str, int] = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
         self.table = Landmarks(self.landmarks)
         self.v = np.array(self.weights)
+        self.vectors = np.zeros((1024, len(self.landmarks)), dtype=np.float32)
+        self.filled = 0
+
+    def _forget(self, parts: bool) -> None:
+        """Empty the stores of words met, and of their parts; changes no score."""
+        self.known, self.strong = set(), {}
+        if parts:
+            self.parts, self.filled = {}, 0
+
+    def _add(self, values: np.ndarray) -> int:
+        """Keep kernel values of parts; the number of the first."""
+        first, self.filled = self.filled, self.filled + len(values)
+        if self.filled > len(self.vectors):
+            more = np.zeros((max(self.filled, len(self.vectors)), self.vectors.shape[1]), dtype=np.float32)
+            self.vectors = np.concatenate([self.vectors, more])
+        self.vectors[first : self.filled] = values
+        return first
 
     def _learn(self, words: set[str]) -> None:
-        """Remember the kernel values of words like a landmark, and that other words are like none."""
+        """Remember which words are like a landmark, and that other words are like none.
+
+        Words are made of far fewer parts, so kernel values are computed and kept once per part.
+        """
         missing = words - self.known
         if len(self.known) + len(missing) > KEPT_WORDS:
-            self.known, self.strong, missing = set(), {}, words
+            self._forget(parts=len(self.parts) > KEPT_WORDS)
+            missing = words
         self.known |= missing
-        by_plain = defaultdict(list)
-        for word in missing:
-            by_plain[normalised(word)].append(word)
-        distinct = list(by_plain)
-        values = self.table.kernel(distinct, self.floor)
-        for i in np.flatnonzero(values.max(axis=1, initial=0) >= self.floor**2).tolist():
-            for word in by_plain[distinct[i]]:
-                self.strong[word] = values[i].copy()
-
-    def _sentence_vectors(self, text: str, words: set[str]) -> list[np.ndarray]:
+        plain = list(map(normalised, missing))
+        made_of = {word: pieces(word) for word in set(plain)}
+        new = list(set().union(*made_of.values()) - self.parts.keys())
+        self.parts.update(dict.fromkeys(new, -1))
+        for places, values in self.table.piece_kernels(new, self.floor):
+            like = np.flatnonzero(values.max(axis=1) >= self.floor**2)
+            for row, place in enumerate(places[like].tolist(), self._add(values[like])):
+                self.parts[new[place]] = row
+        part = self.parts
+        rows_of = {word: rows for word, own in made_of.items() if (rows := [r for p in own if (r := part[p]) >= 0])}
+        self.strong.update((word, rows) for word, own in zip(missing, plain) if (rows := rows_of.get(own)))
+
+    def _sentence_vectors(self, text: str, words: set[str]) -> np.ndarray:
         here = self.strong.keys() & words
-        if not here:
-            return []
-        out = []
-        for sentence in SENTENCE.split(text):
-            hits = here.intersection(sentence.split())
-            if hits:
-                out.append(np.max([self.strong[w] for w in hits], axis=0))
-        return out
-
-    def sentence_vectors(self, texts: Iterable[str]) -> Iterator[list[np.ndarray]]:
+        rows: list[int] = []
+        starts: list[int] = []
+        if here:
+            strong, met = self.strong, here.intersection
+            for sentence in SENTENCE.split(text):
+                if hits := met(sentence.split()):
+                    starts.append(len(rows))
+                    for word in hits:
+                        rows += strong[word]
+        if not starts:
+            return np.zeros((0, self.vectors.shape[1]), dtype=np.float32)
+        # The matrix of a very long text is made in parts of bounded size.
+        out, bounds = [], [*starts, len(rows)]
+        for begin in range(0, len(starts), SENTENCES_AT_ONCE):
+            part = bounds[begin : begin + SENTENCES_AT_ONCE + 1]
+            some = self.vectors[rows[part[0] : part[-1]]]
+            out.append(np.maximum.reduceat(some, np.array(part[:-1]) - part[0], axis=0))
+        return np.concatenate(out)
+
+    def sentence_vectors(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """Of each text, for each sentence that has a word like a landmark, the strongest kernel values.
 
         Texts are taken together up to ``TEXTS_AT_ONCE`` characters, so that new words meet the
@@ -200,7 +255,7 @@ class ToxicityModel:
                 held, size = [], 0
 
     def margins(self, texts: Iterable[str]) -> np.ndarray:
-        best = [max((float(v @ self.v) for v in found), default=0.0) for found in self.sentence_vectors(texts)]
+        best = [float((found @ self.v).max(initial=0.0)) for found in self.sentence_vectors(texts)]
         return np.maximum(np.array(best, dtype=np.float64), 0.0) + self.bias
 
     def scores(self, texts: Iterable[str]) -> np.ndarray:
@@ -213,18 +268,24 @@ class ToxicityModel:
         return json.dumps([self.landmarks, self.weights, self.bias, self.slope, self.shift])
 
     @staticmethod
-    @cache
+    @lru_cache(maxsize=1)
     def from_json(text: str) -> ToxicityModel:
+        """The model of a worker; another one takes its place, stores and all."""
         return ToxicityModel(*json.loads(text))
 
 
 def linear_svm(
-    x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 400, clean_weight: float = 1.0
+    x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 400, clean_weight: float = 1.0,
+    times: np.ndarray | None = None,
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias of a squared-hinge SVM by accelerated descent; ``clean_weight`` per toxic label."""
+    """Weights and bias of a squared-hinge SVM by accelerated descent; ``clean_weight`` per toxic label.
+
+    A row counts ``times`` times.
+    """
+    times = np.ones(len(x)) if times is None else times.astype(np.float64)
     side = np.where(y > 0, 1.0, -1.0)
     parts = np.array([clean_weight, 1.0]) / (1 + clean_weight)
-    weigh = np.where(y > 0, parts[1] / max(1, (y > 0).sum()), parts[0] / max(1, (y <= 0).sum()))
+    weigh = times * np.where(y > 0, parts[1] / max(1, times[y > 0].sum()), parts[0] / max(1, times[y <= 0].sum()))
     a = np.hstack([x, np.ones((len(x), 1))])
     ridge = np.full(a.shape[1], 1e-3 / penalty)
     ridge[-1] = 0
@@ -300,17 +361,18 @@ def fit(texts: list[str], labels: list[int], count: int = LANDMARKS) -> Toxicity
     model = ToxicityModel(landmarks, [1.0] * len(landmarks), 0.0, 1.0, 0.0)
     values, vectors = np.linalg.eigh(model.table.cross + 1e-3 * np.eye(len(landmarks)))
     nystrom = vectors @ np.diag(values**-0.5) @ vectors.T
-    groups = [np.array(found[:FIT_SENTENCES]) for found in model.sentence_vectors(toxic)]
-    clean_vectors = [v for found in model.sentence_vectors(clean) for v in found[:FIT_SENTENCES]]
-    negative = np.vstack([np.zeros((1, len(landmarks))), *clean_vectors]) @ nystrom
-    mapped = [g @ nystrom for g in groups if len(g)]
+    # Of all sentences of a document, equal vectors once; of clean ones, as often as they come.
+    mapped = [np.unique(found, axis=0) @ nystrom for found in model.sentence_vectors(toxic) if len(found)]
+    none = np.zeros((1, len(landmarks)), dtype=np.float32)
+    negative, often = np.unique(np.concatenate([none, *model.sentence_vectors(clean)]), axis=0, return_counts=True)
+    negative = negative @ nystrom
     if not mapped:
         return ToxicityModel(["none"], [0.0], 0.0, 0.0, -30.0)
     chosen = mapped
     for _ in range(3):
         x = np.vstack([*chosen, negative])
         y = np.concatenate((np.ones(len(x) - len(negative)), np.zeros(len(negative))))
-        w, b = linear_svm(x, y)
+        w, b = linear_svm(x, y, times=np.concatenate((np.ones(len(x) - len(negative)), often)))
         chosen = [g[(s := g @ w + b) >= min(s.max(), 0.5)] for g in mapped]
     model.v = nystrom @ w
     model.weights, model.bias = model.v.tolist(), b
