@@ -30,7 +30,7 @@ ROWS = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside, as further columns of the input.
-CLASH = ["shard", "rank", "size", "mark", "digest", "print", "keys", "unit", "length", "score", "key", "n", "low", "tail", "part", "_hash", "_id", "_mark"]
+CLASH = ["shard", "rank", "size", "mark", "digest", "print", "keys", "unit", "length", "score", "key", "n", "low", "tail", "part", "_hash", "_id", "_mark", "_score", "_row", "_copies", "_copy", "row", "print_", "root"]
 
 
 @pytest.fixture(params=["rows", "empty", "clashing"])
@@ -171,5 +171,6 @@ def test_stages(spark, docs, stage, tmp_path):
     got = stage(spark, docs, str(tmp_path))
     rows = got.collect()
     if stage is not corpus_pipeline.pack:
-        assert got.columns == docs.columns
+        assert got.columns == docs.columns and got.dtypes == docs.dtypes
+        assert all(r[c] == "x" for r in rows for c in CLASH if c in got.columns)
     assert docs.isEmpty() == (len(rows) == 0)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from thermalcube.llm.common import lookup, stored
+from thermalcube.llm.common import lookup, stored, whole_row
 from thermalcube.llm.components import connected_components
 
 SHINGLES_AT_ONCE = 1 << 16
@@ -443,16 +443,15 @@ def keep_one(docs: DataFrame, how: SimHash) -> DataFrame:
     """One document of each group of near-duplicates with all its columns: that of the smallest doc_id.
 
     Of equal ids the smallest text hash stays, of rows equal in id and text any one; a null id stays
-    only where its group has no other.
+    only where its group has no other. Null and empty texts are texts without shingles, of which one
+    stays. An empty table stays empty. Further columns are kept as they are, whatever their names.
     """
-    known = docs.select(*docs.columns)
     id_key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    marked = known.withColumns({"_id": id_key, "_mark": F.xxhash64("text")})
-    rows = marked.select("_id", "_mark", "text")
-    kept = _kept(rows, how)
+    marked = docs.select(whole_row(docs), id_key.alias("_id"), F.xxhash64("text").alias("_mark"), "text")
+    kept = _kept(marked.select("_id", "_mark", "text"), how)
     alike = W.partitionBy("_id", "_mark").orderBy("text")
     only = marked.join(kept, ["_id", "_mark"]).withColumn("_row", F.row_number().over(alike))
-    return only.filter("_row = 1").select(*docs.columns)
+    return only.filter("_row = 1").select("row.*")
 
 
 def _kept(rows: DataFrame, how: SimHash) -> DataFrame:

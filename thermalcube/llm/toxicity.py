@@ -351,7 +351,8 @@ def fit(texts: list[str], labels: list[int], count: int = LANDMARKS) -> Toxicity
 
     A clean document's sentences are clean. Which sentences made a document toxic is not labelled:
     first all its sentences with a landmark-like word count as toxic, then only its highest-scoring
-    one and those that score above the border. With one label only, every score is 0.
+    one and those that score above the border. With one label only, or no text, every score is 0. Near
+    copies of a text count once; empty texts have no sentence.
     """
     toxic = _unlike([t for t, y in zip(texts, labels) if y == 1])
     clean = _unlike([t for t, y in zip(texts, labels) if y != 1])
@@ -405,7 +406,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str = "score") -> DataFrame:
-    """Add the score (0 to 1) of every whole text: its most toxic sentence's; null texts score as empty."""
+    """Add the score (0 to 1) of every whole text, its most toxic sentence's, as column ``out``.
+
+    Null and empty texts score as texts without an insult; rows repeated are scored each; an empty table
+    stays empty. Other columns stay as they are; one that is named ``out`` already is replaced.
+    """
     packed = model.to_json()
 
     @F.pandas_udf("double")
