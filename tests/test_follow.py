@@ -165,3 +165,17 @@ def test_a_batch_is_computed_once_and_leaves_no_scratch(spark, tmp_path):
         tables.append_and_compact(spark, counted, f"{root}/s", "acq_date", DETECTION_KEYS, ["frp"])
         assert set(pathlib.Path(shared_folder(spark).removeprefix("file:")).glob("*")) <= before
         assert seen.value == 2 * (number + 1)
+
+
+def test_counts_come_from_footers(spark, tmp_path):
+    from thermalcube.plans import quality
+
+    root = str(tmp_path / "w")
+    stage(spark, root, *[detection(date=f"2024-01-{d:02d}") for d in range(1, 6)])
+    before = spark.conf.get("spark.sql.sources.useV1SourceList")
+    held = tables.counted_tables(spark, root, "staging_detection", "fact_weather")
+    assert list(held) == ["staging_detection"] and spark.conf.get("spark.sql.sources.useV1SourceList") == before
+    counts = quality.table_counts(held)
+    assert [tuple(r) for r in counts.collect()] == [("staging_detection", 5)]
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*)]" in plan and "latitude" not in plan

@@ -9,9 +9,10 @@ from thermalcube.checks.views import feature_star, features, place_list
 from thermalcube.operators import filters, lookups, ranking
 from thermalcube.operators.dedup import distinct_satellites
 from thermalcube.operators.shaping import nested_path, union_vertical
-from thermalcube.plans import cube, dashboard, quality, questions, table_view
+from thermalcube.plans import cube, dashboard, name_index, quality, questions, table_view
 from thermalcube.plans.query import dice as dice_rows, filter_period as period_rows, predicate_from_params as predicate
 from thermalcube.schemas import TIME_LEVELS
+from thermalcube.session import scratch_path
 from thermalcube.sources.geojson import nest_features
 
 # ---------------------------------------------------------------- filters
@@ -430,6 +431,24 @@ def cluster_points(spark, sf):
 PYRAMID_SQL = " UNION ALL ".join(f"SELECT {z} AS zoom, * FROM ({GRID_SQL.format(scale=2**z)})" for z in range(13))
 
 
+@query(
+    """SELECT id, kota, desa FROM feat WHERE lower(pulau) LIKE '%achin%' OR lower(provinsi) LIKE '%achin%'
+  OR lower(kota) LIKE '%achin%' OR lower(kecamatan) LIKE '%achin%' OR lower(desa) LIKE '%achin%'"""
+)
+def search_by_name_index(spark, sf):
+    """The rows of a substring search, found through the letters of place names."""
+    star, root = feature_star(spark, sf), scratch_path(spark, "names")
+    name_index.write_name_index(star.places, root)
+    return name_index.search_star(star, spark, root, "aCHIn").flat("id", "kota", "desa")
+
+
+@query("SELECT c_custkey AS place_key FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_11'")
+def match_by_name_index(spark, sf):
+    root = scratch_path(spark, "names")
+    name_index.write_name_index(feature_star(spark, sf).places, root)
+    return name_index.places_called(spark, root, "NATION_11")
+
+
 @query(
     f"""SELECT *, CASE WHEN total > 100 THEN 'large' WHEN total > 20 THEN 'medium' ELSE 'small' END AS size_class
 FROM ({PYRAMID_SQL})"""

@@ -636,3 +636,22 @@ def kept_counts_after_replace(spark, sf):
     }
     named = [df.select(F.lit(name).alias("question"), "label", "total") for name, df in answers.items()]
     return shaping.union_vertical(*named)
+
+
+@query(
+    """SELECT 'staging_detection' AS table_name, count(*) AS row_count FROM staged
+UNION ALL SELECT 'staging_weather', count(*) FROM wstaged
+UNION ALL SELECT 'dim_location', count(*) FROM acc
+UNION ALL SELECT 'fact_detection', count(*) FROM placed
+UNION ALL SELECT 'fact_weather', count(*) FROM wstaged JOIN mapping USING (latitude, longitude)"""
+)
+def counts_from_footers(spark, sf):
+    """Row counts of stored tables, in month or day folders and in none, without reading a row."""
+    root, built = scratch_path(spark, "warehouse"), warehouse_tables(spark, sf)
+    dates = {"staging_detection": "acq_date", "staging_weather": "acq_date"}
+    for name, date in dates.items():
+        tables.write_partitioned(built[name], f"{root}/{name}", date, ("latitude", "longitude"))
+    built["dim_location"].write.parquet(f"{root}/dim_location")
+    for name in ("fact_detection", "fact_weather"):
+        tables.replace_days(built[name], f"{root}/{name}", "date_value", ["id"])
+    return quality.table_counts(tables.counted_tables(spark, root, *WAREHOUSE_TABLES))

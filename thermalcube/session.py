@@ -15,6 +15,8 @@ RUNTIME_SETTINGS = {
     # A hot key is split by AQE even where that costs the next step one more shuffle.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Counts of whole stored tables come from file footers (see sources.tables.counted_tables).
+    "spark.sql.parquet.aggregatePushdown": "true",
 }
 
 
