@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names."""
 
 import collections
+import math
 import zlib
 
 import numpy as np
@@ -156,6 +157,25 @@ def test_top_k_of_nothing(spark):
     assert got == [(0, 1, 1, 65536), (0, 2, 1, 65536)]
 
 
+@pytest.mark.parametrize("size", [2.0**23, 1e8, 1e30])
+def test_top_k_of_large_components(spark, size):
+    """Sums beyond what doubles hold are exact; those beyond a long are given as the nearest one."""
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(np.float32(size * rng.choice([-1, 1, 0.5]))), float(i % 7), 0.25]) for i in range(120)]
+    rows += [(200, [1.0, -1.0, 0.0]), (250, [0.0, 2.0, 0.0])]
+    got = collections.defaultdict(list)
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for r in topk.top_k(vectors, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    parts = {i: [min(max(math.floor(256 * float(np.float32(c))), -(2**63)), 2**63 - 1) for c in v] for i, v in rows}
+    for query in (0, 50, 100, 200, 250):
+        scores = [(min(max(sum(a * b for a, b in zip(parts[query], p)), -(2**63)), 2**63 - 1), i) for i, p in parts.items() if i != query]
+        best = sorted(scores, key=lambda x: (-x[0], x[1]))[:5]
+        assert [s for _, s in got[query]] == [s for s, _ in best]
+        if best[0][0] < 2**63 - 1:
+            assert [i for i, _ in got[query]] == [i for _, i in best]
+
+
 def test_ranks_of_a_hot_group(spark):
     frame = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, "hot").alias("g"))
     got = rank_in_group(frame, ["g"], ["id"], "r").collect()

@@ -20,7 +20,7 @@ DEPTHS = (1 / 8, 1 / 2, 1.0)
 
 
 def _packer(size: int):
-    """Rows of a task as blocks of ids and 32-bit components."""
+    """Rows of a task as blocks of ids and 64-bit components."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, ids, parts = TaskContext.get().partitionId(), 0, [], []
@@ -31,7 +31,7 @@ def _packer(size: int):
                 [
                     pa.array([part << 32 | number], pa.int64()), pa.array([len(ids)], pa.int32()),
                     pa.array([np.array(ids, dtype="<i8").tobytes()], pa.binary()),
-                    pa.array([np.array(parts, dtype="<i4").tobytes()], pa.binary()),
+                    pa.array([np.array(parts, dtype="<i8").tobytes()], pa.binary()),
                 ],
                 names=["block", "n", "ids", "parts"],
             )
@@ -54,8 +54,8 @@ class SortedLists:
     """One list per component of a block of vectors, sorted by it; read from the top for positive
     weights and from the bottom for negative ones."""
 
-    def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors.astype(np.float64)
+    def __init__(self, vectors: np.ndarray, kind: type = np.float64):
+        self.vectors = vectors.astype(kind)
         self.order = np.sort(self.vectors, axis=0)
         # Equal components share a place, so that what a reader has seen depends on the value alone.
         self.worst, self.best = self.order[0], self.order[-1]
@@ -75,6 +75,22 @@ class SortedLists:
         return lower, upper
 
 
+def _kth_highest(values: np.ndarray, k: int) -> np.ndarray:
+    n = len(values)
+    ordered = np.sort(values, axis=0) if values.dtype == object else np.partition(values, n - k, axis=0)
+    return ordered[n - k]
+
+
+def _highest(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    if scores.dtype == object:
+        return np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], dtype=np.int64)
+    return np.lexsort((ids, -scores))[:k]
+
+
+def _widest(vectors: np.ndarray) -> float:
+    return float(np.abs(vectors.astype(np.float64)).max(initial=0.0))
+
+
 def top_scores(
     lists: SortedLists, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -82,7 +98,7 @@ def top_scores(
 
     The lists are read in steps. After a step, a query's k-th highest lower bound is what an outsider
     has to reach; once at most a quarter of the rows can, their scores are resolved and the reading stops for
-    that query. Scores are integers below 2**53, so bounds and scores are exact.
+    that query. Scores are integers below 2**53, or Python's own, so bounds and scores are exact.
     """
     open_queries = np.arange(len(queries))
     n = len(ids)
@@ -92,13 +108,13 @@ def top_scores(
         lower, upper = lists.bounds(np.maximum(weights, 0), np.minimum(weights, 0), depth)
         own = ids[:, None] == query_ids[open_queries][None, :]
         lower[own] = upper[own] = -np.inf
-        need = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(open_queries), -np.inf)
+        need = _kth_highest(lower, k) if n > k else np.full(len(open_queries), -np.inf)
         inside = (upper >= need) & ~own
         few = inside.sum(axis=0) <= max(4 * k, n // 4) if depth < n else np.ones(len(open_queries), dtype=bool)
         for at in np.flatnonzero(few).tolist():
             query, rows = int(open_queries[at]), np.flatnonzero(inside[:, at])
             scores = lists.vectors[rows] @ queries[query]
-            best = np.lexsort((ids[rows], -scores))[:k]
+            best = _highest(ids[rows], scores, k)
             yield query, ids[rows[best]], scores[best]
         open_queries = open_queries[~few]
         if not len(open_queries):
@@ -114,18 +130,23 @@ def _searcher(k: int):
             for row in batch.to_pylist():
                 ids = np.frombuffer(row["ids"], dtype="<i8")
                 if held != row["block"]:
-                    held, lists = row["block"], SortedLists(np.frombuffer(row["parts"], dtype="<i4").reshape(len(ids), -1))
+                    vectors = np.frombuffer(row["parts"], dtype="<i8").reshape(len(ids), -1)
+                    held, lists = row["block"], {}
                 query_ids = np.frombuffer(row["query_ids"], dtype="<i8")
-                queries = np.frombuffer(row["query_parts"], dtype="<i4").reshape(len(query_ids), -1).astype(np.float64)
-                if queries.shape[1] != lists.vectors.shape[1]:
+                queries = np.frombuffer(row["query_parts"], dtype="<i8").reshape(len(query_ids), -1)
+                if queries.shape[1] != vectors.shape[1]:
                     continue
-                found = list(top_scores(lists, ids, queries, query_ids, k))
+                # Doubles hold every sum below 2**53; beyond it Python's integers are used.
+                kind = np.float64 if _widest(vectors) * _widest(queries) * vectors.shape[1] < 2**52 else object
+                if kind not in lists:
+                    lists[kind] = SortedLists(vectors, kind)
+                found = list(top_scores(lists[kind], ids, queries.astype(kind), query_ids, k))
                 if found:
                     yield pa.record_batch(
                         [
                             pa.array(np.concatenate([np.full(len(i), query_ids[q]) for q, i, _ in found])),
                             pa.array(np.concatenate([i for _, i, _ in found])),
-                            pa.array(np.concatenate([s for _, _, s in found]).astype(np.int64)),
+                            pa.array([min(max(int(x), -(2**63)), 2**63 - 1) for _, _, s in found for x in s], pa.int64()),
                         ],
                         names=names,
                     )
@@ -134,8 +155,8 @@ def _searcher(k: int):
 
 
 def integer_components(vector: Column, scale: int) -> Column:
-    """floor(scale * x) of every component."""
-    return F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("int"))
+    """floor(scale * x) of every component, held at the ends of a long."""
+    return F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
 
 
 def top_k(
@@ -145,7 +166,7 @@ def top_k(
 
     Vectors are compared with queries of their own dimension. Null vectors, those with null or
     non-finite components and null keys take no part. A row is never a candidate of a query with its
-    key; rows repeated are candidates each; of queries with one key the smallest vector asks. Queries
+    key; scores beyond 64 bits are given as the nearest long and ranked by it across blocks; rows repeated are candidates each; of queries with one key the smallest vector asks. Queries
     meet all rows block by block: vectors are packed once, in blocks of one dimension, query blocks
     are few and go to every block.
     """
