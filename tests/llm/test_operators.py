@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -286,6 +287,27 @@ def test_chunked_encoding_equals_whole_texts(tokenizer, docs):
             want = tokenizer.encode(text, add_special_tokens=False).ids
             assert np.frombuffer(encoder.ids(text), dtype="<u4").tolist() == want
             assert encoder.count(text) == len(want)
+        found = list(ChunkEncoder(tokenizer_path(), kept).runs(pa.array(texts), 2000))
+        ends = np.cumsum(np.concatenate([c for _, c in found]))[:-1]
+        for text, ids in zip(texts, np.split(np.concatenate([i for i, _ in found]), ends)):
+            assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("kept, run_bytes", [(1 << 20, 8 << 20), (1 << 20, 700), (5, 64), (1 << 20, 1)])
+def test_runs_equal_whole_texts(tokenizer, docs, kept, run_bytes):
+    from thermalcube.llm.words import ChunkEncoder
+
+    odd = [
+        None, "", " ", "\n \n", "a", "Don't stop'", "x" * 200, "ÀÉÎ, ñandú... İstanbul ǅ ß ŉ", "a\tb\rc\x0bd\x85e\u3000f",
+        "e\u0301 cafe\u0301! \u0301x", "123 1,5 (a) [b] {c}; A.B. %%% 中文 字 🙂🙂 \x01 \x00", "No. no, NO! nO?" * 40, "word " * 500,
+    ]
+    texts = odd + docs.text.head(200).tolist() + odd
+    found = list(ChunkEncoder(tokenizer_path(), kept).runs(pa.array(texts, pa.string()), run_bytes))
+    counts = np.concatenate([c for _, c in found])
+    ids = np.split(np.concatenate([i for i, _ in found]), np.cumsum(counts)[:-1])
+    assert len(ids) == len(texts)
+    for text, got in zip(texts, ids):
+        assert got.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
 def test_top_k_of_ties_and_odd_vectors(spark):

@@ -68,47 +68,57 @@ def from_planes(sizes: list[int], data: bytes, n: int, kind: str = "byte") -> np
 
 
 def _writer(path: str, end_id: int, kind: str, block_ids: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = encoder(path).ids, TaskContext.get().partitionId()
-        limit, number, first, total = 4 * block_ids, 0, 0, 0
-        data, docs = bytearray(), []
-
-        def row(size: int):
-            nonlocal number, first, data, docs
-            sizes, planes = to_planes(np.frombuffer(bytes(data[:size]), dtype="<u4"), kind)
-            starts, ids, counts = zip(*docs)
+        encode, shard = encoder(path).runs, TaskContext.get().partitionId()
+        number, first, total = 0, 0, 0
+        # What is not written yet: ids, and per document its start in the file, its id, and its first and last place here.
+        ids = np.empty(0, dtype="<u4")
+        starts = begins = ends = np.empty(0, dtype=np.int64)
+        docs = pa.array([], pa.int64())
+
+        def block(low: int, high: int) -> pa.RecordBatch:
+            nonlocal number, first
+            sizes, planes = to_planes(ids[low:high], kind)
+            i, j = np.searchsorted(ends, low, side="right"), np.searchsorted(begins, high)
+            counts = np.minimum(ends[i:j], high) - np.maximum(begins[i:j], low)
             out = pa.record_batch(
                 [
                     pa.array([shard], pa.int32()), pa.array([number], pa.int64()), pa.array([first], pa.int64()),
-                    pa.array([size // 4], pa.int32()), pa.array([starts], pa.list_(pa.int64())),
-                    pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())),
-                    pa.array([sizes], pa.list_(pa.int32())), pa.array([planes], pa.binary()),
+                    pa.array([high - low], pa.int32()), _one_list(pa.array(starts[i:j])), _one_list(docs.slice(i, j - i)),
+                    _one_list(pa.array(counts.astype(np.int32))), pa.array([sizes], pa.list_(pa.int32())),
+                    pa.array([planes], pa.binary()),
                 ],
                 names=["shard", "block", "first_id", "n_ids", "doc_starts", "doc_ids", "doc_counts", "plane_bytes", "planes"],
             )
-            number, first, docs = number + 1, first + size // 4, []
-            del data[:size]
+            number, first = number + 1, first + high - low
             return out
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids, start, used = encode(text.as_py()) + end, total, 0
-                total += len(ids) // 4
-                while used < len(ids):
-                    part = ids[used : used + limit - len(data)]
-                    data += part
-                    docs.append((start, doc, len(part) // 4))
-                    used += len(part)
-                    if len(data) == limit:
-                        yield row(limit)
-        if data:
-            yield row(len(data))
+            done = 0
+            for found, counts in encode(batch.column(1)):
+                closed = np.insert(found, np.cumsum(counts), np.uint32(end_id))
+                stop = np.cumsum(counts + 1)
+                begin = stop - (counts + 1)
+                starts = np.concatenate([starts, total + begin])
+                begins, ends = np.concatenate([begins, len(ids) + begin]), np.concatenate([ends, len(ids) + stop])
+                docs = pa.concat_arrays([docs, batch.column(0).slice(done, len(counts))])
+                ids, total, done = np.concatenate([ids, closed]), total + len(closed), done + len(counts)
+                full = len(ids) - len(ids) % block_ids
+                for low in range(0, full, block_ids):
+                    yield block(low, low + block_ids)
+                left = int(np.searchsorted(ends, full, side="right"))
+                ids, docs, starts = ids[full:].copy(), docs.slice(left), starts[left:]
+                begins, ends = np.maximum(begins[left:] - full, 0), ends[left:] - full
+        if len(ids):
+            yield block(0, len(ids))
 
     return write
 
 
+def _one_list(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 def write_tokens(
     docs: DataFrame, folder: str, path: str, end_id: int, kind: str = "byte", block_ids: int = BLOCK_IDS,
     key: str = "doc_id", text: str = "text",
