@@ -22,7 +22,7 @@ from thermalcube.functions.time import week_of_month
 from thermalcube.plans import backfill, questions, table_view
 from thermalcube.schemas import BOUNDARY_NAME_FIELDS, PLACE_LEVELS
 from thermalcube.session import scratch_path
-from thermalcube.sources import detections as feeds, geojson, tables
+from thermalcube.sources import detections as feeds, geojson, landing, tables
 from thermalcube.sources.responses import accepted_locations, flatten_locations
 from thermalcube.streaming.ingest import incremental_ingest, ingest_into_warehouse, staged_rows
 
@@ -75,6 +75,24 @@ def refused_detections(spark, sf):
     return refused.select(feed, "reason").distinct()
 
 
+@query(
+    """SELECT latitude, longitude, acq_date, acq_time, satellite, instrument, confidence, version, frp,
+  CASE WHEN instrument = 'MODIS' THEN frp + 300 END AS brightness,
+  CASE WHEN instrument = 'VIIRS' THEN frp + 200 END AS bright_ti4
+FROM det WHERE instrument IN ('MODIS', 'VIIRS')"""
+)
+def take_landed(spark, sf):
+    """One feed first, then all landed files, of which the first feed's are known, then nothing new."""
+    landed, root = land_feeds(spark, sf), scratch_path(spark, "intakes")
+    for path in (f"{landed}/modis", f"{landed}/*", f"{landed}/*"):
+        landing.take_landed(spark, path, root)
+    rows = landing.landed_detections(spark, root)
+    return rows.select(
+        "latitude", "longitude", F.col("acq_date").cast("date"), "acq_time", "satellite", "instrument",
+        "confidence", "version", *[F.col(c).cast("double") for c in ("frp", "brightness", "bright_ti4")],
+    )
+
+
 STAGED_SQL = """SELECT event_id, batch_id, ingested_at, latitude, acq_date, acq_time,
   CASE WHEN event_id % 5 <> 0 THEN confidence END AS confidence, cast(cast(frp AS float) AS double) AS frp FROM det"""
 

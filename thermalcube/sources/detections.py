@@ -25,20 +25,24 @@ def read_detections(spark: SparkSession, path: str) -> DataFrame:
     its header lacks a required column; a header alone yields no rows. ``source_file`` names the
     file a row came from.
     """
-    lines = _lines(spark, path)
-    is_header = _looks_like_header(F.col("value"), REQUIRED_DETECTION_COLUMNS[0])
-    found = _files(lines).filter(F.col("reason").isNull()).select("source_file", "header")
+    lines = file_lines(spark, path)
+    found = judged(lines).filter(F.col("reason").isNull()).select("source_file", "header")
     # Stored, so the join below knows its true size: small lists are broadcast, and the lines are
     # shuffled only if the list of files itself is large.
     listing = scratch_path(spark, "landed-files")
     found.write.parquet(listing)
-    files = spark.read.schema("source_file string, header string").parquet(listing)
+    return parse_lines(lines, spark.read.schema("source_file string, header string").parquet(listing))
+
+
+def parse_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """The data lines of the listed files (source_file, header) as columns of text."""
     # Feeds share a handful of layouts, so this is the size of a schema inference.
     headers = [r["header"] for r in files.select("header").distinct().collect()]
     usable = {h: _columns(h) for h in headers}
     if not usable:
         empty = ", ".join(f"{c} string" for c in (*DETECTION_COLUMNS, "source_file"))
-        return spark.createDataFrame([], empty)
+        return lines.sparkSession.createDataFrame([], empty)
+    is_header = _looks_like_header(F.col("value"), REQUIRED_DETECTION_COLUMNS[0])
     known = lines.filter(~is_header & (F.col("value") != "")).join(files, "source_file")
     # One struct per layout, null for lines of other layouts; each line is parsed once.
     layouts = [(f"__layout{i}", h, columns) for i, (h, columns) in enumerate(usable.items())]
@@ -54,14 +58,14 @@ def read_detections(spark: SparkSession, path: str) -> DataFrame:
 
 def refused_detections(spark: SparkSession, path: str) -> DataFrame:
     """(source_file, reason) of the landed files that ``read_detections`` leaves out."""
-    return _files(_lines(spark, path)).filter(F.col("reason").isNotNull()).select("source_file", "reason")
+    return judged(file_lines(spark, path)).filter(F.col("reason").isNotNull()).select("source_file", "reason")
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def file_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source_file"))
 
 
-def _files(lines: DataFrame) -> DataFrame:
+def judged(lines: DataFrame) -> DataFrame:
     """One row per landed file: its header, and why it is refused, if it is."""
     is_header = _looks_like_header(F.col("value"), REQUIRED_DETECTION_COLUMNS[0])
     has_error = F.col("value").contains(ERROR_MARKS[0]) | F.col("value").contains(ERROR_MARKS[1])
