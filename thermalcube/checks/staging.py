@@ -10,6 +10,8 @@ from thermalcube.functions.text import weather_key as weather_key_of
 from thermalcube.functions.time import weather_datetime
 from thermalcube.operators import dedup, filters, lookups, shaping
 from thermalcube.plans import backfill, quality, staging
+from thermalcube.session import scratch_path
+from thermalcube.sources import answer_cache
 from thermalcube.sources.responses import flatten_weather
 
 INSTRUMENTS = ("MODIS", "VIIRS", "OTHER")
@@ -340,6 +342,25 @@ def lookups_to_fetch(spark, sf):
     )
 
 
+@query(
+    """WITH cache AS (SELECT loc_key, acq_date, ingested_at AS cached_at, max(event_id) AS answer FROM det
+  WHERE batch_id <> 'B3' GROUP BY 1, 2, 3),
+alive AS (SELECT * FROM cache WHERE cached_at + INTERVAL 24 HOUR > timestamp '2024-01-31 00:00:00'
+  QUALIFY row_number() OVER (PARTITION BY loc_key, acq_date ORDER BY cached_at DESC) = 1)
+SELECT loc_key, acq_date, answer, cached_at, cached_at IS NOT NULL AS is_hit
+FROM (SELECT DISTINCT loc_key, acq_date FROM det) keys LEFT JOIN alive USING (loc_key, acq_date)"""
+)
+def ask_cache(spark, sf):
+    """Answers of three batches stored, one of them twice, expired, and asked for all keys."""
+    rows, on, path = detections(spark, sf), ["loc_key", "acq_date"], scratch_path(spark, "answers")
+    answers = rows.groupBy("batch_id", *on, F.col("ingested_at").alias("cached_at")).agg(F.max("event_id").alias("answer"))
+    for batch in ("B0", "B1", "B2", "B0"):
+        answer_cache.store_answers(answers.filter(F.col("batch_id") == batch).drop("batch_id"), path, on)
+    answer_cache.expire(spark, path, lookups.weather_ttl(24), AS_OF)
+    ddl = ", ".join(f"{n} {t}" for n, t in answers.drop("batch_id").dtypes)
+    return answer_cache.ask_cache(rows.select(*on).distinct(), path, ddl, on, lookups.weather_ttl(24), AS_OF)
+
+
 # ---------------------------------------------------------------- composites
 
 
