@@ -28,7 +28,7 @@ MAX_KEPT = 1_000_000
 MAX_KEPT_CHARS = 64
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of text that ``runs`` encodes at once (characters, of a longer text).
-RUN_BYTES = 8 << 20
+RUN_BYTES = 2 << 20
 #: Letters below U+0130, then ASCII punctuation.
 LETTERS_AND_MARK = r"^(?P<stem>[A-Za-zªµºÀ-ÖØ-öø-į]+)(?P<mark>[!-/:-@\[-`{-~]*)$"
 
