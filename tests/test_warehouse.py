@@ -231,6 +231,15 @@ def test_dimensions_are_loaded_once(spark, tmp_path):
     assert [r.id for r in stored] == ["Aqua_MODIS"]
 
 
+def test_loads_without_areas_leave_no_area_table(spark):
+    """Areas are a dimension that a load of the other five does not bring; its folder is never made."""
+    from thermalcube.checks.warehouse import insert_new_dims
+
+    rows = insert_new_dims(spark, "/root/testdata/sf0.001").collect()
+    assert {r.table_name for r in rows} == {n for n, _ in tables.DIMENSION_ORDER} - {"dim_area"}
+    assert len(rows) == len(set(rows))
+
+
 def test_staging_holds_defaults_for_nulls(spark, tmp_path):
     root = str(tmp_path)
     feed = frame(spark, detection(confidence=None)).drop("batch_id", "ingested_at")
