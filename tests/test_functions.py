@@ -152,6 +152,16 @@ def test_point_dialects_and_unusable_texts(spark):
     assert got[len(rows):] == [None] * len(bad)
 
 
+def test_a_point_is_decoded_once_and_a_long_text_harms_nothing(spark):
+    """Not once more for the filter and for each column; a geometry may be megabytes long."""
+    from thermalcube.sources.geojson import decode_points
+
+    point = struct.pack("<BIdd", 1, 1, 1.25, 2.5).hex()
+    found = decode_points(spark.createDataFrame([(1, point + "00" * 10**6), (2, None), (3, "zz")], "id int, geom string"), "geom")
+    assert [tuple(r) for r in found.select("id", "lat", "lng").collect()] == [(1, 2.5, 1.25)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("wkb_point(") == 1
+
+
 def test_bbox_edges(spark):
     df = spark.createDataFrame([(-11.0, 95.0), (6.0, 141.0), (6.01, 100.0), (None, 100.0)], "a double, o double")
     a, o = F.col("a"), F.col("o")

@@ -132,7 +132,6 @@ def read_boundaries(
 
 def decode_points(df: DataFrame, column: str) -> DataFrame:
     """Latitude and longitude of hex points; rows that hold no readable point are dropped."""
-    point = df.withColumn("__point", wkb_point(F.col(column))).filter(F.col("__point").isNotNull())
-    return point.withColumns({"lat": F.col("__point.lat"), "lng": F.col("__point.lng")}).drop(
-        "__point"
-    )
+    # Out of a generator a point is decoded once for the filter and both columns.
+    point = df.withColumn("__point", F.explode(F.array(wkb_point(F.col(column))))).filter(F.col("__point").isNotNull())
+    return point.withColumns({"lat": F.col("__point.lat"), "lng": F.col("__point.lng")}).drop("__point")
