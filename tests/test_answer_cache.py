@@ -58,3 +58,13 @@ def test_expired_folders_are_not_read(spark, tmp_path):
     living = cache.living_answers(spark, path, DDL, ["k"], HOUR, "2024-01-05 11:00:00")
     plan = living._jdf.queryExecution().executedPlan().toString()
     assert "cached_hour" in plan.split("PartitionFilters:")[1].split("]")[0]
+
+
+def test_a_store_writes_a_file_per_hour_not_per_task_and_hour(spark, tmp_path):
+    path = tmp_path / "answers"
+    rows = spark.range(0, 4000, 1, 8).selectExpr(
+        "cast(id AS string) AS k", "timestamp_seconds(1704067200 + (id % 24) * 3600) AS cached_at", "'x' AS name", "1 AS code"
+    )
+    cache.store_answers(rows, str(path), ["k"])
+    assert len(list(path.rglob("*.parquet"))) == 24
+    assert spark.read.parquet(str(path)).count() == 4000

@@ -31,7 +31,8 @@ def store_answers(answers: DataFrame, path: str, on: Sequence[str]) -> None:
     """
     found = [F.col(c).isNotNull() for c in answers.columns if c not in (*on, CACHED_AT)]
     kept = answers.dropna(subset=[*on, CACHED_AT]).filter(reduce(or_, found, F.lit(False)))
-    stamped = kept.withColumn(HOUR, _hour(F.col(CACHED_AT)))
+    # Gathered by hour, or every task would write a file into every folder; a hot hour is split by AQE.
+    stamped = kept.withColumn(HOUR, _hour(F.col(CACHED_AT))).hint("rebalance", F.col(HOUR))
     stamped.write.mode("append").partitionBy(HOUR).parquet(path)
 
 
