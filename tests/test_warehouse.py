@@ -11,6 +11,7 @@ from thermalcube.plans import backfill, daily, dims, facts, quality, questions,
 from thermalcube.plans.star import warehouse_star
 from thermalcube.schemas import DETECTION_KEYS, DIM_LOCATION_COLUMNS, WAREHOUSE_TABLES
 from thermalcube.sources import detections as feeds, tables
+from thermalcube.sources.responses import parse_locations
 from thermalcube.streaming.ingest import incremental_ingest, ingest_into_warehouse, staged_rows
 
 DDL = (
@@ -240,6 +241,17 @@ def test_loads_without_areas_leave_no_area_table(spark):
     assert len(rows) == len(set(rows))
 
 
+def test_an_answer_is_parsed_once(spark):
+    """Not once more for each field that the rule of accepted places looks at."""
+    answers = spark.createDataFrame(
+        [("1.0", "100.0", '{"kecamatan": "K", "desa": "D", "adm4": "S2"}'), ("1.0", "100.0", '{"kecamatan": "K", "desa": "E", "adm4": "S1"}'),
+         ("2.0", "100.0", '{"desa": "D"}'), ("3.0", "100.0", None)], "latitude string, longitude string, response string"
+    )
+    found = dims.dim_location(parse_locations(answers))
+    assert [(r.latitude, r.subdistrict_name, r.province_name) for r in found.collect()] == [("1.0", "E", "")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
 def test_staging_holds_defaults_for_nulls(spark, tmp_path):
     root = str(tmp_path)
     feed = frame(spark, detection(confidence=None)).drop("batch_id", "ingested_at")
