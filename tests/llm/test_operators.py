@@ -594,3 +594,19 @@ def test_scores_don_t_depend_on_what_a_worker_remembers(docs, monkeypatch):
     assert toxicity.ToxicityModel.from_json(toxicity.fit([], []).to_json()).landmarks != model.landmarks
     # Another model has taken its place.
     assert toxicity.ToxicityModel.from_json(model.to_json()) is not fresh
+
+
+def test_a_worker_remembers_few_words_and_scores_the_same(monkeypatch):
+    """Words and parts have bounds of their own: words hold most of the memory, parts most of the work."""
+    from thermalcube.llm import toxicity
+
+    landmarks = ["stupid", "garbage"]
+    texts = [" ".join(f"w{i * 50 + k:05d}stupid" for k in range(50)) + ". plain words here" for i in range(40)]
+    model = toxicity.ToxicityModel(landmarks, [1.0, 1.0], 0.0, 1.0, 0.0)
+    whole = model.scores(texts).tolist()
+    monkeypatch.setattr(toxicity, "KEPT_WORDS", 300)
+    monkeypatch.setattr(toxicity, "KEPT_PARTS", 900)
+    monkeypatch.setattr(toxicity, "TEXTS_AT_ONCE", 500)
+    small = toxicity.ToxicityModel(landmarks, [1.0, 1.0], 0.0, 1.0, 0.0)
+    assert small.scores(texts).tolist() == whole
+    assert len(small.known) <= 300 and len(small.parts) < len(model.parts)

@@ -30,8 +30,10 @@ LANDMARKS = 48
 CLEAN_WEIGHT = 8.0
 #: The classifier is fitted on at most so many labelled documents of each label, chosen by hash.
 FIT_DOCUMENTS = 1500
-#: Words, and parts of words, that a worker remembers; beyond it starts afresh, with the same scores.
-KEPT_WORDS = 600_000
+#: Words, and parts of words, that a worker remembers; beyond it starts afresh, with the same scores. Two
+#: workers share an executor's memory with a heap that earlier stages have grown.
+KEPT_WORDS = 200_000
+KEPT_PARTS = 400_000
 SENTENCES_AT_ONCE = 4096
 #: Words less like every landmark than this carry no weight.
 LEAST_KERNEL = 0.4
@@ -198,7 +200,7 @@ class ToxicityModel:
         """
         missing = words - self.known
         if len(self.known) + len(missing) > KEPT_WORDS:
-            self._forget(parts=len(self.parts) > KEPT_WORDS)
+            self._forget(parts=len(self.parts) > KEPT_PARTS)
             missing = words
         self.known |= missing
         plain = list(map(normalised, missing))
