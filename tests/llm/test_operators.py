@@ -610,3 +610,71 @@ def test_a_worker_remembers_few_words_and_scores_the_same(monkeypatch):
     small = toxicity.ToxicityModel(landmarks, [1.0, 1.0], 0.0, 1.0, 0.0)
     assert small.scores(texts).tolist() == whole
     assert len(small.known) <= 300 and len(small.parts) < len(model.parts)
+
+
+def test_a_worker_hands_back_what_toxicity_keeps(spark):
+    """Workers go on to later stages: a task there finds none of the words that scoring has kept."""
+    import pyarrow as pa
+
+    from thermalcube.llm import simhash, toxicity, unit_dedup
+    from thermalcube.llm.common import ready
+
+    model = toxicity.ToxicityModel(["idiot", "stupid"], [1.0, 1.0], 0.0, 1.0, 0.0)
+    docs = ready(spark).range(40).selectExpr("id AS doc_id", "concat('you stupid word', id) AS text").repartition(8)
+    kept = lambda: toxicity.ToxicityModel.from_json.cache_info().currsize
+
+    def tasks(batches):
+        scorer = toxicity.ToxicityModel.from_json(model.to_json())
+        scorer.scores(["you stupid word"])
+        del scorer
+        before = kept()
+        rows = pa.record_batch([pa.array([1]), pa.array([2]), pa.array(["some words"])], names=["doc_id", "mark", "text"])
+        list(unit_dedup._unit_rows(iter([rows])))
+        units = kept()
+        toxicity.ToxicityModel.from_json(model.to_json())
+        list(simhash._fingerprints(simhash.SimHash(), 2)(iter([rows])))
+        for batch in batches:
+            yield pa.record_batch([pa.array([before]), pa.array([units]), pa.array([kept()])], names=["before", "units", "prints"])
+
+    assert {tuple(r) for r in docs.mapInArrow(tasks, "before long, units long, prints long").collect()} == {(1, 0, 0)}
+
+
+def test_a_scored_model_is_dropped_by_the_next_stage(spark):
+    """The store is registered where the worker's own tasks look for it, not in a copy sent with a function."""
+    import pandas as pd
+    import pyarrow as pa
+
+    from thermalcube.llm import toxicity, unit_dedup
+    from thermalcube.llm.common import ready
+
+    model = toxicity.ToxicityModel(["idiot", "stupid"], [1.0, 1.0], 0.0, 1.0, 0.0)
+    docs = ready(spark).range(40).selectExpr("id AS doc_id", "concat('you stupid word', id) AS text").repartition(8)
+    assert toxicity.score_documents(docs, model).count() == 40
+    toxicity.score_documents(docs, model).write.format("noop").mode("overwrite").save()
+
+    def tasks(batches):
+        rows = pa.record_batch([pa.array([1]), pa.array([2]), pa.array(["some words"])], names=["doc_id", "mark", "text"])
+        list(unit_dedup._unit_rows(iter([rows])))
+        for batch in batches:
+            yield pd.DataFrame({"kept": [toxicity.ToxicityModel.from_json.cache_info().currsize]})
+
+    assert {r.kept for r in docs.mapInPandas(tasks, "kept long").collect()} == {0}
+
+
+def test_texts_come_in_runs_of_bounded_bytes():
+    import pyarrow as pa
+
+    from thermalcube.llm import unit_dedup
+    from thermalcube.llm.common import text_runs
+
+    texts = ["a" * n for n in (10, 20, 400, 5, 5)] + [None, "", "b" * 90, "c" * 30]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    runs = list(text_runs(iter([batch, batch.slice(0, 0)]), 1, 100))
+    assert len(runs) > 3 and [t for r in runs for t in r.column(1).to_pylist()] == texts
+    assert all(sum(map(len, filter(None, r.column(1).to_pylist()[1:]))) <= 100 for r in runs)
+    # A passage removed in a text far into a batch: places hang on the text alone, not on the run.
+    long = ["one two three four\n" + "x" * 1_500_000, "y" * 1_500_000, "one two three four\nz"]
+    rows = [pa.array([0, 1, 2]), pa.array(long), pa.array([None, None, [0]], pa.list_(pa.int32())), pa.array([None, None, [0]], pa.list_(pa.int32()))]
+    parts = list(unit_dedup._cut(20, 1)(iter([pa.record_batch(rows, names=["doc_id", "text", "again", "lines"])])))
+    assert len(parts) > 1
+    assert [t for p in parts for t in p.column("text").to_pylist()] == [*long[:2], "\nz"]

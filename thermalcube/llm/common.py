@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import pathlib
 import tempfile
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +20,10 @@ from thermalcube.session import scratch_path, tune
 
 #: A word: the longest run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of text that a task turns into Python objects at once.
+TEXT_BYTES = 1 << 21
+#: By operator, what empties its stores in this Python worker.
+STORES: dict[str, Callable[[], None]] = {}
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -43,6 +51,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def make_room() -> None:
+    """Empty the stores that other operators keep in this Python worker, and hand their memory back.
+
+    Spark gives the workers of one stage to the next, whatever they hold. Stores are filled anew when
+    they are needed, so no result hangs on them. Freed memory stays with the C library until trimmed.
+    """
+    if not STORES:
+        return
+    while STORES:
+        STORES.popitem()[1]()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def text_runs(batches: Iterator[pa.RecordBatch], column: int, run_bytes: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that hold, beside their first text in ``column``, ``run_bytes`` of text at most."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        step = np.cumsum(sizes, dtype=np.int64) // run_bytes
+        edges = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), batch.num_rows]
+        for begin, end in zip(edges, edges[1:]):
+            yield batch.slice(begin, end - begin)
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns of ``df`` as one named ``row``, out of the way of an operator's own columns."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")

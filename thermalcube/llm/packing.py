@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermalcube.llm.common import rank_in_group, stored
+from thermalcube.llm.common import make_room, rank_in_group, stored
 from thermalcube.llm.words import encoder
 
 PIECES = "doc_id long, doc_row long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -22,6 +22,7 @@ def _cutter(path: str, end_id: int, length: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         encode = encoder(path).ids
         for batch in batches:
             out: list[list[int]] = [[], [], [], [], [], []]

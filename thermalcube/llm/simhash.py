@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from thermalcube.llm.common import lookup, stored, whole_row
+from thermalcube.llm.common import lookup, make_room, stored, whole_row
 from thermalcube.llm.components import connected_components
 
 SHINGLES_AT_ONCE = 1 << 16
@@ -159,6 +159,7 @@ def _of_set(text: str | None, how: SimHash) -> tuple[bytes, list[int]]:
 
 def _fingerprints(how: SimHash, carried: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in batches:
             prints, keys = [], []
             for text in batch.column(carried):

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thermalcube.llm.common import STORES
 from thermalcube.llm.simhash import shingle_hashes
 
 #: Letters of a subsequence, decay per letter spanned, longest span, letters of a piece of a long word
@@ -273,6 +274,7 @@ class ToxicityModel:
     @lru_cache(maxsize=1)
     def from_json(text: str) -> ToxicityModel:
         """The model of a worker; another one takes its place, stores and all."""
+        STORES["toxicity"] = ToxicityModel.from_json.cache_clear
         return ToxicityModel(*json.loads(text))
 
 

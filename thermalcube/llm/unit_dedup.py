@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermalcube.llm.common import lookup, stored
+from thermalcube.llm.common import lookup, make_room, stored, text_runs
 from thermalcube.llm.simhash import mixed
 
 #: A run of repeated parts of lines shorter than this stays: few words recur by chance. Whole lines go at any length.
@@ -73,6 +73,7 @@ def line_edges(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
+    make_room()
     digest = xxhash.xxh3_64_intdigest
     for batch in batches:
         keys, places, kinds, hashes = [], [], [], []
@@ -115,8 +116,9 @@ CLEANED = "text string, removed array<struct<start:int,end:int>>, n_units int, n
 
 def _cut(run_words: int, carried: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in text_runs(batches, carried):
             texts, removed, totals, repeats = [], [], [], []
             found = (batch.column(i).to_pylist() for i in (carried + 1, carried + 2))
             for value, again, lines in zip(batch.column(carried), *found):
