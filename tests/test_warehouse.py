@@ -466,3 +466,37 @@ def test_sources_name_nothing_local():
     root = pathlib.Path(__file__).resolve().parent.parent / "thermalcube"
     text = "\n".join(p.read_text() for p in root.rglob("*.py"))
     assert "localCheckpoint" not in text and "crossJoin" not in text
+
+
+def test_counted_staging_is_stored_once(spark, monkeypatch):
+    """Staging goes straight into the warehouse whose footers are counted, in month folders."""
+    from thermalcube.checks import warehouse
+
+    stored = []
+    write = tables.write_partitioned
+
+    def watched(df, path, *rest):
+        stored.append(path)
+        write(df, path, *rest)
+
+    monkeypatch.setattr(tables, "write_partitioned", watched)
+    counts = {r["table_name"]: r["row_count"] for r in warehouse.counts_from_footers(spark, "/root/testdata/sf0.001").collect()}
+    assert sorted(p.rsplit("/", 1)[1] for p in stored) == ["staging_detection", "staging_weather"]
+    for path in stored:
+        kept = spark.read.parquet(path)
+        assert tables.MONTH in kept.columns and kept.count() == counts[path.rsplit("/", 1)[1]] > 0
+
+
+def test_only_kept_weather_answers_are_parsed(spark):
+    """The newest answer of a key is chosen before the texts are parsed, and is what parsing all of them gives."""
+    from thermalcube.checks import warehouse
+    from thermalcube.checks.staging import weather
+    from thermalcube.operators import dedup, shaping
+    from thermalcube.schemas import WEATHER_KEYS
+
+    sf = "/root/testdata/sf0.001"
+    got = warehouse.staged_weather(spark, sf)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and plan.index("from_json") < plan.index("Window [")
+    want = shaping.narrow_weather_types(dedup.latest_by_key(weather(spark, sf), WEATHER_KEYS, [F.col("event_id")]))
+    assert got.schema == want.schema and got.count() == want.count() and got.exceptAll(want).isEmpty()
