@@ -150,6 +150,65 @@ def test_links_of_large_buckets_lose_nothing(spark, monkeypatch):
     assert full == want
 
 
+def _linked(spark, monkeypatch, values, how):
+    """Number of links and the component of each value, all in one bucket of blocks of some 8 rows."""
+    from thermalcube.llm.components import connected_components
+
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 8)
+    size = how.bits // 8
+    nodes = spark.createDataFrame([(bytearray(v.to_bytes(size, "big")), [7]) for v in values], "print binary, keys array<long>")
+    found = simhash.links(nodes, how).persist()
+    got = {int.from_bytes(r.node, "big"): int.from_bytes(r.root, "big") for r in connected_components(found).collect()}
+    return found.count(), {v: got.get(v, v) for v in values}
+
+
+def test_links_of_a_close_group_grow_with_its_size(spark, monkeypatch):
+    """All values within four bits of each other: a link or two of each, not one for each pair of blocks."""
+    rng = np.random.default_rng(4)
+    for n in (64, 256):
+        values = set()
+        while len(values) < n:
+            values.add(sum({1 << int(b) for b in rng.integers(0, 128, 2)}))
+        count, roots = _linked(spark, monkeypatch, sorted(values), simhash.SimHash(bits=128, radius=4))
+        assert set(roots.values()) == {min(values)}
+        assert count < 2 * n
+
+
+def test_links_between_two_nodes_of_far_groups_are_found(spark, monkeypatch):
+    """Five groups of 40; of each two that follow one another one pair alone is close, but for the last two."""
+    rng, groups = np.random.default_rng(6), []
+    for g in range(5):
+        base = ((1 << 50) - 1) << 50 * g
+        groups.append([base ^ sum({1 << int(b) for b in rng.integers(0, 250, 2)}) for _ in range(40)])
+    for one, other in zip(groups[:3], groups[1:4]):
+        way = [b for b in range(256) if (one[0] ^ other[0]) >> b & 1]
+        # A path of values four bits apart, of which only the ends belong to a group.
+        value = one[0]
+        for k in range(0, len(way), 4):
+            value ^= sum(1 << b for b in way[k : k + 4])
+            one.append(value)
+    values = sorted({v for group in groups for v in group})
+    _, roots = _linked(spark, monkeypatch, values, simhash.SimHash(bits=256, radius=4))
+    assert roots == _brute_components(values, values, 4)
+    assert len(set(roots.values())) == 2
+
+
+def test_links_of_near_copies_grow_with_their_number(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 8)
+    counts, connect = [], simhash.connected_components
+
+    def counted(links):
+        counts.append(links.count())
+        return connect(links)
+
+    monkeypatch.setattr(simhash, "connected_components", counted)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(d, " ".join([*base[: d % 199], f"c{d}", *base[d % 199 + 1 :]])) for d in range(240)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), simhash.SimHash.for_similarity())
+    assert [r.doc_id for r in kept.collect()] == [0]
+    assert sum(counts) < 12 * len(rows)
+
+
 def test_similarity_mode_finds_near_copies(spark):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(3000)]

@@ -11,24 +11,41 @@ from thermalcube.session import checkpointed
 def connected_components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, root) of every node of a link, root the smallest node reachable.
 
-    Each round takes, for every node, the smallest grandparent among its neighbours and hangs the
-    node and its parent below it, so the rounds grow with the logarithm of the longest path, not with
-    its length. Every round is one checkpoint in the shared folder; the driver sees one number.
-    Links with a null end and links of a node to itself are left aside.
+    Each round hangs every node below its smallest neighbour, shortens the paths until all nodes hang at
+    roots, and puts links of roots in place of links, those within a tree and repeated ones left out. A
+    tree has two nodes at least, so a round halves the nodes that have links; paths are shortened in
+    steps that grow with the logarithm of their length. So most links are read in the first round only.
+    Every step is one checkpoint in the shared folder; the driver sees one number of it. Links with a
+    null end and links of a node to itself are left aside.
     """
-    pairs = links.select(F.col(left).alias("u"), F.col(right).alias("v")).filter("u <> v")
-    both = checkpointed(pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    parents = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")).select("u", "p"))
+    pairs = _distinct(links.select(F.col(left).alias("u"), F.col(right).alias("v")))
+    placed = None
+    while not pairs.isEmpty():
+        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        parents = _shortened(checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")).select("u", "p")))
+        if placed is None:
+            placed = parents
+        else:
+            above = parents.select(F.col("u").alias("p"), F.col("p").alias("g"))
+            placed = checkpointed(placed.join(above, "p", "left").select("u", F.coalesce("g", "p").alias("p")))
+        lifted = pairs.join(parents, "u").select("v", F.col("p").alias("u"))
+        pairs = _distinct(lifted.join(parents.withColumnRenamed("u", "v"), "v").select("u", F.col("p").alias("v")))
+    if placed is None:
+        return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return placed.select(F.col("u").alias("node"), F.col("p").alias("root"))
+
+
+def _distinct(pairs: DataFrame) -> DataFrame:
+    """Each pair (u, v) of different nodes once, the smaller one first."""
+    ordered = pairs.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return checkpointed(ordered.distinct())
+
+
+def _shortened(parents: DataFrame) -> DataFrame:
+    """(u, p) with p the root of the tree of u, from parents p that are smaller than u or, of a root, u itself."""
     while True:
         above = parents.select(F.col("u").alias("p"), F.col("p").alias("g"))
-        lifted = parents.join(above, "p").select("u", "p", "g")
-        seen = lifted.select(F.col("u").alias("v"), "g")
-        best = both.join(seen, "v").groupBy("u").agg(F.min("g").alias("m"))
-        joined = lifted.join(best, "u").select("u", "p", F.least("g", "m").alias("m"))
-        hooks = joined.select("u", "m").union(joined.select(F.col("p").alias("u"), "m"))
-        lower = hooks.groupBy("u").agg(F.min("m").alias("q"))
-        step = checkpointed(parents.join(lower, "u").select("u", F.least("p", "q").alias("p"), (F.col("q") < F.col("p")).alias("moved")))
-        moved = step.filter("moved").limit(1).count()
+        step = checkpointed(parents.join(above, "p").select("u", F.col("g").alias("p"), (F.col("g") < F.col("p")).alias("moved")))
         parents = step.select("u", "p")
-        if not moved:
-            return parents.select(F.col("u").alias("node"), F.col("p").alias("root"))
+        if step.filter("moved").isEmpty():
+            return parents

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -265,7 +265,23 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch.slice(begin, end - begin)
 
 
+def _firsts(names: list[bytes]) -> np.ndarray:
+    """The first row of the same name of each row."""
+    seen: dict[bytes, int] = {}
+    return np.array([seen.setdefault(name, k) for k, name in enumerate(names)], dtype=np.int64)
+
+
+def _named(root: np.ndarray, first: np.ndarray, names: list[bytes]) -> pa.RecordBatch:
+    """Links (a, b) from each name but the first of a component to the first one."""
+    linked = np.flatnonzero((first == np.arange(len(first))) & (root != first))
+    return pa.record_batch(
+        [pa.array([names[k] for k in root[linked].tolist()], pa.binary()), pa.array([names[k] for k in linked.tolist()], pa.binary())],
+        names=["a", "b"],
+    )
+
+
 def _linker(how: SimHash):
+    """Of lists x and y of fingerprints links of their names; names are their known roots, if given, or themselves."""
     words = how.bits // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,39 +302,97 @@ def _linker(how: SimHash):
             crossed = np.repeat(sizes[1] > 0, total)
             border = np.repeat(begin + sizes[0], total)
             splits = np.where(crossed, np.where(place >= border, border, starts), place)
+            names = flat
+            if batch.num_columns > 2:
+                names = [r for pair in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()) for side in pair for r in side]
+            first = _firsts(names)
             i, j = close_pairs(prints, starts, splits, how.radius)
-            root = _roots(len(flat), i, j)
-            linked = np.flatnonzero(root != place)
-            yield pa.record_batch(
-                [pa.array([flat[k] for k in root[linked].tolist()], pa.binary()), pa.array([flat[k] for k in linked.tolist()], pa.binary())],
-                names=["a", "b"],
-            )
+            yield _named(_roots(len(flat), np.concatenate((i, place)), np.concatenate((j, first))), first, names)
 
     return run
 
 
 def links(nodes: DataFrame, how: SimHash) -> DataFrame:
-    """Links (a, b) that connect the fingerprints of a bucket as all its close pairs do.
+    """Links (a, b) that connect the fingerprints of the buckets as all their close pairs do.
 
-    ``nodes``: distinct (print, keys). A bucket beyond ``BUCKET_ROWS`` is cut into blocks by a hash
-    of the fingerprint, and every pair of blocks is compared by a task of its own.
+    ``nodes``: distinct (print, keys).
     """
-    rows = nodes.select("print", F.explode(F.array_distinct("keys")).alias("key"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    cut = rows.join(sizes.select("key", F.ceil(F.col("n") / BUCKET_ROWS).alias("blocks")), "key")
-    part = F.pmod(F.xxhash64("print"), F.col("blocks")).alias("part")
-    blocks = stored(
-        cut.select("key", "blocks", part, "print").groupBy("key", "blocks", "part").agg(F.collect_list("print").alias("prints")), "buckets"
-    )
-    none = F.array().cast("array<binary>")
-    alone = blocks.filter(F.size("prints") > 1).select(F.col("prints").alias("x"), none.alias("y"))
-    large = blocks.filter("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    large = large.filter("other <> part").select(
-        "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "prints"
+    rows = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), F.struct("print").alias("node"))
+    return _joined(rows, lambda x: x["print"], F.lit(0), _linker(how))
+
+
+def _blocks_of(weight: Column) -> Column:
+    """In how many blocks rows are cut, by their number and their shingles."""
+    return F.ceil(F.sum(weight) / BLOCK_SHINGLES + F.count(F.lit(1)) / BUCKET_ROWS)
+
+
+def _alone(blocks: DataFrame) -> DataFrame:
+    """Blocks that are compared with themselves."""
+    return blocks.filter(F.size("x") > 1).select("x", F.slice("x", 1, 0).alias("y"))
+
+
+def _joined(rows: DataFrame, view: Callable[[Column], Column], weight: Column, linker: Callable) -> DataFrame:
+    """Links (a, b) that connect the nodes of each key as all pairs that ``linker`` finds do.
+
+    ``rows``: (key, node), node with its print; ``view``: what the linker sees of a list of nodes;
+    ``weight``: shingles of a node. Keys beyond ``BUCKET_ROWS`` rows are cut into blocks by a hash of the
+    fingerprint. Blocks are compared with themselves first. What is connected then is not compared
+    again: of each component one node, another each time, is compared in blocks of such nodes, as long
+    as that halves the components; the nodes that are left beside the largest component of a key
+    are compared with it and with each other. So a group of like texts takes comparisons and links in
+    proportion to its size, and nodes that are unlike are compared pair by pair.
+    """
+    def compared(pairs: DataFrame, known: bool = True) -> DataFrame:
+        lists = [view(F.col(c)["node"] if known else F.col(c)).alias(c) for c in "xy"]
+        roots = [F.col(c)["root"].alias(f"{c}_roots") for c in "xy" if known]
+        return pairs.select(*lists, *roots).mapInArrow(linker, "a binary, b binary")
+
+    def cut(rows: DataFrame, x: Column, spread: Column) -> DataFrame:
+        sizes = rows.groupBy("key").agg(_blocks_of(weight).alias("blocks"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+        part = F.pmod(spread, F.col("blocks")).alias("part")
+        return rows.join(sizes.select("key", "blocks"), "key").groupBy("key", "blocks", part).agg(F.collect_list(x).alias("x"))
+
+    place = F.xxhash64("node.print")
+    blocks = stored(cut(rows, F.col("node"), place), "blocks")
+    within = stored(compared(_alone(blocks), known=False), "links")
+    nodes = blocks.filter("blocks > 1").select("key", F.explode("x").alias("node")).withColumn("print", F.col("node.print"))
+    if nodes.isEmpty():
+        return within
+    roots = connected_components(within)
+    found = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
+    tags = nodes.select("key", "print").join(roots.withColumnRenamed("node", "print"), "print", "left")
+    tags = tags.select("key", "print", F.coalesce("root", "print").alias("root"))
+    seed, before = 0, 0
+    while True:
+        several = tags.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+        tags = stored(tags.join(several.select("key"), "key"), "tags")
+        left = tags.select("key", "root").distinct().count()
+        if not left:
+            return found
+        if seed and 2 * left > before:
+            break
+        spread = F.xxhash64("print", F.lit(seed))
+        heads = tags.groupBy("key", "root").agg(F.min_by("print", spread).alias("print"))
+        more = stored(compared(_alone(cut(nodes.join(heads, ["key", "print"]), F.struct("root", "node"), spread))), "links")
+        found = found.union(more)
+        merged = connected_components(more).select(F.col("node").alias("root"), F.col("root").alias("low"))
+        tags = tags.join(merged, "root", "left").select("key", "print", F.coalesce("low", "root").alias("root"))
+        seed, before = seed + 1, left
+    largest = tags.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+    largest = largest.agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
+    sides = nodes.join(tags, ["key", "print"]).join(largest, "key").withColumn("rest", F.col("root") != F.col("largest"))
+    sizes = sides.groupBy("key", "rest").agg(_blocks_of(weight).alias("n")).groupBy("key")
+    sizes = sizes.agg(F.sum(F.when(~F.col("rest"), F.col("n"))).alias("first"), F.sum("n").alias("blocks"))
+    part = F.when(F.col("rest"), F.col("first") + F.pmod(place, F.col("blocks") - F.col("first"))).otherwise(F.pmod(place, F.col("first")))
+    rest = sides.join(sizes, "key").groupBy("key", "first", "blocks", part.alias("part"))
+    rest = stored(rest.agg(F.collect_list(F.struct("root", "node")).alias("x")), "rest")
+    pairs = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = pairs.filter("other <> part AND greatest(part, other) >= first").select(
+        "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "x"
     )
-    crossed = large.groupBy("key", "low", "high").agg(F.sort_array(F.collect_list(F.struct("part", "prints"))).alias("two"))
-    crossed = crossed.filter(F.size("two") == 2).select(F.col("two")[0]["prints"].alias("x"), F.col("two")[1]["prints"].alias("y"))
-    return alone.union(crossed).mapInArrow(_linker(how), "a binary, b binary")
+    two = pairs.groupBy("key", "low", "high").agg(F.sort_array(F.collect_list(F.struct("part", "x"))).alias("two")).filter(F.size("two") == 2)
+    crossed = two.select(F.col("two")[0]["x"].alias("x"), F.col("two")[1]["x"].alias("y"))
+    return found.union(compared(_alone(rest.filter("part >= first")).union(crossed)))
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -337,9 +411,11 @@ def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return shared >= similarity * (few + many - shared) - 1e-9
 
 
-def _confirmed(i: np.ndarray, j: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """The smallest row reachable from each row by pairs that are similar; pairs already connected are not looked at."""
-    root = np.arange(len(sets))
+def _confirmed(i: np.ndarray, j: np.ndarray, sets: list[np.ndarray], similarity: float, root: np.ndarray) -> np.ndarray:
+    """The smallest row reachable from each row by pairs that are similar; pairs already connected are not looked at.
+
+    ``root``: the smallest row that is known to be reachable from each.
+    """
     while True:
         apart = root[i] != root[j]
         i, j = i[apart], j[apart]
@@ -379,12 +455,9 @@ def _exact_linker(how: SimHash):
                 place = np.arange(len(flat))
                 splits = np.where(place >= len(x), len(x), 0) if y else place
                 i, j = close_pairs(prints, np.zeros_like(place), splits, how.radius)
-                root = _confirmed(i, j, sets, how.similarity)
-                linked = np.flatnonzero(root != place)
-                yield pa.record_batch(
-                    [pa.array([flat[k] for k in root[linked].tolist()], pa.binary()), pa.array([flat[k] for k in linked.tolist()], pa.binary())],
-                    names=["a", "b"],
-                )
+                names = flat if batch.num_columns == 2 else batch.column(2)[at].as_py() + batch.column(3)[at].as_py()
+                first = _firsts(names)
+                yield _named(_confirmed(i, j, sets, how.similarity, first), first, names)
 
     return run
 
@@ -393,25 +466,13 @@ def exact_links(rows: DataFrame, nodes: DataFrame, roots: DataFrame, how: SimHas
     """Links (a, b) that connect the nodes of each component of candidates as all its similar pairs do.
 
     ``rows``: (_id, _mark, text); ``nodes``: (print, low), low the row whose text stands for the node;
-    ``roots``: (print, root) of nodes with a candidate. Only their texts are read. A component is cut
-    into blocks of bounded rows and shingles by a hash of the fingerprint, and every pair of blocks is
-    compared by a task of its own.
+    ``roots``: (print, root) of nodes with a candidate. Only their texts are read.
     """
     asked = nodes.join(roots, "print").select("low.*", "root", "print")
     texts = rows.join(asked, ["_id", "_mark"]).dropDuplicates(["_id", "_mark", "print"]).select("root", "print", "text")
     sets = stored(texts.mapInArrow(_shingle_sets(how), "root binary, print binary, shingles binary, n long"), "shingles")
-    size = F.ceil(F.sum("n") / BLOCK_SHINGLES + F.count(F.lit(1)) / BUCKET_ROWS)
-    sizes = sets.groupBy("root").agg(size.alias("blocks"))
-    part = F.pmod(F.xxhash64("print"), F.col("blocks")).alias("part")
-    cut = sets.join(sizes, "root").select("root", "blocks", part, F.struct("print", "shingles").alias("node"))
-    blocks = stored(cut.groupBy("root", "blocks", "part").agg(F.collect_list("node").alias("x")), "blocks")
-    none = F.array().cast("array<struct<print:binary,shingles:binary>>")
-    alone = blocks.filter(F.size("x") > 1).select("x", none.alias("y"))
-    large = blocks.filter("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    large = large.filter("other <> part").select("root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "x")
-    crossed = large.groupBy("root", "low", "high").agg(F.sort_array(F.collect_list(F.struct("part", "x"))).alias("two"))
-    crossed = crossed.filter(F.size("two") == 2).select(F.col("two")[0]["x"].alias("x"), F.col("two")[1]["x"].alias("y"))
-    return alone.union(crossed).mapInArrow(_exact_linker(how), "a binary, b binary")
+    rows = sets.select(F.col("root").alias("key"), F.struct("print", "shingles").alias("node"))
+    return _joined(rows, lambda x: x, F.octet_length("node.shingles") / 8, _exact_linker(how))
 
 
 def near_duplicates(docs: DataFrame, how: SimHash = SimHash(), key: str = "doc_id", text: str = "text") -> DataFrame:
