@@ -356,7 +356,7 @@ def _joined(rows: DataFrame, view: Callable[[Column], Column], weight: Column, l
     blocks = stored(cut(rows, F.col("node"), place), "blocks")
     within = stored(compared(_alone(blocks), known=False), "links")
     nodes = blocks.filter("blocks > 1").select("key", F.explode("x").alias("node")).withColumn("print", F.col("node.print"))
-    if nodes.isEmpty():
+    if not nodes.take(1):
         return within
     roots = connected_components(within)
     found = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
