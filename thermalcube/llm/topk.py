@@ -15,8 +15,15 @@ from thermalcube.llm.common import stored
 
 BLOCK_ROWS = 2048
 QUERY_ROWS = 256
+#: Blocks that a task of the search goes through, and query blocks that it holds.
+TASK_BLOCKS = 32
+TASK_QUERY_BLOCKS = 32
 #: Parts of the lists read before the bounds are looked at again.
 DEPTHS = (1 / 8, 1 / 2, 1.0)
+#: By kind of number, the integers up to which each is held as it is.
+EXACT = {np.float32: 2**24, np.float64: 2**53}
+#: The floor of a query that has not found k rows yet.
+NO_FLOOR = -(2**63)
 
 
 def _packer(size: int):
@@ -55,7 +62,7 @@ class SortedLists:
     weights and from the bottom for negative ones."""
 
     def __init__(self, vectors: np.ndarray, kind: type = np.float64):
-        self.vectors = vectors.astype(kind)
+        self.vectors, self.kind = vectors.astype(kind), kind
         self.order = np.sort(self.vectors, axis=0)
         # Equal components share a place, so that what a reader has seen depends on the value alone.
         self.worst, self.best = self.order[0], self.order[-1]
@@ -66,13 +73,14 @@ class SortedLists:
         A component seen counts as it is. One unseen lies between the end of its list and the place
         reached. ``up`` and ``down`` hold the positive and negative weights of the queries.
         """
-        n = len(self.vectors)
-        reached_up, reached_down = self.order[n - depth], self.order[depth - 1]
-        seen_up, seen_down = self.vectors >= reached_up, self.vectors <= reached_down
-        x = self.vectors
-        lower = np.where(seen_up, x, self.worst) @ up + np.where(seen_down, x, self.best) @ down
-        upper = np.where(seen_up, x, reached_up) @ up + np.where(seen_down, x, reached_down) @ down
-        return lower, upper
+        x, reached_up, reached_down = self.vectors, self.order[len(self.vectors) - depth], self.order[depth - 1]
+        lower = np.where(x >= reached_up, x, self.worst) @ up + np.where(x <= reached_down, x, self.best) @ down
+        return lower, self.upper_bounds(up, down, depth)
+
+    def upper_bounds(self, up: np.ndarray, down: np.ndarray, depth: int) -> np.ndarray:
+        """The upper bounds alone: a component unseen counts as the place reached."""
+        reached_up, reached_down = self.order[len(self.vectors) - depth], self.order[depth - 1]
+        return np.maximum(self.vectors, reached_up) @ up + np.minimum(self.vectors, reached_down) @ down
 
 
 def _kth_highest(values: np.ndarray, k: int) -> np.ndarray:
@@ -91,65 +99,117 @@ def _widest(vectors: np.ndarray) -> float:
     return float(np.abs(vectors.astype(np.float64)).max(initial=0.0))
 
 
+def _to_reach(floors: np.ndarray, kind: type) -> np.ndarray:
+    """Floors as numbers of a kind; those beyond the exact integers of a kind lie beyond its scores as well."""
+    if kind is object:
+        return np.array([-np.inf if f == NO_FLOOR else f for f in floors.tolist()], dtype=object)
+    reach = np.clip(floors, -EXACT[kind], EXACT[kind]).astype(kind)
+    reach[floors == NO_FLOOR] = -np.inf
+    return reach
+
+
 def top_scores(
-    lists: SortedLists, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int
+    lists: SortedLists, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, floors: np.ndarray | None = None
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query, ids, scores) of the k best rows of a block for each query, ties to smaller ids.
 
     The lists are read in steps. After a step, a query's k-th highest lower bound is what an outsider
     has to reach; once at most a quarter of the rows can, their scores are resolved and the reading stops for
-    that query. Scores are integers below 2**53, or Python's own, so bounds and scores are exact.
+    that query. ``floors`` has the k-th best score that each query found in other blocks: rows below it are
+    left out, and where every query has one, upper bounds do until the lists are read. Scores are integers
+    that ``queries`` hold exactly with all bounds (see ``_kind``), so bounds and scores are exact.
     """
     open_queries = np.arange(len(queries))
     n = len(ids)
+    floors = np.full(len(queries), NO_FLOOR) if floors is None else floors
+    reach, floored = _to_reach(floors, lists.kind), bool((floors != NO_FLOOR).all())
     for part in DEPTHS:
         depth = max(1, int(n * part))
         weights = queries[open_queries].T
-        lower, upper = lists.bounds(np.maximum(weights, 0), np.minimum(weights, 0), depth)
+        up, down = np.maximum(weights, 0), np.minimum(weights, 0)
         own = ids[:, None] == query_ids[open_queries][None, :]
-        lower[own] = upper[own] = -np.inf
-        need = _kth_highest(lower, k) if n > k else np.full(len(open_queries), -np.inf)
+        need = reach[open_queries]
+        if floored and depth < n:
+            upper = lists.upper_bounds(up, down, depth)
+        else:
+            lower, upper = lists.bounds(up, down, depth)
+            lower[own] = -np.inf
+            if n > k:
+                need = np.maximum(need, _kth_highest(lower, k))
         inside = (upper >= need) & ~own
-        few = inside.sum(axis=0) <= max(4 * k, n // 4) if depth < n else np.ones(len(open_queries), dtype=bool)
-        for at in np.flatnonzero(few).tolist():
+        counts = inside.sum(axis=0)
+        few = counts <= max(4 * k, n // 4) if depth < n else np.ones(len(open_queries), dtype=bool)
+        for at in np.flatnonzero(few & (counts > 0)).tolist():
             query, rows = int(open_queries[at]), np.flatnonzero(inside[:, at])
             scores = lists.vectors[rows] @ queries[query]
-            best = _highest(ids[rows], scores, k)
-            yield query, ids[rows[best]], scores[best]
+            reached = scores >= need[at]
+            rows, scores = rows[reached], scores[reached]
+            if len(rows):
+                best = _highest(ids[rows], scores, k)
+                yield query, ids[rows[best]], scores[best]
         open_queries = open_queries[~few]
         if not len(open_queries):
             return
 
 
+def _kind(widest: float) -> type:
+    """The smallest numbers that hold every sum of products up to ``widest`` exactly; beyond doubles, Python's integers."""
+    return next((kind for kind, most in EXACT.items() if widest < most / 2), object)
+
+
+class _Best:
+    """The k best rows of the queries of a block over all blocks seen, by score within 64 bits, then id."""
+
+    def __init__(self, query_ids: np.ndarray, k: int):
+        self.query_ids, self.k = query_ids.copy(), k
+        self.ids, self.scores = [[np.empty(0, dtype=np.int64)] * len(query_ids) for _ in range(2)]
+        self.floors = np.full(len(query_ids), NO_FLOOR)
+
+    def add(self, query: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        longs = np.array([min(max(int(x), -(2**63)), 2**63 - 1) for x in scores.tolist()], dtype=np.int64)
+        ids, longs = np.concatenate([self.ids[query], ids]), np.concatenate([self.scores[query], longs])
+        # ~x is -1 - x, which no long leaves.
+        best = np.lexsort((ids, ~longs))[: self.k]
+        self.ids[query], self.scores[query] = ids[best], longs[best]
+        if len(best) == self.k:
+            self.floors[query] = longs[best[-1]]
+
+    def rows(self) -> pa.RecordBatch:
+        counts = [len(x) for x in self.ids]
+        columns = np.repeat(self.query_ids, counts), np.concatenate(self.ids), np.concatenate(self.scores)
+        return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+
+
+def _numbers(batch: pa.RecordBatch, column: str, at: int) -> np.ndarray:
+    return np.frombuffer(batch.column(column)[at].as_buffer(), dtype="<i8")
+
+
 def _searcher(k: int):
-    names = ["query_id", "vec_id", "score"]
+    """The k best rows of each query among the pairs of blocks and query blocks of a task."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, lists = None, None
+        held, lists, found = None, None, {}
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], dtype="<i8")
-                if held != row["block"]:
-                    vectors = np.frombuffer(row["parts"], dtype="<i8").reshape(len(ids), -1)
-                    held, lists = row["block"], {}
-                query_ids = np.frombuffer(row["query_ids"], dtype="<i8")
-                queries = np.frombuffer(row["query_parts"], dtype="<i8").reshape(len(query_ids), -1)
+            blocks, packs = batch.column("block").to_pylist(), batch.column("pack").to_pylist()
+            for at, (block, pack) in enumerate(zip(blocks, packs)):
+                if held != block:
+                    ids = _numbers(batch, "ids", at).copy()
+                    vectors = _numbers(batch, "parts", at).reshape(len(ids), -1).copy()
+                    held, lists, widest = block, {}, _widest(vectors) * vectors.shape[1]
+                query_ids = _numbers(batch, "query_ids", at)
+                queries = _numbers(batch, "query_parts", at).reshape(len(query_ids), -1)
                 if queries.shape[1] != vectors.shape[1]:
                     continue
-                # Doubles hold every sum below 2**53; beyond it Python's integers are used.
-                kind = np.float64 if _widest(vectors) * _widest(queries) * vectors.shape[1] < 2**52 else object
+                kind = _kind(widest * _widest(queries))
                 if kind not in lists:
                     lists[kind] = SortedLists(vectors, kind)
-                found = list(top_scores(lists[kind], ids, queries.astype(kind), query_ids, k))
-                if found:
-                    yield pa.record_batch(
-                        [
-                            pa.array(np.concatenate([np.full(len(i), query_ids[q]) for q, i, _ in found])),
-                            pa.array(np.concatenate([i for _, i, _ in found])),
-                            pa.array([min(max(int(x), -(2**63)), 2**63 - 1) for _, _, s in found for x in s], pa.int64()),
-                        ],
-                        names=names,
-                    )
+                if pack not in found:
+                    found[pack] = _Best(query_ids, k)
+                best = found[pack]
+                for query, rows, scores in top_scores(lists[kind], ids, queries.astype(kind), query_ids, k, best.floors.copy()):
+                    best.add(query, rows, scores)
+        for best in found.values():
+            yield best.rows()
 
     return search
 
@@ -159,6 +219,10 @@ def integer_components(vector: Column, scale: int) -> Column:
     return F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
 
 
+def _shares(rows: int, size: int) -> int:
+    return max(1, -(-rows // size))
+
+
 def top_k(
     vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, key: str = "vec_id", vector: str = "embedding",
 ) -> DataFrame:
@@ -167,8 +231,9 @@ def top_k(
     Vectors are compared with queries of their own dimension. Null vectors, those with null or
     non-finite components and null keys take no part. A row is never a candidate of a query with its
     key; scores beyond 64 bits are given as the nearest long and ranked by it across blocks; rows repeated are candidates each; of queries with one key the smallest vector asks. Queries
-    meet all rows block by block: vectors are packed once, in blocks of one dimension, query blocks
-    are few and go to every block.
+    meet all rows block by block: vectors and queries are packed once, in blocks of one dimension, and
+    each task searches some of the blocks for some of the query blocks. Neither side is broadcast or
+    copied per block, so that the driver holds nothing and what is shuffled grows with the rows.
     """
     x = F.col(vector)
     usable = x.isNotNull() & F.col(key).isNotNull() & (F.size(x) > 0) & F.forall(
@@ -179,19 +244,20 @@ def top_k(
     )
     asked = rows.filter("asks").groupBy("vec_id").agg(F.min("parts").alias("parts"))
     schema = "block long, n int, ids binary, parts binary"
-    dimensions = [r[0] for r in rows.select(F.size("parts").alias("d")).distinct().collect()]
+    dimensions = rows.groupBy(F.size("parts").alias("d")).count().collect()
     spark, found = vectors.sparkSession, None
-    for d in sorted(dimensions):
+    for d, n in sorted(tuple(r) for r in dimensions):
         blocks = stored(rows.filter(F.size("parts") == d).select("vec_id", "parts").mapInArrow(_packer(BLOCK_ROWS), schema), "vectors")
         own = stored(asked.filter(F.size("parts") == d), "queries")
-        spread = own.repartition(max(1, -(-own.count() // QUERY_ROWS)), "vec_id")
-        packs = spread.mapInArrow(_packer(QUERY_ROWS), schema).select(F.col("ids").alias("query_ids"), F.col("parts").alias("query_parts"))
-        # One count per task that packed; the blocks of a task are numbered from 0.
-        counts = blocks.groupBy(F.shiftright("block", 32).alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()
-        tasks = F.array(*[F.struct(F.lit(r["task"] << 32).alias("first"), F.lit(r["n"]).alias("n")) for r in counts])
-        numbers = F.transform(tasks, lambda t: F.sequence(t["first"].cast("long"), t["first"] + t["n"] - 1))
-        sent = packs.withColumn("block", F.explode(F.flatten(numbers)))
-        pairs = blocks.select("block", "ids", "parts").join(sent, "block").select("block", "ids", "parts", "query_ids", "query_parts")
+        asking = own.count()
+        spread = own.repartition(_shares(asking, QUERY_ROWS), "vec_id")
+        # The queries of a part lie in one block, also where a few more were dealt to it than the others have.
+        packs = spread.mapInArrow(_packer(2 * QUERY_ROWS), schema).select(
+            F.col("block").alias("pack"), F.col("ids").alias("query_ids"), F.col("parts").alias("query_parts")
+        ).repartition(_shares(asking, QUERY_ROWS * TASK_QUERY_BLOCKS))
+        tasks = max(spark.sparkContext.defaultParallelism, _shares(n, BLOCK_ROWS * TASK_BLOCKS))
+        # Every block meets every query block: the tasks of a Cartesian product, each with a part of both sides.
+        pairs = blocks.select("block", "ids", "parts").repartition(tasks, "block").crossJoin(packs.hint("shuffle_replicate_nl"))
         part = pairs.mapInArrow(_searcher(k), "query_id long, vec_id long, score long")
         found = part if found is None else found.union(part)
     if found is None:
