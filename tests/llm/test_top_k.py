@@ -43,6 +43,18 @@ def test_rows_of_many_blocks(spark, monkeypatch, top):
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == _best(rows)
 
 
+def test_vectors_of_many_dimensions(spark, monkeypatch):
+    for name, size in (("BLOCK_ROWS", 4), ("QUERY_ROWS", 2), ("TASK_BLOCKS", 3), ("TASK_QUERY_BLOCKS", 2)):
+        monkeypatch.setattr(topk, name, size)
+    rows = [(i, v[: 1 + i % 23]) for i, v in _vectors(600, 9, 23)]
+    rows += [(i, v) for i, v in _vectors(1200, 9, 2) if i >= 600]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()
+    want = []
+    for d in range(1, 24):
+        want += _best([(i, v) for i, v in rows if len(v) == d])
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
 @pytest.mark.parametrize("order", [1, -1])
 def test_a_task_hands_out_k_rows_a_query(order):
     """Blocks of rising or of falling scores, of numbers of three kinds, and clamped ones at both ends."""

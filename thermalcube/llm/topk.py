@@ -27,32 +27,37 @@ NO_FLOOR = -(2**63)
 
 
 def _packer(size: int):
-    """Rows of a task as blocks of ids and 64-bit components."""
+    """Rows of a task as blocks of ids and 64-bit components, each block of one dimension."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, ids, parts = TaskContext.get().partitionId(), 0, [], []
+        part, number, held, rows = TaskContext.get().partitionId(), 0, {}, 0
 
-        def block():
-            nonlocal number, ids, parts
+        def block(d):
+            nonlocal number, rows
+            ids, parts = held.pop(d)
             out = pa.record_batch(
                 [
-                    pa.array([part << 32 | number], pa.int64()), pa.array([len(ids)], pa.int32()),
+                    pa.array([part << 32 | number], pa.int64()), pa.array([d], pa.int32()),
                     pa.array([np.array(ids, dtype="<i8").tobytes()], pa.binary()),
                     pa.array([np.array(parts, dtype="<i8").tobytes()], pa.binary()),
                 ],
-                names=["block", "n", "ids", "parts"],
+                names=["block", "d", "ids", "parts"],
             )
-            number, ids, parts = number + 1, [], []
+            number, rows = number + 1, rows - len(ids)
             return out
 
         for batch in batches:
             for key, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids, parts = held.setdefault(len(vector), ([], []))
                 ids.append(key)
                 parts.append(vector)
+                rows += 1
                 if len(ids) == size:
-                    yield block()
-        if ids:
-            yield block()
+                    yield block(len(vector))
+                elif rows == 4 * size:  # of many dimensions
+                    yield block(max(held, key=lambda d: len(held[d][0])))
+        for d in sorted(held):
+            yield block(d)
 
     return pack
 
@@ -198,8 +203,6 @@ def _searcher(k: int):
                     held, lists, widest = block, {}, _widest(vectors) * vectors.shape[1]
                 query_ids = _numbers(batch, "query_ids", at)
                 queries = _numbers(batch, "query_parts", at).reshape(len(query_ids), -1)
-                if queries.shape[1] != vectors.shape[1]:
-                    continue
                 kind = _kind(widest * _widest(queries))
                 if kind not in lists:
                     lists[kind] = SortedLists(vectors, kind)
@@ -243,24 +246,17 @@ def top_k(
         F.col(key).cast("long").alias("vec_id"), integer_components(x, scale).alias("parts"), is_query.alias("asks")
     )
     asked = rows.filter("asks").groupBy("vec_id").agg(F.min("parts").alias("parts"))
-    schema = "block long, n int, ids binary, parts binary"
-    dimensions = rows.groupBy(F.size("parts").alias("d")).count().collect()
-    spark, found = vectors.sparkSession, None
-    for d, n in sorted(tuple(r) for r in dimensions):
-        blocks = stored(rows.filter(F.size("parts") == d).select("vec_id", "parts").mapInArrow(_packer(BLOCK_ROWS), schema), "vectors")
-        own = stored(asked.filter(F.size("parts") == d), "queries")
-        asking = own.count()
-        spread = own.repartition(_shares(asking, QUERY_ROWS), "vec_id")
-        # The queries of a part lie in one block, also where a few more were dealt to it than the others have.
-        packs = spread.mapInArrow(_packer(2 * QUERY_ROWS), schema).select(
-            F.col("block").alias("pack"), F.col("ids").alias("query_ids"), F.col("parts").alias("query_parts")
-        ).repartition(_shares(asking, QUERY_ROWS * TASK_QUERY_BLOCKS))
-        tasks = max(spark.sparkContext.defaultParallelism, _shares(n, BLOCK_ROWS * TASK_BLOCKS))
-        # Every block meets every query block: the tasks of a Cartesian product, each with a part of both sides.
-        pairs = blocks.select("block", "ids", "parts").repartition(tasks, "block").crossJoin(packs.hint("shuffle_replicate_nl"))
-        part = pairs.mapInArrow(_searcher(k), "query_id long, vec_id long, score long")
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    schema = "block long, d int, ids binary, parts binary"
+    blocks = stored(rows.select("vec_id", "parts").mapInArrow(_packer(BLOCK_ROWS), schema), "vectors")
+    own = stored(asked, "queries")
+    asking = own.count()
+    # The queries of a part lie in one block, also where a few more were dealt to it than the others have.
+    packs = own.repartition(_shares(asking, QUERY_ROWS), "vec_id").mapInArrow(_packer(2 * QUERY_ROWS), schema).select(
+        F.col("block").alias("pack"), "d", F.col("ids").alias("query_ids"), F.col("parts").alias("query_parts")
+    ).repartition(_shares(asking, QUERY_ROWS * TASK_QUERY_BLOCKS))
+    tasks = max(vectors.sparkSession.sparkContext.defaultParallelism, _shares(blocks.count(), TASK_BLOCKS))
+    # By the hint a task joins a part of the blocks with a part of the query blocks; by dimension alone, one task would have all.
+    pairs = blocks.repartition(tasks, "block").join(packs.hint("shuffle_replicate_nl"), "d")
+    found = pairs.drop("d").mapInArrow(_searcher(k), "query_id long, vec_id long, score long")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
